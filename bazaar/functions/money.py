@@ -28,23 +28,41 @@ def scaled_integer(c, scale: int) -> Column:
     return (_as_col(c) * F.lit(10 ** scale)).cast(WIDE)
 
 
-def round_ratio(num, den, scale: int = 2, num_scale: int = 2, den_scale: int = 0,
-                factor: int = 1) -> Column:
-    """Exact ``round(factor * num / den, scale)``, half away from zero, as DOUBLE.
-
-    ``num`` / ``den`` are DECIMAL or integral columns with at most ``num_scale``
-    / ``den_scale`` decimals.  NULL when either side is NULL or ``den`` is 0.
+def rounded_quotient(num, den, scale: int = 2, num_scale: int = 2, den_scale: int = 0,
+                     factor: int = 1, half_even: bool = False) -> Column:
+    """Exact ``round(factor * num / den * 10^scale)`` as an integer DECIMAL(38,0).
+
+    Ties go away from zero (SQL ``ROUND``) or, with ``half_even``, to the even
+    neighbour (Python's format rounding).  NULL when either side is NULL or
+    ``den`` is 0.  ``num`` / ``den`` may have at most ``num_scale`` /
+    ``den_scale`` decimals.
     """
-    # factor * num / den * 10^scale == top / bottom with both sides integers.
     top = scaled_integer(num, num_scale) * F.lit(factor * 10 ** (scale + den_scale))
     bottom = scaled_integer(den, den_scale) * F.lit(10 ** num_scale)
-    twice_top = (F.abs(top) * F.lit(2) + F.abs(bottom)).cast(WIDE)
-    twice_bottom = (F.abs(bottom) * F.lit(2)).cast(WIDE)
-    # ``div`` is exact integral division on DECIMAL operands.
-    quotient = F.when(twice_bottom != 0, F.call_function("div", twice_top, twice_bottom))
+    a, b = F.abs(top).cast(WIDE), F.abs(bottom).cast(WIDE)
+    if half_even:
+        # ``div`` is exact integral division on DECIMAL operands.
+        q = F.call_function("div", a, b).cast(WIDE)
+        twice_rest = ((a - q * b) * F.lit(2)).cast(WIDE)
+        up = (twice_rest > b) | ((twice_rest == b) & (q % 2 == 1))
+        magnitude = q + F.when(up, F.lit(1)).otherwise(F.lit(0))
+    else:
+        magnitude = F.call_function("div", (a * F.lit(2) + b).cast(WIDE), (b * F.lit(2)).cast(WIDE))
+    magnitude = F.when(b != 0, magnitude)
     negative = (top < 0) != (bottom < 0)
-    signed = F.when(negative, -quotient).otherwise(quotient).cast(WIDE)
-    return (signed * F.lit(Decimal(1).scaleb(-scale))).cast("double")
+    return F.when(negative, -magnitude).otherwise(magnitude).cast(WIDE)
+
+
+def unscale(q: Column, scale: int) -> Column:
+    """Integer count of ``10^-scale`` units -> exact DECIMAL with ``scale`` places."""
+    return (q.cast(WIDE) * F.lit(Decimal(1).scaleb(-scale))).cast(T.DecimalType(38, scale))
+
+
+def round_ratio(num, den, scale: int = 2, num_scale: int = 2, den_scale: int = 0,
+                factor: int = 1, half_even: bool = False) -> Column:
+    """Exact ``round(factor * num / den, scale)`` as DOUBLE (see ``rounded_quotient``)."""
+    q = rounded_quotient(num, den, scale, num_scale, den_scale, factor, half_even)
+    return unscale(q, scale).cast("double")
 
 
 def money_total(c) -> Column:

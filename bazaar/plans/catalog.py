@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bazaar.operators import reports
+from bazaar.operators import bands, breakdowns, distribution, insights, profile, reports, trends
 from bazaar.sources.tables import sales_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,26 @@ REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "revenue_by_gender": reports.revenue_by_gender,
     "age_band_revenue": reports.age_band_revenue,
     "city_category_matrix": reports.city_category_matrix,
+    "dataset_summary": profile.dataset_summary,
+    "missing_values": profile.missing_values,
+    "describe_numeric": profile.describe_numeric,
+    "category_analysis": breakdowns.category_analysis,
+    "city_analysis": breakdowns.city_analysis,
+    "product_analysis": breakdowns.product_analysis,
+    "month_of_year_trend": trends.month_of_year_trend,
+    "age_band_counts": bands.age_band_counts,
+    "chart_category_sales": breakdowns.chart_category_sales,
+    "chart_city_sales": breakdowns.chart_city_sales,
+    "product_order_share": breakdowns.product_order_share,
+    "age_histogram": distribution.age_histogram,
+    "age_density": distribution.age_density,
+    "chart_monthly_trend": trends.chart_monthly_trend,
+    "kpi_summary": insights.kpi_summary,
+    "insights_overview": insights.insights_overview,
+    "insights_category_breakdown": breakdowns.insights_category_breakdown,
+    "insights_city_breakdown": breakdowns.insights_city_breakdown,
+    "insights_product_breakdown": breakdowns.insights_product_breakdown,
+    "named_category_share": insights.named_category_share,
 }
 
 

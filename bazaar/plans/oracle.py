@@ -31,13 +31,54 @@ SALES_CTE = """sales_data AS (
 )"""
 
 
-def ratio(num: str, den: str, scale: int = 2, num_scale: int = 2, den_scale: int = 0, factor: int = 1) -> str:
-    """SQL for exact ``round(factor * num / den, scale)``, half away from zero, as DOUBLE."""
+def quotient(num: str, den: str, scale: int = 2, num_scale: int = 2, den_scale: int = 0, factor: int = 1,
+             half_even: bool = False) -> str:
+    """SQL for the exact integer ``round(factor * num / den * 10^scale)`` (HUGEINT)."""
     top = f"(CAST(({num}) * {10 ** num_scale} AS HUGEINT) * {factor * 10 ** (scale + den_scale)})"
     bottom = f"(CAST(({den}) * {10 ** den_scale} AS HUGEINT) * {10 ** num_scale})"
-    q = f"((2 * abs({top}) + abs({bottom})) // (2 * abs({bottom})))"
-    return (f"(CAST(CASE WHEN {bottom} = 0 THEN NULL WHEN ({top} < 0) <> ({bottom} < 0) THEN -{q} "
-            f"ELSE {q} END AS DOUBLE) / {10 ** scale})")
+    a, b = f"abs({top})", f"abs({bottom})"
+    if half_even:
+        q = f"({a} // {b})"
+        r2 = f"(({a} - {q} * {b}) * 2)"
+        mag = f"({q} + CASE WHEN {r2} > {b} OR ({r2} = {b} AND {q} % 2 = 1) THEN 1 ELSE 0 END)"
+    else:
+        mag = f"((2 * {a} + {b}) // (2 * {b}))"
+    return f"(CASE WHEN {bottom} = 0 THEN NULL WHEN ({top} < 0) <> ({bottom} < 0) THEN -{mag} ELSE {mag} END)"
+
+
+def ratio(num: str, den: str, scale: int = 2, num_scale: int = 2, den_scale: int = 0, factor: int = 1,
+          half_even: bool = False) -> str:
+    """SQL for exact ``round(factor * num / den, scale)`` as DOUBLE."""
+    return f"(CAST({quotient(num, den, scale, num_scale, den_scale, factor, half_even)} AS DOUBLE) / {10 ** scale})"
+
+
+def grouped(q: str, decimals: int) -> str:
+    """Text of the integer ``q`` units of ``10^-decimals`` with thousands separators."""
+    if decimals == 0:
+        return f"format('{{:,}}', CAST({q} AS BIGINT))"
+    return f"format('{{:,.{decimals}f}}', CAST({q} AS DOUBLE) / {10 ** decimals})"
+
+
+def plain(q: str, decimals: int) -> str:
+    if decimals == 0:
+        return f"CAST(CAST({q} AS BIGINT) AS VARCHAR)"
+    return f"format('{{:.{decimals}f}}', CAST({q} AS DOUBLE) / {10 ** decimals})"
+
+
+def rupees(amount: str, decimals: int = 0) -> str:
+    return f"('Rs.' || {grouped(quotient(amount, '1', decimals, 2, 0, 1, True), decimals)})"
+
+
+def rupees_of_ratio(num: str, den: str, decimals: int = 0) -> str:
+    return f"('Rs.' || {grouped(quotient(num, den, decimals, 2, 0, 1, True), decimals)})"
+
+
+def millions(amount: str) -> str:
+    return f"('Rs.' || {plain(quotient(amount, '1000000', 1, 2, 0, 1, True), 1)} || 'M')"
+
+
+def percent(num: str, den: str, num_scale: int = 2, den_scale: int = 2) -> str:
+    return f"({plain(quotient(num, den, 1, num_scale, den_scale, 100, True), 1)} || '%')"
 
 
 def with_sales(body: str, *ctes: str) -> str:
@@ -103,3 +144,214 @@ GROUP BY 1""")
 SQL["city_category_matrix"] = with_sales(f"""
 SELECT City, Category, {REV} AS Revenue_INR, COUNT(*) AS Orders
 FROM sales_data GROUP BY City, Category""")
+
+# ---------------------------------------------------------------------------
+# EDA half: NULL keys dropped, empty sums are 0, Python's ties-to-even rounding.
+# ---------------------------------------------------------------------------
+
+HE = dict(half_even=True)
+ZREV = "COALESCE(SUM(Total_Sales), 0)"
+
+
+def dim_cte(dim: str) -> str:
+    return (f"g AS (SELECT {dim}, {ZREV} AS rev, COUNT(Total_Sales) AS n, COUNT(*) AS rows_, "
+            f"COALESCE(SUM(Quantity), 0) AS units, COUNT(Order_ID) AS ids "
+            f"FROM sales_data WHERE {dim} IS NOT NULL GROUP BY {dim})")
+
+
+ALL_COLUMNS = ("Order_ID, Order_Date, Customer_ID, Customer_Name, Age, Gender, City, Product, Category, "
+               "Quantity, Unit_Price, Total_Sales")
+
+
+def _sorted_list(dim: str) -> str:
+    return f"array_to_string(list_sort(list(DISTINCT {dim}) FILTER (WHERE {dim} IS NOT NULL)), ', ')"
+
+
+SQL["dataset_summary"] = with_sales(f"""
+SELECT COUNT(*) AS Rows, 12 AS Columns, '{ALL_COLUMNS}' AS Column_List,
+       MIN(Order_Date) AS Date_Min, MAX(Order_Date) AS Date_Max,
+       CAST(COUNT(DISTINCT City) AS INTEGER) AS Cities, {_sorted_list("City")} AS City_List,
+       CAST(COUNT(DISTINCT Category) AS INTEGER) AS Categories, {_sorted_list("Category")} AS Category_List,
+       CAST(COUNT(DISTINCT Product) AS INTEGER) AS Products, {_sorted_list("Product")} AS Product_List
+FROM sales_data""")
+
+_cols = [c.strip() for c in ALL_COLUMNS.split(",")]
+_cells = "\n  UNION ALL ".join(
+    f"SELECT {i} AS Position, '{c}' AS \"Column\", CAST(COUNT(*) - COUNT({c}) AS BIGINT) AS Missing_Count, "
+    f"COUNT(*) AS n FROM sales_data" for i, c in enumerate(_cols))
+SQL["missing_values"] = with_sales(f"""
+SELECT Position, "Column", Missing_Count,
+       {ratio("Missing_Count", "n", scale=2, num_scale=0, factor=100, **HE)} AS Missing_Pct
+FROM cells WHERE Missing_Count > 0""", f"cells AS (\n  {_cells})")
+
+
+def _describe(col: str, scale: int) -> str:
+    x = f"CAST({col} AS DOUBLE)"
+    q = lambda p: f"round(quantile_cont({x}, {p}), 6)"
+    return (f"SELECT '{col}' AS \"Column\", COUNT({col}) AS Count, "
+            f"{ratio(f'SUM({col})', f'COUNT({col})', scale=6, num_scale=scale, **HE)} AS Mean, "
+            f"round(stddev_samp({x}), 6) AS Std, CAST(MIN({col}) AS DOUBLE) AS Min, "
+            f"{q(0.25)} AS P25, {q(0.5)} AS P50, {q(0.75)} AS P75, CAST(MAX({col}) AS DOUBLE) AS Max "
+            f"FROM sales_data")
+
+
+SQL["describe_numeric"] = with_sales("\nUNION ALL\n".join(
+    _describe(c, s) for c, s in [("Age", 0), ("Quantity", 0), ("Unit_Price", 2), ("Total_Sales", 2)]))
+
+
+def _analysis(dim: str) -> str:
+    return with_sales(f"""
+SELECT {dim}, CAST(rev AS DOUBLE) AS Total_Revenue, {ratio("rev", "n", **HE)} AS Avg_Order, n AS Orders,
+       {rupees("rev")} AS Total_Revenue_Text, {rupees_of_ratio("rev", "n")} AS Avg_Order_Text
+FROM g""", dim_cte(dim))
+
+
+SQL["category_analysis"] = _analysis("Category")
+SQL["city_analysis"] = _analysis("City")
+
+SQL["product_analysis"] = with_sales(f"""
+SELECT Product, CAST(rev AS DOUBLE) AS Revenue, CAST(units AS BIGINT) AS Units_Sold, ids AS Orders,
+       {rupees("rev")} AS Revenue_Text
+FROM g""", dim_cte("Product"))
+
+MONTHS_CTE = ("m AS (SELECT CAST(month(Order_Date) AS INTEGER) AS Month_Num, {z} AS rev FROM sales_data "
+              "WHERE Order_Date IS NOT NULL GROUP BY 1),\n"
+              "months AS (SELECT CAST(range AS INTEGER) AS Month_Num FROM range(1, 13)),\n"
+              "mm AS (SELECT months.Month_Num, COALESCE(m.rev, 0) AS rev FROM months LEFT JOIN m "
+              "ON months.Month_Num = m.Month_Num)").format(z=ZREV)
+
+SQL["month_of_year_trend"] = with_sales(f"""
+SELECT Month_Num, strftime(make_date(2000, Month_Num, 1), '%b') AS Month, CAST(rev AS DOUBLE) AS Revenue,
+       {rupees("rev")} AS Revenue_Text
+FROM mm""", MONTHS_CTE)
+
+SQL["chart_monthly_trend"] = with_sales(f"""
+SELECT Month_Num - 1 AS Position, strftime(make_date(2000, Month_Num, 1), '%b') AS Month,
+       CAST(rev AS DOUBLE) AS Revenue, {millions("rev")} AS Label
+FROM mm""", MONTHS_CTE)
+
+SQL["age_band_counts"] = with_sales("""
+SELECT labels.Band_Index, labels.Age_Band, COUNT(b.Band_Index) AS Orders
+FROM labels LEFT JOIN b ON labels.Band_Index = b.Band_Index
+GROUP BY 1, 2""", """b AS (SELECT CASE WHEN Age >= 0 AND Age < 20 THEN 0 WHEN Age >= 20 AND Age < 30 THEN 1
+                  WHEN Age >= 30 AND Age < 40 THEN 2 WHEN Age >= 40 AND Age < 50 THEN 3
+                  WHEN Age >= 50 AND Age < 60 THEN 4 WHEN Age >= 60 AND Age < 70 THEN 5 END AS Band_Index
+           FROM sales_data)""", """labels AS (SELECT * FROM (VALUES (0, '<20'), (1, '20-29'), (2, '30-39'),
+           (3, '40-49'), (4, '50-59'), (5, '60+')) t(Band_Index, Age_Band))""")
+
+
+def _bars(dim: str) -> str:
+    return with_sales(f"""
+SELECT {dim}, CAST(rev AS DOUBLE) AS Revenue, {millions("rev")} AS Label FROM g""", dim_cte(dim))
+
+
+SQL["chart_category_sales"] = _bars("Category")
+SQL["chart_city_sales"] = _bars("City")
+
+SQL["product_order_share"] = with_sales(f"""
+SELECT Product, rows_ AS Orders,
+       {ratio("rows_", "(SELECT SUM(rows_) FROM g)", scale=1, num_scale=0, factor=100, **HE)} AS Share_Pct,
+       {percent("rows_", "(SELECT SUM(rows_) FROM g)", num_scale=0, den_scale=0)} AS Share_Label
+FROM g""", dim_cte("Product"))
+
+SQL["age_histogram"] = with_sales("""
+SELECT bins.Bin,
+       CASE WHEN bins.Bin = 20 THEN p.l ELSE bins.Bin * p.step + p.f END AS Bin_Start,
+       CASE WHEN bins.Bin + 1 = 20 THEN p.l ELSE (bins.Bin + 1) * p.step + p.f END AS Bin_End,
+       COALESCE(c.Orders, 0) AS Orders,
+       CASE WHEN bins.Bin * p.step + p.f < 25 THEN '< 25' WHEN bins.Bin * p.step + p.f < 40 THEN '25 – 39'
+            WHEN bins.Bin * p.step + p.f < 55 THEN '40 – 54' ELSE '55 +' END AS Age_Group,
+       CASE WHEN bins.Bin * p.step + p.f < 25 THEN '#55A868' WHEN bins.Bin * p.step + p.f < 40 THEN '#4C72B0'
+            WHEN bins.Bin * p.step + p.f < 55 THEN '#DD8452' ELSE '#C44E52' END AS Colour
+FROM bins CROSS JOIN p LEFT JOIN c ON bins.Bin = c.Bin
+WHERE p.f IS NOT NULL""",
+    """mm AS (SELECT MIN(CAST(Age AS DOUBLE)) AS lo, MAX(CAST(Age AS DOUBLE)) AS hi FROM sales_data)""",
+    """p AS (SELECT f, l, (l - f) / CAST(20 AS DOUBLE) AS step, CAST(20 AS DOUBLE) / (l - f) AS norm FROM (
+           SELECT CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS f,
+                  CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS l FROM mm))""",
+    """i0 AS (SELECT x, f, l, step, CASE WHEN i = 20 THEN 19 ELSE i END AS i FROM (
+           SELECT CAST(Age AS DOUBLE) AS x, f, l, step, CAST(floor((CAST(Age AS DOUBLE) - f) * norm) AS INTEGER) AS i
+           FROM sales_data, p WHERE Age IS NOT NULL))""",
+    """i1 AS (SELECT x, f, l, step,
+           CASE WHEN x < (CASE WHEN i = 20 THEN l ELSE i * step + f END) THEN i - 1 ELSE i END AS i FROM i0)""",
+    """i2 AS (SELECT CASE WHEN x >= (CASE WHEN i + 1 = 20 THEN l ELSE (i + 1) * step + f END) AND i <> 19
+                       THEN i + 1 ELSE i END AS i FROM i1)""",
+    """bins AS (SELECT CAST(range AS INTEGER) AS Bin FROM range(0, 20))""",
+    """c AS (SELECT i AS Bin, COUNT(*) AS Orders FROM i2 GROUP BY i)""")
+
+SQL["age_density"] = with_sales("""
+SELECT Point, round(x, 10) AS X,
+       round(SUM(c * exp(-0.5 * ((x - CAST(a AS DOUBLE)) / h) * ((x - CAST(a AS DOUBLE)) / h)))
+             / (CAST(n AS DOUBLE) * h * sqrt(2 * pi())), 10) AS Density
+FROM xs, vc
+GROUP BY Point, x, n, h""",
+    """vc AS (SELECT CAST(Age AS DECIMAL(38,0)) AS a, COUNT(*) AS c FROM sales_data WHERE Age IS NOT NULL GROUP BY 1)""",
+    """s AS (SELECT CAST(SUM(c) AS HUGEINT) AS n, CAST(SUM(c * a) AS HUGEINT) AS s1,
+                  CAST(SUM(c * a * a) AS HUGEINT) AS s2, CAST(MIN(a) AS DOUBLE) AS lo, CAST(MAX(a) AS DOUBLE) AS hi
+           FROM vc)""",
+    """k AS (SELECT n, lo, hi, CAST(n * s2 - s1 * s1 AS DOUBLE) / CAST(n * (n - 1) AS DOUBLE) AS var FROM s)""",
+    """b AS (SELECT n, lo, hi, sqrt(var) * pow(CAST(n AS DOUBLE), -0.2) AS h, (hi - lo) / CAST(299 AS DOUBLE) AS step
+           FROM k WHERE n >= 2 AND var > 0)""",
+    """xs AS (SELECT CAST(range AS INTEGER) AS Point,
+                   CASE WHEN range = 299 THEN hi ELSE CAST(range AS INTEGER) * step + lo END AS x, n, h
+            FROM range(0, 300), b)""")
+
+
+def _top(dim: str) -> str:
+    return (f"(SELECT {dim} FROM sales_data WHERE {dim} IS NOT NULL GROUP BY {dim} "
+            f"ORDER BY {ZREV} DESC, {dim} ASC LIMIT 1)")
+
+
+def _top_rev(dim: str) -> str:
+    return (f"(SELECT {ZREV} FROM sales_data WHERE {dim} IS NOT NULL GROUP BY {dim} "
+            f"ORDER BY {ZREV} DESC, {dim} ASC LIMIT 1)")
+
+
+SQL["kpi_summary"] = with_sales(f"""
+SELECT CAST(rev AS DOUBLE) AS Total_Revenue, n AS Total_Orders, {ratio("rev", "n", **HE)} AS Avg_Order_Value,
+       {_top("Product")} AS Top_Product, {_top("City")} AS Top_City,
+       {rupees("rev", 2)} AS Total_Revenue_Text, {rupees_of_ratio("rev", "n", 2)} AS Avg_Order_Value_Text
+FROM t""", f"t AS (SELECT {ZREV} AS rev, COUNT(*) AS n FROM sales_data)")
+
+_best_month = ("(SELECT month(Order_Date) FROM sales_data WHERE Order_Date IS NOT NULL GROUP BY 1 "
+               f"ORDER BY {ZREV} DESC, 1 ASC LIMIT 1)")
+
+SQL["insights_overview"] = with_sales(f"""
+SELECT n AS Total_Records, dmin AS Date_Min, dmax AS Date_Max,
+       CAST((SELECT COUNT(DISTINCT City) FROM sales_data) AS INTEGER) AS Cities,
+       (SELECT {_sorted_list("City")} FROM sales_data) AS City_List,
+       CAST((SELECT COUNT(DISTINCT Category) FROM sales_data) AS INTEGER) AS Categories,
+       (SELECT {_sorted_list("Category")} FROM sales_data) AS Category_List,
+       CAST((SELECT COUNT(DISTINCT Product) FROM sales_data) AS INTEGER) AS Products,
+       (SELECT {_sorted_list("Product")} FROM sales_data) AS Product_List,
+       CAST(rev AS DOUBLE) AS Total_Revenue, {ratio("rev", "n", **HE)} AS Avg_Order_Value,
+       {_top("Category")} AS Top_Category, CAST({_top_rev("Category")} AS DOUBLE) AS Top_Category_Revenue,
+       {ratio(_top_rev("Category"), "rev", scale=1, den_scale=2, factor=100, **HE)} AS Top_Category_Share_Pct,
+       {_top("City")} AS Top_City, CAST({_top_rev("City")} AS DOUBLE) AS Top_City_Revenue,
+       {_top("Product")} AS Top_Product, CAST({_top_rev("Product")} AS DOUBLE) AS Top_Product_Revenue,
+       strftime(make_date(2000, CAST({_best_month} AS INTEGER), 1), '%B') AS Best_Month,
+       {rupees("rev", 2)} AS Total_Revenue_Text, {rupees_of_ratio("rev", "n", 2)} AS Avg_Order_Value_Text
+FROM t""", f"t AS (SELECT {ZREV} AS rev, COUNT(*) AS n, MIN(Order_Date) AS dmin, MAX(Order_Date) AS dmax "
+           f"FROM sales_data)")
+
+SQL["insights_category_breakdown"] = with_sales(f"""
+SELECT Category, CAST(rev AS DOUBLE) AS Revenue, {grouped(quotient("rev", "1", 0, 2, 0, 1, True), 0)} AS Revenue_Text,
+       {ratio("rev", f"(SELECT {ZREV} FROM sales_data)", scale=1, den_scale=2, factor=100, **HE)} AS Share_Pct
+FROM g""", dim_cte("Category"))
+
+
+def _revenue_table(dim: str) -> str:
+    return with_sales(f"""
+SELECT {dim}, CAST(rev AS DOUBLE) AS Revenue, {grouped(quotient("rev", "1", 0, 2, 0, 1, True), 0)} AS Revenue_Text
+FROM g""", dim_cte(dim))
+
+
+SQL["insights_city_breakdown"] = _revenue_table("City")
+SQL["insights_product_breakdown"] = _revenue_table("Product")
+
+SQL["named_category_share"] = with_sales(f"""
+SELECT 'Electronics' AS Category, CAST(cat AS DOUBLE) AS Revenue,
+       {ratio("cat", "total", scale=1, den_scale=2, factor=100, **HE)} AS Share_Pct,
+       {percent("cat", "total")} AS Share_Label
+FROM t""", "t AS (SELECT COALESCE(SUM(CASE WHEN Category = 'Electronics' THEN Total_Sales END), 0) AS cat, "
+           f"{ZREV} AS total FROM sales_data)")
