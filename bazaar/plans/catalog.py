@@ -59,4 +59,7 @@ REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 
 def queries() -> dict[str, Query]:
-    return {k: on_sales(op) for k, op in REPORTS.items()}
+    from bazaar.plans import ingest
+    out: dict[str, Query] = {k: on_sales(op) for k, op in REPORTS.items()}
+    out.update(ingest.QUERIES)
+    return out

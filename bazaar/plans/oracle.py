@@ -355,3 +355,44 @@ SELECT 'Electronics' AS Category, CAST(cat AS DOUBLE) AS Revenue,
        {percent("cat", "total")} AS Share_Label
 FROM t""", "t AS (SELECT COALESCE(SUM(CASE WHEN Category = 'Electronics' THEN Total_Sales END), 0) AS cat, "
            f"{ZREV} AS total FROM sales_data)")
+
+# ---------------------------------------------------------------------------
+# Ingest path: what comes through CSV -> coercion -> load equals the source.
+# ---------------------------------------------------------------------------
+
+_TEXT = ["Order_ID", "Customer_ID", "Customer_Name", "Gender", "City", "Product", "Category"]
+
+
+def _profile_select() -> str:
+    parts = ["COUNT(*) AS Rows"]
+    for c in _TEXT:
+        parts += [f"COUNT({c}) AS {c}_Count", f"CAST(COALESCE(SUM(length({c})), 0) AS BIGINT) AS {c}_Chars"]
+    parts += ["COUNT(Order_Date) AS Order_Date_Count", "MIN(Order_Date) AS Order_Date_Min",
+              "MAX(Order_Date) AS Order_Date_Max",
+              "CAST(COALESCE(SUM(dayofmonth(Order_Date)), 0) AS BIGINT) AS Order_Date_Day_Sum"]
+    for c in ["Age", "Quantity"]:
+        parts += [f"COUNT({c}) AS {c}_Count", f"CAST(SUM({c}) AS BIGINT) AS {c}_Sum"]
+    for c in ["Unit_Price", "Total_Sales"]:
+        parts += [f"COUNT({c}) AS {c}_Count", f"CAST(SUM({c}) AS DOUBLE) AS {c}_Sum"]
+    return ",\n       ".join(parts)
+
+
+SQL["csv_roundtrip"] = with_sales(f"SELECT {_profile_select()}\nFROM sales_data")
+SQL["source_fallback"] = with_sales(f"SELECT 'csv' AS Source, {_profile_select()}\nFROM sales_data")
+
+SQL["full_refresh_load"] = with_sales("""
+SELECT COUNT(*) AS Rows, COUNT(Total_Sales) AS Sales, CAST(SUM(Total_Sales) AS DOUBLE) AS Total_Sales_Sum
+FROM sales_data""")
+
+SQL["load_reconciliation"] = with_sales("""
+SELECT COUNT(*) AS Source_Rows, COUNT(*) AS Loaded_Rows, CAST(0 AS BIGINT) AS Quarantined_Rows, true AS Reconciled
+FROM sales_data""")
+
+SQL["quarantine_counts"] = with_sales("""
+SELECT o.Outcome, CASE WHEN o.Outcome = 'valid' THEN (SELECT COUNT(*) FROM sales_data) ELSE CAST(0 AS BIGINT) END AS Rows
+FROM (VALUES ('valid'), ('order_id_null'), ('order_id_length'), ('fractional_age'), ('fractional_quantity'),
+             ('text_length')) o(Outcome)""")
+
+SQL["surrogate_key"] = with_sales("""
+SELECT COUNT(*) AS Rows, COUNT(*) AS Distinct_Ids, CAST(1 AS BIGINT) AS Min_Id, COUNT(*) AS Max_Id
+FROM sales_data""")

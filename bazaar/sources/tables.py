@@ -64,7 +64,7 @@ def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _fingerprint(sf_dir: str) -> str:
+def fingerprint(sf_dir: str) -> str:
     h = hashlib.sha1(ADAPTER_VERSION.encode())
     h.update(os.path.abspath(sf_dir).encode())
     for name in SOURCE_TABLES:
@@ -84,13 +84,13 @@ def sales_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     make it survive executor loss); a folder without ``_SUCCESS`` is rewritten.
     Reading it back cuts the join lineage for every later report.
     """
-    path = shared_path(spark, "sales_data", _fingerprint(sf_dir))
-    if not _committed(spark, path):
+    path = shared_path(spark, "sales_data", fingerprint(sf_dir))
+    if not committed(spark, path):
         sales_view(spark, sf_dir).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path).select(*COLUMNS)
 
 
-def _committed(spark: SparkSession, path: str) -> bool:
+def committed(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
