@@ -42,11 +42,18 @@ class _Picks:
         return F.array_sort(F.collect_list(F.when(self.in_set(dim), F.col(dim))))
 
 
+KPI_DIMS = ["City", "Product"]
+OVERVIEW_DIMS = ["Category", "City", "Product", MONTH]
+
+
 def kpi_summary(df: DataFrame) -> DataFrame:
     """Total revenue, rows, revenue per row (all rows, NULL sales included), top product and city."""
-    dims = ["City", "Product"]
+    return present_kpis(rollup(df, KPI_DIMS), KPI_DIMS)
+
+
+def present_kpis(r: DataFrame, dims: list[str]) -> DataFrame:
     p = _Picks(dims)
-    row = rollup(df, dims).agg(
+    row = r.agg(
         F.coalesce(p.overall("_rev"), F.lit(0).cast("decimal(24,2)")).alias("_rev"),
         F.coalesce(p.overall("_rows"), F.lit(0).cast("bigint")).alias("Total_Orders"),
         p.top("Product").alias("_tp"), p.top("City").alias("_tc"))
@@ -60,9 +67,12 @@ def kpi_summary(df: DataFrame) -> DataFrame:
 
 def insights_overview(df: DataFrame) -> DataFrame:
     """The report's overview and key findings as one row."""
-    dims = ["Category", "City", "Product", MONTH]
+    return present_overview(rollup(df, OVERVIEW_DIMS), OVERVIEW_DIMS)
+
+
+def present_overview(r: DataFrame, dims: list[str]) -> DataFrame:
     p = _Picks(dims)
-    row = rollup(df, dims).agg(
+    row = r.agg(
         F.coalesce(p.overall("_rows"), F.lit(0).cast("bigint")).alias("Total_Records"),
         p.overall("_dmin").alias("Date_Min"), p.overall("_dmax").alias("Date_Max"),
         p.keys("City").alias("_cities"), p.keys("Category").alias("_cats"), p.keys("Product").alias("_prods"),
@@ -94,6 +104,11 @@ def named_category_share(df: DataFrame, category: str = NAMED_CATEGORY) -> DataF
     """
     row = df.agg(money_total(F.when(F.col("Category") == category, F.col(SALES))).alias("_cat"),
                  money_total(SALES).alias("_all"))
+    return present_named_share(row, category)
+
+
+def present_named_share(row: DataFrame, category: str = NAMED_CATEGORY) -> DataFrame:
+    """From a one-row frame with ``_cat`` (the category's revenue) and ``_all`` (all revenue)."""
     return row.select(
         F.lit(category).alias("Category"), F.col("_cat").cast("double").alias("Revenue"),
         round_ratio(F.col("_cat"), F.col("_all"), scale=1, den_scale=2, factor=100,

@@ -14,10 +14,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from bazaar.functions.money import round_ratio
-from bazaar.operators.quantiles import exact_percentiles
+from bazaar.operators.quantiles import grouped_percentiles
 from bazaar.schema import DIMENSIONS, NUMERIC_PROFILE_COLUMNS
 
 LIST_NAMES = {"City": ("Cities", "City_List"), "Category": ("Categories", "Category_List"),
@@ -53,32 +52,36 @@ def missing_values(df: DataFrame) -> DataFrame:
                 .orderBy("Position"))
 
 
-def _scale_of(df: DataFrame, col: str) -> int:
-    t = df.schema[col].dataType
-    return t.scale if isinstance(t, T.DecimalType) else 0
-
-
-def describe_column(df: DataFrame, col: str) -> DataFrame:
-    """One describe row for ``col``: Column, Count, Mean, Std, Min, P25, P50, P75, Max (DOUBLE)."""
-    q = exact_percentiles(df, col, [0.25, 0.5, 0.75])
-    quart = q.select(F.struct("p0", "p1", "p2").alias("q")).scalar()
-    c = F.col(col)
-    row = df.agg(F.count(c).alias("_n"), F.sum(c).alias("_s"), F.stddev_samp(c.cast("double")).alias("_sd"),
-                 F.min(c).alias("_min"), F.max(c).alias("_max"))
-    as_double = lambda e: F.round(e.cast("double"), 6)
-    return row.select(
-        F.lit(col).alias("Column"), F.col("_n").alias("Count"),
-        round_ratio(F.col("_s"), F.col("_n"), scale=6, num_scale=_scale_of(df, col),
-                    half_even=True).alias("Mean"),
-        F.round(F.col("_sd"), 6).alias("Std"), F.col("_min").cast("double").alias("Min"),
-        as_double(quart.getField("p0")).alias("P25"), as_double(quart.getField("p1")).alias("P50"),
-        as_double(quart.getField("p2")).alias("P75"), F.col("_max").cast("double").alias("Max"))
+LONG_VALUE = "decimal(24,2)"  # holds INT and DECIMAL(<=14,2) columns exactly
 
 
 def describe_numeric(df: DataFrame, columns: list[str] = NUMERIC_PROFILE_COLUMNS) -> DataFrame:
-    """The describe table, one row per numeric column."""
-    out = None
-    for col in columns:
-        one = describe_column(df, col)
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Count, mean, sample std, min, exact quartiles and max, one row per numeric column.
+
+    Moments come from one global aggregate over all the columns (unpacked into
+    a row per column); quartiles from one grouped exact-percentile pipeline
+    over the ``(column, value)`` long form.  The two per-column tables are
+    joined on the column index (as many rows as profiled columns).
+    """
+    aggs = []
+    for i, c in enumerate(columns):
+        x = F.col(c)
+        aggs += [F.count(x).alias(f"n{i}"), F.sum(x).cast("decimal(38,2)").alias(f"s{i}"),
+                 F.stddev_samp(x.cast("double")).alias(f"d{i}"),
+                 F.min(x).cast("double").alias(f"lo{i}"), F.max(x).cast("double").alias(f"hi{i}")]
+    moments = df.agg(*aggs).select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_k"), F.lit(c).alias("Column"), F.col(f"n{i}").alias("_n"),
+                 F.col(f"s{i}").alias("_s"), F.col(f"d{i}").alias("_sd"), F.col(f"lo{i}").alias("_lo"),
+                 F.col(f"hi{i}").alias("_hi"))
+        for i, c in enumerate(columns)])))
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_k"), F.col(c).cast(LONG_VALUE).alias("_v")) for i, c in enumerate(columns)])))
+    quart = grouped_percentiles(long, "_k", "_v", [0.25, 0.5, 0.75])
+    as_double = lambda e: F.round(F.col(e).cast("double"), 6)
+    return (moments.join(F.broadcast(quart), "_k", "left")
+                   .select("Column", F.col("_n").alias("Count"),
+                           round_ratio(F.col("_s"), F.col("_n"), scale=6, num_scale=2, half_even=True).alias("Mean"),
+                           F.round(F.col("_sd"), 6).alias("Std"), F.col("_lo").alias("Min"),
+                           as_double("p0").alias("P25"), as_double("p1").alias("P50"), as_double("p2").alias("P75"),
+                           F.col("_hi").alias("Max"))
+                   .orderBy("_k"))

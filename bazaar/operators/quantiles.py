@@ -1,21 +1,26 @@
 """Exact percentiles (linear interpolation) without gathering a column into one task.
 
 Spark's exact ``percentile`` merges a value -> count map of the whole column in a
-single task, so its memory grows with the number of distinct values.  Here:
+single task, so its memory grows with the number of distinct values.  Here,
+for each group ``k`` (e.g. one group per profiled column):
 
-1. ``vc``: the column reduced to ``(v, c)`` distinct values and counts (a hot
+1. ``vc``: the values reduced to ``(k, v, c)`` distinct values and counts (a hot
    value becomes one row, however many rows carry it);
-2. approximate cut points of the distinct values (a bounded sketch, evaluated
-   as a scalar subquery) split ``vc`` into at most ``buckets`` contiguous
-   ranges; a value's range is found by a binary search on the cut array
-   (``log2(buckets)`` steps of one higher-order function, JVM-side);
-3. per-range counts (at most ``buckets`` rows) and their running sums locate the
-   range and offset of each wanted rank;
+2. approximate cut points of each group's distinct values (a bounded sketch
+   per group, ``buckets - 1`` numbers) split ``vc`` into at most ``buckets``
+   contiguous ranges; a value's range is found by binary search on the cut
+   array (``log2(buckets)`` steps of one higher-order function, JVM-side);
+3. per-range counts (at most ``buckets`` rows per group) and their running
+   sums locate the range and offset of each wanted rank;
 4. only the ranges holding wanted ranks are sorted — one window partition per
    range, each about ``distinct / buckets`` rows — to read the exact values.
 
-The cut points only balance the work; the answer is exact whatever they are.
-Rank ``h = (n-1)·p`` interpolates between ranks ``floor(h)`` and ``ceil(h)``.
+``vc`` is checkpointed into the shared checkpoint folder, so the input is
+scanned once and a lost executor recomputes from the checkpoint, not from the
+fact.  The small tables (cut points, range offsets) are broadcast: their size is
+bounded by ``groups × buckets``, not by the data.  The cut points only balance
+the work; the answer is exact whatever they are.  Rank ``h = (n-1)·p``
+interpolates between ranks ``floor(h)`` and ``ceil(h)``.
 """
 
 from __future__ import annotations
@@ -25,11 +30,13 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bazaar.session import shared_dir
+
 WIDE = "decimal(38,0)"
 
 
-def with_range(vc: DataFrame, cuts: Column, buckets: int) -> DataFrame:
-    """Add ``_b`` = number of cut points ``<= _vd``: binary lifting over the sorted cut array.
+def with_range(vc: DataFrame, buckets: int) -> DataFrame:
+    """Add ``_b`` = number of entries of ``_cuts`` that are ``<= _vd`` (binary lifting).
 
     One ``aggregate`` over the ``log2(buckets)`` step sizes, so the expression
     stays small whatever the bucket count.
@@ -43,51 +50,68 @@ def with_range(vc: DataFrame, cuts: Column, buckets: int) -> DataFrame:
     def lift(pos: Column, s: Column) -> Column:
         return F.when(F.try_element_at(c, pos + s) <= v, pos + s).otherwise(pos)
 
-    # The cut array enters as a column: subqueries may not sit inside a lambda.
-    return (vc.withColumn("_cuts", cuts)
-              .withColumn("_b", F.aggregate(F.array(*steps), F.lit(0), lift))
-              .drop("_cuts"))
+    return vc.withColumn("_b", F.aggregate(F.array(*steps), F.lit(0), lift))
 
 
-def exact_percentiles(df: DataFrame, col: str, probs: list[float], buckets: int = 128,
-                      accuracy: int | None = None) -> DataFrame:
-    """One row: column ``p{i}`` is the exact ``probs[i]`` percentile of ``col`` (DECIMAL/DOUBLE).
+def grouped_percentiles(df: DataFrame, key: str, value: str, probs: list[float], buckets: int = 128,
+                        accuracy: int | None = None) -> DataFrame:
+    """One row per group: ``key`` and ``p{i}`` = exact ``probs[i]`` percentile of ``value``.
 
-    NULLs are ignored; an all-NULL column gives NULLs.
+    NULL values are ignored; a group with no values does not appear.
     """
-    vc = (df.where(F.col(col).isNotNull())
-            .groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("c")))
-    fractions = [i / buckets for i in range(1, buckets)]
     accuracy = accuracy or 8 * buckets  # rank error ~ 1/accuracy: ranges stay within ~1/8 of even
-    cuts = vc.select(F.array_sort(F.percentile_approx(F.col("v").cast("double"), fractions, accuracy))).scalar()
+    shared_dir(df.sparkSession)  # checkpoints go to the cluster's shared folder
+    # The only pass over the input; every later step reads this checkpointed
+    # (distinct value, count) table instead of rescanning the fact.
+    vc = (df.where(F.col(value).isNotNull())
+            .groupBy(key, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+            .withColumn("_vd", F.col("v").cast("double"))
+            .checkpoint())
+    fractions = [i / buckets for i in range(1, buckets)]
+    cuts = vc.groupBy(key).agg(F.array_sort(F.percentile_approx("_vd", fractions, accuracy)).alias("_cuts"))
+    vb = with_range(vc.join(F.broadcast(cuts), key), buckets).drop("_cuts")
 
-    vb = with_range(vc.withColumn("_vd", F.col("v").cast("double")), cuts, buckets)
+    # Per-range counts and the rank at which each range starts.
+    upto = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = (vb.groupBy(key, "_b").agg(F.sum("c").alias("_bc"))
+                .withColumn("_end", F.sum("_bc").over(upto))
+                .withColumn("_start", F.col("_end") - F.col("_bc"))
+                .withColumn("_n", F.sum("_bc").over(Window.partitionBy(key))))
 
-    # Per-range counts and the rank at which each range starts (bounded by ``buckets`` rows).
-    ranges = vb.groupBy("_b").agg(F.sum("c").alias("_bc"))
-    upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranges = ranges.withColumn("_end", F.sum("_bc").over(upto)).withColumn("_start", F.col("_end") - F.col("_bc"))
+    # Wanted ranks per probability: floor and ceil of (n-1)·p, exact.
+    def h(p):
+        return (F.col("_n") - 1).cast(WIDE) * F.lit(Decimal(str(p)))
 
-    n = vc.select(F.sum("c")).scalar()
-    ranks = []  # (lower rank, upper rank, fraction) per probability, all exact
+    wanted = []
     for p in probs:
-        h = (n - 1).cast(WIDE) * F.lit(Decimal(str(p)))
-        lo = F.floor(h).cast(WIDE)
-        ranks.append((lo, F.ceil(h).cast(WIDE), h - lo))
-    wanted = [r for lo, hi, _ in ranks for r in (lo, hi)]
-
-    # The range holding each wanted rank, as scalar subqueries over the range table.
-    homes = ranges.select(F.array(*[F.min(F.when(F.col("_end") > r, F.col("_b"))) for r in wanted])).scalar()
-    hot = vb.where(F.array_contains(homes, F.col("_b")))
-    in_range = Window.partitionBy("_b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        wanted += [F.floor(h(p)).cast(WIDE), F.ceil(h(p)).cast(WIDE)]
+    # The range holding each wanted rank, per group (one small row per group).
+    homes = ranges.groupBy(key).agg(
+        F.first("_n").alias("_n"),
+        F.array(*[F.min(F.when(F.col("_end") > r, F.col("_b"))) for r in wanted]).alias("_homes"))
+    starts = (ranges.join(F.broadcast(homes.select(key, "_homes")), key)
+                    .where(F.array_contains("_homes", F.col("_b"))).select(key, "_b", "_start"))
+    hot = (vb.join(F.broadcast(homes.select(key, "_homes")), key)
+             .where(F.array_contains("_homes", F.col("_b"))).drop("_homes"))
+    in_range = Window.partitionBy(key, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = (hot.withColumn("_cum", F.sum("c").over(in_range))
-                 .join(F.broadcast(ranges.select("_b", "_start").where(F.array_contains(homes, F.col("_b")))), "_b")
+                 .join(F.broadcast(starts), [key, "_b"])
+                 .join(F.broadcast(homes.select(key, "_n")), key)
                  .withColumn("_first", F.col("_start") + F.col("_cum") - F.col("c"))
                  .withColumn("_last", F.col("_start") + F.col("_cum") - 1))
-    picks = ranked.agg(*[F.max(F.when((F.col("_first") <= r) & (r <= F.col("_last")), F.col("v"))).alias(f"_r{i}")
-                         for i, r in enumerate(wanted)])
+    picks = ranked.groupBy(key).agg(
+        F.first("_n").alias("_n"),
+        *[F.max(F.when((F.col("_first") <= r) & (r <= F.col("_last")), F.col("v"))).alias(f"_r{i}")
+          for i, r in enumerate(wanted)])
     out = []
-    for i, (_, _, frac) in enumerate(ranks):
+    for i, p in enumerate(probs):
         a, b = F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}")
-        out.append((a + (b - a) * frac).alias(f"p{i}"))
-    return picks.select(*out)
+        out.append((a + (b - a) * (h(p) - F.floor(h(p)))).alias(f"p{i}"))
+    return picks.select(key, *out)
+
+
+def exact_percentiles(df: DataFrame, col: str, probs: list[float], buckets: int = 128,
+                      accuracy: int | None = None) -> DataFrame:
+    """One row: ``p{i}`` = exact ``probs[i]`` percentile of ``col``; no row when ``col`` is all NULL."""
+    one = df.select(F.lit(0).alias("_k"), F.col(col).alias("_x"))
+    return grouped_percentiles(one, "_k", "_x", probs, buckets, accuracy).drop("_k")
