@@ -53,13 +53,21 @@ def with_range(vc: DataFrame, buckets: int) -> DataFrame:
     return vc.withColumn("_b", F.aggregate(F.array(*steps), F.lit(0), lift))
 
 
-def grouped_percentiles(df: DataFrame, key: str, value: str, probs: list[float], buckets: int = 128,
-                        accuracy: int | None = None) -> DataFrame:
-    """One row per group: ``key`` and ``p{i}`` = exact ``probs[i]`` percentile of ``value``.
+MAX_BUCKETS = 1 << 16
+
 
-    NULL values are ignored; a group with no values does not appear.
+def grouped_percentiles(df: DataFrame, key: str, value: str, probs: list[float], buckets: int = 128,
+                        accuracy: int | None = None, values_per_range: int = 1_000_000,
+                        single_task_limit: int = 1_000_000) -> DataFrame:
+    """One row per group: ``key`` and ``p{i}`` (DOUBLE) = exact ``probs[i]`` percentile of ``value``.
+
+    NULL values are ignored; a group with no values does not appear.  When no
+    group has more than ``single_task_limit`` distinct values (checked on the
+    checkpointed value table), Spark's exact ``percentile`` with the counts as
+    frequencies runs per group — its value map is bounded by that check.
+    Beyond it the range-partitioned path runs, with the range count grown so
+    one range (one window partition) holds about ``values_per_range`` values.
     """
-    accuracy = accuracy or 8 * buckets  # rank error ~ 1/accuracy: ranges stay within ~1/8 of even
     shared_dir(df.sparkSession)  # checkpoints go to the cluster's shared folder
     # The only pass over the input; every later step reads this checkpointed
     # (distinct value, count) table instead of rescanning the fact.
@@ -67,6 +75,13 @@ def grouped_percentiles(df: DataFrame, key: str, value: str, probs: list[float],
             .groupBy(key, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
             .withColumn("_vd", F.col("v").cast("double"))
             .checkpoint())
+    widest = vc.groupBy(key).count().agg(F.max("count")).first()[0] or 0  # small job on the checkpoint
+    if widest <= single_task_limit:
+        pct = F.percentile(F.col("v"), F.array(*[F.lit(p) for p in probs]), F.col("c"))
+        return vc.groupBy(key).agg(pct.alias("_p")).select(
+            key, *[F.col("_p")[i].alias(f"p{i}") for i in range(len(probs))])
+    buckets = min(MAX_BUCKETS, max(buckets, -(-widest // values_per_range)))
+    accuracy = accuracy or 8 * buckets  # rank error ~ 1/accuracy: ranges stay within ~1/8 of even
     fractions = [i / buckets for i in range(1, buckets)]
     cuts = vc.groupBy(key).agg(F.array_sort(F.percentile_approx("_vd", fractions, accuracy)).alias("_cuts"))
     vb = with_range(vc.join(F.broadcast(cuts), key), buckets).drop("_cuts")
@@ -106,12 +121,11 @@ def grouped_percentiles(df: DataFrame, key: str, value: str, probs: list[float],
     out = []
     for i, p in enumerate(probs):
         a, b = F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}")
-        out.append((a + (b - a) * (h(p) - F.floor(h(p)))).alias(f"p{i}"))
+        out.append((a + (b - a) * (h(p) - F.floor(h(p)))).cast("double").alias(f"p{i}"))
     return picks.select(key, *out)
 
 
-def exact_percentiles(df: DataFrame, col: str, probs: list[float], buckets: int = 128,
-                      accuracy: int | None = None) -> DataFrame:
+def exact_percentiles(df: DataFrame, col: str, probs: list[float], **options) -> DataFrame:
     """One row: ``p{i}`` = exact ``probs[i]`` percentile of ``col``; no row when ``col`` is all NULL."""
     one = df.select(F.lit(0).alias("_k"), F.col(col).alias("_x"))
-    return grouped_percentiles(one, "_k", "_x", probs, buckets, accuracy).drop("_k")
+    return grouped_percentiles(one, "_k", "_x", probs, **options).drop("_k")

@@ -13,7 +13,7 @@ quarantined with one aggregate.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,7 +107,6 @@ def with_surrogate_key(df: DataFrame, name: str = "id") -> DataFrame:
     tagged = df.withColumn("_mid", F.monotonically_increasing_id())
     part = F.shiftright(F.col("_mid"), 33)
     counts = tagged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
-    from pyspark.sql import Window
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     within = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))

@@ -52,10 +52,12 @@ def test_exact_percentiles_with_hot_value(spark):
     vals = [rnd.randint(0, 10_000) / 100 for _ in range(3000)] + [42.0] * 1500
     df = spark.createDataFrame([(Decimal(str(v)),) for v in vals], "x decimal(14,2)")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = exact_percentiles(df, "x", probs, buckets=16).collect()[0]
     ref = np.percentile(np.array(vals), [p * 100 for p in probs])
-    for i, p in enumerate(probs):
-        assert abs(float(got[f"p{i}"]) - ref[i]) < 1e-9, p
+    # Both paths: the checked single-task map, and the range-partitioned one.
+    for options in [dict(), dict(buckets=16, single_task_limit=0, values_per_range=100)]:
+        got = exact_percentiles(df, "x", probs, **options).collect()[0]
+        for i, p in enumerate(probs):
+            assert abs(float(got[f"p{i}"]) - ref[i]) < 1e-9, (p, options)
 
 
 def test_describe_matches_pandas(sales):
