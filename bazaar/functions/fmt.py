@@ -41,10 +41,10 @@ def rupees_of_ratio(num: Column, den: Column, decimals: int = 0) -> Column:
     return F.concat(F.lit(CURRENCY_PREFIX), grouped(q, decimals))
 
 
-def millions(amount: Column, decimals: int = 1, amount_scale: int = 2) -> Column:
+def millions(amount: Column, decimals: int = 1, amount_scale: int = 2, suffix: str = "M") -> Column:
     """``Rs.{x/1e6:.Nf}M`` of a DECIMAL amount (no thousands separators)."""
     q = rounded_quotient(amount, F.lit(1_000_000), scale=decimals, num_scale=amount_scale, half_even=True)
-    return F.concat(F.lit(CURRENCY_PREFIX), plain(q, decimals), F.lit("M"))
+    return F.concat(F.lit(CURRENCY_PREFIX), plain(q, decimals), F.lit(suffix))
 
 
 def percent(num: Column, den: Column, decimals: int = 1, num_scale: int = 2, den_scale: int = 2) -> Column:
@@ -52,3 +52,18 @@ def percent(num: Column, den: Column, decimals: int = 1, num_scale: int = 2, den
     q = rounded_quotient(num, den, scale=decimals, num_scale=num_scale, den_scale=den_scale,
                          factor=100, half_even=True)
     return F.concat(plain(q, decimals), F.lit("%"))
+
+
+def pad_right(text: Column, width: int) -> Column:
+    """``{s:<width}``: pad with spaces on the right, never cut (``rpad`` alone would truncate)."""
+    return F.when(F.length(text) >= width, text).otherwise(F.rpad(text, width, " "))
+
+
+def pad_left(text: Column, width: int) -> Column:
+    """``{s:>width}``: pad with spaces on the left, never cut."""
+    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, " "))
+
+
+def report_timestamp(ts: Column) -> Column:
+    """``21 June 2026, 08:14`` — the report's generation stamp (passed in, so runs are reproducible)."""
+    return F.date_format(ts, "dd MMMM yyyy, HH:mm")

@@ -94,7 +94,12 @@ def present_overview(r: DataFrame, dims: list[str]) -> DataFrame:
         F.col("_tprod.key").alias("Top_Product"), F.col("_tprod.rev").cast("double").alias("Top_Product_Revenue"),
         month_label(F.col("_tmonth.key"), "MMMM").alias("Best_Month"),
         fmt.rupees(F.col("_rev"), 2).alias("Total_Revenue_Text"),
-        fmt.rupees_of_ratio(F.col("_rev"), F.col("Total_Records"), 2).alias("Avg_Order_Value_Text"))
+        fmt.rupees_of_ratio(F.col("_rev"), F.col("Total_Records"), 2).alias("Avg_Order_Value_Text"),
+        fmt.millions(F.col("_rev"), 2, suffix=" Million").alias("Total_Revenue_Millions"),
+        fmt.rupees_of_ratio(F.col("_rev"), F.col("Total_Records"), 0).alias("Avg_Order_Value_Whole"),
+        fmt.millions(F.col("_tcat.rev"), 2).alias("Top_Category_Revenue_Text"),
+        fmt.millions(F.col("_tcity.rev"), 2).alias("Top_City_Revenue_Text"),
+        fmt.millions(F.col("_tprod.rev"), 2).alias("Top_Product_Revenue_Text"))
 
 
 def named_category_share(df: DataFrame, category: str = NAMED_CATEGORY) -> DataFrame:

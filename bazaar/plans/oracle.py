@@ -73,8 +73,8 @@ def rupees_of_ratio(num: str, den: str, decimals: int = 0) -> str:
     return f"('Rs.' || {grouped(quotient(num, den, decimals, 2, 0, 1, True), decimals)})"
 
 
-def millions(amount: str) -> str:
-    return f"('Rs.' || {plain(quotient(amount, '1000000', 1, 2, 0, 1, True), 1)} || 'M')"
+def millions(amount: str, decimals: int = 1, suffix: str = "M") -> str:
+    return f"('Rs.' || {plain(quotient(amount, '1000000', decimals, 2, 0, 1, True), decimals)} || '{suffix}')"
 
 
 def percent(num: str, den: str, num_scale: int = 2, den_scale: int = 2) -> str:
@@ -330,7 +330,11 @@ SELECT n AS Total_Records, dmin AS Date_Min, dmax AS Date_Max,
        {_top("City")} AS Top_City, CAST({_top_rev("City")} AS DOUBLE) AS Top_City_Revenue,
        {_top("Product")} AS Top_Product, CAST({_top_rev("Product")} AS DOUBLE) AS Top_Product_Revenue,
        strftime(make_date(2000, CAST({_best_month} AS INTEGER), 1), '%B') AS Best_Month,
-       {rupees("rev", 2)} AS Total_Revenue_Text, {rupees_of_ratio("rev", "n", 2)} AS Avg_Order_Value_Text
+       {rupees("rev", 2)} AS Total_Revenue_Text, {rupees_of_ratio("rev", "n", 2)} AS Avg_Order_Value_Text,
+       {millions("rev", 2, " Million")} AS Total_Revenue_Millions, {rupees_of_ratio("rev", "n", 0)} AS Avg_Order_Value_Whole,
+       {millions(_top_rev("Category"), 2)} AS Top_Category_Revenue_Text,
+       {millions(_top_rev("City"), 2)} AS Top_City_Revenue_Text,
+       {millions(_top_rev("Product"), 2)} AS Top_Product_Revenue_Text
 FROM t""", f"t AS (SELECT {ZREV} AS rev, COUNT(*) AS n, MIN(Order_Date) AS dmin, MAX(Order_Date) AS dmax "
            f"FROM sales_data)")
 
