@@ -24,15 +24,15 @@ def plain(q: Column, decimals: int) -> Column:
     return unscale(q, decimals).cast("string")
 
 
-def number(amount: Column, decimals: int = 0, amount_scale: int = 2) -> Column:
+def number(amount: Column, decimals: int = 0) -> Column:
     """``{x:,.Nf}`` of a DECIMAL amount."""
-    q = rounded_quotient(amount, F.lit(1), scale=decimals, num_scale=amount_scale, half_even=True)
+    q = rounded_quotient(amount, F.lit(1), scale=decimals, half_even=True)
     return grouped(q, decimals)
 
 
-def rupees(amount: Column, decimals: int = 0, amount_scale: int = 2) -> Column:
+def rupees(amount: Column, decimals: int = 0) -> Column:
     """``Rs.{x:,.Nf}`` of a DECIMAL amount."""
-    return F.concat(F.lit(CURRENCY_PREFIX), number(amount, decimals, amount_scale))
+    return F.concat(F.lit(CURRENCY_PREFIX), number(amount, decimals))
 
 
 def rupees_of_ratio(num: Column, den: Column, decimals: int = 0) -> Column:
@@ -41,16 +41,15 @@ def rupees_of_ratio(num: Column, den: Column, decimals: int = 0) -> Column:
     return F.concat(F.lit(CURRENCY_PREFIX), grouped(q, decimals))
 
 
-def millions(amount: Column, decimals: int = 1, amount_scale: int = 2, suffix: str = "M") -> Column:
+def millions(amount: Column, decimals: int = 1, suffix: str = "M") -> Column:
     """``Rs.{x/1e6:.Nf}M`` of a DECIMAL amount (no thousands separators)."""
-    q = rounded_quotient(amount, F.lit(1_000_000), scale=decimals, num_scale=amount_scale, half_even=True)
+    q = rounded_quotient(amount, F.lit(1_000_000), scale=decimals, half_even=True)
     return F.concat(F.lit(CURRENCY_PREFIX), plain(q, decimals), F.lit(suffix))
 
 
-def percent(num: Column, den: Column, decimals: int = 1, num_scale: int = 2, den_scale: int = 2) -> Column:
+def percent(num: Column, den: Column, decimals: int = 1) -> Column:
     """``{100*num/den:.Nf}%``."""
-    q = rounded_quotient(num, den, scale=decimals, num_scale=num_scale, den_scale=den_scale,
-                         factor=100, half_even=True)
+    q = rounded_quotient(num, den, scale=decimals, factor=100, half_even=True)
     return F.concat(plain(q, decimals), F.lit("%"))
 
 

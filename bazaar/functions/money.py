@@ -3,7 +3,7 @@
 Sums stay in DECIMAL (never DOUBLE) so results do not depend on partitioning
 or row order.  Ratios are rounded once, half away from zero, from the exact
 quotient: ``round(p / q, k)`` is computed as ``(2*|p|*10^k + |q|) div (2*|q|)``
-on integers, with the sign put back.  (Rounding a DECIMAL average to 6 places
+on exact decimals, with the sign put back.  (Rounding a DECIMAL average to 6 places
 and then to 2 can move a result by one cent once a group has more than about
 a million rows; this never does.)  Values are cast to DOUBLE only at the end.
 """
@@ -23,34 +23,48 @@ def _as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def scaled_integer(c, scale: int) -> Column:
-    """``c * 10^scale`` as an exact DECIMAL(38,0); ``c`` must have at most ``scale`` decimals."""
-    return (_as_col(c) * F.lit(10 ** scale)).cast(WIDE)
+EXACT_PLACES = 4  # inputs may carry at most this many decimals (money has 2)
 
 
-def rounded_quotient(num, den, scale: int = 2, num_scale: int = 2, den_scale: int = 0,
-                     factor: int = 1, half_even: bool = False) -> Column:
+def _integer(c: Column) -> Column:
+    """``c * 10^EXACT_PLACES`` as an exact DECIMAL(38,0) — both sides of a ratio get the same factor."""
+    return (c.cast(T.DecimalType(34, EXACT_PLACES)) * F.lit(Decimal(10 ** EXACT_PLACES))).cast(WIDE)
+
+
+def floor_div(a: Column, b: Column) -> Column:
+    """Exact ``floor(a / b)`` for non-negative integral DECIMAL(38,0) ``a`` and positive ``b``.
+
+    The DECIMAL quotient is rounded to a few places, so its floor can be one
+    off next to an integer; one exact multiply-and-compare step fixes that.
+    All operands are scale-0 DECIMALs, so no comparison widens or rounds.
+    (Spark's ``div`` would return BIGINT and overflow past 9.2e18.)
+    """
+    q0 = F.floor(a / b).cast(WIDE)
+    return (F.when((q0 * b).cast(WIDE) > a, q0 - 1)
+             .when(((q0 + 1) * b).cast(WIDE) <= a, q0 + 1)
+             .otherwise(q0)).cast(WIDE)
+
+
+def rounded_quotient(num, den, scale: int = 2, factor: int = 1, half_even: bool = False) -> Column:
     """Exact ``round(factor * num / den * 10^scale)`` as an integer DECIMAL(38,0).
 
-    Ties go away from zero (SQL ``ROUND``) or, with ``half_even``, to the even
-    neighbour (Python's format rounding).  NULL when either side is NULL or
-    ``den`` is 0.  ``num`` / ``den`` may have at most ``num_scale`` /
-    ``den_scale`` decimals.
+    ``num`` and ``den`` are DECIMAL or integral columns with at most
+    ``EXACT_PLACES`` decimals; every step is exact integer arithmetic on
+    DECIMAL(38,0).  Ties go away from zero (SQL ``ROUND``) or, with
+    ``half_even``, to the even neighbour (Python's format rounding).  NULL when
+    either side is NULL or ``den`` is 0.
     """
-    top = scaled_integer(num, num_scale) * F.lit(factor * 10 ** (scale + den_scale))
-    bottom = scaled_integer(den, den_scale) * F.lit(10 ** num_scale)
-    a, b = F.abs(top).cast(WIDE), F.abs(bottom).cast(WIDE)
+    top = (_integer(_as_col(num)) * F.lit(factor * 10 ** scale)).cast(WIDE)
+    bottom = _integer(_as_col(den))
+    a, b = F.abs(top), F.abs(bottom)
     if half_even:
-        # ``div`` is exact integral division on DECIMAL operands.
-        q = F.call_function("div", a, b).cast(WIDE)
-        twice_rest = ((a - q * b) * F.lit(2)).cast(WIDE)
-        up = (twice_rest > b) | ((twice_rest == b) & (q % 2 == 1))
-        magnitude = q + F.when(up, F.lit(1)).otherwise(F.lit(0))
+        q = floor_div(a, b)
+        twice_rest = ((a - q * b) * 2).cast(WIDE)
+        magnitude = F.when((twice_rest > b) | ((twice_rest == b) & (q % 2 == 1)), q + 1).otherwise(q)
     else:
-        magnitude = F.call_function("div", (a * F.lit(2) + b).cast(WIDE), (b * F.lit(2)).cast(WIDE))
-    magnitude = F.when(b != 0, magnitude)
-    negative = (top < 0) != (bottom < 0)
-    return F.when(negative, -magnitude).otherwise(magnitude).cast(WIDE)
+        magnitude = floor_div((a * 2 + b).cast(WIDE), (b * 2).cast(WIDE))  # floor(|n/d| + 1/2)
+    signed = F.when((top < 0) != (bottom < 0), -magnitude).otherwise(magnitude)
+    return F.when(b != 0, signed).cast(WIDE)
 
 
 def unscale(q: Column, scale: int) -> Column:
@@ -58,11 +72,9 @@ def unscale(q: Column, scale: int) -> Column:
     return (q.cast(WIDE) * F.lit(Decimal(1).scaleb(-scale))).cast(T.DecimalType(38, scale))
 
 
-def round_ratio(num, den, scale: int = 2, num_scale: int = 2, den_scale: int = 0,
-                factor: int = 1, half_even: bool = False) -> Column:
+def round_ratio(num, den, scale: int = 2, factor: int = 1, half_even: bool = False) -> Column:
     """Exact ``round(factor * num / den, scale)`` as DOUBLE (see ``rounded_quotient``)."""
-    q = rounded_quotient(num, den, scale, num_scale, den_scale, factor, half_even)
-    return unscale(q, scale).cast("double")
+    return unscale(rounded_quotient(num, den, scale, factor, half_even), scale).cast("double")
 
 
 def money_total(c) -> Column:

@@ -75,9 +75,9 @@ def present_order_share(summary: DataFrame) -> DataFrame:
     total = summary.select(F.sum("_rows")).scalar()
     return (summary.orderBy(F.col("_rows").desc(), F.col("Product").asc())
                    .select("Product", F.col("_rows").alias("Orders"),
-                           round_ratio(F.col("_rows"), total, scale=1, num_scale=0, den_scale=0,
+                           round_ratio(F.col("_rows"), total, scale=1,
                                        factor=100, half_even=True).alias("Share_Pct"),
-                           fmt.percent(F.col("_rows"), total, num_scale=0, den_scale=0).alias("Share_Label")))
+                           fmt.percent(F.col("_rows"), total).alias("Share_Label")))
 
 
 def product_order_share(df: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def present_category_breakdown(summary: DataFrame, total: Column) -> DataFrame:
     return by_revenue(summary, "Category").select(
         "Category", F.col("_rev").cast("double").alias("Revenue"),
         fmt.number(F.col("_rev")).alias("Revenue_Text"),
-        round_ratio(F.col("_rev"), total, scale=1, den_scale=2, factor=100, half_even=True).alias("Share_Pct"))
+        round_ratio(F.col("_rev"), total, scale=1, factor=100, half_even=True).alias("Share_Pct"))
 
 
 def insights_category_breakdown(df: DataFrame) -> DataFrame:

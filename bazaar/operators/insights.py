@@ -88,7 +88,7 @@ def present_overview(r: DataFrame, dims: list[str]) -> DataFrame:
         round_ratio(F.col("_rev"), F.col("Total_Records"), half_even=True).alias("Avg_Order_Value"),
         F.col("_tcat.key").alias("Top_Category"),
         F.col("_tcat.rev").cast("double").alias("Top_Category_Revenue"),
-        round_ratio(F.col("_tcat.rev"), F.col("_rev"), scale=1, den_scale=2, factor=100,
+        round_ratio(F.col("_tcat.rev"), F.col("_rev"), scale=1, factor=100,
                     half_even=True).alias("Top_Category_Share_Pct"),
         F.col("_tcity.key").alias("Top_City"), F.col("_tcity.rev").cast("double").alias("Top_City_Revenue"),
         F.col("_tprod.key").alias("Top_Product"), F.col("_tprod.rev").cast("double").alias("Top_Product_Revenue"),
@@ -116,6 +116,6 @@ def present_named_share(row: DataFrame, category: str = NAMED_CATEGORY) -> DataF
     """From a one-row frame with ``_cat`` (the category's revenue) and ``_all`` (all revenue)."""
     return row.select(
         F.lit(category).alias("Category"), F.col("_cat").cast("double").alias("Revenue"),
-        round_ratio(F.col("_cat"), F.col("_all"), scale=1, den_scale=2, factor=100,
+        round_ratio(F.col("_cat"), F.col("_all"), scale=1, factor=100,
                     half_even=True).alias("Share_Pct"),
         fmt.percent(F.col("_cat"), F.col("_all")).alias("Share_Label"))

@@ -47,7 +47,7 @@ def missing_values(df: DataFrame) -> DataFrame:
     long = row.select("_rows", F.inline(cells))
     return (long.where(F.col("Missing_Count") > 0)
                 .select("Position", "Column", "Missing_Count",
-                        round_ratio(F.col("Missing_Count"), F.col("_rows"), scale=2, num_scale=0,
+                        round_ratio(F.col("Missing_Count"), F.col("_rows"), scale=2,
                                     factor=100, half_even=True).alias("Missing_Pct"))
                 .orderBy("Position"))
 
@@ -80,7 +80,7 @@ def describe_numeric(df: DataFrame, columns: list[str] = NUMERIC_PROFILE_COLUMNS
     as_double = lambda e: F.round(F.col(e).cast("double"), 6)
     return (moments.join(F.broadcast(quart), "_k", "left")
                    .select("Column", F.col("_n").alias("Count"),
-                           round_ratio(F.col("_s"), F.col("_n"), scale=6, num_scale=2, half_even=True).alias("Mean"),
+                           round_ratio(F.col("_s"), F.col("_n"), scale=6, half_even=True).alias("Mean"),
                            F.round(F.col("_sd"), 6).alias("Std"), F.col("_lo").alias("Min"),
                            as_double("p0").alias("P25"), as_double("p1").alias("P50"), as_double("p2").alias("P75"),
                            F.col("_hi").alias("Max"))

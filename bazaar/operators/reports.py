@@ -63,7 +63,7 @@ def revenue_by_category(df: DataFrame) -> DataFrame:
         F.col("_rev").cast("double").alias("Total_Revenue_INR"),
         round_ratio(F.col("_rev"), F.col("_n")).alias("Avg_Order_Value_INR"),
         "Total_Orders",
-        round_ratio(F.col("_rev"), total, num_scale=2, den_scale=2, factor=100).alias("Revenue_Share_Pct"),
+        round_ratio(F.col("_rev"), total, factor=100).alias("Revenue_Share_Pct"),
         F.col("_rev").alias("_sort"))
         .orderBy(F.col("_sort").desc_nulls_last(), F.col("Category").asc_nulls_first())
         .drop("_sort"))

@@ -29,6 +29,19 @@ def test_round_ratio_is_exact(spark, rows, scale, factor, half_even):
     assert [r.r for r in got] == [expected(n, d, scale, factor, mode) for n, d in rows]
 
 
+def test_no_overflow_past_bigint(spark):
+    # A 100 TB revenue total in 1/100ths of a rupee exceeds 2^63.
+    df = spark.createDataFrame([(Decimal("123456789012345678.91"), 1)], "num decimal(24,2), den bigint")
+    got = df.select(round_ratio("num", "den", scale=2).alias("r")).first().r
+    assert got == 123456789012345678.91
+
+
+def test_integral_inputs_do_not_overflow(spark):
+    df = spark.createDataFrame([(10 ** 15, 3), (2 ** 40, 2 ** 20)], "num bigint, den bigint")
+    got = [r[0] for r in df.select(round_ratio("num", "den", scale=2)).collect()]
+    assert got == [333333333333333.33, 1048576.0]
+
+
 def test_ties(spark):
     df = spark.createDataFrame([(Decimal("0.25"), 1), (Decimal("0.35"), 1), (Decimal("-0.25"), 1), (Decimal("1"), 0)],
                                "num decimal(20,2), den bigint")
