@@ -34,15 +34,12 @@ def _integer(c: Column) -> Column:
 def floor_div(a: Column, b: Column) -> Column:
     """Exact ``floor(a / b)`` for non-negative integral DECIMAL(38,0) ``a`` and positive ``b``.
 
-    The DECIMAL quotient is rounded to a few places, so its floor can be one
-    off next to an integer; one exact multiply-and-compare step fixes that.
-    All operands are scale-0 DECIMALs, so no comparison widens or rounds.
-    (Spark's ``div`` would return BIGINT and overflow past 9.2e18.)
+    ``a % b`` is exact, and ``a - a % b`` is a multiple of ``b``, so the
+    division yields an exact integer — each operand appears twice, which keeps
+    the expression small.  (Spark's ``div`` would return BIGINT and overflow
+    past 9.2e18.)
     """
-    q0 = F.floor(a / b).cast(WIDE)
-    return (F.when((q0 * b).cast(WIDE) > a, q0 - 1)
-             .when(((q0 + 1) * b).cast(WIDE) <= a, q0 + 1)
-             .otherwise(q0)).cast(WIDE)
+    return ((a - a % b) / b).cast(WIDE)
 
 
 def rounded_quotient(num, den, scale: int = 2, factor: int = 1, half_even: bool = False) -> Column:
@@ -56,15 +53,16 @@ def rounded_quotient(num, den, scale: int = 2, factor: int = 1, half_even: bool
     """
     top = (_integer(_as_col(num)) * F.lit(factor * 10 ** scale)).cast(WIDE)
     bottom = _integer(_as_col(den))
-    a, b = F.abs(top), F.abs(bottom)
+    a, b = F.abs(top), F.nullif(F.abs(bottom), F.lit(0)).cast(WIDE)
     if half_even:
-        q = floor_div(a, b)
-        twice_rest = ((a - q * b) * 2).cast(WIDE)
-        magnitude = F.when((twice_rest > b) | ((twice_rest == b) & (q % 2 == 1)), q + 1).otherwise(q)
+        rest = (a % b).cast(WIDE)
+        q = ((a - rest) / b).cast(WIDE)
+        twice = (rest * 2).cast(WIDE)
+        magnitude = q + F.when((twice > b) | ((twice == b) & (q % 2 == 1)), F.lit(1)).otherwise(F.lit(0))
     else:
         magnitude = floor_div((a * 2 + b).cast(WIDE), (b * 2).cast(WIDE))  # floor(|n/d| + 1/2)
-    signed = F.when((top < 0) != (bottom < 0), -magnitude).otherwise(magnitude)
-    return F.when(b != 0, signed).cast(WIDE)
+    sign = F.when((top < 0) != (bottom < 0), F.lit(-1)).otherwise(F.lit(1))
+    return (magnitude * sign).cast(WIDE)
 
 
 def unscale(q: Column, scale: int) -> Column:

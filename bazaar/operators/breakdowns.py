@@ -9,7 +9,7 @@ ordering go to the smaller key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaar.functions import fmt
@@ -71,8 +71,9 @@ def chart_city_sales(df: DataFrame) -> DataFrame:
 
 
 def present_order_share(summary: DataFrame) -> DataFrame:
-    # Denominator: scalar subquery over the (small) summary, not a second fact scan.
-    total = summary.select(F.sum("_rows")).scalar()
+    # Denominator: a window over the summary (one row per product), not a second fact scan.
+    summary = summary.withColumn("_total", F.sum("_rows").over(Window.partitionBy()))
+    total = F.col("_total")
     return (summary.orderBy(F.col("_rows").desc(), F.col("Product").asc())
                    .select("Product", F.col("_rows").alias("Orders"),
                            round_ratio(F.col("_rows"), total, scale=1,
@@ -86,6 +87,8 @@ def product_order_share(df: DataFrame) -> DataFrame:
 
 
 def present_category_breakdown(summary: DataFrame, total: Column) -> DataFrame:
+    summary = summary.withColumn("_total", total)
+    total = F.col("_total")
     return by_revenue(summary, "Category").select(
         "Category", F.col("_rev").cast("double").alias("Revenue"),
         fmt.number(F.col("_rev")).alias("Revenue_Text"),
@@ -93,9 +96,14 @@ def present_category_breakdown(summary: DataFrame, total: Column) -> DataFrame:
 
 
 def insights_category_breakdown(df: DataFrame) -> DataFrame:
-    """Report table — revenue per category and its share of all revenue (one decimal)."""
-    total = df.select(money_total(SALES)).scalar()
-    return present_category_breakdown(dim_summary(df, "Category"), total)
+    """Report table — revenue per category and its share of all revenue (one decimal).
+
+    All revenue includes rows without a category, so the grouping keeps the
+    NULL key until the window total over the grouped rows is taken.
+    """
+    g = df.groupBy("Category").agg(money_total(SALES).alias("_rev"))
+    g = g.withColumn("_total", F.sum("_rev").over(Window.partitionBy()))
+    return present_category_breakdown(g.where(F.col("Category").isNotNull()), F.col("_total"))
 
 
 def present_revenue_table(summary: DataFrame, dim: str) -> DataFrame:

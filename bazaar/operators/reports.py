@@ -9,7 +9,7 @@ shuffle carries one row per group per partition whatever the skew of a key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaar.functions.money import avg_money, round_ratio
@@ -52,18 +52,19 @@ def top_products(df: DataFrame, k: int = 5) -> DataFrame:
 def revenue_by_category(df: DataFrame) -> DataFrame:
     """Q4: revenue, mean sale, orders and share of all revenue per category.
 
-    The share's denominator is a scalar subquery over the *grouped* rows, so
-    the fact is scanned once and the total is a one-row aggregate.
+    The share's denominator is the sum of the *grouped* rows (NULL category
+    included, as in SQL), taken with a window over that one-row-per-category
+    result: the fact is scanned once, and only the grouped rows meet in one task.
     """
     g = df.groupBy("Category").agg(
         F.sum(SALES).alias("_rev"), F.count(SALES).alias("_n"), row_count().alias("Total_Orders"))
-    total = g.select(F.sum("_rev")).scalar()
+    g = g.withColumn("_total", F.sum("_rev").over(Window.partitionBy()))
     return (g.select(
         "Category",
         F.col("_rev").cast("double").alias("Total_Revenue_INR"),
         round_ratio(F.col("_rev"), F.col("_n")).alias("Avg_Order_Value_INR"),
         "Total_Orders",
-        round_ratio(F.col("_rev"), total, factor=100).alias("Revenue_Share_Pct"),
+        round_ratio(F.col("_rev"), F.col("_total"), factor=100).alias("Revenue_Share_Pct"),
         F.col("_rev").alias("_sort"))
         .orderBy(F.col("_sort").desc_nulls_last(), F.col("Category").asc_nulls_first())
         .drop("_sort"))
