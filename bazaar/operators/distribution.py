@@ -48,8 +48,10 @@ def histogram(df: DataFrame, col: str = "Age", bins: int = HISTOGRAM_BINS) -> Da
     """
     vc = (df.where(F.col(col).isNotNull())
             .groupBy(F.col(col).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c")))
+    # min / max as one scalar subquery, bound once as a column.
     mm = vc.select(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi"))).scalar()
-    lo, hi = mm.getField("lo"), mm.getField("hi")
+    vc = vc.withColumn("_mm", mm)
+    lo, hi = F.col("_mm.lo"), F.col("_mm.hi")
     first = F.when(lo == hi, lo - 0.5).otherwise(lo)
     last = F.when(lo == hi, hi + 0.5).otherwise(hi)
 
@@ -93,21 +95,25 @@ def density(df: DataFrame, col: str = "Age", points: int = DENSITY_POINTS) -> Da
         F.sum(F.col("c") * F.col("a")).alias("s1"),
         F.sum(F.col("c") * F.col("a") * F.col("a")).alias("s2"),
         F.min("a").cast("double").alias("lo"), F.max("a").cast("double").alias("hi"))).scalar()
-    n, s1, s2 = s.getField("n"), s.getField("s1"), s.getField("s2")
-    lo, hi = s.getField("lo"), s.getField("hi")
+    # The moments come in as one scalar subquery, bound once as a column.
+    st = F.col("_s")
+    n, s1, s2, lo, hi = (st.getField(f) for f in ("n", "s1", "s2", "lo", "hi"))
     # Sample variance from exact sums: (n·Σc·a² − (Σc·a)²) / (n(n−1)).
     var = (n * s2 - s1 * s1).cast("double") / (n * (n - 1)).cast("double")
-    h = F.sqrt(var) * F.pow(n.cast("double"), F.lit(-0.2))
-    step = (hi - lo) / F.lit(float(points - 1))
     j = F.col("Point")
-    x = F.when(j == points - 1, hi).otherwise(j.cast("double") * step + lo)
-    z = (x - F.col("a").cast("double")) / h
-    terms = (vc.where((n >= 2) & (var > 0))
-               .select("a", "c", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("Point"))
-               .select("Point", x.alias("_x"), (F.col("c") * F.exp(F.lit(-0.5) * z * z)).alias("_k")))
-    norm = n.cast("double") * h * F.lit(math.sqrt(2 * math.pi))
-    return (terms.groupBy("Point", "_x").agg(F.sum("_k").alias("_k"))
-                 .select("Point", F.round("_x", 10).alias("X"), F.round(F.col("_k") / norm, 10).alias("Density")))
+    scaled = (vc.withColumn("_s", s)
+                .where((n >= 2) & (var > 0))
+                .select("a", "c", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("Point"),
+                        lo.alias("_lo"), hi.alias("_hi"), n.cast("double").alias("_n"),
+                        (F.sqrt(var) * F.pow(n.cast("double"), F.lit(-0.2))).alias("_h")))
+    step = (F.col("_hi") - F.col("_lo")) / F.lit(float(points - 1))
+    x = F.when(j == points - 1, F.col("_hi")).otherwise(j.cast("double") * step + F.col("_lo"))
+    terms = (scaled.withColumn("_x", x)
+                   .withColumn("_z", (F.col("_x") - F.col("a").cast("double")) / F.col("_h"))
+                   .select("Point", "_x", (F.col("c") * F.exp(F.lit(-0.5) * F.col("_z") * F.col("_z"))).alias("_k"),
+                           (F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi))).alias("_norm")))
+    return (terms.groupBy("Point", "_x").agg(F.sum("_k").alias("_k"), F.max("_norm").alias("_norm"))
+                 .select("Point", F.round("_x", 10).alias("X"), F.round(F.col("_k") / F.col("_norm"), 10).alias("Density")))
 
 
 def age_density(df: DataFrame) -> DataFrame:
