@@ -58,7 +58,7 @@ MAX_BUCKETS = 1 << 16
 
 def grouped_percentiles(df: DataFrame, key: str, value: str, probs: list[float], buckets: int = 128,
                         accuracy: int | None = None, values_per_range: int = 1_000_000,
-                        single_task_limit: int = 1_000_000) -> DataFrame:
+                        single_task_limit: int = 100_000) -> DataFrame:
     """One row per group: ``key`` and ``p{i}`` (DOUBLE) = exact ``probs[i]`` percentile of ``value``.
 
     NULL values are ignored; a group with no values does not appear.  When no
