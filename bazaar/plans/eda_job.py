@@ -13,7 +13,12 @@ chart data — the images themselves are not rendered).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaar.operators import bands, breakdowns, distribution, insights, profile, trends
@@ -21,39 +26,76 @@ from bazaar.operators.summaries import MONTH, ROLLUP_DIMS, from_rollup, overall_
 from bazaar.schema import NAMED_CATEGORY
 
 
-def sections(fact: DataFrame, cache: bool = True) -> dict[str, DataFrame]:
+def section_builders(fact: DataFrame, cache: bool = True) -> dict[str, Callable[[], DataFrame]]:
+    """Name -> zero-argument builder of each section; the rollup is shared by all of them."""
     r = rollup(fact, ROLLUP_DIMS)
     if cache:
         r = r.cache()  # small: one row per key; recomputed from lineage if an executor is lost
     cat, city, prod, month = (from_rollup(r, d) for d in ("Category", "City", "Product", MONTH))
-    total = overall_from_rollup(r).select(F.col("_rev")).scalar()
-    named = cat.agg(F.coalesce(F.sum(F.when(F.col("Category") == NAMED_CATEGORY, F.col("_rev"))),
-                               F.lit(0).cast("decimal(24,2)")).alias("_cat")).select("_cat", total.alias("_all"))
+
+    def total() -> Column:
+        return overall_from_rollup(r).select(F.col("_rev")).scalar()
+
+    def named() -> DataFrame:
+        cat_rev = cat.agg(F.coalesce(F.sum(F.when(F.col("Category") == NAMED_CATEGORY, F.col("_rev"))),
+                                     F.lit(0).cast("decimal(24,2)")).alias("_cat"))
+        return insights.present_named_share(cat_rev.select("_cat", total().alias("_all")))
+
     return {
-        "dataset_summary": profile.dataset_summary(fact),
-        "missing_values": profile.missing_values(fact),
-        "describe_numeric": profile.describe_numeric(fact),
-        "category_analysis": breakdowns.present_revenue_analysis(cat, "Category"),
-        "city_analysis": breakdowns.present_revenue_analysis(city, "City"),
-        "product_analysis": breakdowns.present_product_analysis(prod),
-        "month_of_year_trend": trends.present_month_trend(month),
-        "age_band_counts": bands.age_band_counts(fact),
-        "chart_category_sales": breakdowns.present_chart_bars(cat, "Category", ascending=True),
-        "chart_city_sales": breakdowns.present_chart_bars(city, "City", ascending=False),
-        "product_order_share": breakdowns.present_order_share(prod),
-        "age_histogram": distribution.age_histogram(fact),
-        "age_density": distribution.age_density(fact),
-        "chart_monthly_trend": trends.present_month_chart(month),
-        "insights_overview": insights.present_overview(r, ROLLUP_DIMS),
-        "insights_category_breakdown": breakdowns.present_category_breakdown(cat, total),
-        "insights_city_breakdown": breakdowns.present_revenue_table(city, "City"),
-        "insights_product_breakdown": breakdowns.present_revenue_table(prod, "Product"),
-        "named_category_share": insights.present_named_share(named),
-        "kpi_summary": insights.present_kpis(r, ROLLUP_DIMS),
+        "dataset_summary": lambda: profile.dataset_summary(fact),
+        "missing_values": lambda: profile.missing_values(fact),
+        "describe_numeric": lambda: profile.describe_numeric(fact),
+        "category_analysis": lambda: breakdowns.present_revenue_analysis(cat, "Category"),
+        "city_analysis": lambda: breakdowns.present_revenue_analysis(city, "City"),
+        "product_analysis": lambda: breakdowns.present_product_analysis(prod),
+        "month_of_year_trend": lambda: trends.present_month_trend(month),
+        "age_band_counts": lambda: bands.age_band_counts(fact),
+        "chart_category_sales": lambda: breakdowns.present_chart_bars(cat, "Category", ascending=True),
+        "chart_city_sales": lambda: breakdowns.present_chart_bars(city, "City", ascending=False),
+        "product_order_share": lambda: breakdowns.present_order_share(prod),
+        "age_histogram": lambda: distribution.age_histogram(fact),
+        "age_density": lambda: distribution.age_density(fact),
+        "chart_monthly_trend": lambda: trends.present_month_chart(month),
+        "insights_overview": lambda: insights.present_overview(r, ROLLUP_DIMS),
+        "insights_category_breakdown": lambda: breakdowns.present_category_breakdown(cat, total()),
+        "insights_city_breakdown": lambda: breakdowns.present_revenue_table(city, "City"),
+        "insights_product_breakdown": lambda: breakdowns.present_revenue_table(prod, "Product"),
+        "named_category_share": named,
+        "kpi_summary": lambda: insights.present_kpis(r, ROLLUP_DIMS),
     }
 
 
-def write_sections(secs: dict[str, DataFrame], out_dir: str) -> None:
+def sections(fact: DataFrame, cache: bool = True) -> dict[str, DataFrame]:
+    return {name: build() for name, build in section_builders(fact, cache).items()}
+
+
+def write_sections(secs: dict[str, DataFrame], out_dir: str, parallelism: int = 4) -> None:
     """One Parquet dataset per section (each is a small aggregate, so one file each)."""
-    for name, df in secs.items():
+    def write(item):
+        name, df = item
         df.coalesce(1).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/{name}")
+    with ThreadPoolExecutor(parallelism) as pool:
+        list(pool.map(write, secs.items()))
+
+
+def run(fact: DataFrame, out_dir: str | None = None, generated_at: datetime | None = None,
+        parallelism: int = 4) -> dict[str, list]:
+    """Build every section and materialise them, ``parallelism`` jobs at a time.
+
+    The sections are independent small jobs (most read the cached rollup), so
+    they are submitted concurrently from a thread pool and share the cluster.
+    With ``out_dir`` they are written there (plus the Markdown report when
+    ``generated_at`` is given) and nothing is returned; otherwise the (small)
+    results are returned.
+    """
+    # Plans are built one after another (building is driver-side analysis, which
+    # does not gain from threads); only the execution is concurrent.
+    secs = sections(fact)
+    if out_dir:
+        write_sections(secs, out_dir, parallelism)
+        if generated_at is not None:
+            from bazaar.plans.report import write_report
+            write_report(secs, f"{out_dir.rstrip('/')}/report", generated_at)
+        return {}
+    with ThreadPoolExecutor(parallelism) as pool:
+        return dict(zip(secs, pool.map(lambda df: df.collect(), secs.values())))

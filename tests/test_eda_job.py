@@ -20,3 +20,12 @@ def test_write_sections(spark, tmp_path):
     secs = {k: v for k, v in eda_job.sections(fact, cache=False).items() if k in ("kpi_summary", "chart_city_sales")}
     eda_job.write_sections(secs, str(tmp_path))
     assert spark.read.parquet(str(tmp_path / "chart_city_sales")).count() == secs["chart_city_sales"].count()
+
+
+def test_run_writes_sections_and_report(spark, tmp_path):
+    from datetime import datetime
+    fact = sales_table(spark, SF)
+    eda_job.run(fact, out_dir=str(tmp_path), generated_at=datetime(2026, 1, 1, 9, 30))
+    assert spark.read.parquet(str(tmp_path / "kpi_summary")).count() == 1
+    text = "".join(p.read_text() for p in sorted((tmp_path / "report").glob("part-*")))
+    assert text.startswith("> **Generated:** 01 January 2026, 09:30")
