@@ -26,11 +26,14 @@ from bazaar.operators.summaries import MONTH, ROLLUP_DIMS, from_rollup, overall_
 from bazaar.schema import NAMED_CATEGORY
 
 
-def section_builders(fact: DataFrame, cache: bool = True) -> dict[str, Callable[[], DataFrame]]:
-    """Name -> zero-argument builder of each section; the rollup is shared by all of them."""
+def shared_rollup(fact: DataFrame, cache: bool = True) -> DataFrame:
     r = rollup(fact, ROLLUP_DIMS)
-    if cache:
-        r = r.cache()  # small: one row per key; recomputed from lineage if an executor is lost
+    # Small (one row per key); a lost cached block is recomputed from lineage.
+    return r.cache() if cache else r
+
+
+def section_builders(fact: DataFrame, r: DataFrame) -> dict[str, Callable[[], DataFrame]]:
+    """Name -> zero-argument builder of each section; ``r`` is the shared rollup of ``fact``."""
     cat, city, prod, month = (from_rollup(r, d) for d in ("Category", "City", "Product", MONTH))
 
     def total() -> Column:
@@ -65,8 +68,9 @@ def section_builders(fact: DataFrame, cache: bool = True) -> dict[str, Callable[
     }
 
 
-def sections(fact: DataFrame, cache: bool = True) -> dict[str, DataFrame]:
-    return {name: build() for name, build in section_builders(fact, cache).items()}
+def sections(fact: DataFrame, cache: bool = True, r: DataFrame | None = None) -> dict[str, DataFrame]:
+    r = shared_rollup(fact, cache) if r is None else r
+    return {name: build() for name, build in section_builders(fact, r).items()}
 
 
 def write_sections(secs: dict[str, DataFrame], out_dir: str, parallelism: int = 4) -> None:
@@ -90,12 +94,16 @@ def run(fact: DataFrame, out_dir: str | None = None, generated_at: datetime | No
     """
     # Plans are built one after another (building is driver-side analysis, which
     # does not gain from threads); only the execution is concurrent.
-    secs = sections(fact)
-    if out_dir:
-        write_sections(secs, out_dir, parallelism)
-        if generated_at is not None:
-            from bazaar.plans.report import write_report
-            write_report(secs, f"{out_dir.rstrip('/')}/report", generated_at)
-        return {}
-    with ThreadPoolExecutor(parallelism) as pool:
-        return dict(zip(secs, pool.map(lambda df: df.collect(), secs.values())))
+    r = shared_rollup(fact)
+    try:
+        secs = sections(fact, r=r)
+        if out_dir:
+            write_sections(secs, out_dir, parallelism)
+            if generated_at is not None:
+                from bazaar.plans.report import write_report
+                write_report(secs, f"{out_dir.rstrip('/')}/report", generated_at)
+            return {}
+        with ThreadPoolExecutor(parallelism) as pool:
+            return dict(zip(secs, pool.map(lambda df: df.collect(), secs.values())))
+    finally:
+        r.unpersist()

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bazaar.operators.clean import coerce
-from bazaar.schema import COLUMNS, SALES_SCHEMA
+from bazaar.schema import COLUMNS, MAX_LENGTH, SALES_SCHEMA
 from bazaar.session import shared_path
 
 VALID, QUARANTINE = "valid", "quarantine"
@@ -26,9 +26,11 @@ VALID, QUARANTINE = "valid", "quarantine"
 _SQL_TYPES = {T.StringType: "STRING", T.DateType: "DATE", T.IntegerType: "INT"}
 
 
-def _ddl_type(dt: T.DataType) -> str:
+def _ddl_type(name: str, dt: T.DataType) -> str:
     if isinstance(dt, T.DecimalType):
         return f"DECIMAL({dt.precision},{dt.scale})"
+    if name in MAX_LENGTH:
+        return f"VARCHAR({MAX_LENGTH[name]})"  # Spark checks the length on every write
     return _SQL_TYPES[type(dt)]
 
 
@@ -41,7 +43,7 @@ def ensure_database(spark: SparkSession, db: str, location: str | None = None) -
 
 def ensure_tables(spark: SparkSession, db: str, location: str) -> None:
     """The load table (typed + raw columns, partitioned by Status) and the two views over it."""
-    typed = ", ".join(f"`{f.name}` {_ddl_type(f.dataType)}" for f in SALES_SCHEMA.fields)
+    typed = ", ".join(f"`{f.name}` {_ddl_type(f.name, f.dataType)}" for f in SALES_SCHEMA.fields)
     raw = ", ".join(f"`raw_{c}` STRING" for c in COLUMNS)
     spark.sql(f"""CREATE TABLE IF NOT EXISTS `{db}`.`sales_load` ({typed}, `Reason` STRING, {raw}, `Status` STRING)
                   USING parquet PARTITIONED BY (`Status`) LOCATION '{location}/sales_load'""")
@@ -64,8 +66,8 @@ def staged(raw: DataFrame) -> DataFrame:
 
 def full_refresh(spark: SparkSession, raw: DataFrame, db: str) -> None:
     """Replace the load table's contents with ``raw`` (valid and quarantined rows, one pass)."""
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
-    staged(raw).write.insertInto(f"`{db}`.`sales_load`", overwrite=True)
+    (staged(raw).write.option("partitionOverwriteMode", "static")
+        .insertInto(f"`{db}`.`sales_load`", overwrite=True))
 
 
 def reconciliation(spark: SparkSession, raw: DataFrame, db: str) -> DataFrame:

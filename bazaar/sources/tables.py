@@ -91,7 +91,11 @@ def sales_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def committed(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    return p.getFileSystem(conf).exists(p)
+    """Whether a finished Spark write (its ``_SUCCESS`` marker) exists at ``path``, on any file system."""
+    marker = path.rstrip("/") + "/_SUCCESS"
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(marker)
+        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    except Exception:  # no JVM gateway (e.g. a remote session): local paths only
+        return os.path.exists(marker.removeprefix("file:"))
