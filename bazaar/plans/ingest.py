@@ -19,7 +19,7 @@ from bazaar.session import shared_path
 from bazaar.sources.csv import read_sales_csv, write_sales_csv
 from bazaar.sources.fallback import load_raw
 from bazaar.sources.jdbc import JdbcSource
-from bazaar.sources.tables import committed, fingerprint, sales_table
+from bazaar.sources.tables import fingerprint, sales_table, write_once
 
 TEXT = ["Order_ID", "Customer_ID", "Customer_Name", "Gender", "City", "Product", "Category"]
 
@@ -30,8 +30,8 @@ UNREACHABLE = JdbcSource(url="jdbc:unreachable://localhost/sales_analytics_db")
 
 def sales_csv(spark: SparkSession, sf_dir: str) -> str:
     path = shared_path(spark, "sales_csv", fingerprint(sf_dir))
-    if not committed(spark, path):
-        write_sales_csv(sales_table(spark, sf_dir), path)
+    fact = sales_table(spark, sf_dir)
+    write_once(spark, path, lambda: write_sales_csv(fact, path))
     return path
 
 
@@ -62,8 +62,9 @@ def source_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return column_profile(valid_rows(coerce(raw))).select(F.lit(used).alias("Source"), "*")
 
 
-def _loaded(spark: SparkSession, sf_dir: str, runs: int = 1) -> tuple[str, DataFrame]:
-    db = f"sales_{fingerprint(sf_dir)}"
+def _loaded(spark: SparkSession, sf_dir: str, query: str, runs: int = 1) -> tuple[str, DataFrame]:
+    # One database per query, so queries running side by side never rewrite each other's table.
+    db = f"sales_{fingerprint(sf_dir)}_{query}"
     raw = read_sales_csv(spark, sales_csv(spark, sf_dir))
     location = load_job.ensure_database(spark, db)
     load_job.ensure_tables(spark, db, location)
@@ -74,7 +75,7 @@ def _loaded(spark: SparkSession, sf_dir: str, runs: int = 1) -> tuple[str, DataF
 
 def full_refresh_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load twice (a rerun must replace, not append), then summarise the table."""
-    db, _ = _loaded(spark, sf_dir, runs=2)
+    db, _ = _loaded(spark, sf_dir, "full_refresh", runs=2)
     t = load_job.sales_data(spark, db)
     return t.agg(F.count(F.lit(1)).alias("Rows"), F.count("Total_Sales").alias("Sales"),
                  F.sum("Total_Sales").cast("double").alias("Total_Sales_Sum"))
@@ -82,13 +83,13 @@ def full_refresh_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source rows = loaded rows + quarantined rows."""
-    db, raw = _loaded(spark, sf_dir)
+    db, raw = _loaded(spark, sf_dir, "reconciliation")
     return load_job.reconciliation(spark, raw, db)
 
 
 def quarantine_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per outcome — ``valid`` and every quarantine reason, zero when absent."""
-    db, _ = _loaded(spark, sf_dir)
+    db, _ = _loaded(spark, sf_dir, "quarantine")
     t = spark.table(f"`{db}`.`sales_load`")
     outcomes = [load_job.VALID] + QUARANTINE_REASONS
     row = t.agg(F.count_if(F.col("Status") == load_job.VALID).alias("o0"),
@@ -100,7 +101,7 @@ def quarantine_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def surrogate_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense 1..n key over the loaded table."""
-    db, _ = _loaded(spark, sf_dir)
+    db, _ = _loaded(spark, sf_dir, "surrogate_key")
     keyed = load_job.with_surrogate_key(load_job.sales_data(spark, db))
     return keyed.agg(F.count(F.lit(1)).alias("Rows"), F.count_distinct("id").alias("Distinct_Ids"),
                      F.min("id").alias("Min_Id"), F.max("id").alias("Max_Id"))
