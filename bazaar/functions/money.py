@@ -1,11 +1,13 @@
 """Exact decimal arithmetic for money columns.
 
 Sums stay in DECIMAL (never DOUBLE) so results do not depend on partitioning
-or row order.  Ratios are rounded once, half away from zero, from the exact
-quotient: ``round(p / q, k)`` is computed as ``(2*|p|*10^k + |q|) div (2*|q|)``
-on exact decimals, with the sign put back.  (Rounding a DECIMAL average to 6 places
-and then to 2 can move a result by one cent once a group has more than about
-a million rows; this never does.)  Values are cast to DOUBLE only at the end.
+or row order.  Ratios are rounded once from the exact quotient: both sides are
+scaled to integers (DECIMAL(38,0)), and ``round(p / q, k)`` half up is
+``floor((2·|p|·10^k + |q|) / (2·|q|))`` by exact integer division, with the sign
+put back (half-even compares twice the remainder with ``|q|``).  Rounding a
+DECIMAL average to 6 places and then to 2 can move a result by one cent once a
+group has more than about a million rows; this never does.  Values are cast to
+DOUBLE only at the end.
 """
 
 from __future__ import annotations
@@ -17,15 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WIDE = T.DecimalType(38, 0)
+EXACT_PLACES = 4  # inputs may carry at most this many decimals (money has 2)
 
 
 def _as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-EXACT_PLACES = 4  # inputs may carry at most this many decimals (money has 2)
-
-
 def _integer(c: Column) -> Column:
     """``c * 10^EXACT_PLACES`` as an exact DECIMAL(38,0) — both sides of a ratio get the same factor."""
     return (c.cast(T.DecimalType(34, EXACT_PLACES)) * F.lit(Decimal(10 ** EXACT_PLACES))).cast(WIDE)
@@ -83,7 +83,3 @@ def money_total(c) -> Column:
 def avg_money(c, scale: int = 2) -> Column:
     """Exact mean of the non-NULL values rounded to ``scale`` places (SQL ``ROUND(AVG(x), 2)``)."""
     return round_ratio(F.sum(_as_col(c)), F.count(_as_col(c)), scale=scale)
-
-
-def to_double(c) -> Column:
-    return _as_col(c).cast("double")

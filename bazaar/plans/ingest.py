@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from bazaar.operators.clean import coerce, valid_rows
 from bazaar.plans import load_job
-from bazaar.schema import COLUMNS, QUARANTINE_REASONS
+from bazaar.schema import QUARANTINE_REASONS
 from bazaar.session import shared_path
 from bazaar.sources.csv import read_sales_csv, write_sales_csv
 from bazaar.sources.fallback import load_raw
@@ -115,5 +115,3 @@ QUERIES = {
     "quarantine_counts": quarantine_counts,
     "surrogate_key": surrogate_key,
 }
-
-__all__ = ["QUERIES", "COLUMNS"]
