@@ -50,12 +50,15 @@ def get_session(master: str | None = None, app: str = "bazaar",
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder for checkpoints and written intermediate tables.
 
-    Read from ``spark.checkpoint.dir``; only when the session has none (local
-    tests) is a fresh folder created and registered.
+    Read from ``spark.checkpoint.dir``.  Only a local-mode session without one
+    (tests) gets a fresh temporary folder; on a cluster a machine-local folder
+    would not be visible to executors, so the setting is required there.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder shared by the cluster")
         path = tempfile.mkdtemp(prefix="bazaar-ckpt-")
         sc.setCheckpointDir(path)
     elif sc.getCheckpointDir() is None:
