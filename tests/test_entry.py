@@ -33,3 +33,11 @@ def test_partition_count_does_not_matter(spark):
     a = sorted(reports.revenue_by_city(df).collect())
     b = sorted(reports.revenue_by_city(df.repartition(7)).collect())
     assert a == b
+
+
+def test_approximate_customer_count_is_close(spark):
+    df = sales_table(spark, SF)
+    exact = {r.City: r.Unique_Customers for r in reports.revenue_by_city(df).collect()}
+    approx = {r.City: r.Unique_Customers for r in reports.revenue_by_city(df, approx_customers=True).collect()}
+    assert exact.keys() == approx.keys()
+    assert all(abs(approx[c] - exact[c]) <= max(2, 0.05 * exact[c]) for c in exact)
