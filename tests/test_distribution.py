@@ -66,3 +66,18 @@ def test_describe_matches_pandas(sales):
     a = np.array([x for x in ages if x is not None], dtype=float)
     assert d.Count == 7 and abs(d.Mean - a.mean()) < 1e-6 and abs(d.Std - a.std(ddof=1)) < 1e-6
     assert [d.P25, d.P50, d.P75] == list(np.percentile(a, [25, 50, 75]))
+
+
+def test_grouped_percentiles_edge_groups(spark):
+    from bazaar.operators.quantiles import grouped_percentiles
+    rnd = random.Random(3)
+    groups = {"one": [5.0], "same": [2.5] * 40, "wide": [rnd.randint(-500, 500) / 4 for _ in range(700)]}
+    rows = [(k, Decimal(str(v))) for k, vs in groups.items() for v in vs] + [("wide", None)]
+    df = spark.createDataFrame(rows, "k string, v decimal(10,2)")
+    probs = [0.0, 0.3, 0.5, 0.99, 1.0]
+    for options in [dict(), dict(single_task_limit=0, values_per_range=1, buckets=2),
+                    dict(single_task_limit=0, buckets=8)]:
+        got = {r.k: r for r in grouped_percentiles(df, "k", "v", probs, **options).collect()}
+        for k, vs in groups.items():
+            ref = np.percentile(np.array(vs), [p * 100 for p in probs])
+            assert [round(float(got[k][f"p{i}"]), 9) for i in range(len(probs))] == [round(x, 9) for x in ref], (k, options)
