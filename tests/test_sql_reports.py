@@ -1,0 +1,26 @@
+"""The Spark SQL text of the ten reports equals the DataFrame reports, value for value."""
+
+import pytest
+
+from bazaar.operators import reports
+from bazaar.plans import catalog, sql_reports
+from bazaar.sources.tables import sales_table
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("name", sorted(sql_reports.SQL_REPORTS))
+def test_sql_equals_dataframe(spark, name):
+    fact = sales_table(spark, SF)
+    got = sql_reports.run(spark, name, fact)
+    want = catalog.REPORTS[name](fact)
+    assert got.columns == want.columns
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
+
+
+def test_exact_round_ties(spark):
+    sql_reports.register_functions(spark)
+    r = spark.sql("SELECT exact_round(1, 8, 2) a, exact_round(-1, 8, 2) b, exact_round(1, 0, 2) c, "
+                  "exact_round(123456789012345678.91, 1, 2) d").first()
+    assert (r.a, r.b, r.c, r.d) == (0.13, -0.13, None, 123456789012345678.91)
+    assert reports is not None
