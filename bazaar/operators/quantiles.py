@@ -100,20 +100,18 @@ def grouped_percentiles(df: DataFrame, key: str, value: str, probs: list[float],
     wanted = []
     for p in probs:
         wanted += [F.floor(h(p)).cast(WIDE), F.ceil(h(p)).cast(WIDE)]
-    # The range holding each wanted rank, per group (one small row per group).
+    # The ranges holding a wanted rank, with their start rank and the group size:
+    # at most 2·len(probs) rows per group, broadcast once.  The inner join with
+    # it keeps only those ranges of ``vb``.
     homes = ranges.groupBy(key).agg(
-        F.first("_n").alias("_n"),
         F.array(*[F.min(F.when(F.col("_end") > r, F.col("_b"))) for r in wanted]).alias("_homes"))
-    starts = (ranges.join(F.broadcast(homes.select(key, "_homes")), key)
-                    .where(F.array_contains("_homes", F.col("_b"))).select(key, "_b", "_start"))
-    hot = (vb.join(F.broadcast(homes.select(key, "_homes")), key)
-             .where(F.array_contains("_homes", F.col("_b"))).drop("_homes"))
+    meta = (ranges.join(homes, key).where(F.array_contains("_homes", F.col("_b")))
+                  .select(key, "_b", "_start", "_n"))
     in_range = Window.partitionBy(key, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (hot.withColumn("_cum", F.sum("c").over(in_range))
-                 .join(F.broadcast(starts), [key, "_b"])
-                 .join(F.broadcast(homes.select(key, "_n")), key)
-                 .withColumn("_first", F.col("_start") + F.col("_cum") - F.col("c"))
-                 .withColumn("_last", F.col("_start") + F.col("_cum") - 1))
+    ranked = (vb.join(F.broadcast(meta), [key, "_b"])
+                .withColumn("_cum", F.sum("c").over(in_range))
+                .withColumn("_first", F.col("_start") + F.col("_cum") - F.col("c"))
+                .withColumn("_last", F.col("_start") + F.col("_cum") - 1))
     picks = ranked.groupBy(key).agg(
         F.first("_n").alias("_n"),
         *[F.max(F.when((F.col("_first") <= r) & (r <= F.col("_last")), F.col("v"))).alias(f"_r{i}")
