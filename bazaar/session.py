@@ -47,6 +47,21 @@ def get_session(master: str | None = None, app: str = "bazaar",
     return spark
 
 
+def scale_conf(input_bytes: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a job reading about ``input_bytes``: pass as ``get_session(extra=...)``.
+
+    The largest shuffle here is the adapter's lineitem join, roughly the input
+    size, so it gets about ``input_bytes / partition_bytes`` partitions (each
+    fits executor memory without spilling much); AQE coalesces the small
+    post-aggregation shuffles down from the same start.  For 100 TB and 256 MB
+    that is ~400k partitions.
+    """
+    n = max(200, input_bytes // partition_bytes)
+    return {"spark.sql.shuffle.partitions": str(n),
+            "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes)}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder for checkpoints and written intermediate tables.
 

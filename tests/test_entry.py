@@ -41,3 +41,10 @@ def test_approximate_customer_count_is_close(spark):
     approx = {r.City: r.Unique_Customers for r in reports.revenue_by_city(df, approx_customers=True).collect()}
     assert exact.keys() == approx.keys()
     assert all(abs(approx[c] - exact[c]) <= max(2, 0.05 * exact[c]) for c in exact)
+
+
+def test_scale_conf_sizes_partitions():
+    from bazaar.session import scale_conf
+    conf = scale_conf(100 << 40)
+    assert int(conf["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20) == 409600
+    assert scale_conf(1 << 20)["spark.sql.shuffle.partitions"] == "200"
