@@ -2,7 +2,7 @@
 
     python -m bazaar load   --csv orders.csv [--jdbc-url URL] --db sales_analytics
     python -m bazaar eda    (--db NAME | --csv PATH | --parquet PATH) --out DIR
-    python -m bazaar report NAME (--db NAME | --csv PATH | --parquet PATH)
+    python -m bazaar report NAME (--db NAME | --csv PATH | --parquet PATH) [--sql]
 
 ``load`` reads the database table when reachable, else the CSV, coerces and
 quarantines, fully refreshes ``<db>.sales_load`` and prints the reconciliation.
@@ -15,24 +15,31 @@ from __future__ import annotations
 
 import argparse
 import sys
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
 from bazaar.operators.clean import coerce, valid_rows
-from bazaar.plans import catalog, eda_job, load_job
-from bazaar.session import get_session
+from bazaar.plans import catalog, eda_job, load_job, sql_reports
+from bazaar.session import get_session, shared_path
 from bazaar.sources.csv import read_sales_csv
 from bazaar.sources.fallback import load_raw
 from bazaar.sources.jdbc import JdbcSource
 
 
-def _fact(spark: SparkSession, args) -> DataFrame:
+def _fact(spark: SparkSession, args, reused: bool = False) -> DataFrame:
+    """The sales rows to report on; a CSV read several times is coerced once and written as Parquet first."""
     if args.db:
         return load_job.sales_data(spark, args.db)
     if args.parquet:
         return spark.read.parquet(args.parquet)
-    return valid_rows(coerce(read_sales_csv(spark, args.csv)))
+    rows = valid_rows(coerce(read_sales_csv(spark, args.csv)))
+    if not reused:
+        return rows
+    path = shared_path(spark, "cli", uuid.uuid4().hex[:12], "sales_data")
+    rows.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _jdbc(args) -> JdbcSource | None:
@@ -64,6 +71,7 @@ def build_parser() -> argparse.ArgumentParser:
         sp = sub.add_parser(name)
         if name == "report":
             sp.add_argument("name", choices=sorted(catalog.REPORTS))
+            sp.add_argument("--sql", action="store_true", help="run the Spark SQL text of a SQL report")
         src = sp.add_mutually_exclusive_group(required=True)
         src.add_argument("--db")
         src.add_argument("--csv")
@@ -83,8 +91,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         load_job.run(spark, raw, args.db).show(truncate=False)
     elif args.command == "eda":
         stamp = datetime.fromisoformat(args.generated_at) if args.generated_at else datetime.now()
-        eda_job.run(_fact(spark, args), out_dir=args.out, generated_at=stamp)
+        eda_job.run(_fact(spark, args, reused=True), out_dir=args.out, generated_at=stamp)
         print(f"sections written to {args.out}")
+    elif args.sql:
+        if args.name not in sql_reports.SQL_REPORTS:
+            raise SystemExit(f"{args.name} has no SQL form; the SQL reports are {sorted(sql_reports.SQL_REPORTS)}")
+        sql_reports.run(spark, args.name, _fact(spark, args)).show(n=1000, truncate=False)
     else:
         catalog.REPORTS[args.name](_fact(spark, args)).show(n=1000, truncate=False)
     return 0

@@ -12,6 +12,10 @@ def test_load_eda_report(spark, sales, tmp_path, capsys):
     assert "true" in capsys.readouterr().out
     assert main(["report", "revenue_by_city", "--db", "cli_test"], spark) == 0
     assert "Gaya" in capsys.readouterr().out
+    assert main(["report", "revenue_by_city", "--csv", csv, "--sql"], spark) == 0
+    assert "Gaya" in capsys.readouterr().out
     out = str(tmp_path / "eda")
     assert main(["eda", "--db", "cli_test", "--out", out, "--generated-at", "2026-01-01T10:00"], spark) == 0
     assert spark.read.parquet(out + "/kpi_summary").first().Total_Orders == 2
+    assert main(["eda", "--csv", csv, "--out", out + "2"], spark) == 0
+    assert spark.read.parquet(out + "2/kpi_summary").first().Total_Orders == 2
