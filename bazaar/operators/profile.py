@@ -55,13 +55,16 @@ def missing_values(df: DataFrame) -> DataFrame:
 LONG_VALUE = "decimal(24,2)"  # holds INT and DECIMAL(<=14,2) columns exactly
 
 
-def describe_numeric(df: DataFrame, columns: list[str] = NUMERIC_PROFILE_COLUMNS) -> DataFrame:
-    """Count, mean, sample std, min, exact quartiles and max, one row per numeric column.
+def describe_numeric(df: DataFrame, columns: list[str] = NUMERIC_PROFILE_COLUMNS, exact: bool = True,
+                     accuracy: int = 10_000) -> DataFrame:
+    """Count, mean, sample std, min, quartiles and max, one row per numeric column.
 
     Moments come from one global aggregate over all the columns (unpacked into
     a row per column); quartiles from one grouped exact-percentile pipeline
     over the ``(column, value)`` long form.  The two per-column tables are
     joined on the column index (as many rows as profiled columns).
+    ``exact=False`` takes the quartiles from a ``percentile_approx`` sketch per
+    column instead (rank error about ``1/accuracy``; one pass, no checkpoint).
     """
     aggs = []
     for i, c in enumerate(columns):
@@ -76,7 +79,12 @@ def describe_numeric(df: DataFrame, columns: list[str] = NUMERIC_PROFILE_COLUMNS
         for i, c in enumerate(columns)])))
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("_k"), F.col(c).cast(LONG_VALUE).alias("_v")) for i, c in enumerate(columns)])))
-    quart = grouped_percentiles(long, "_k", "_v", [0.25, 0.5, 0.75])
+    if exact:
+        quart = grouped_percentiles(long, "_k", "_v", [0.25, 0.5, 0.75])
+    else:
+        sketch = F.percentile_approx("_v", [0.25, 0.5, 0.75], accuracy)
+        quart = long.groupBy("_k").agg(sketch.alias("_q")).select(
+            "_k", *[F.col("_q")[i].alias(f"p{i}") for i in range(3)])
     as_double = lambda e: F.round(F.col(e).cast("double"), 6)
     return (moments.join(F.broadcast(quart), "_k", "left")
                    .select("Column", F.col("_n").alias("Count"),

@@ -81,3 +81,12 @@ def test_grouped_percentiles_edge_groups(spark):
         for k, vs in groups.items():
             ref = np.percentile(np.array(vs), [p * 100 for p in probs])
             assert [round(float(got[k][f"p{i}"]), 9) for i in range(len(probs))] == [round(x, 9) for x in ref], (k, options)
+
+
+def test_describe_approximate_is_close(sales):
+    ages = list(range(18, 80)) * 3
+    df = sales(*[row(Age=a) for a in ages])
+    exact = describe_numeric(df, ["Age"]).first()
+    approx = describe_numeric(df, ["Age"], exact=False).first()
+    assert (approx.Count, approx.Mean, approx.Min, approx.Max) == (exact.Count, exact.Mean, exact.Min, exact.Max)
+    assert all(abs(getattr(approx, p) - getattr(exact, p)) <= 1 for p in ("P25", "P50", "P75"))
