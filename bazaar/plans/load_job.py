@@ -45,7 +45,8 @@ def ensure_tables(spark: SparkSession, db: str, location: str) -> None:
     """The load table (typed + raw columns, partitioned by Status) and the two views over it."""
     typed = ", ".join(f"`{f.name}` {_ddl_type(f.name, f.dataType)}" for f in SALES_SCHEMA.fields)
     raw = ", ".join(f"`raw_{c}` STRING" for c in COLUMNS)
-    spark.sql(f"""CREATE TABLE IF NOT EXISTS `{db}`.`sales_load` ({typed}, `Reason` STRING, {raw}, `Status` STRING)
+    spark.sql(f"""CREATE TABLE IF NOT EXISTS `{db}`.`sales_load`
+                  (`id` BIGINT, {typed}, `Reason` STRING, {raw}, `Status` STRING)
                   USING parquet PARTITIONED BY (`Status`) LOCATION '{location}/sales_load'""")
     cols = ", ".join(f"`{c}`" for c in COLUMNS)
     spark.sql(f"CREATE OR REPLACE VIEW `{db}`.`sales_data` AS "
@@ -55,11 +56,17 @@ def ensure_tables(spark: SparkSession, db: str, location: str) -> None:
               f"SELECT {raw_as}, `Reason` FROM `{db}`.`sales_load` WHERE `Status` = '{QUARANTINE}'")
 
 
-def staged(raw: DataFrame) -> DataFrame:
-    """Rows in the load table's layout: typed values for valid rows, raw text for rejected ones."""
+def staged(raw: DataFrame, with_id: bool = True) -> DataFrame:
+    """Rows in the load table's layout: typed values for valid rows, raw text for rejected ones.
+
+    ``id`` is unique and increasing in source order (like an auto-increment key,
+    not dense) and costs no extra pass; ``with_surrogate_key`` gives 1..n.
+    Streaming sources cannot number rows this way, so they pass ``with_id=False``.
+    """
     c = coerce(raw)
     ok = F.col("Reason").isNull()
-    return c.select(*[F.when(ok, F.col(x)).alias(x) for x in COLUMNS], "Reason",
+    ids = [F.monotonically_increasing_id().alias("id")] if with_id else []
+    return c.select(*ids, *[F.when(ok, F.col(x)).alias(x) for x in COLUMNS], "Reason",
                     *[F.when(~ok, F.col(f"raw_{x}")).alias(f"raw_{x}") for x in COLUMNS],
                     F.when(ok, F.lit(VALID)).otherwise(F.lit(QUARANTINE)).alias("Status"))
 
