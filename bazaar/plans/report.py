@@ -2,44 +2,42 @@
 
 Only computed content is produced — the generation stamp, the category,
 city and product revenue tables — never the fixed prose around them.  Lines
-are built with column functions from the section DataFrames (each is one row
-per key), ordered by (table, row) with a range-partitioned sort, and written
-as one text file with ``coalesce(1)`` after the sort, which keeps the order.
+are built with column functions from the section DataFrames (one row per
+key); each line carries its sort key (table, header row, revenue, key), and
+the writer orders them with a range-partitioned sort — no numbering in one
+task.  ``coalesce(1)`` after the sort keeps the order in a single file; for a
+very long report ``single_file=False`` writes the sorted part files instead.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaar.functions import fmt
 
 
-def _table(df: DataFrame, table: int, header: list[str], cells) -> DataFrame:
-    """Header lines (rows 0, 1) and one line per row of ``df`` in ``df``'s order."""
+ORDER = ["Table", "Part", "Row", "_desc", "_key"]
+
+
+def _table(df: DataFrame, table: int, key: str, header: list[str], cells) -> DataFrame:
+    """Header lines (part 0) and one line per row of ``df`` (part 1, largest revenue first, then key)."""
     spark = df.sparkSession
-    head = spark.createDataFrame([(table, i, line) for i, line in enumerate(header)], "Table int, Row int, Line string")
-    body = df.select(F.lit(table).alias("Table"),
-                     (F.row_number().over(_order_of(df)) + len(header) - 1).cast("int").alias("Row"),
+    head = spark.createDataFrame([(table, 0, i, None, None, line) for i, line in enumerate(header)],
+                                 "Table int, Part int, Row int, _desc double, _key string, Line string")
+    body = df.select(F.lit(table).alias("Table"), F.lit(1).alias("Part"), F.lit(0).alias("Row"),
+                     (-F.col("Revenue")).alias("_desc"), F.col(key).cast("string").alias("_key"),
                      F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("Line"))
     return head.unionByName(body)
 
 
-def _order_of(df: DataFrame):
-    # The breakdowns are ordered by revenue then key; number the rows the same way.
-    return Window.orderBy(F.col("Revenue").desc(), F.col(df.columns[0]).asc())
-
-
 def report_lines(secs: dict[str, DataFrame], generated_at: datetime) -> DataFrame:
-    """``(Table, Row, Line)`` for the report's stamp and its three revenue tables.
-
-    ``row_number`` over a global order runs in one task; it is applied to the
-    breakdown tables, which have one row per category, city or product.
-    """
+    """Lines of the report's stamp and its three revenue tables, with their sort columns (``ORDER``)."""
     spark: SparkSession = secs["insights_category_breakdown"].sparkSession
-    stamp = spark.range(1).select(F.lit(0).alias("Table"), F.lit(0).alias("Row"),
+    stamp = spark.range(1).select(F.lit(0).alias("Table"), F.lit(0).alias("Part"), F.lit(0).alias("Row"),
+                                  F.lit(None).cast("double").alias("_desc"), F.lit(None).cast("string").alias("_key"),
                                   F.concat(F.lit("> **Generated:** "),
                                            fmt.report_timestamp(F.lit(generated_at))).alias("Line"))
     cat = secs["insights_category_breakdown"]
@@ -48,11 +46,12 @@ def report_lines(secs: dict[str, DataFrame], generated_at: datetime) -> DataFram
     share = F.format_string("%.1f", F.col("Share_Pct"))
     parts = [
         stamp,
-        _table(cat, 1, ["| Category   | Revenue (Rs.)      | Share (%) |", "|------------|--------------------|-----------|"],
+        _table(cat, 1, "Category",
+               ["| Category   | Revenue (Rs.)      | Share (%) |", "|------------|--------------------|-----------|"],
                [fmt.pad_right(F.col("Category"), 10), fmt.pad_left(F.col("Revenue_Text"), 18), fmt.pad_left(share, 8)]),
-        _table(city, 2, ["| City        | Revenue (Rs.)      |", "|-------------|--------------------|"],
+        _table(city, 2, "City", ["| City        | Revenue (Rs.)      |", "|-------------|--------------------|"],
                [fmt.pad_right(F.col("City"), 11), fmt.pad_left(F.col("Revenue_Text"), 18)]),
-        _table(prod, 3, ["| Product     | Revenue (Rs.)      |", "|-------------|--------------------|"],
+        _table(prod, 3, "Product", ["| Product     | Revenue (Rs.)      |", "|-------------|--------------------|"],
                [fmt.pad_right(F.col("Product"), 11), fmt.pad_left(F.col("Revenue_Text"), 18)]),
     ]
     out = parts[0]
@@ -61,7 +60,11 @@ def report_lines(secs: dict[str, DataFrame], generated_at: datetime) -> DataFram
     return out
 
 
-def write_report(secs: dict[str, DataFrame], path: str, generated_at: datetime) -> None:
-    """One Markdown text file of the computed report tables at ``path``."""
-    (report_lines(secs, generated_at).orderBy("Table", "Row").select("Line")
-        .coalesce(1).write.mode("overwrite").text(path))
+def ordered_lines(lines: DataFrame) -> DataFrame:
+    return lines.orderBy(*[F.col(c).asc_nulls_first() for c in ORDER]).select("Line")
+
+
+def write_report(secs: dict[str, DataFrame], path: str, generated_at: datetime, single_file: bool = True) -> None:
+    """The computed report tables as Markdown text at ``path`` (one file, or sorted part files)."""
+    lines = ordered_lines(report_lines(secs, generated_at))
+    (lines.coalesce(1) if single_file else lines).write.mode("overwrite").text(path)

@@ -23,7 +23,7 @@ def test_padding_does_not_truncate(spark):
 def test_report_lines_match_published_layout(sales, tmp_path):
     df = sales(*[row(Product=p, Category=c, City="Patna", Total_Sales=Decimal(v)) for p, c, v in GOLDEN])
     secs = eda_job.sections(df, cache=False)
-    lines = [r.Line for r in report.report_lines(secs, datetime(2026, 6, 21, 8, 14)).orderBy("Table", "Row").collect()]
+    lines = [r.Line for r in report.ordered_lines(report.report_lines(secs, datetime(2026, 6, 21, 8, 14))).collect()]
     assert lines[0] == "> **Generated:** 21 June 2026, 08:14"
     assert "| Electronics |         50,778,582 |     36.4 |" in lines
     assert "| Education  |         25,031,689 |     18.0 |" in lines
@@ -31,3 +31,13 @@ def test_report_lines_match_published_layout(sales, tmp_path):
     report.write_report(secs, str(tmp_path / "report"), datetime(2026, 6, 21, 8, 14))
     text = "".join(p.read_text() for p in sorted((tmp_path / "report").glob("part-*")))
     assert text.splitlines() == lines
+
+
+def test_sorted_part_files_keep_order(sales, tmp_path):
+    df = sales(*[row(Product=p, Category=c, City="Patna", Total_Sales=Decimal(v)) for p, c, v in GOLDEN])
+    secs = eda_job.sections(df, cache=False)
+    stamp = datetime(2026, 6, 21, 8, 14)
+    report.write_report(secs, str(tmp_path / "one"), stamp)
+    report.write_report(secs, str(tmp_path / "many"), stamp, single_file=False)
+    read = lambda d: "".join(p.read_text() for p in sorted((tmp_path / d).glob("part-*")))
+    assert read("one") == read("many")
