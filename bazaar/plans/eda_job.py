@@ -91,11 +91,18 @@ def run(fact: DataFrame, out_dir: str | None = None, generated_at: datetime | No
     ``generated_at`` is given) and nothing is returned; otherwise the (small)
     results are returned.
     """
-    # Plans are built one after another (building is driver-side analysis, which
-    # does not gain from threads); only the execution is concurrent.
+    # Building a plan is driver-side analysis that does not gain from threads, so
+    # plans are built one after another and only their execution is concurrent.
+    # ``describe_numeric`` runs Spark jobs while it is built (its value-table
+    # checkpoint), so that build is started on the pool first.
     r = shared_rollup(fact)
     try:
-        secs = sections(fact, r=r)
+        builders = section_builders(fact, r)
+        eager = [n for n in ("describe_numeric",) if n in builders]
+        with ThreadPoolExecutor(parallelism) as pool:
+            built = {n: pool.submit(builders[n]) for n in eager}
+            secs = {n: (built[n] if n in built else b()) for n, b in builders.items()}
+            secs = {n: (v.result() if n in built else v) for n, v in secs.items()}
         if out_dir:
             write_sections(secs, out_dir, parallelism)
             if generated_at is not None:
