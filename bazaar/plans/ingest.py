@@ -29,7 +29,7 @@ UNREACHABLE = JdbcSource(url="jdbc:unreachable://localhost/sales_analytics_db")
 
 
 def sales_csv(spark: SparkSession, sf_dir: str) -> str:
-    path = shared_path(spark, "sales_csv", fingerprint(sf_dir))
+    path = shared_path(spark, "sales_csv", fingerprint(sf_dir, spark))
     fact = sales_table(spark, sf_dir)
     write_once(spark, path, lambda: write_sales_csv(fact, path))
     return path
@@ -64,7 +64,7 @@ def source_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _loaded(spark: SparkSession, sf_dir: str, query: str, runs: int = 1) -> tuple[str, DataFrame]:
     # One database per query, so queries running side by side never rewrite each other's table.
-    db = f"sales_{fingerprint(sf_dir)}_{query}"
+    db = f"sales_{fingerprint(sf_dir, spark)}_{query}"
     raw = read_sales_csv(spark, sales_csv(spark, sf_dir))
     location = load_job.ensure_database(spark, db)
     load_job.ensure_tables(spark, db, location)

@@ -66,19 +66,37 @@ def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fingerprint(sf_dir: str) -> str:
+def fingerprint(sf_dir: str, spark: SparkSession | None = None) -> str:
+    """Identity of the input tables: path, total size, file count and modification time of each.
+
+    Read through Hadoop's FileSystem when a session is given (any file system:
+    local, HDFS, object stores); ``os.stat`` otherwise.
+    """
     h = hashlib.sha1(ADAPTER_VERSION.encode())
-    h.update(os.path.abspath(sf_dir).encode())
+    h.update(sf_dir.rstrip("/").encode())
     for name in SOURCE_TABLES:
         path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-        try:
-            st = os.stat(path)
-            h.update(f"{name}:{st.st_size}:{int(st.st_mtime)}".encode())
-        except OSError:  # remote file system: the path alone identifies the input
-            h.update(name.encode())
+        h.update(f"{name}:{_stat(spark, path)}".encode())
     return h.hexdigest()[:16]
 
 
+def _stat(spark: SparkSession | None, path: str) -> str:
+    if spark is not None:
+        try:
+            jvm = spark.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            summary = fs.getContentSummary(p)
+            return f"{summary.getLength()}:{summary.getFileCount()}:{fs.getFileStatus(p).getModificationTime()}"
+        except Exception:  # no JVM gateway: fall through to the local check
+            pass
+    try:
+        st = os.stat(path)
+        return f"{st.st_size}:{int(st.st_mtime)}"
+    except OSError:
+        return "missing"
+
+
 def sales_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact table, written once per input into the shared folder and read back.
 
@@ -86,7 +104,7 @@ def sales_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     make it survive executor loss); a folder without ``_SUCCESS`` is rewritten.
     Reading it back cuts the join lineage for every later report.
     """
-    path = shared_path(spark, "sales_data", fingerprint(sf_dir))
+    path = shared_path(spark, "sales_data", fingerprint(sf_dir, spark))
     write_once(spark, path, lambda: sales_view(spark, sf_dir).write.mode("overwrite").parquet(path))
     return spark.read.parquet(path).select(*COLUMNS)
 
