@@ -56,7 +56,7 @@ LONG_VALUE = "decimal(24,2)"  # holds INT and DECIMAL(<=14,2) columns exactly
 
 
 def describe_numeric(df: DataFrame, columns: list[str] = NUMERIC_PROFILE_COLUMNS, exact: bool = True,
-                     accuracy: int = 10_000) -> DataFrame:
+                     accuracy: int = 10_000, percentile_options: dict | None = None) -> DataFrame:
     """Count, mean, sample std, min, quartiles and max, one row per numeric column.
 
     Moments come from one global aggregate over all the columns (unpacked into
@@ -65,6 +65,7 @@ def describe_numeric(df: DataFrame, columns: list[str] = NUMERIC_PROFILE_COLUMNS
     joined on the column index (as many rows as profiled columns).
     ``exact=False`` takes the quartiles from a ``percentile_approx`` sketch per
     column instead (rank error about ``1/accuracy``; one pass, no checkpoint).
+    ``percentile_options`` go to ``quantiles.grouped_percentiles``.
     """
     aggs = []
     for i, c in enumerate(columns):
@@ -80,7 +81,7 @@ def describe_numeric(df: DataFrame, columns: list[str] = NUMERIC_PROFILE_COLUMNS
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("_k"), F.col(c).cast(LONG_VALUE).alias("_v")) for i, c in enumerate(columns)])))
     if exact:
-        quart = grouped_percentiles(long, "_k", "_v", [0.25, 0.5, 0.75])
+        quart = grouped_percentiles(long, "_k", "_v", [0.25, 0.5, 0.75], **(percentile_options or {}))
     else:
         sketch = F.percentile_approx("_v", [0.25, 0.5, 0.75], accuracy)
         quart = long.groupBy("_k").agg(sketch.alias("_q")).select(

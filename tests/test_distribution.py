@@ -90,3 +90,11 @@ def test_describe_approximate_is_close(sales):
     approx = describe_numeric(df, ["Age"], exact=False).first()
     assert (approx.Count, approx.Mean, approx.Min, approx.Max) == (exact.Count, exact.Mean, exact.Min, exact.Max)
     assert all(abs(getattr(approx, p) - getattr(exact, p)) <= 1 for p in ("P25", "P50", "P75"))
+
+
+def test_describe_both_percentile_paths_agree_on_real_data(spark):
+    from bazaar.sources.tables import sales_table
+    fact = sales_table(spark, "/root/testdata/sf0.01")
+    single = describe_numeric(fact).collect()
+    ranged = describe_numeric(fact, percentile_options={"single_task_limit": 0, "values_per_range": 5000}).collect()
+    assert single == ranged
