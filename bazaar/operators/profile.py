@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazaar.functions.money import round_ratio
-from bazaar.operators.quantiles import grouped_percentiles
+from bazaar.operators.quantiles import percentiles_of_counts, value_counts
 from bazaar.schema import DIMENSIONS, NUMERIC_PROFILE_COLUMNS
 
 LIST_NAMES = {"City": ("Cities", "City_List"), "Category": ("Categories", "Category_List"),
@@ -59,36 +59,51 @@ def describe_numeric(df: DataFrame, columns: list[str] = NUMERIC_PROFILE_COLUMNS
                      accuracy: int = 10_000, percentile_options: dict | None = None) -> DataFrame:
     """Count, mean, sample std, min, quartiles and max, one row per numeric column.
 
-    Moments come from one global aggregate over all the columns (unpacked into
-    a row per column); quartiles from one grouped exact-percentile pipeline
-    over the ``(column, value)`` long form.  The two per-column tables are
-    joined on the column index (as many rows as profiled columns).
+    The fact is read once: the ``(column, value)`` long form is reduced to a
+    checkpointed (value, count) table per column, from which both the moments
+    (count, exact sum, min, max, and the sample std by a stable second pass
+    around the exact mean) and the exact quartiles are computed.  The
+    per-column tables (one row per profiled column) are joined on the column
+    index to the list of columns, so an all-NULL column still gets its row.
     ``exact=False`` takes the quartiles from a ``percentile_approx`` sketch per
     column instead (rank error about ``1/accuracy``; one pass, no checkpoint).
     ``percentile_options`` go to ``quantiles.grouped_percentiles``.
     """
-    aggs = []
-    for i, c in enumerate(columns):
-        x = F.col(c)
-        aggs += [F.count(x).alias(f"n{i}"), F.sum(x).cast("decimal(38,2)").alias(f"s{i}"),
-                 F.stddev_samp(x.cast("double")).alias(f"d{i}"),
-                 F.min(x).cast("double").alias(f"lo{i}"), F.max(x).cast("double").alias(f"hi{i}")]
-    moments = df.agg(*aggs).select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("_k"), F.lit(c).alias("Column"), F.col(f"n{i}").alias("_n"),
-                 F.col(f"s{i}").alias("_s"), F.col(f"d{i}").alias("_sd"), F.col(f"lo{i}").alias("_lo"),
-                 F.col(f"hi{i}").alias("_hi"))
-        for i, c in enumerate(columns)])))
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("_k"), F.col(c).cast(LONG_VALUE).alias("_v")) for i, c in enumerate(columns)])))
+    spark = df.sparkSession
+    names = spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_k"), F.lit(c).alias("Column")) for i, c in enumerate(columns)])))
     if exact:
-        quart = grouped_percentiles(long, "_k", "_v", [0.25, 0.5, 0.75], **(percentile_options or {}))
+        # One pass over the fact: the checkpointed (value, count) table feeds
+        # both the moments and the quartiles.
+        vc = value_counts(long, "_k", "_v")
+        first = vc.groupBy("_k").agg(F.sum("c").alias("_n"), F.sum(F.col("c") * F.col("v")).alias("_s"),
+                                     F.min("v").cast("double").alias("_lo"), F.max("v").cast("double").alias("_hi"))
+        # Sample variance, stable: Σ c·(v − mean)² around the exact mean (groups: one row per column).
+        mean = (F.col("_s") / F.col("_n")).cast("double")
+        spread = (vc.join(F.broadcast(first.select("_k", mean.alias("_mean"))), "_k")
+                    .groupBy("_k").agg(F.sum(F.col("c") * F.pow(F.col("_vd") - F.col("_mean"), 2)).alias("_ss")))
+        moments = (first.join(spread, "_k")
+                        .withColumn("_sd", F.when(F.col("_n") > 1, F.sqrt(F.col("_ss") / (F.col("_n") - 1)))))
+        quart = percentiles_of_counts(vc, "_k", [0.25, 0.5, 0.75], **(percentile_options or {}))
     else:
+        aggs = []
+        for i, c in enumerate(columns):
+            x = F.col(c)
+            aggs += [F.count(x).alias(f"n{i}"), F.sum(x).cast("decimal(38,2)").alias(f"s{i}"),
+                     F.stddev_samp(x.cast("double")).alias(f"d{i}"),
+                     F.min(x).cast("double").alias(f"lo{i}"), F.max(x).cast("double").alias(f"hi{i}")]
+        moments = df.agg(*aggs).select(F.inline(F.array(*[
+            F.struct(F.lit(i).alias("_k"), F.col(f"n{i}").alias("_n"), F.col(f"s{i}").alias("_s"),
+                     F.col(f"d{i}").alias("_sd"), F.col(f"lo{i}").alias("_lo"), F.col(f"hi{i}").alias("_hi"))
+            for i in range(len(columns))])))
         sketch = F.percentile_approx("_v", [0.25, 0.5, 0.75], accuracy)
         quart = long.groupBy("_k").agg(sketch.alias("_q")).select(
             "_k", *[F.col("_q")[i].alias(f"p{i}") for i in range(3)])
     as_double = lambda e: F.round(F.col(e).cast("double"), 6)
-    return (moments.join(F.broadcast(quart), "_k", "left")
-                   .select("Column", F.col("_n").alias("Count"),
+    return (names.join(F.broadcast(moments), "_k", "left").join(F.broadcast(quart), "_k", "left")
+                   .select("Column", F.coalesce(F.col("_n"), F.lit(0)).cast("bigint").alias("Count"),
                            round_ratio(F.col("_s"), F.col("_n"), scale=6, half_even=True).alias("Mean"),
                            F.round(F.col("_sd"), 6).alias("Std"), F.col("_lo").alias("Min"),
                            as_double("p0").alias("P25"), as_double("p1").alias("P50"), as_double("p2").alias("P75"),

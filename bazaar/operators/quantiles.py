@@ -68,13 +68,27 @@ def grouped_percentiles(df: DataFrame, key: str, value: str, probs: list[float],
     Beyond it the range-partitioned path runs, with the range count grown so
     one range (one window partition) holds about ``values_per_range`` values.
     """
-    shared_dir(df.sparkSession)  # checkpoints go to the cluster's shared folder
-    # The only pass over the input; every later step reads this checkpointed
-    # (distinct value, count) table instead of rescanning the fact.
-    vc = (df.where(F.col(value).isNotNull())
-            .groupBy(key, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-            .withColumn("_vd", F.col("v").cast("double"))
-            .checkpoint())
+    return percentiles_of_counts(value_counts(df, key, value), key, probs, buckets, accuracy,
+                                 values_per_range, single_task_limit)
+
+
+def value_counts(df: DataFrame, key: str, value: str) -> DataFrame:
+    """``(key, v, c, _vd)``: distinct non-NULL values per group with their counts, checkpointed.
+
+    The only pass over the input; every later step reads this table (in the
+    cluster's shared checkpoint folder) instead of rescanning the fact.
+    """
+    shared_dir(df.sparkSession)
+    return (df.where(F.col(value).isNotNull())
+              .groupBy(key, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+              .withColumn("_vd", F.col("v").cast("double"))
+              .checkpoint())
+
+
+def percentiles_of_counts(vc: DataFrame, key: str, probs: list[float], buckets: int = 128,
+                          accuracy: int | None = None, values_per_range: int = 1_000_000,
+                          single_task_limit: int = 100_000) -> DataFrame:
+    """``grouped_percentiles`` on a ``value_counts`` table."""
     widest = vc.groupBy(key).count().agg(F.max("count")).first()[0] or 0  # small job on the checkpoint
     if widest <= single_task_limit:
         pct = F.percentile(F.col("v"), F.array(*[F.lit(p) for p in probs]), F.col("c"))
