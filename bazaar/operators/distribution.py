@@ -4,9 +4,9 @@
   when min = max the range is widened by ±0.5, so all rows land in the middle
   bin.  The bin of a value follows the usual equal-width rule including its
   correction against the computed edges.  The column is first reduced to
-  distinct values with counts; min/max come in as a scalar subquery over
-  them, and one global aggregate of conditional sums fills the bins — no
-  join.  Each bin carries the colour band of its left edge.
+  distinct values with counts (checkpointed, so the fact is read once);
+  min/max come in as a scalar subquery over them, and one global aggregate of
+  conditional sums fills the bins — no join.  Each bin carries the colour band of its left edge.
 * ``age_density`` — Gaussian kernel density with Scott's bandwidth
   ``h = std · n^(-1/5)`` (sample std) at 300 equally spaced points from min to
   max.  The column is first reduced to distinct values with counts, so the
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bazaar.operators.quantiles import value_counts
 from bazaar.schema import DENSITY_POINTS, HISTOGRAM_BANDS, HISTOGRAM_BINS
 
 
@@ -46,8 +47,9 @@ def histogram(df: DataFrame, col: str = "Age", bins: int = HISTOGRAM_BINS) -> Da
     The column is reduced to distinct values with counts first, so bin
     arithmetic runs once per distinct value, not once per row.
     """
-    vc = (df.where(F.col(col).isNotNull())
-            .groupBy(F.col(col).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c")))
+    # Distinct values with counts, checkpointed: the only read of the fact.
+    vc = (value_counts(df.select(F.lit(0).alias("_k"), F.col(col).cast("double").alias("_v")), "_k", "_v")
+            .select(F.col("v").alias("_x"), F.col("c").alias("_c")))
     # min / max as one scalar subquery, bound once as a column.
     mm = vc.select(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi"))).scalar()
     vc = vc.withColumn("_mm", mm)
@@ -88,8 +90,9 @@ def density(df: DataFrame, col: str = "Age", points: int = DENSITY_POINTS) -> Da
     t = df.schema[col].dataType
     scale = t.scale if isinstance(t, T.DecimalType) else 0
     exact = T.DecimalType(38, scale)
-    vc = (df.where(F.col(col).isNotNull())
-            .groupBy(F.col(col).cast(exact).alias("a")).agg(F.count(F.lit(1)).alias("c")))
+    # Distinct values with counts, checkpointed: the only read of the fact.
+    vc = (value_counts(df.select(F.lit(0).alias("_k"), F.col(col).cast(exact).alias("_v")), "_k", "_v")
+            .select(F.col("v").alias("a"), "c"))
     s = vc.select(F.struct(
         F.sum("c").cast("decimal(38,0)").alias("n"),
         F.sum(F.col("c") * F.col("a")).alias("s1"),
