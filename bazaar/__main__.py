@@ -1,6 +1,6 @@
 """Command line: the three things the original pipeline is run for.
 
-    python -m bazaar load   --csv orders.csv [--jdbc-url URL] --db sales_analytics
+    python -m bazaar load   --csv orders.csv [--jdbc-url URL] --db sales_analytics [--to-jdbc-url URL]
     python -m bazaar eda    (--db NAME | --csv PATH | --parquet PATH) --out DIR
     python -m bazaar report NAME (--db NAME | --csv PATH | --parquet PATH) [--sql]
 
@@ -25,7 +25,7 @@ from bazaar.plans import catalog, eda_job, load_job, sql_reports
 from bazaar.session import get_session, shared_path
 from bazaar.sources.csv import read_sales_csv
 from bazaar.sources.fallback import load_raw
-from bazaar.sources.jdbc import JdbcSource
+from bazaar.sources.jdbc import JdbcSource, write_sales_jdbc
 
 
 def _fact(spark: SparkSession, args, reused: bool = False) -> DataFrame:
@@ -66,6 +66,8 @@ def build_parser() -> argparse.ArgumentParser:
     load.add_argument("--jdbc-user")
     load.add_argument("--jdbc-password-file")
     load.add_argument("--db", default="sales_analytics")
+    load.add_argument("--to-jdbc-url", help="also full-refresh this database table with the valid rows")
+    load.add_argument("--to-jdbc-table", default="sales_data")
 
     for name in ("eda", "report"):
         sp = sub.add_parser(name)
@@ -89,6 +91,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         raw, used = load_raw(spark, _jdbc(args), args.csv)
         print(f"source: {used}")
         load_job.run(spark, raw, args.db).show(truncate=False)
+        if args.to_jdbc_url:
+            target = JdbcSource(url=args.to_jdbc_url, table=args.to_jdbc_table,
+                                properties=_jdbc(args).properties if args.jdbc_url else {})
+            write_sales_jdbc(load_job.sales_data(spark, args.db), target)
+            print(f"database table {args.to_jdbc_table} refreshed")
     elif args.command == "eda":
         stamp = datetime.fromisoformat(args.generated_at) if args.generated_at else datetime.now()
         eda_job.run(_fact(spark, args, reused=True), out_dir=args.out, generated_at=stamp)

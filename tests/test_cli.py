@@ -21,3 +21,12 @@ def test_load_eda_report(spark, sales, tmp_path, capsys):
     assert spark.read.parquet(out + "/kpi_summary").first().Total_Orders == 2
     assert main(["eda", "--csv", csv, "--out", out + "2"], spark) == 0
     assert spark.read.parquet(out + "2/kpi_summary").first().Total_Orders == 2
+
+
+def test_database_target_failure_is_reported(spark, sales, tmp_path):
+    import pytest
+    csv = str(tmp_path / "orders.csv")
+    write_sales_csv(sales(row(Order_ID="A")), csv)
+    with pytest.raises(Exception):
+        main(["load", "--csv", csv, "--db", "cli_jdbc", "--to-jdbc-url", "jdbc:unreachable://localhost/x"], spark)
+    assert spark.table("cli_jdbc.sales_data").count() == 1  # the catalog load itself completed
