@@ -58,3 +58,24 @@ def test_split_is_complete(raw):
     q = quarantined_rows(c).collect()
     assert sorted(r.Reason for r in q) == ["fractional_age", "order_id_null"]
     assert valid_rows(c).count() + len(q) == len(rows)
+
+
+def test_more_number_shapes(raw):
+    assert one(raw, Quantity="+5").Quantity == 5
+    assert one(raw, Quantity=" 7 ").Quantity == 7
+    assert one(raw, Total_Sales=".5").Total_Sales == Decimal("0.50")
+    assert one(raw, Total_Sales="-2.345").Total_Sales == Decimal("-2.35")
+    assert one(raw, Total_Sales="2.5E2").Total_Sales == Decimal("250.00")
+    assert one(raw, Age="1e12").Age is None  # beyond INT
+    assert one(raw, Quantity="2.5").Reason == "fractional_quantity"
+
+
+def test_text_rules(raw):
+    assert one(raw, City="  Pune ").City == "Pune"
+    assert one(raw, City="x" * 51).Reason == "text_length"
+    assert one(raw, Product="p" * 100).Reason is None
+
+
+def test_other_date_formats(raw):
+    assert one(raw, Order_Date="2025-03-04 10:11:12").Order_Date == date(2025, 3, 4)
+    assert one(raw, Order_Date="2025/03/04").Order_Date == date(2025, 3, 4)
