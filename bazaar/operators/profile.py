@@ -23,17 +23,28 @@ LIST_NAMES = {"City": ("Cities", "City_List"), "Category": ("Categories", "Categ
               "Product": ("Products", "Product_List")}
 
 
-def dataset_summary(df: DataFrame, dims: list[str] = DIMENSIONS) -> DataFrame:
-    """Rows, columns, column names, date range, and count + sorted list of each dimension's values."""
+def dataset_summary(df: DataFrame, dims: list[str] = DIMENSIONS, with_lists: bool = True) -> DataFrame:
+    """Rows, columns, column names, date range, and count + sorted list of each dimension's values.
+
+    ``with_lists=False`` reports only the exact distinct counts (Spark's
+    distinct aggregate, spread over the cluster) — for dimensions with so many
+    values that one list in one row is not useful.
+    """
     aggs = [F.count(F.lit(1)).alias("Rows"), F.min("Order_Date").alias("Date_Min"),
             F.max("Order_Date").alias("Date_Max")]
-    aggs += [F.array_sort(F.collect_set(d)).alias(f"_{d}") for d in dims]
+    if with_lists:
+        aggs += [F.array_sort(F.collect_set(d)).alias(f"_{d}") for d in dims]
+    else:
+        aggs += [F.count_distinct(d).alias(f"_{d}") for d in dims]
     row = df.agg(*aggs)
     cols = ["Rows", F.lit(len(df.columns)).alias("Columns"),
             F.lit(", ".join(df.columns)).alias("Column_List"), "Date_Min", "Date_Max"]
     for d in dims:
         count_name, list_name = LIST_NAMES.get(d, (f"{d}_Count", f"{d}_List"))
-        cols += [F.size(f"_{d}").alias(count_name), F.array_join(f"_{d}", ", ").alias(list_name)]
+        if with_lists:
+            cols += [F.size(f"_{d}").alias(count_name), F.array_join(f"_{d}", ", ").alias(list_name)]
+        else:
+            cols += [F.col(f"_{d}").cast("int").alias(count_name)]
     return row.select(*cols)
 
 

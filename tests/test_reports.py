@@ -86,3 +86,12 @@ def test_share_and_rounding(sales):
 def test_named_category_absent_is_zero(sales):
     r = insights.named_category_share(sales(row(Category="Books"))).collect()[0]
     assert r.Revenue == 0.0 and r.Share_Pct == 0.0
+
+
+def test_dataset_summary_counts_only(sales):
+    from bazaar.operators.profile import dataset_summary
+    df = sales(row(City="Pune"), row(City="Gaya"), row(City=None))
+    full = dataset_summary(df).first()
+    counts = dataset_summary(df, with_lists=False).first()
+    assert (full.Cities, full.City_List) == (2, "Gaya, Pune")
+    assert counts.Cities == 2 and "City_List" not in counts.asDict()
