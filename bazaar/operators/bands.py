@@ -25,11 +25,18 @@ def eda_age_band(age: Column) -> Column:
     return expr
 
 
+def band_aggs() -> list[Column]:
+    """Aggregates behind ``age_band_counts`` (fusable with other global aggregates)."""
+    band = eda_age_band(F.col("Age"))
+    return [F.count_if(band == i).alias(f"_b{i}") for i in range(len(EDA_AGE_LABELS))]
+
+
+def present_band_counts(row: DataFrame) -> DataFrame:
+    rows = F.array(*[F.struct(F.lit(i).alias("Band_Index"), F.lit(label).alias("Age_Band"),
+                              F.col(f"_b{i}").alias("Orders")) for i, label in enumerate(EDA_AGE_LABELS)])
+    return row.select(F.inline(rows))
+
+
 def age_band_counts(df: DataFrame) -> DataFrame:
     """Number of rows per age band, in band order, including empty bands."""
-    band = eda_age_band(F.col("Age"))
-    n = len(EDA_AGE_LABELS)
-    counts = df.agg(*[F.count_if(band == i).alias(f"b{i}") for i in range(n)])
-    rows = F.array(*[F.struct(F.lit(i).alias("Band_Index"), F.lit(EDA_AGE_LABELS[i]).alias("Age_Band"),
-                              F.col(f"b{i}").alias("Orders")) for i in range(n)])
-    return counts.select(F.inline(rows))
+    return present_band_counts(df.agg(*band_aggs()))

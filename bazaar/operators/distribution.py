@@ -42,14 +42,18 @@ def histogram_band(left: Column) -> tuple[Column, Column]:
 
 
 def histogram(df: DataFrame, col: str = "Age", bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """Rows ``Bin, Bin_Start, Bin_End, Orders, Age_Group, Colour``; none when the column is all NULL.
-
-    The column is reduced to distinct values with counts first, so bin
-    arithmetic runs once per distinct value, not once per row.
-    """
-    # Distinct values with counts, checkpointed: the only read of the fact.
-    vc = (value_counts(df.select(F.lit(0).alias("_k"), F.col(col).cast("double").alias("_v")), "_k", "_v")
-            .select(F.col("v").alias("_x"), F.col("c").alias("_c")))
+    """Rows ``Bin, Bin_Start, Bin_End, Orders, Age_Group, Colour``; none when the column is all NULL."""
+    return histogram_from_counts(_counts_of(df, col), bins)
+
+
+def _counts_of(df: DataFrame, col: str) -> DataFrame:
+    """``(v, c)``: distinct values with counts, checkpointed — the only read of the fact."""
+    return value_counts(df.select(F.lit(0).alias("_k"), F.col(col).alias("_v")), "_k", "_v").select("v", "c")
+
+
+def histogram_from_counts(counts: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
+    """The histogram from a ``(v, c)`` table of distinct values and counts."""
+    vc = counts.select(F.col("v").cast("double").alias("_x"), F.col("c").alias("_c"))
     # min / max as one scalar subquery, bound once as a column.
     mm = vc.select(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi"))).scalar()
     vc = vc.withColumn("_mm", mm)
@@ -87,12 +91,14 @@ def age_histogram(df: DataFrame) -> DataFrame:
 
 def density(df: DataFrame, col: str = "Age", points: int = DENSITY_POINTS) -> DataFrame:
     """Rows ``Point, X, Density`` (both rounded to 10 places) of the kernel density of ``col``."""
-    t = df.schema[col].dataType
+    return density_from_counts(_counts_of(df, col), points)
+
+
+def density_from_counts(counts: DataFrame, points: int = DENSITY_POINTS) -> DataFrame:
+    """The kernel density from a ``(v, c)`` table of distinct values and counts."""
+    t = counts.schema["v"].dataType
     scale = t.scale if isinstance(t, T.DecimalType) else 0
-    exact = T.DecimalType(38, scale)
-    # Distinct values with counts, checkpointed: the only read of the fact.
-    vc = (value_counts(df.select(F.lit(0).alias("_k"), F.col(col).cast(exact).alias("_v")), "_k", "_v")
-            .select(F.col("v").alias("a"), "c"))
+    vc = counts.select(F.col("v").cast(T.DecimalType(38, scale)).alias("a"), "c")
     s = vc.select(F.struct(
         F.sum("c").cast("decimal(38,0)").alias("n"),
         F.sum(F.col("c") * F.col("a")).alias("s1"),

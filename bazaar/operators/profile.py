@@ -12,7 +12,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaar.functions.money import round_ratio
@@ -23,22 +23,21 @@ LIST_NAMES = {"City": ("Cities", "City_List"), "Category": ("Categories", "Categ
               "Product": ("Products", "Product_List")}
 
 
-def dataset_summary(df: DataFrame, dims: list[str] = DIMENSIONS, with_lists: bool = True) -> DataFrame:
-    """Rows, columns, column names, date range, and count + sorted list of each dimension's values.
-
-    ``with_lists=False`` reports only the exact distinct counts (Spark's
-    distinct aggregate, spread over the cluster) — for dimensions with so many
-    values that one list in one row is not useful.
-    """
+def summary_aggs(dims: list[str] = DIMENSIONS, with_lists: bool = True) -> list[Column]:
+    """Aggregates behind ``dataset_summary`` (fusable with other global aggregates)."""
     aggs = [F.count(F.lit(1)).alias("Rows"), F.min("Order_Date").alias("Date_Min"),
             F.max("Order_Date").alias("Date_Max")]
     if with_lists:
         aggs += [F.array_sort(F.collect_set(d)).alias(f"_{d}") for d in dims]
     else:
         aggs += [F.count_distinct(d).alias(f"_{d}") for d in dims]
-    row = df.agg(*aggs)
-    cols = ["Rows", F.lit(len(df.columns)).alias("Columns"),
-            F.lit(", ".join(df.columns)).alias("Column_List"), "Date_Min", "Date_Max"]
+    return aggs
+
+
+def present_summary(row: DataFrame, columns: list[str], dims: list[str] = DIMENSIONS,
+                    with_lists: bool = True) -> DataFrame:
+    cols = ["Rows", F.lit(len(columns)).alias("Columns"),
+            F.lit(", ".join(columns)).alias("Column_List"), "Date_Min", "Date_Max"]
     for d in dims:
         count_name, list_name = LIST_NAMES.get(d, (f"{d}_Count", f"{d}_List"))
         if with_lists:
@@ -48,14 +47,25 @@ def dataset_summary(df: DataFrame, dims: list[str] = DIMENSIONS, with_lists: boo
     return row.select(*cols)
 
 
-def missing_values(df: DataFrame) -> DataFrame:
-    """NULL count and percent of rows (two decimals) per column that has NULLs, in column order."""
-    columns = df.columns
-    row = df.agg(F.count(F.lit(1)).alias("_rows"),
-                 *[F.count_if(F.col(c).isNull()).alias(f"_m{i}") for i, c in enumerate(columns)])
+def dataset_summary(df: DataFrame, dims: list[str] = DIMENSIONS, with_lists: bool = True) -> DataFrame:
+    """Rows, columns, column names, date range, and count + sorted list of each dimension's values.
+
+    ``with_lists=False`` reports only the exact distinct counts (Spark's
+    distinct aggregate, spread over the cluster) — for dimensions with so many
+    values that one list in one row is not useful.
+    """
+    return present_summary(df.agg(*summary_aggs(dims, with_lists)), df.columns, dims, with_lists)
+
+
+def missing_aggs(columns: list[str]) -> list[Column]:
+    """Aggregates behind ``missing_values``: NULL count per column (plus ``Rows`` from ``summary_aggs``)."""
+    return [F.count_if(F.col(c).isNull()).alias(f"_m{i}") for i, c in enumerate(columns)]
+
+
+def present_missing(row: DataFrame, columns: list[str]) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(i).alias("Position"), F.lit(c).alias("Column"),
                                F.col(f"_m{i}").alias("Missing_Count")) for i, c in enumerate(columns)])
-    long = row.select("_rows", F.inline(cells))
+    long = row.select(F.col("Rows").alias("_rows"), F.inline(cells))
     return (long.where(F.col("Missing_Count") > 0)
                 .select("Position", "Column", "Missing_Count",
                         round_ratio(F.col("Missing_Count"), F.col("_rows"), scale=2,
@@ -63,6 +73,11 @@ def missing_values(df: DataFrame) -> DataFrame:
                 .orderBy("Position"))
 
 
+def missing_values(df: DataFrame) -> DataFrame:
+    """NULL count and percent of rows (two decimals) per column that has NULLs, in column order."""
+    return present_missing(df.agg(F.count(F.lit(1)).alias("Rows"), *missing_aggs(df.columns)), df.columns)
+
+
 LONG_VALUE = "decimal(24,2)"  # holds INT and DECIMAL(<=14,2) columns exactly
 
 
@@ -80,38 +95,49 @@ def describe_numeric(df: DataFrame, columns: list[str] = NUMERIC_PROFILE_COLUMNS
     column instead (rank error about ``1/accuracy``; one pass, no checkpoint).
     ``percentile_options`` go to ``quantiles.grouped_percentiles``.
     """
-    long = df.select(F.inline(F.array(*[
+    long = long_form(df, columns)
+    if exact:
+        return describe_from_counts(value_counts(long, "_k", "_v"), columns, percentile_options)
+    aggs = []
+    for i, c in enumerate(columns):
+        x = F.col(c)
+        aggs += [F.count(x).alias(f"n{i}"), F.sum(x).cast("decimal(38,2)").alias(f"s{i}"),
+                 F.stddev_samp(x.cast("double")).alias(f"d{i}"),
+                 F.min(x).cast("double").alias(f"lo{i}"), F.max(x).cast("double").alias(f"hi{i}")]
+    moments = df.agg(*aggs).select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_k"), F.col(f"n{i}").alias("_n"), F.col(f"s{i}").alias("_s"),
+                 F.col(f"d{i}").alias("_sd"), F.col(f"lo{i}").alias("_lo"), F.col(f"hi{i}").alias("_hi"))
+        for i in range(len(columns))])))
+    sketch = F.percentile_approx("_v", [0.25, 0.5, 0.75], accuracy)
+    quart = long.groupBy("_k").agg(sketch.alias("_q")).select(
+        "_k", *[F.col("_q")[i].alias(f"p{i}") for i in range(3)])
+    return _present_describe(df.sparkSession, columns, moments, quart)
+
+
+def long_form(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(_k, _v)``: one row per (column index, value) of the profiled columns."""
+    return df.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("_k"), F.col(c).cast(LONG_VALUE).alias("_v")) for i, c in enumerate(columns)])))
-    spark = df.sparkSession
+
+
+def describe_from_counts(vc: DataFrame, columns: list[str], percentile_options: dict | None = None) -> DataFrame:
+    """The exact describe table from a ``value_counts`` table of ``long_form`` (reads no fact rows)."""
+    first = vc.groupBy("_k").agg(F.sum("c").alias("_n"), F.sum(F.col("c") * F.col("v")).alias("_s"),
+                                 F.min("v").cast("double").alias("_lo"), F.max("v").cast("double").alias("_hi"))
+    # Sample variance, stable: Σ c·(v − mean)² around the exact mean (groups: one row per column).
+    mean = (F.col("_s") / F.col("_n")).cast("double")
+    spread = (vc.join(F.broadcast(first.select("_k", mean.alias("_mean"))), "_k")
+                .groupBy("_k").agg(F.sum(F.col("c") * F.pow(F.col("_vd") - F.col("_mean"), 2)).alias("_ss")))
+    moments = (first.join(spread, "_k")
+                    .withColumn("_sd", F.when(F.col("_n") > 1, F.sqrt(F.col("_ss") / (F.col("_n") - 1)))))
+    quart = percentiles_of_counts(vc, "_k", [0.25, 0.5, 0.75], **(percentile_options or {}))
+    return _present_describe(vc.sparkSession, columns, moments, quart)
+
+
+def _present_describe(spark, columns: list[str], moments: DataFrame, quart: DataFrame) -> DataFrame:
+    # The list of columns (a literal, one row per profiled column) keeps a row for an all-NULL column.
     names = spark.range(1).select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("_k"), F.lit(c).alias("Column")) for i, c in enumerate(columns)])))
-    if exact:
-        # One pass over the fact: the checkpointed (value, count) table feeds
-        # both the moments and the quartiles.
-        vc = value_counts(long, "_k", "_v")
-        first = vc.groupBy("_k").agg(F.sum("c").alias("_n"), F.sum(F.col("c") * F.col("v")).alias("_s"),
-                                     F.min("v").cast("double").alias("_lo"), F.max("v").cast("double").alias("_hi"))
-        # Sample variance, stable: Σ c·(v − mean)² around the exact mean (groups: one row per column).
-        mean = (F.col("_s") / F.col("_n")).cast("double")
-        spread = (vc.join(F.broadcast(first.select("_k", mean.alias("_mean"))), "_k")
-                    .groupBy("_k").agg(F.sum(F.col("c") * F.pow(F.col("_vd") - F.col("_mean"), 2)).alias("_ss")))
-        moments = (first.join(spread, "_k")
-                        .withColumn("_sd", F.when(F.col("_n") > 1, F.sqrt(F.col("_ss") / (F.col("_n") - 1)))))
-        quart = percentiles_of_counts(vc, "_k", [0.25, 0.5, 0.75], **(percentile_options or {}))
-    else:
-        aggs = []
-        for i, c in enumerate(columns):
-            x = F.col(c)
-            aggs += [F.count(x).alias(f"n{i}"), F.sum(x).cast("decimal(38,2)").alias(f"s{i}"),
-                     F.stddev_samp(x.cast("double")).alias(f"d{i}"),
-                     F.min(x).cast("double").alias(f"lo{i}"), F.max(x).cast("double").alias(f"hi{i}")]
-        moments = df.agg(*aggs).select(F.inline(F.array(*[
-            F.struct(F.lit(i).alias("_k"), F.col(f"n{i}").alias("_n"), F.col(f"s{i}").alias("_s"),
-                     F.col(f"d{i}").alias("_sd"), F.col(f"lo{i}").alias("_lo"), F.col(f"hi{i}").alias("_hi"))
-            for i in range(len(columns))])))
-        sketch = F.percentile_approx("_v", [0.25, 0.5, 0.75], accuracy)
-        quart = long.groupBy("_k").agg(sketch.alias("_q")).select(
-            "_k", *[F.col("_q")[i].alias(f"p{i}") for i in range(3)])
     as_double = lambda e: F.round(F.col(e).cast("double"), 6)
     return (names.join(F.broadcast(moments), "_k", "left").join(F.broadcast(quart), "_k", "left")
                    .select("Column", F.coalesce(F.col("_n"), F.lit(0)).cast("bigint").alias("Count"),

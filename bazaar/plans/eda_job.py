@@ -1,18 +1,23 @@
 """The EDA job (E20) and its sinks.
 
-The fact is scanned once for every revenue breakdown: a GROUPING SETS rollup
-over (Category), (City), (Product), (month) and () produces one small table
-(one row per key plus the total), which is cached and from which the
-category, city, product and month analyses, the chart datasets, the KPI
-block, the report overview and the report tables are all cut.  Profiling
-(summary, missing values, describe, age bands, histogram, density) needs the
-raw rows and runs its own single passes.  Sections are returned as lazy
+All twenty sections come from three reads of the fact:
+
+1. a GROUPING SETS rollup over (Category), (City), (Product), (month) and ()
+   — one small cached table (one row per key plus the total) from which the
+   category, city, product and month analyses, the chart datasets, the KPI
+   block, the report overview and the report tables are cut;
+2. one global aggregate holding the dataset summary, the NULL counts and the
+   age-band counts (one cached row);
+3. one checkpointed (column, value, count) table of the numeric columns,
+   feeding describe and — through its Age slice — the histogram and density.
+  Sections are returned as lazy
 DataFrames; ``write_sections`` stores each as Parquet (the report and the
 chart data — the images themselves are not rendered).
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
@@ -21,8 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaar.operators import bands, breakdowns, distribution, insights, profile, trends
+from bazaar.operators.quantiles import value_counts
 from bazaar.operators.summaries import MONTH, ROLLUP_DIMS, from_rollup, overall_from_rollup, rollup
-from bazaar.schema import NAMED_CATEGORY
+from bazaar.schema import NAMED_CATEGORY, NUMERIC_PROFILE_COLUMNS
 
 
 def shared_rollup(fact: DataFrame, cache: bool = True) -> DataFrame:
@@ -31,9 +37,30 @@ def shared_rollup(fact: DataFrame, cache: bool = True) -> DataFrame:
     return r.cache() if cache else r
 
 
-def section_builders(fact: DataFrame, r: DataFrame) -> dict[str, Callable[[], DataFrame]]:
-    """Name -> zero-argument builder of each section; ``r`` is the shared rollup of ``fact``."""
+def section_builders(fact: DataFrame, r: DataFrame,
+                     cached: list[DataFrame] | None = None) -> dict[str, Callable[[], DataFrame]]:
+    """Name -> zero-argument builder of each section; ``r`` is the shared rollup of ``fact``.
+
+    Frames cached here are appended to ``cached`` so the caller can release them.
+    """
     cat, city, prod, month = (from_rollup(r, d) for d in ("Category", "City", "Product", MONTH))
+    columns = fact.columns
+    # Read 2: one row with the summary, NULL counts and band counts (cached, tiny).
+    row = fact.agg(*profile.summary_aggs(), *profile.missing_aggs(columns), *bands.band_aggs()).cache()
+    if cached is not None:
+        cached.append(row)
+    shared: dict[str, DataFrame] = {}
+    lock = threading.Lock()
+
+    def counts() -> DataFrame:
+        # Read 3, run once by whichever section needs it first: the checkpointed value table.
+        with lock:
+            if "vc" not in shared:
+                shared["vc"] = value_counts(profile.long_form(fact, NUMERIC_PROFILE_COLUMNS), "_k", "_v")
+            return shared["vc"]
+
+    def ages() -> DataFrame:
+        return counts().where(F.col("_k") == NUMERIC_PROFILE_COLUMNS.index("Age")).select("v", "c")
 
     def total() -> Column:
         return overall_from_rollup(r).select(F.col("_rev")).scalar()
@@ -44,19 +71,19 @@ def section_builders(fact: DataFrame, r: DataFrame) -> dict[str, Callable[[], Da
         return insights.present_named_share(cat_rev.select("_cat", total().alias("_all")))
 
     return {
-        "dataset_summary": lambda: profile.dataset_summary(fact),
-        "missing_values": lambda: profile.missing_values(fact),
-        "describe_numeric": lambda: profile.describe_numeric(fact),
+        "dataset_summary": lambda: profile.present_summary(row, columns),
+        "missing_values": lambda: profile.present_missing(row, columns),
+        "describe_numeric": lambda: profile.describe_from_counts(counts(), NUMERIC_PROFILE_COLUMNS),
         "category_analysis": lambda: breakdowns.present_revenue_analysis(cat, "Category"),
         "city_analysis": lambda: breakdowns.present_revenue_analysis(city, "City"),
         "product_analysis": lambda: breakdowns.present_product_analysis(prod),
         "month_of_year_trend": lambda: trends.present_month_trend(month),
-        "age_band_counts": lambda: bands.age_band_counts(fact),
+        "age_band_counts": lambda: bands.present_band_counts(row),
         "chart_category_sales": lambda: breakdowns.present_chart_bars(cat, "Category", ascending=True),
         "chart_city_sales": lambda: breakdowns.present_chart_bars(city, "City", ascending=False),
         "product_order_share": lambda: breakdowns.present_order_share(prod),
-        "age_histogram": lambda: distribution.age_histogram(fact),
-        "age_density": lambda: distribution.age_density(fact),
+        "age_histogram": lambda: distribution.histogram_from_counts(ages()),
+        "age_density": lambda: distribution.density_from_counts(ages()),
         "chart_monthly_trend": lambda: trends.present_month_chart(month),
         "insights_overview": lambda: insights.present_overview(r, ROLLUP_DIMS),
         "insights_category_breakdown": lambda: breakdowns.present_category_breakdown(cat, total()),
@@ -96,8 +123,9 @@ def run(fact: DataFrame, out_dir: str | None = None, generated_at: datetime | No
     # ``describe_numeric`` runs Spark jobs while it is built (its value-table
     # checkpoint), so that build is started on the pool first.
     r = shared_rollup(fact)
+    cached: list[DataFrame] = [r]
     try:
-        builders = section_builders(fact, r)
+        builders = section_builders(fact, r, cached)
         eager = [n for n in ("describe_numeric",) if n in builders]
         with ThreadPoolExecutor(parallelism) as pool:
             built = {n: pool.submit(builders[n]) for n in eager}
@@ -112,4 +140,5 @@ def run(fact: DataFrame, out_dir: str | None = None, generated_at: datetime | No
         with ThreadPoolExecutor(parallelism) as pool:
             return dict(zip(secs, pool.map(lambda df: df.collect(), secs.values())))
     finally:
-        r.unpersist()
+        for df in cached:
+            df.unpersist()
