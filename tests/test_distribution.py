@@ -98,3 +98,19 @@ def test_describe_both_percentile_paths_agree_on_real_data(spark):
     single = describe_numeric(fact).collect()
     ranged = describe_numeric(fact, percentile_options={"single_task_limit": 0, "values_per_range": 5000}).collect()
     assert single == ranged
+
+
+from hypothesis import Phase, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=12, deadline=None, phases=[Phase.generate])
+@given(st.lists(st.one_of(st.integers(-50, 150).map(float),
+                          st.floats(-1000, 1000, allow_nan=False).map(lambda x: round(x, 3))),
+                min_size=1, max_size=80),
+       st.sampled_from([1, 5, 20, 37]))
+def test_histogram_equals_numpy(spark, values, bins):
+    df = spark.createDataFrame([(v,) for v in values], "Age double")
+    got = [r.Orders for r in histogram(df, "Age", bins=bins).orderBy("Bin").collect()]
+    counts, _ = np.histogram(np.array(values), bins=bins)
+    assert got == counts.tolist()
