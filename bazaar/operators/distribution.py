@@ -97,18 +97,25 @@ def density(df: DataFrame, col: str = "Age", points: int = DENSITY_POINTS) -> Da
 def density_from_counts(counts: DataFrame, points: int = DENSITY_POINTS) -> DataFrame:
     """The kernel density from a ``(v, c)`` table of distinct values and counts."""
     t = counts.schema["v"].dataType
-    scale = t.scale if isinstance(t, T.DecimalType) else 0
-    vc = counts.select(F.col("v").cast(T.DecimalType(38, scale)).alias("a"), "c")
+    if isinstance(t, (T.FloatType, T.DoubleType)):
+        # Floating values: stable two-pass variance around the mean.
+        vc = counts.select(F.col("v").cast("double").alias("a"), "c")
+        mean = vc.select(F.sum(F.col("c") * F.col("a")) / F.sum("c")).scalar()
+        spread = F.sum(F.col("c") * F.pow(F.col("a") - mean, 2)) / (F.sum("c") - 1)
+    else:
+        # Integral / decimal values: exact sums, (n·Σc·a² − (Σc·a)²) / (n(n−1)).
+        scale = t.scale if isinstance(t, T.DecimalType) else 0
+        vc = counts.select(F.col("v").cast(T.DecimalType(38, scale)).alias("a"), "c")
+        n_, s1, s2 = (F.sum("c").cast("decimal(38,0)"), F.sum(F.col("c") * F.col("a")),
+                      F.sum(F.col("c") * F.col("a") * F.col("a")))
+        spread = (n_ * s2 - s1 * s1).cast("double") / (n_ * (n_ - 1)).cast("double")
     s = vc.select(F.struct(
         F.sum("c").cast("decimal(38,0)").alias("n"),
-        F.sum(F.col("c") * F.col("a")).alias("s1"),
-        F.sum(F.col("c") * F.col("a") * F.col("a")).alias("s2"),
-        F.min("a").cast("double").alias("lo"), F.max("a").cast("double").alias("hi"))).scalar()
-    # The moments come in as one scalar subquery, bound once as a column.
+        F.min("a").cast("double").alias("lo"), F.max("a").cast("double").alias("hi"),
+        F.when(F.sum("c") > 1, spread).alias("var"))).scalar()
+    # The statistics come in as one scalar subquery, bound once as a column.
     st = F.col("_s")
-    n, s1, s2, lo, hi = (st.getField(f) for f in ("n", "s1", "s2", "lo", "hi"))
-    # Sample variance from exact sums: (n·Σc·a² − (Σc·a)²) / (n(n−1)).
-    var = (n * s2 - s1 * s1).cast("double") / (n * (n - 1)).cast("double")
+    n, lo, hi, var = (st.getField(f) for f in ("n", "lo", "hi", "var"))
     j = F.col("Point")
     scaled = (vc.withColumn("_s", s)
                 .where((n >= 2) & (var > 0))

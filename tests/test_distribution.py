@@ -114,3 +114,15 @@ def test_histogram_equals_numpy(spark, values, bins):
     got = [r.Orders for r in histogram(df, "Age", bins=bins).orderBy("Bin").collect()]
     counts, _ = np.histogram(np.array(values), bins=bins)
     assert got == counts.tolist()
+
+
+def test_density_of_fractional_values(spark):
+    from bazaar.operators.distribution import density
+    rnd = random.Random(11)
+    vals = [rnd.gauss(40, 9) for _ in range(150)]
+    d = density(spark.createDataFrame([(v,) for v in vals], "x double"), "x").orderBy("Point").collect()
+    a = np.array(vals)
+    h = a.std(ddof=1) * len(a) ** -0.2
+    xs = np.linspace(a.min(), a.max(), 300)
+    ref = np.exp(-0.5 * ((xs[:, None] - a[None, :]) / h) ** 2).sum(1) / (len(a) * h * math.sqrt(2 * math.pi))
+    assert len(d) == 300 and max(abs(r.Density - ref[i]) for i, r in enumerate(d)) < 1e-9
