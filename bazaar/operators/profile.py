@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bazaar.functions.money import round_ratio
 from bazaar.operators.quantiles import percentiles_of_counts, value_counts
@@ -97,6 +98,7 @@ def describe_numeric(df: DataFrame, columns: list[str] = NUMERIC_PROFILE_COLUMNS
     """
     long = long_form(df, columns)
     if exact:
+        _check_exact_types(df, columns)
         return describe_from_counts(value_counts(long, "_k", "_v"), columns, percentile_options)
     aggs = []
     for i, c in enumerate(columns):
@@ -114,6 +116,17 @@ def describe_numeric(df: DataFrame, columns: list[str] = NUMERIC_PROFILE_COLUMNS
     return _present_describe(df.sparkSession, columns, moments, quart)
 
 
+def _check_exact_types(df: DataFrame, columns: list[str]) -> None:
+    """The exact path holds values as DECIMAL(24,2): integral columns and DECIMALs with at most 2 places."""
+    for c in columns:
+        t = df.schema[c].dataType
+        fits = isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) or (
+            isinstance(t, T.DecimalType) and t.scale <= 2 and t.precision - t.scale <= 22)
+        if not fits:
+            raise ValueError(f"describe_numeric(exact=True) needs integral or DECIMAL(p<=24, s<=2) columns; "
+                             f"{c} is {t.simpleString()} — use exact=False for it")
+
+
 def long_form(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(_k, _v)``: one row per (column index, value) of the profiled columns."""
     return df.select(F.inline(F.array(*[

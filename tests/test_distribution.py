@@ -126,3 +126,11 @@ def test_density_of_fractional_values(spark):
     xs = np.linspace(a.min(), a.max(), 300)
     ref = np.exp(-0.5 * ((xs[:, None] - a[None, :]) / h) ** 2).sum(1) / (len(a) * h * math.sqrt(2 * math.pi))
     assert len(d) == 300 and max(abs(r.Density - ref[i]) for i, r in enumerate(d)) < 1e-9
+
+
+def test_describe_exact_rejects_floating_columns(spark):
+    import pytest
+    df = spark.createDataFrame([(1.5,)], "x double")
+    with pytest.raises(ValueError):
+        describe_numeric(df, ["x"])
+    assert describe_numeric(df, ["x"], exact=False).first().Count == 1
