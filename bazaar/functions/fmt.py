@@ -14,6 +14,16 @@ from bazaar.functions.money import rounded_quotient, unscale
 from bazaar.schema import CURRENCY_PREFIX
 
 
+def _negative(num: Column, den: Column | None = None) -> Column:
+    neg = num < 0
+    return neg if den is None else (neg != (den < 0)) & (num != 0)
+
+
+def signed(text: Column, q: Column, negative: Column) -> Column:
+    """Python keeps the sign of a negative value that rounds to zero (``-0``, ``-0.0``)."""
+    return F.concat(F.when(negative & (q == 0), F.lit("-")).otherwise(F.lit("")), text)
+
+
 def grouped(q: Column, decimals: int) -> Column:
     """Exact decimal text with thousands separators: ``1234567.5`` -> ``1,234,567.5``."""
     return F.format_number(unscale(q, decimals), decimals)
@@ -27,7 +37,7 @@ def plain(q: Column, decimals: int) -> Column:
 def number(amount: Column, decimals: int = 0) -> Column:
     """``{x:,.Nf}`` of a DECIMAL amount."""
     q = rounded_quotient(amount, F.lit(1), scale=decimals, half_even=True)
-    return grouped(q, decimals)
+    return signed(grouped(q, decimals), q, _negative(amount))
 
 
 def rupees(amount: Column, decimals: int = 0) -> Column:
@@ -38,19 +48,19 @@ def rupees(amount: Column, decimals: int = 0) -> Column:
 def rupees_of_ratio(num: Column, den: Column, decimals: int = 0) -> Column:
     """``Rs.{num/den:,.Nf}``, e.g. a mean sale, rounded from the exact quotient."""
     q = rounded_quotient(num, den, scale=decimals, half_even=True)
-    return F.concat(F.lit(CURRENCY_PREFIX), grouped(q, decimals))
+    return F.concat(F.lit(CURRENCY_PREFIX), signed(grouped(q, decimals), q, _negative(num, den)))
 
 
 def millions(amount: Column, decimals: int = 1, suffix: str = "M") -> Column:
     """``Rs.{x/1e6:.Nf}M`` of a DECIMAL amount (no thousands separators)."""
     q = rounded_quotient(amount, F.lit(1_000_000), scale=decimals, half_even=True)
-    return F.concat(F.lit(CURRENCY_PREFIX), plain(q, decimals), F.lit(suffix))
+    return F.concat(F.lit(CURRENCY_PREFIX), signed(plain(q, decimals), q, _negative(amount)), F.lit(suffix))
 
 
 def percent(num: Column, den: Column, decimals: int = 1) -> Column:
     """``{100*num/den:.Nf}%``."""
     q = rounded_quotient(num, den, scale=decimals, factor=100, half_even=True)
-    return F.concat(plain(q, decimals), F.lit("%"))
+    return F.concat(signed(plain(q, decimals), q, _negative(num, den)), F.lit("%"))
 
 
 def pad_right(text: Column, width: int) -> Column:

@@ -65,20 +65,38 @@ def plain(q: str, decimals: int) -> str:
     return f"format('{{:.{decimals}f}}', CAST({q} AS DOUBLE) / {10 ** decimals})"
 
 
+def signed(text: str, q: str, negative: str) -> str:
+    """Python keeps the sign of a negative value that rounds to zero."""
+    return f"(CASE WHEN ({negative}) AND ({q}) = 0 THEN '-' ELSE '' END || {text})"
+
+
+def _neg(num: str, den: str | None = None) -> str:
+    return f"(({num}) < 0)" if den is None else f"((({num}) < 0) <> (({den}) < 0) AND ({num}) <> 0)"
+
+
+def number(amount: str, decimals: int = 0) -> str:
+    q = quotient(amount, '1', decimals, 2, 0, 1, True)
+    return signed(grouped(q, decimals), q, _neg(amount))
+
+
 def rupees(amount: str, decimals: int = 0) -> str:
-    return f"('Rs.' || {grouped(quotient(amount, '1', decimals, 2, 0, 1, True), decimals)})"
+    q = quotient(amount, '1', decimals, 2, 0, 1, True)
+    return f"('Rs.' || {signed(grouped(q, decimals), q, _neg(amount))})"
 
 
 def rupees_of_ratio(num: str, den: str, decimals: int = 0) -> str:
-    return f"('Rs.' || {grouped(quotient(num, den, decimals, 2, 0, 1, True), decimals)})"
+    q = quotient(num, den, decimals, 2, 0, 1, True)
+    return f"('Rs.' || {signed(grouped(q, decimals), q, _neg(num, den))})"
 
 
 def millions(amount: str, decimals: int = 1, suffix: str = "M") -> str:
-    return f"('Rs.' || {plain(quotient(amount, '1000000', decimals, 2, 0, 1, True), decimals)} || '{suffix}')"
+    q = quotient(amount, '1000000', decimals, 2, 0, 1, True)
+    return f"('Rs.' || {signed(plain(q, decimals), q, _neg(amount))} || '{suffix}')"
 
 
 def percent(num: str, den: str, num_scale: int = 2, den_scale: int = 2) -> str:
-    return f"({plain(quotient(num, den, 1, num_scale, den_scale, 100, True), 1)} || '%')"
+    q = quotient(num, den, 1, num_scale, den_scale, 100, True)
+    return f"({signed(plain(q, 1), q, _neg(num, den))} || '%')"
 
 
 def with_sales(body: str, *ctes: str) -> str:
@@ -339,14 +357,14 @@ FROM t""", f"t AS (SELECT {ZREV} AS rev, COUNT(*) AS n, MIN(Order_Date) AS dmin,
            f"FROM sales_data)")
 
 SQL["insights_category_breakdown"] = with_sales(f"""
-SELECT Category, CAST(rev AS DOUBLE) AS Revenue, {grouped(quotient("rev", "1", 0, 2, 0, 1, True), 0)} AS Revenue_Text,
+SELECT Category, CAST(rev AS DOUBLE) AS Revenue, {number("rev")} AS Revenue_Text,
        {ratio("rev", f"(SELECT {ZREV} FROM sales_data)", scale=1, den_scale=2, factor=100, **HE)} AS Share_Pct
 FROM g""", dim_cte("Category"))
 
 
 def _revenue_table(dim: str) -> str:
     return with_sales(f"""
-SELECT {dim}, CAST(rev AS DOUBLE) AS Revenue, {grouped(quotient("rev", "1", 0, 2, 0, 1, True), 0)} AS Revenue_Text
+SELECT {dim}, CAST(rev AS DOUBLE) AS Revenue, {number("rev")} AS Revenue_Text
 FROM g""", dim_cte(dim))
 
 

@@ -49,3 +49,21 @@ def test_ties(spark):
     even = [r[0] for r in df.select(round_ratio("num", "den", scale=1, half_even=True)).collect()]
     assert up == [0.3, 0.4, -0.3, None]
     assert even == [0.2, 0.4, -0.2, None]
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(-10**14, 10**14), st.integers(1, 10**9)), min_size=1, max_size=200))
+def test_labels_equal_python_formatting(spark, rows):
+    from bazaar.functions import fmt
+    df = spark.createDataFrame([(Decimal(a).scaleb(-2), Decimal(b).scaleb(-2)) for a, b in rows],
+                               "a decimal(20,2), b decimal(20,2)")
+    got = df.select(fmt.rupees(F.col("a")).alias("r0"), fmt.rupees(F.col("a"), 2).alias("r2"),
+                    fmt.millions(F.col("a")).alias("m"), fmt.percent(F.col("a"), F.col("b")).alias("p")).collect()
+    with localcontext() as ctx:
+        ctx.prec = 80
+        for (a, b), g in zip(rows, got):
+            x, y = Decimal(a).scaleb(-2), Decimal(b).scaleb(-2)
+            assert g.r0 == "Rs.{:,.0f}".format(x)
+            assert g.r2 == "Rs.{:,.2f}".format(x)
+            assert g.m == "Rs.{:.1f}M".format(x / Decimal(10 ** 6))
+            assert g.p == "{:.1f}%".format(x * 100 / y)
