@@ -16,9 +16,6 @@ DEFAULT_CONF = {
     # Scan splits and post-shuffle partitions sized to fit executor memory at scale.
     "spark.sql.files.maxPartitionBytes": "512m",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
-    # Post-shuffle partitions sized by bytes, not by core count: small aggregates
-    # become a few tasks, large shuffles still split at the advisory size.
-    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     # Checkpoint files of dropped intermediate tables are removed, not left behind.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.session.timeZone": "UTC",
