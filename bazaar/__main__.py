@@ -1,8 +1,8 @@
 """Command line: the three things the original pipeline is run for.
 
     python -m bazaar load   --csv orders.csv [--jdbc-url URL] --db sales_analytics [--to-jdbc-url URL]
-    python -m bazaar eda    (--db NAME | --csv PATH | --parquet PATH) --out DIR
-    python -m bazaar report NAME (--db NAME | --csv PATH | --parquet PATH) [--sql]
+    python -m bazaar eda    (--db NAME | --csv PATH | --parquet PATH | --tables DIR) --out DIR
+    python -m bazaar report NAME (--db NAME | --csv PATH | --parquet PATH | --tables DIR) [--sql]
 
 ``load`` reads the database table when reachable, else the CSV, coerces and
 quarantines, fully refreshes ``<db>.sales_load`` and prints the reconciliation.
@@ -26,6 +26,7 @@ from bazaar.session import get_session, shared_path
 from bazaar.sources.csv import read_sales_csv
 from bazaar.sources.fallback import load_raw
 from bazaar.sources.jdbc import JdbcSource, write_sales_jdbc
+from bazaar.sources.tables import sales_table
 
 
 def _fact(spark: SparkSession, args, reused: bool = False) -> DataFrame:
@@ -34,6 +35,8 @@ def _fact(spark: SparkSession, args, reused: bool = False) -> DataFrame:
         return load_job.sales_data(spark, args.db)
     if args.parquet:
         return spark.read.parquet(args.parquet)
+    if args.tables:
+        return sales_table(spark, args.tables)
     rows = valid_rows(coerce(read_sales_csv(spark, args.csv)))
     if not reused:
         return rows
@@ -78,6 +81,7 @@ def build_parser() -> argparse.ArgumentParser:
         src.add_argument("--db")
         src.add_argument("--csv")
         src.add_argument("--parquet")
+        src.add_argument("--tables", help="folder of star-schema tables (lineitem, orders, ...) joined into sales")
         if name == "eda":
             sp.add_argument("--out", required=True)
             sp.add_argument("--generated-at", default=None, help="report stamp, ISO time (default: now)")

@@ -30,3 +30,8 @@ def test_database_target_failure_is_reported(spark, sales, tmp_path):
     with pytest.raises(Exception):
         main(["load", "--csv", csv, "--db", "cli_jdbc", "--to-jdbc-url", "jdbc:unreachable://localhost/x"], spark)
     assert spark.table("cli_jdbc.sales_data").count() == 1  # the catalog load itself completed
+
+
+def test_report_on_star_schema_tables(spark, capsys):
+    assert main(["report", "revenue_by_category", "--tables", "/root/testdata/sf0.001"], spark) == 0
+    assert "Revenue_Share_Pct" in capsys.readouterr().out
