@@ -45,3 +45,15 @@ def test_csv_reader_keeps_text(spark, tmp_path):
                  "Unit_Price,Total_Sales\nA1,2025-01-01,C,N,30.0,Male,Pune,Book,Education,2,5.00,1e3\n")
     r = read_sales_csv(spark, str(p)).first()
     assert (r.Age, r.Total_Sales) == ("30.0", "1e3")
+
+
+def test_load_table_enforces_declared_lengths(spark, tmp_path):
+    from bazaar.plans import load_job
+    load_job.ensure_database(spark, "len_check", str(tmp_path / "db"))
+    load_job.ensure_tables(spark, "len_check", str(tmp_path / "db"))
+    table = spark.table("len_check.sales_load")
+    row = {c: None for c in table.columns}
+    row.update(id=1, Order_ID="A", City="x" * 51, Status="valid")
+    df = spark.createDataFrame([tuple(row[c] for c in table.columns)], table.schema)
+    with pytest.raises(Exception, match="(?i)length"):
+        df.write.insertInto("len_check.sales_load")
