@@ -134,3 +134,11 @@ def test_describe_exact_rejects_floating_columns(spark):
     with pytest.raises(ValueError):
         describe_numeric(df, ["x"])
     assert describe_numeric(df, ["x"], exact=False).first().Count == 1
+
+
+def test_describe_keeps_all_null_column(sales):
+    rows = describe_numeric(sales(row(Age=None), row(Age=None))).collect()
+    by = {r.Column: r for r in rows}
+    assert [r.Column for r in rows] == ["Age", "Quantity", "Unit_Price", "Total_Sales"]
+    assert by["Age"].Count == 0 and by["Age"].Mean is None and by["Age"].P50 is None
+    assert by["Quantity"].Count == 2 and by["Quantity"].Std == 0.0
