@@ -95,3 +95,10 @@ def test_dataset_summary_counts_only(sales):
     counts = dataset_summary(df, with_lists=False).first()
     assert (full.Cities, full.City_List) == (2, "Gaya, Pune")
     assert counts.Cities == 2 and "City_List" not in counts.asDict()
+
+
+def test_named_share_without_revenue(sales):
+    r = insights.named_category_share(sales(row(Category="Electronics", Total_Sales=None))).first()
+    assert (r.Revenue, r.Share_Pct, r.Share_Label) == (0.0, None, None)
+    r = insights.named_category_share(sales()).first()
+    assert (r.Revenue, r.Share_Pct) == (0.0, None)
