@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaar.llm import bpe
+from bazaar.llm import bpe, simhash, warc, winnow
 from bazaar.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -19,6 +19,24 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op5_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.fingerprints(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        winnow.digest(F.col("chosen")).alias("fingerprint"), winnow.digest(F.col("edited_chosen")).alias("edited_fingerprint"),
+        "near_edited", "near_next")
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_of("simhash").alias("fingerprint"), "component_id")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     encoded = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
@@ -28,8 +46,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_bpe": op10_bpe}
+    return {q.__name__: q for q in (op5_winnow, op8_simhash, op9_warc, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": warc.ORACLE_SQL}
