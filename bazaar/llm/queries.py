@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaar.llm import bpe, simhash, warc, winnow
+from bazaar.llm import bpe, decontaminate, quality, simhash, spans, toxicity, warc, winnow
 from bazaar.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -19,6 +19,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
 def op5_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnow.fingerprints(table(spark, sf_dir, "documents"))
     return found.select(
@@ -27,6 +35,14 @@ def op5_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_edited", "near_next")
 
 
+def op6_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.repeats(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of("simhash").alias("fingerprint"), "component_id")
@@ -46,7 +62,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op5_winnow, op8_simhash, op9_warc, op10_bpe)}
+    return {q.__name__: q for q in (op3_toxicity, op4_decontamination, op5_winnow, op6_spans, op7_quality,
+                                    op8_simhash, op9_warc, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
