@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaar.llm import bpe, decontaminate, quality, simhash, spans, toxicity, warc, winnow
+from bazaar.llm import bpe, decontaminate, html_text, licences, quality, simhash, spans, toxicity, warc, winnow
 from bazaar.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -19,6 +19,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(licences.paths_of(table(spark, sf_dir, "documents"))).withColumnRenamed("row", "doc_id")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,9 +69,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op3_toxicity, op4_decontamination, op5_winnow, op6_spans, op7_quality,
-                                    op8_simhash, op9_warc, op10_bpe)}
+    return {q.__name__: q for q in (
+        op1_html_text, op2_licences, op3_toxicity, op4_decontamination, op5_winnow, op6_spans, op7_quality, op8_simhash, op9_warc,
+        op10_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
