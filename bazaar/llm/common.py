@@ -38,6 +38,14 @@ def in_batches(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(each, schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_of_id(doc_id: Column) -> Column:
     """crc32 of the id written as decimal text; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary"))

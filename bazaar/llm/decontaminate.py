@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.llm.common import bounded, in_batches, stored
+from bazaar.llm.common import bounded, fresh, in_batches, stored
 
 WINDOW = 8
 LITERALS = 4
 LEAST = 4
 COVERAGE = 0.5
-BROKEN = 0.2
+BROKEN = 0.1
 #: Bits of the field that marks the benchmark's windows; it is this large whatever the benchmark's size.
 FIELD_BITS = 22
 #: Benchmark windows (two numbers each) up to which they are broadcast; more are joined by shuffle.
@@ -232,7 +232,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``documents`` without the rows that hold a benchmark item."""
-    held = leaks(documents, benchmark).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
-    rows = documents.withColumn("_text_hash", F.xxhash64("text"))
-    return rows.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_row")), "left_anti") \
-        .select(*(F.col(f"`{c}`") for c in documents.columns))
+    some_id, held_hash, own_hash = (fresh(documents, c) for c in ("_id", "_held", "_text_hash"))
+    held = leaks(documents, benchmark).select(F.col("doc_id").alias(some_id), F.col("row").alias(held_hash)).distinct()
+    rows = documents.withColumn(own_hash, F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(some_id)) & (F.col(own_hash) == F.col(held_hash))
+    return rows.join(held, same, "left_anti").select(*(F.col(f"`{c}`") for c in documents.columns))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.llm.common import crc_of_id, in_batches
+from bazaar.llm.common import crc_of_id, fresh, in_batches
 
 MAX_POSITIVES = 12_000
 MAX_UNLABELLED = 24_000
@@ -177,5 +177,6 @@ def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows whose predicted quality is 1, with the columns they came with."""
-    scored = with_score(documents, train(documents, labels), "_score")
-    return scored.where(F.col("_score") >= THRESHOLD).select(*(F.col(f"`{c}`") for c in documents.columns))
+    score = fresh(documents, "_score")
+    scored = with_score(documents, train(documents, labels), score)
+    return scored.where(F.col(score) >= THRESHOLD).select(*(F.col(f"`{c}`") for c in documents.columns))

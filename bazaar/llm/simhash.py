@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.llm.common import in_batches, stored
+from bazaar.llm.common import fresh, in_batches, stored
 from bazaar.llm.components import components
 
 SHINGLE = 3
@@ -205,13 +205,15 @@ def one_of_each(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) ->
     rows = stored(with_fingerprint(df.select("doc_id", "text"), shingle).drop("text"), "simhash")
     of = components_of(rows, radius)
     stays = stored(rows.join(of, "simhash").where("doc_id <=> component_id").groupBy("doc_id")
-                   .agg(F.count("*").alias("_rows")), "stays")
-    once = df.join(stays.where("_rows = 1 and doc_id is not null").select("doc_id"), "doc_id", "left_semi")
-    more = stays.where("_rows > 1 or doc_id is null").select(F.col("doc_id").alias("_id"))
+                   .agg(F.count("*").alias("n")), "stays")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    once = df.join(stays.where("n = 1 and doc_id is not null").select("doc_id"), "doc_id", "left_semi").select(*columns)
+    some_id, own, print_, root, least = (fresh(df, c) for c in ("_id", "_simhash", "_print", "_root", "_least"))
+    more = stays.where("n > 1 or doc_id is null").select(F.col("doc_id").alias(some_id))
     if more.isEmpty():
-        return once.select(df.columns)
+        return once
     # Ids that stand in several rows: the rows' own fingerprints tell which belong to the component.
-    again = with_fingerprint(df.join(more, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), shingle, "_simhash")
-    again = (again.join(of, F.col("_simhash") == F.col("simhash")).where("doc_id <=> component_id")
-             .dropDuplicates(["root"]))
-    return once.select(df.columns).unionByName(again.select(df.columns))
+    again = with_fingerprint(df.join(more, F.col("doc_id").eqNullSafe(F.col(some_id)), "left_semi"), shingle, own)
+    of = of.select(F.col("simhash").alias(print_), F.col("root").alias(root), F.col("component_id").alias(least))
+    again = again.join(of, F.col(own) == F.col(print_)).where(F.col("doc_id").eqNullSafe(F.col(least))).dropDuplicates([root])
+    return once.unionByName(again.select(*columns))

@@ -13,7 +13,7 @@ the white space after them.  Everything else of a text stays as it is.
 
 Null and empty texts, and texts without a whole span, stay as they are.  Rows are told apart by doc_id and text:
 rows that repeat both are one document and are treated alike; a null doc_id comes after all
-others.  Columns of the input whose names are used here (``_text_hash``) must not occur.
+others.  Input columns that have the name of an output column are replaced by it.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.llm.common import in_batches, stored
+from bazaar.llm.common import fresh, in_batches, stored
 
 SENTENCES = 2
 WORDS = 16
@@ -116,15 +116,20 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     return again.select("doc_id", "_text_hash", "first", "last", F.col("kept.doc_id").alias("first_doc_id"))
 
 
-def without_repeats(documents: DataFrame) -> DataFrame:
-    """``documents`` with cleaned ``text`` and three columns more: ``removed`` (array of the removed
-    passages), ``removed_chars`` and ``first_doc_ids`` (where they stay); of untouched rows these are empty."""
-    ranges = stored(repeated_spans(documents).groupBy("doc_id", "_text_hash").agg(
-        F.collect_set(F.struct("first", "last")).alias("ranges"), F.collect_set("first_doc_id").alias("first_doc_ids")),
-        "removals").select(F.col("doc_id").alias("_id"), F.col("_text_hash").alias("_of"), "ranges", "first_doc_ids")
-    rows = documents.withColumn("_text_hash", _text_hash())
-    rows = rows.join(ranges, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_of")), "left") \
-        .drop("_id", "_of", "_text_hash")
+RESULTS = ("removed", "removed_chars", "first_doc_ids")
+
+
+def without_repeats(documents: DataFrame, results: tuple[str, str, str] = RESULTS) -> DataFrame:
+    """``documents`` with cleaned ``text`` and three columns more (their names: ``results``): the removed
+    passages, their number of characters, and the documents where they stay; of untouched rows these are empty."""
+    documents = documents.drop(*results)
+    some_id, of, own, ranges, firsts = (fresh(documents, c) for c in ("_id", "_of", "_text_hash", "_ranges", "_firsts"))
+    places = stored(repeated_spans(documents).groupBy("doc_id", "_text_hash").agg(
+        F.collect_set(F.struct("first", "last")).alias("ranges"), F.collect_set("first_doc_id").alias("firsts")), "removals")
+    places = places.select(F.col("doc_id").alias(some_id), F.col("_text_hash").alias(of), F.col("ranges").alias(ranges),
+                           F.col("firsts").alias(firsts))
+    rows = documents.withColumn(own, _text_hash())
+    rows = rows.join(places, F.col("doc_id").eqNullSafe(F.col(some_id)) & (F.col(own) == F.col(of)), "left")
     keep = documents.schema.fields
     at = [f.name for f in keep].index("text")
     kind = dict(documents.dtypes)["doc_id"]
@@ -132,11 +137,11 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     def each(batches):
         for batch in batches:
             texts, removed = batch.column(at).to_pylist(), []
-            for i, ranges in enumerate(batch.column(len(keep)).to_pylist()):
+            for i, taken in enumerate(batch.column(len(keep)).to_pylist()):
                 passages = []
-                if ranges:
+                if taken:
                     parts = sentences(texts[i])
-                    gone = sorted({n for r in ranges for n in range(r["first"], r["last"] + 1)})
+                    gone = sorted({n for r in taken for n in range(r["first"], r["last"] + 1)})
                     blocks = []
                     for n in gone:
                         if blocks and blocks[-1][1] == n - 1:
@@ -155,12 +160,13 @@ def without_repeats(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(removed, pa.list_(pa.string())),
                  pa.array([sum(map(len, x)) for x in removed], pa.int64()), batch.column(len(keep) + 1)],
-                names=[*batch.schema.names[:len(keep)], "removed", "removed_chars", "first_doc_ids"])
+                names=[*batch.schema.names[:len(keep)], *results])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
-    rows = rows.select(*(F.col(f"`{f.name}`") for f in keep), "ranges",
-                       F.coalesce("first_doc_ids", F.array().cast(f"array<{kind}>")).alias("first_doc_ids"))
-    return in_batches(rows, each, f"{schema}, removed array<string>, removed_chars long, first_doc_ids array<{kind}>")
+    rows = rows.select(*(F.col(f"`{f.name}`") for f in keep), ranges,
+                       F.coalesce(firsts, F.array().cast(f"array<{kind}>")).alias(firsts))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), f"`{results[0]}` array<string>",
+                        f"`{results[1]}` long", f"`{results[2]}` array<{kind}>"])
+    return in_batches(rows, each, schema)
 
 
 def repeats(documents: DataFrame) -> DataFrame:
@@ -170,7 +176,8 @@ def repeats(documents: DataFrame) -> DataFrame:
 
 def cleaned(documents: DataFrame) -> DataFrame:
     """``documents`` with cleaned texts (and ``n_chars`` counted again, where there is one); a text of which nothing is left goes."""
-    done = without_repeats(documents)
-    done = done.where((F.col("removed_chars") == 0) | (F.trim("text") != ""))
+    names = tuple(fresh(documents, c) for c in ("_removed", "_removed_chars", "_first_doc_ids"))
+    done = without_repeats(documents, names)
+    done = done.where((F.col(names[1]) == 0) | (F.trim("text") != ""))
     columns = [F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in documents.columns]
     return done.select(*columns)
