@@ -1,13 +1,15 @@
 """Command line: the three things the original pipeline is run for.
 
-    python -m bazaar load   --csv orders.csv [--jdbc-url URL] --db sales_analytics [--to-jdbc-url URL]
-    python -m bazaar eda    (--db NAME | --csv PATH | --parquet PATH | --tables DIR) --out DIR
-    python -m bazaar report NAME (--db NAME | --csv PATH | --parquet PATH | --tables DIR) [--sql]
+    python -m bazaar load   --csv orders.csv [--jdbc-url URL] --db sales_analytics --warehouse DIR [--to-jdbc-url URL]
+    python -m bazaar eda    (--db NAME --warehouse DIR | --csv PATH | --parquet PATH | --tables DIR) --out DIR
+    python -m bazaar report NAME (--db NAME --warehouse DIR | --csv PATH | --parquet PATH | --tables DIR)
 
 ``load`` reads the database table when reachable, else the CSV, coerces and
 quarantines, fully refreshes ``<db>.sales_load`` and prints the reconciliation.
 ``eda`` writes every EDA section (Parquet) and the report tables (Markdown).
-``report`` prints one registered report.  Database credentials come from the
+``report`` prints one registered report.  ``--warehouse`` is the folder of the loaded
+tables; a later process finds them there.  Reports on a file keep every row of it; rows are
+rejected by ``load`` only.  Database credentials come from the
 ``--jdbc-user`` / ``--jdbc-password-file`` options, never from code.
 """
 
@@ -20,8 +22,9 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bazaar.operators.clean import coerce, valid_rows
-from bazaar.plans import catalog, eda_job, load_job, sql_reports
+from bazaar.operators.clean import report_rows
+from bazaar.plans import catalog, eda_job, load_job
+from bazaar.schema import DATE_FORMATS
 from bazaar.session import get_session, shared_path
 from bazaar.sources.csv import read_sales_csv
 from bazaar.sources.fallback import load_raw
@@ -32,12 +35,14 @@ from bazaar.sources.tables import sales_table
 def _fact(spark: SparkSession, args, reused: bool = False) -> DataFrame:
     """The sales rows to report on; a CSV read several times is coerced once and written as Parquet first."""
     if args.db:
+        if args.warehouse:
+            load_job.attach(spark, args.db, args.warehouse)
         return load_job.sales_data(spark, args.db)
     if args.parquet:
         return spark.read.parquet(args.parquet)
     if args.tables:
         return sales_table(spark, args.tables)
-    rows = valid_rows(coerce(read_sales_csv(spark, args.csv)))
+    rows = report_rows(read_sales_csv(spark, args.csv, args.multi_line), args.date_format or DATE_FORMATS)
     if not reused:
         return rows
     path = shared_path(spark, "cli", uuid.uuid4().hex[:12], "sales_data")
@@ -76,7 +81,6 @@ def build_parser() -> argparse.ArgumentParser:
         sp = sub.add_parser(name)
         if name == "report":
             sp.add_argument("name", choices=sorted(catalog.REPORTS))
-            sp.add_argument("--sql", action="store_true", help="run the Spark SQL text of a SQL report")
         src = sp.add_mutually_exclusive_group(required=True)
         src.add_argument("--db")
         src.add_argument("--csv")
@@ -85,6 +89,10 @@ def build_parser() -> argparse.ArgumentParser:
         if name == "eda":
             sp.add_argument("--out", required=True)
             sp.add_argument("--generated-at", default=None, help="report stamp, ISO time (default: now)")
+    for sp in sub.choices.values():
+        sp.add_argument("--warehouse", help="folder of the loaded tables (default: the session's catalog)")
+        sp.add_argument("--multi-line", action="store_true", help="CSV fields may hold line breaks; each file is one task")
+        sp.add_argument("--date-format", action="append", help="pattern of dates in a CSV; may be given several times")
     return p
 
 
@@ -92,9 +100,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     args = build_parser().parse_args(argv)
     spark = spark or get_session(args.master)
     if args.command == "load":
-        raw, used = load_raw(spark, _jdbc(args), args.csv)
+        raw, used = load_raw(spark, _jdbc(args), args.csv, args.multi_line)
         print(f"source: {used}")
-        load_job.run(spark, raw, args.db).show(truncate=False)
+        load_job.run(spark, raw, args.db, args.warehouse, args.date_format or DATE_FORMATS).show(truncate=False)
         if args.to_jdbc_url:
             target = JdbcSource(url=args.to_jdbc_url, table=args.to_jdbc_table,
                                 properties=_jdbc(args).properties if args.jdbc_url else {})
@@ -104,10 +112,6 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         stamp = datetime.fromisoformat(args.generated_at) if args.generated_at else datetime.now()
         eda_job.run(_fact(spark, args, reused=True), out_dir=args.out, generated_at=stamp)
         print(f"sections written to {args.out}")
-    elif args.sql:
-        if args.name not in sql_reports.SQL_REPORTS:
-            raise SystemExit(f"{args.name} has no SQL form; the SQL reports are {sorted(sql_reports.SQL_REPORTS)}")
-        sql_reports.run(spark, args.name, _fact(spark, args)).show(n=1000, truncate=False)
     else:
         catalog.REPORTS[args.name](_fact(spark, args)).show(n=1000, truncate=False)
     return 0

@@ -2,18 +2,25 @@
 
 Every field arrives as text.  Rules:
 
-* text equal (after trimming) to one of ``NA_TOKENS`` is NULL in every column;
+* text equal (after trimming) to one of ``NA_TOKENS`` is NULL in every column; other text is
+  kept as it stands, blanks around it included;
 * numbers must look like a decimal literal (optional sign, digits, optional
   fraction and exponent) — ``'7d'``, ``'1,000'``, ``'inf'``, ``'nan'`` are NULL,
   although a bare ``try_cast`` would read ``'7d'`` as 7.0;
-* ``Age`` / ``Quantity`` are whole numbers: ``'30.0'`` is 30, a fractional value
-  sends the row to quarantine (the table column is INT), overflow is NULL;
-* money is DECIMAL, rounded half up to two places (``'10.555'`` -> 10.56);
-* ``Order_Date`` tries each of ``DATE_FORMATS`` in order; impossible dates
-  (``2025-02-30``) and other text are NULL;
+* ``Age`` / ``Quantity`` are whole numbers in the load table: ``'30.0'`` is 30, a fractional
+  value or one beyond INT sends the row to quarantine;
+* money is DECIMAL, rounded half up to two places (``'10.555'`` -> 10.56); a number
+  beyond its precision sends the row to quarantine;
+* ``Order_Date`` tries each date format in order (``DATE_FORMATS``, or those the caller
+  gives); impossible dates (``2025-02-30``) and other text are NULL;
+* a row that the CSV reader could not split into its columns is quarantined as ``malformed``;
 * ``Order_ID`` must be present and at most 20 characters, other text columns at
   most their declared length — otherwise the row is quarantined with a reason.
 
+These limits belong to the load table.  Reports that read a file directly use
+``report_rows``, which keeps every row: whole or fractional numbers, texts of any length,
+missing ids.
+
 All of it is per-row column arithmetic inside whole-stage codegen; nothing
 is collected.  ``coerce`` keeps the raw text next to the typed value so valid
 rows and quarantined rows come out of a single pass.
@@ -24,65 +31,75 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.schema import COLUMNS, DATE_FORMATS, MAX_LENGTH, MONEY, NA_TOKENS, PRICE
+from bazaar.schema import COLUMNS, DATE_FORMATS, MALFORMED, MAX_LENGTH, MONEY, NA_TOKENS, PRICE, REPORT_NUMBER
 
 NUMBER_PATTERN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 INT_LIMIT = 2 ** 31
 
 
 def na_to_null(text: Column) -> Column:
-    """NULL when the trimmed text is a missing-value token, else the trimmed text."""
+    """NULL when the trimmed text is a missing-value token, else the text as it stands."""
     t = F.trim(text)
-    return F.when(t.isNull() | t.isin(*NA_TOKENS), F.lit(None).cast("string")).otherwise(t)
+    return F.when(t.isNull() | t.isin(*NA_TOKENS), F.lit(None).cast("string")).otherwise(text)
 
 
 def number(text: Column) -> Column:
     """DOUBLE of a decimal literal, NULL for anything else (including inf / nan)."""
-    t = na_to_null(text)
+    t = F.trim(na_to_null(text))
     return F.when(t.rlike(NUMBER_PATTERN), t.try_cast("double"))
 
 
-def whole(text: Column) -> tuple[Column, Column]:
-    """(INT value, is-fractional flag) of a numeric text field."""
+def whole(text: Column) -> tuple[Column, Column, Column]:
+    """(INT value, is-fractional flag, beyond-INT flag) of a numeric text field."""
     d = number(text)
     fractional = d.isNotNull() & (d != F.floor(d))
-    in_range = d.isNotNull() & (F.abs(d) < INT_LIMIT)
-    value = F.when(in_range & ~fractional, d.cast("int"))
-    return value, fractional
+    beyond = d.isNotNull() & (F.abs(d) >= INT_LIMIT)
+    value = F.when(~beyond & ~fractional, d.cast("int"))
+    return value, fractional, beyond
 
 
 def money(text: Column, dtype=MONEY) -> Column:
-    t = na_to_null(text)
+    t = F.trim(na_to_null(text))
     return F.when(t.rlike(NUMBER_PATTERN), t.try_cast(dtype))
 
 
+def money_beyond(text: Column, dtype=MONEY) -> Column:
+    """Whether the text is a number that ``dtype`` cannot hold."""
+    return number(text).isNotNull() & money(text, dtype).isNull()
+
+
 def date_of(text: Column, formats: list[str] = DATE_FORMATS) -> Column:
-    t = na_to_null(text)
+    t = F.trim(na_to_null(text))
     return F.to_date(F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats]))
 
 
-def coerce(raw: DataFrame) -> DataFrame:
+def coerce(raw: DataFrame, date_formats: list[str] = DATE_FORMATS) -> DataFrame:
     """Typed sales columns + ``Reason`` (NULL for a valid row) + the raw text as ``raw_<col>``.
 
-    ``raw`` has the twelve business columns as strings (extra columns are kept out).
+    ``raw`` has the twelve business columns as strings; of other columns only the CSV
+    reader's ``MALFORMED`` is looked at.
     """
     r = {c: F.col(c) for c in COLUMNS}
     text = {c: na_to_null(r[c]) for c in MAX_LENGTH}
-    age, age_frac = whole(r["Age"])
-    qty, qty_frac = whole(r["Quantity"])
+    age, age_frac, age_beyond = whole(r["Age"])
+    qty, qty_frac, qty_beyond = whole(r["Quantity"])
+    malformed = F.col(MALFORMED).isNotNull() if MALFORMED in raw.columns else F.lit(False)
     too_long = None
     for c, n in MAX_LENGTH.items():
         if c == "Order_ID":
             continue
         cond = F.length(text[c]) > n
         too_long = cond if too_long is None else (too_long | cond)
-    reason = (F.when(text["Order_ID"].isNull(), F.lit("order_id_null"))
+    reason = (F.when(malformed, F.lit("malformed"))
+               .when(text["Order_ID"].isNull(), F.lit("order_id_null"))
                .when(F.length(text["Order_ID"]) > MAX_LENGTH["Order_ID"], F.lit("order_id_length"))
                .when(age_frac, F.lit("fractional_age"))
                .when(qty_frac, F.lit("fractional_quantity"))
+               .when(age_beyond | qty_beyond, F.lit("integer_overflow"))
+               .when(money_beyond(r["Unit_Price"], PRICE) | money_beyond(r["Total_Sales"], MONEY), F.lit("money_overflow"))
                .when(F.coalesce(too_long, F.lit(False)), F.lit("text_length")))
     typed = {
-        "Order_ID": text["Order_ID"], "Order_Date": date_of(r["Order_Date"]),
+        "Order_ID": text["Order_ID"], "Order_Date": date_of(r["Order_Date"], date_formats),
         "Customer_ID": text["Customer_ID"], "Customer_Name": text["Customer_Name"],
         "Age": age, "Gender": text["Gender"], "City": text["City"], "Product": text["Product"],
         "Category": text["Category"], "Quantity": qty,
@@ -92,6 +109,18 @@ def coerce(raw: DataFrame) -> DataFrame:
                       *[r[c].alias(f"raw_{c}") for c in COLUMNS])
 
 
+def report_rows(raw: DataFrame, date_formats: list[str] = DATE_FORMATS) -> DataFrame:
+    """Every row of ``raw`` with typed columns, as the reports on a file read it: nothing is rejected.
+
+    Age and Quantity keep a fraction (six places); text is only turned to NULL where it is
+    a missing-value token, numbers and dates where they are none.
+    """
+    kind = {"Age": REPORT_NUMBER, "Quantity": REPORT_NUMBER, "Unit_Price": PRICE, "Total_Sales": MONEY}
+    typed = {c: money(F.col(c), kind[c]) if c in kind else na_to_null(F.col(c)) for c in COLUMNS}
+    typed["Order_Date"] = date_of(F.col("Order_Date"), date_formats)
+    return raw.select(*[typed[c].alias(c) for c in COLUMNS])
+
+
 def valid_rows(coerced: DataFrame) -> DataFrame:
     return coerced.where(F.col("Reason").isNull()).select(*COLUMNS)
 

@@ -6,7 +6,7 @@
   correction against the computed edges.  The column is first reduced to
   distinct values with counts (checkpointed, so the fact is read once);
   min/max come in as a scalar subquery over them, and one global aggregate of
-  conditional sums fills the bins — no join.  Each bin carries the colour band of its left edge.
+  conditional sums fills the bins — no join.  Each bin carries the age group of its left edge.
 * ``age_density`` — Gaussian kernel density with Scott's bandwidth
   ``h = std · n^(-1/5)`` (sample std) at 300 equally spaced points from min to
   max.  The column is first reduced to distinct values with counts, so the
@@ -28,21 +28,15 @@ from bazaar.operators.quantiles import value_counts
 from bazaar.schema import DENSITY_POINTS, HISTOGRAM_BANDS, HISTOGRAM_BINS
 
 
-def histogram_band(left: Column) -> tuple[Column, Column]:
-    """(label, colour) of a bar from its left edge."""
-    label = colour = None
-    for bound, name, hexcode in HISTOGRAM_BANDS:
-        if bound is None:
-            label, colour = label.otherwise(F.lit(name)), colour.otherwise(F.lit(hexcode))
-        elif label is None:
-            label, colour = F.when(left < bound, F.lit(name)), F.when(left < bound, F.lit(hexcode))
-        else:
-            label, colour = label.when(left < bound, F.lit(name)), colour.when(left < bound, F.lit(hexcode))
-    return label, colour
+def histogram_band(left: Column) -> Column:
+    """Label of a bar from its left edge."""
+    *bounded, (_, rest) = HISTOGRAM_BANDS
+    cases = [F.when(left < bound, F.lit(name)) for bound, name in bounded]
+    return F.coalesce(*cases, F.lit(rest))
 
 
 def histogram(df: DataFrame, col: str = "Age", bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """Rows ``Bin, Bin_Start, Bin_End, Orders, Age_Group, Colour``; none when the column is all NULL."""
+    """Rows ``Bin, Bin_Start, Bin_End, Orders, Age_Group``; none when the column is all NULL."""
     return histogram_from_counts(_counts_of(df, col), bins)
 
 
@@ -78,9 +72,8 @@ def histogram_from_counts(counts: DataFrame, bins: int = HISTOGRAM_BINS) -> Data
     rows = F.array(*[F.struct(F.lit(b).alias("Bin"), F.col(f"c{b}").alias("Orders")) for b in range(bins)])
     out = counts.select("_first", "_last", F.inline(rows))
     start, end = edge(F.col("Bin")), edge(F.col("Bin") + 1)
-    label, colour = histogram_band(start)
     return (out.select("Bin", start.alias("Bin_Start"), end.alias("Bin_End"), "Orders",
-                       label.alias("Age_Group"), colour.alias("Colour"))
+                       histogram_band(start).alias("Age_Group"))
                .where(F.col("Bin_Start").isNotNull()))
 
 

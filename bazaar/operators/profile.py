@@ -79,11 +79,14 @@ def missing_values(df: DataFrame) -> DataFrame:
     return present_missing(df.agg(F.count(F.lit(1)).alias("Rows"), *missing_aggs(df.columns)), df.columns)
 
 
-LONG_VALUE = "decimal(24,2)"  # holds INT and DECIMAL(<=14,2) columns exactly
+def _long_type(df: DataFrame, columns: list[str]) -> str:
+    """One type that holds the profiled columns exactly: two places unless a DECIMAL has more."""
+    scales = [t.scale for t in (df.schema[c].dataType for c in columns) if isinstance(t, T.DecimalType)]
+    return "decimal(28,6)" if max(scales, default=0) > 2 else "decimal(24,2)"
 
 
 def describe_numeric(df: DataFrame, columns: list[str] = NUMERIC_PROFILE_COLUMNS, exact: bool = True,
-                     accuracy: int = 10_000, percentile_options: dict | None = None) -> DataFrame:
+                     accuracy: int = 10_000, ranges: int | None = None) -> DataFrame:
     """Count, mean, sample std, min, quartiles and max, one row per numeric column.
 
     The fact is read once: the ``(column, value)`` long form is reduced to a
@@ -94,12 +97,12 @@ def describe_numeric(df: DataFrame, columns: list[str] = NUMERIC_PROFILE_COLUMNS
     index to the list of columns, so an all-NULL column still gets its row.
     ``exact=False`` takes the quartiles from a ``percentile_approx`` sketch per
     column instead (rank error about ``1/accuracy``; one pass, no checkpoint).
-    ``percentile_options`` go to ``quantiles.grouped_percentiles``.
+    ``ranges`` goes to ``quantiles.value_counts``.
     """
     long = long_form(df, columns)
     if exact:
         _check_exact_types(df, columns)
-        return describe_from_counts(value_counts(long, "_k", "_v"), columns, percentile_options)
+        return describe_from_counts(value_counts(long, "_k", "_v", ranges), columns)
     aggs = []
     for i, c in enumerate(columns):
         x = F.col(c)
@@ -117,23 +120,24 @@ def describe_numeric(df: DataFrame, columns: list[str] = NUMERIC_PROFILE_COLUMNS
 
 
 def _check_exact_types(df: DataFrame, columns: list[str]) -> None:
-    """The exact path holds values as DECIMAL(24,2): integral columns and DECIMALs with at most 2 places."""
+    """The exact path holds values as DECIMAL(28,6): integral columns and DECIMALs with at most 6 places."""
     for c in columns:
         t = df.schema[c].dataType
         fits = isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) or (
-            isinstance(t, T.DecimalType) and t.scale <= 2 and t.precision - t.scale <= 22)
+            isinstance(t, T.DecimalType) and t.scale <= 6 and t.precision - t.scale <= 22)
         if not fits:
-            raise ValueError(f"describe_numeric(exact=True) needs integral or DECIMAL(p<=24, s<=2) columns; "
+            raise ValueError(f"describe_numeric(exact=True) needs integral or DECIMAL columns of at most 22.6 digits; "
                              f"{c} is {t.simpleString()} — use exact=False for it")
 
 
 def long_form(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(_k, _v)``: one row per (column index, value) of the profiled columns."""
+    kind = _long_type(df, columns)
     return df.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("_k"), F.col(c).cast(LONG_VALUE).alias("_v")) for i, c in enumerate(columns)])))
+        F.struct(F.lit(i).alias("_k"), F.col(c).cast(kind).alias("_v")) for i, c in enumerate(columns)])))
 
 
-def describe_from_counts(vc: DataFrame, columns: list[str], percentile_options: dict | None = None) -> DataFrame:
+def describe_from_counts(vc: DataFrame, columns: list[str]) -> DataFrame:
     """The exact describe table from a ``value_counts`` table of ``long_form`` (reads no fact rows)."""
     first = vc.groupBy("_k").agg(F.sum("c").alias("_n"), F.sum(F.col("c") * F.col("v")).alias("_s"),
                                  F.min("v").cast("double").alias("_lo"), F.max("v").cast("double").alias("_hi"))
@@ -143,7 +147,7 @@ def describe_from_counts(vc: DataFrame, columns: list[str], percentile_options:
                 .groupBy("_k").agg(F.sum(F.col("c") * F.pow(F.col("_vd") - F.col("_mean"), 2)).alias("_ss")))
     moments = (first.join(spread, "_k")
                     .withColumn("_sd", F.when(F.col("_n") > 1, F.sqrt(F.col("_ss") / (F.col("_n") - 1)))))
-    quart = percentiles_of_counts(vc, "_k", [0.25, 0.5, 0.75], **(percentile_options or {}))
+    quart = percentiles_of_counts(vc, "_k", [0.25, 0.5, 0.75])
     return _present_describe(vc.sparkSession, columns, moments, quart)
 
 

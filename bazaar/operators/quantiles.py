@@ -4,105 +4,62 @@ Spark's exact ``percentile`` merges a value -> count map of the whole column in
 single task, so its memory grows with the number of distinct values.  Here,
 for each group ``k`` (e.g. one group per profiled column):
 
-1. ``vc``: the values reduced to ``(k, v, c)`` distinct values and counts (a hot
-   value becomes one row, however many rows carry it);
-2. approximate cut points of each group's distinct values (a bounded sketch
-   per group, ``buckets - 1`` numbers) split ``vc`` into at most ``buckets``
-   contiguous ranges; a value's range is found by binary search on the cut
-   array (``log2(buckets)`` steps of one higher-order function, JVM-side);
-3. per-range counts (at most ``buckets`` rows per group) and their running
-   sums locate the range and offset of each wanted rank;
-4. only the ranges holding wanted ranks are sorted — one window partition per
-   range, each about ``distinct / buckets`` rows — to read the exact values.
-
-``vc`` is checkpointed into the shared checkpoint folder, so the input is
-scanned once and a lost executor recomputes from the checkpoint, not from the
-fact.  The small tables (cut points, range offsets) are broadcast: their size is
-bounded by ``groups × buckets``, not by the data.  The cut points only balance
-the work; the answer is exact whatever they are.  Rank ``h = (n-1)·p``
-interpolates between ranks ``floor(h)`` and ``ceil(h)``.
+1. ``value_counts``: the values reduced to ``(k, v, c)`` distinct values and counts (a hot
+   value becomes one row, however many rows carry it), range-partitioned on ``(k, v)`` and
+   written as Parquet with the number ``_b`` of the range;
+2. per-range counts (one row per range and group) and their running sums locate the
+   range and offset of each wanted rank;
+3. only the ranges holding wanted ranks are sorted, one window partition per range, to
+   read the exact values.
+
+The table lies in the cluster's shared folder, so the input is scanned once and a lost
+executor rereads the table, not the fact.  The path is the same at every size.  Rank
+``h = (n-1)·p`` interpolates between ranks ``floor(h)`` and ``ceil(h)``.
 """
 
 from __future__ import annotations
 
+import uuid
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bazaar.session import shared_dir
+from bazaar.session import shared_path
 
 WIDE = "decimal(38,0)"
 
 
-def with_range(vc: DataFrame, buckets: int) -> DataFrame:
-    """Add ``_b`` = number of entries of ``_cuts`` that are ``<= _vd`` (binary lifting).
-
-    One ``aggregate`` over the ``log2(buckets)`` step sizes, so the expression
-    stays small whatever the bucket count.
-    """
-    steps, step = [], 1 << ((buckets - 1).bit_length() - 1)  # largest power of two <= buckets - 1
-    while step >= 1:
-        steps.append(F.lit(step))
-        step //= 2
-    v, c = F.col("_vd"), F.col("_cuts")
-
-    def lift(pos: Column, s: Column) -> Column:
-        return F.when(F.try_element_at(c, pos + s) <= v, pos + s).otherwise(pos)
-
-    return vc.withColumn("_b", F.aggregate(F.array(*steps), F.lit(0), lift))
-
-
-MAX_BUCKETS = 1 << 16
-
-
-def grouped_percentiles(df: DataFrame, key: str, value: str, probs: list[float], buckets: int = 128,
-                        accuracy: int | None = None, values_per_range: int = 1_000_000,
-                        single_task_limit: int = 100_000) -> DataFrame:
+def grouped_percentiles(df: DataFrame, key: str, value: str, probs: list[float], ranges: int | None = None) -> DataFrame:
     """One row per group: ``key`` and ``p{i}`` (DOUBLE) = exact ``probs[i]`` percentile of ``value``.
 
-    NULL values are ignored; a group with no values does not appear.  When no
-    group has more than ``single_task_limit`` distinct values (checked on the
-    checkpointed value table), Spark's exact ``percentile`` with the counts as
-    frequencies runs per group — its value map is bounded by that check.
-    Beyond it the range-partitioned path runs, with the range count grown so
-    one range (one window partition) holds about ``values_per_range`` values.
+    NULL values are ignored; a group with no values does not appear.  ``ranges`` is the number
+    of ranges of the value table (default: the shuffle partitions of the session).
     """
-    return percentiles_of_counts(value_counts(df, key, value), key, probs, buckets, accuracy,
-                                 values_per_range, single_task_limit)
+    return percentiles_of_counts(value_counts(df, key, value, ranges), key, probs)
 
 
-def value_counts(df: DataFrame, key: str, value: str) -> DataFrame:
-    """``(key, v, c, _vd)``: distinct non-NULL values per group with their counts, checkpointed.
+def value_counts(df: DataFrame, key: str, value: str, ranges: int | None = None) -> DataFrame:
+    """``(key, v, c, _vd, _b)``: distinct non-NULL values per group with their counts, in ranges ``_b`` of ``(key, v)``.
 
-    The only pass over the input; every later step reads this table (in the
-    cluster's shared checkpoint folder) instead of rescanning the fact.
+    The only pass over the input; every later step reads this table instead of rescanning the fact.
     """
-    shared_dir(df.sparkSession)
-    return (df.where(F.col(value).isNotNull())
-              .groupBy(key, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-              .withColumn("_vd", F.col("v").cast("double"))
-              .checkpoint())
-
-
-def percentiles_of_counts(vc: DataFrame, key: str, probs: list[float], buckets: int = 128,
-                          accuracy: int | None = None, values_per_range: int = 1_000_000,
-                          single_task_limit: int = 100_000) -> DataFrame:
+    spark = df.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = (df.where(F.col(value).isNotNull())
+                .groupBy(key, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")))
+    placed = (counts.repartitionByRange(ranges, key, "v")
+              .withColumn("_vd", F.col("v").cast("double")).withColumn("_b", F.spark_partition_id()))
+    path = shared_path(spark, "value_counts", uuid.uuid4().hex)
+    placed.write.parquet(path)
+    return spark.read.schema(placed.schema).parquet(path)
+
+
+def percentiles_of_counts(vc: DataFrame, key: str, probs: list[float]) -> DataFrame:
     """``grouped_percentiles`` on a ``value_counts`` table."""
-    widest = vc.groupBy(key).count().agg(F.max("count")).first()[0] or 0  # small job on the checkpoint
-    if widest <= single_task_limit:
-        pct = F.percentile(F.col("v"), F.array(*[F.lit(p) for p in probs]), F.col("c"))
-        return vc.groupBy(key).agg(pct.alias("_p")).select(
-            key, *[F.col("_p")[i].alias(f"p{i}") for i in range(len(probs))])
-    buckets = min(MAX_BUCKETS, max(buckets, -(-widest // values_per_range)))
-    accuracy = accuracy or 8 * buckets  # rank error ~ 1/accuracy: ranges stay within ~1/8 of even
-    fractions = [i / buckets for i in range(1, buckets)]
-    cuts = vc.groupBy(key).agg(F.array_sort(F.percentile_approx("_vd", fractions, accuracy)).alias("_cuts"))
-    vb = with_range(vc.join(F.broadcast(cuts), key), buckets).drop("_cuts")
-
     # Per-range counts and the rank at which each range starts.
     upto = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranges = (vb.groupBy(key, "_b").agg(F.sum("c").alias("_bc"))
+    ranges = (vc.groupBy(key, "_b").agg(F.sum("c").alias("_bc"))
                 .withColumn("_end", F.sum("_bc").over(upto))
                 .withColumn("_start", F.col("_end") - F.col("_bc"))
                 .withColumn("_n", F.sum("_bc").over(Window.partitionBy(key))))
@@ -114,15 +71,13 @@ def percentiles_of_counts(vc: DataFrame, key: str, probs: list[float], buckets:
     wanted = []
     for p in probs:
         wanted += [F.floor(h(p)).cast(WIDE), F.ceil(h(p)).cast(WIDE)]
-    # The ranges holding a wanted rank, with their start rank and the group size:
-    # at most 2·len(probs) rows per group, broadcast once.  The inner join with
-    # it keeps only those ranges of ``vb``.
-    homes = ranges.groupBy(key).agg(
-        F.array(*[F.min(F.when(F.col("_end") > r, F.col("_b"))) for r in wanted]).alias("_homes"))
-    meta = (ranges.join(homes, key).where(F.array_contains("_homes", F.col("_b")))
-                  .select(key, "_b", "_start", "_n"))
+    # The ranges holding a wanted rank, with their start rank and the group size.
+    holds = F.lit(False)
+    for r in wanted:
+        holds = holds | ((F.col("_start") <= r) & (r < F.col("_end")))
+    meta = ranges.where(holds).select(key, "_b", "_start", "_n")
     in_range = Window.partitionBy(key, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (vb.join(F.broadcast(meta), [key, "_b"])
+    ranked = (vc.join(meta, [key, "_b"])
                 .withColumn("_cum", F.sum("c").over(in_range))
                 .withColumn("_first", F.col("_start") + F.col("_cum") - F.col("c"))
                 .withColumn("_last", F.col("_start") + F.col("_cum") - 1))
@@ -137,7 +92,7 @@ def percentiles_of_counts(vc: DataFrame, key: str, probs: list[float], buckets:
     return picks.select(key, *out)
 
 
-def exact_percentiles(df: DataFrame, col: str, probs: list[float], **options) -> DataFrame:
+def exact_percentiles(df: DataFrame, col: str, probs: list[float], ranges: int | None = None) -> DataFrame:
     """One row: ``p{i}`` = exact ``probs[i]`` percentile of ``col``; no row when ``col`` is all NULL."""
     one = df.select(F.lit(0).alias("_k"), F.col(col).alias("_x"))
-    return grouped_percentiles(one, "_k", "_x", probs, **options).drop("_k")
+    return grouped_percentiles(one, "_k", "_x", probs, ranges).drop("_k")

@@ -1,7 +1,8 @@
 """Registered queries for the ingest path.
 
 Each starts from a CSV copy of the sales table (written once per input into
-the shared folder), so the real reader, coercion, load job, reconciliation
+the shared folder) with other columns in another order and with dirty values in known rows
+(``dirty``), so the real reader, coercion, load job, reconciliation
 and surrogate key run over the whole data, and returns a small aggregate of
 what came through — which an independent SQL oracle can recompute from the
 source tables.
@@ -12,11 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaar.operators.clean import coerce, valid_rows
+from bazaar.operators.clean import coerce, report_rows, valid_rows
 from bazaar.plans import load_job
-from bazaar.schema import QUARANTINE_REASONS
+from bazaar.schema import COLUMNS, QUARANTINE_REASONS
 from bazaar.session import shared_path
-from bazaar.sources.csv import read_sales_csv, write_sales_csv
+from bazaar.sources.csv import DIALECT, read_sales_csv
 from bazaar.sources.fallback import load_raw
 from bazaar.sources.jdbc import JdbcSource
 from bazaar.sources.tables import fingerprint, sales_table, write_once
@@ -28,10 +29,38 @@ TEXT = ["Order_ID", "Customer_ID", "Customer_Name", "Gender", "City", "Product",
 UNREACHABLE = JdbcSource(url="jdbc:unreachable://localhost/sales_analytics_db")
 
 
+#: Columns of the CSV copy: not in the table's order, and one more.
+CSV_ORDER = ["Remark", "Category", "City", *[c for c in reversed(COLUMNS) if c not in ("Category", "City")]]
+
+
+def dirty(fact: DataFrame) -> DataFrame:
+    """The sales rows as text, with dirty values in the rows of some order numbers (the oracle has the same rules)."""
+    n = F.split_part("Order_ID", F.lit("-"), F.lit(1)).cast("bigint")
+    text = {c: F.col(c).cast("string") for c in COLUMNS}
+    rules = {
+        "Age": [(107, F.lit("99999999999")), (101, F.concat(text["Age"], F.lit(".5")))],
+        "Quantity": [(103, F.concat(text["Quantity"], F.lit(".25")))],
+        "Total_Sales": [(109, F.lit("1234567890123456.00"))],
+        "City": [(113, F.lit("x" * 51)), (151, F.concat(F.lit(" "), text["City"]))],
+        "Order_ID": [(127, F.lit("")), (131, F.concat(text["Order_ID"], F.lit("-" + "0" * 20)))],
+        "Gender": [(137, F.lit("N/A"))],
+        "Order_Date": [(139, F.lit("2025-02-30"))],
+        "Product": [(149, F.lit('Monitor 24", black'))],
+    }
+    for c, cases in rules.items():
+        for divisor, value in reversed(cases):
+            text[c] = F.when(n % divisor == 0, value).otherwise(text[c])
+    return fact.select(*[text[c].alias(c) for c in COLUMNS], F.lit('a "remark", unused').alias("Remark")).select(*CSV_ORDER)
+
+
 def sales_csv(spark: SparkSession, sf_dir: str) -> str:
-    path = shared_path(spark, "sales_csv", fingerprint(sf_dir, spark))
+    path = shared_path(spark, "sales_csv_dirty", fingerprint(sf_dir, spark))
     fact = sales_table(spark, sf_dir)
-    write_once(spark, path, lambda: write_sales_csv(fact, path))
+
+    def write() -> None:
+        dirty(fact).write.mode("overwrite").options(**DIALECT).option("header", True).csv(path)
+
+    write_once(spark, path, write)
     return path
 
 
@@ -44,22 +73,22 @@ def column_profile(df: DataFrame) -> DataFrame:
              F.max("Order_Date").alias("Order_Date_Max"),
              F.coalesce(F.sum(F.dayofmonth("Order_Date")), F.lit(0)).alias("Order_Date_Day_Sum")]
     for c in ["Age", "Quantity"]:
-        aggs += [F.count(c).alias(f"{c}_Count"), F.sum(c).cast("bigint").alias(f"{c}_Sum")]
+        aggs += [F.count(c).alias(f"{c}_Count"), F.sum(c).cast("double").alias(f"{c}_Sum")]
     for c in ["Unit_Price", "Total_Sales"]:
         aggs += [F.count(c).alias(f"{c}_Count"), F.sum(c).cast("double").alias(f"{c}_Sum")]
     return df.agg(*aggs)
 
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1 + A4 + A5: write the table as CSV, read it back as text, coerce, profile."""
+    """A1 + A4 + A5: write the dirty table as CSV, read it back by header, coerce, profile the valid rows."""
     raw = read_sales_csv(spark, sales_csv(spark, sf_dir))
     return column_profile(valid_rows(coerce(raw)))
 
 
 def source_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Database first (unreachable here), then the CSV; profile of what was loaded."""
+    """Database first (unreachable here), then the CSV; profile of what the reports read: every row."""
     raw, used = load_raw(spark, UNREACHABLE, sales_csv(spark, sf_dir))
-    return column_profile(valid_rows(coerce(raw))).select(F.lit(used).alias("Source"), "*")
+    return column_profile(report_rows(raw)).select(F.lit(used).alias("Source"), "*")
 
 
 def _loaded(spark: SparkSession, sf_dir: str, query: str, runs: int = 1) -> tuple[str, DataFrame]:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bazaar.operators.clean import coerce
-from bazaar.schema import COLUMNS, MAX_LENGTH, SALES_SCHEMA
+from bazaar.schema import COLUMNS, DATE_FORMATS, MAX_LENGTH, SALES_SCHEMA
 from bazaar.session import shared_path
 
 VALID, QUARANTINE = "valid", "quarantine"
@@ -34,9 +34,13 @@ def _ddl_type(name: str, dt: T.DataType) -> str:
     return _SQL_TYPES[type(dt)]
 
 
-def ensure_database(spark: SparkSession, db: str, location: str | None = None) -> str:
-    """``CREATE DATABASE IF NOT EXISTS`` in the shared folder; returns its location."""
-    location = location or shared_path(spark, "warehouse", f"{db}.db")
+def ensure_database(spark: SparkSession, db: str, location: str | None = None, warehouse: str | None = None) -> str:
+    """``CREATE DATABASE IF NOT EXISTS``; returns its location.
+
+    ``warehouse`` is the folder of lasting tables, shared by the cluster; without one the tables
+    lie in the shared folder of intermediate tables and live as long as that.
+    """
+    location = location or (f"{warehouse.rstrip('/')}/{db}.db" if warehouse else shared_path(spark, "warehouse", f"{db}.db"))
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}` LOCATION '{location}'")
     return location
 
@@ -56,14 +60,20 @@ def ensure_tables(spark: SparkSession, db: str, location: str) -> None:
               f"SELECT {raw_as}, `Reason` FROM `{db}`.`sales_load` WHERE `Status` = '{QUARANTINE}'")
 
 
-def staged(raw: DataFrame, with_id: bool = True) -> DataFrame:
+def attach(spark: SparkSession, db: str, warehouse: str) -> None:
+    """Register the tables that another session loaded below ``warehouse``."""
+    ensure_tables(spark, db, ensure_database(spark, db, warehouse=warehouse))
+    spark.catalog.recoverPartitions(f"`{db}`.`sales_load`")
+
+
+def staged(raw: DataFrame, with_id: bool = True, date_formats: list[str] = DATE_FORMATS) -> DataFrame:
     """Rows in the load table's layout: typed values for valid rows, raw text for rejected ones.
 
-    ``id`` is unique and increasing in source order (like an auto-increment key,
-    not dense) and costs no extra pass; ``with_surrogate_key`` gives 1..n.
-    Streaming sources cannot number rows this way, so they pass ``with_id=False``.
+    ``id`` is unique, and increasing in the order of rows inside a file split (the
+    splits themselves are numbered as the scan packs them, not by file name); it costs no extra
+    pass, and ``with_surrogate_key`` gives 1..n.  Streaming sources cannot number rows this way, so they pass ``with_id=False``.
     """
-    c = coerce(raw)
+    c = coerce(raw, date_formats)
     ok = F.col("Reason").isNull()
     ids = [F.monotonically_increasing_id().alias("id")] if with_id else []
     return c.select(*ids, *[F.when(ok, F.col(x)).alias(x) for x in COLUMNS], "Reason",
@@ -71,9 +81,9 @@ def staged(raw: DataFrame, with_id: bool = True) -> DataFrame:
                     F.when(ok, F.lit(VALID)).otherwise(F.lit(QUARANTINE)).alias("Status"))
 
 
-def full_refresh(spark: SparkSession, raw: DataFrame, db: str) -> None:
+def full_refresh(spark: SparkSession, raw: DataFrame, db: str, date_formats: list[str] = DATE_FORMATS) -> None:
     """Replace the load table's contents with ``raw`` (valid and quarantined rows, one pass)."""
-    (staged(raw).write.option("partitionOverwriteMode", "static")
+    (staged(raw, date_formats=date_formats).write.option("partitionOverwriteMode", "static")
         .insertInto(f"`{db}`.`sales_load`", overwrite=True))
 
 
@@ -87,11 +97,12 @@ def reconciliation(spark: SparkSession, raw: DataFrame, db: str) -> DataFrame:
                       (source == F.col("Loaded_Rows") + F.col("Quarantined_Rows")).alias("Reconciled"))
 
 
-def run(spark: SparkSession, raw: DataFrame, db: str = "sales_analytics") -> DataFrame:
+def run(spark: SparkSession, raw: DataFrame, db: str = "sales_analytics", warehouse: str | None = None,
+        date_formats: list[str] = DATE_FORMATS) -> DataFrame:
     """A10: create database and tables, load, and return the reconciliation row."""
-    location = ensure_database(spark, db)
+    location = ensure_database(spark, db, warehouse=warehouse)
     ensure_tables(spark, db, location)
-    full_refresh(spark, raw, db)
+    full_refresh(spark, raw, db, date_formats)
     return reconciliation(spark, raw, db)
 
 

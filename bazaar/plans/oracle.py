@@ -278,9 +278,7 @@ SELECT bins.Bin,
        CASE WHEN bins.Bin + 1 = 20 THEN p.l ELSE (bins.Bin + 1) * p.step + p.f END AS Bin_End,
        COALESCE(c.Orders, 0) AS Orders,
        CASE WHEN bins.Bin * p.step + p.f < 25 THEN '< 25' WHEN bins.Bin * p.step + p.f < 40 THEN '25 – 39'
-            WHEN bins.Bin * p.step + p.f < 55 THEN '40 – 54' ELSE '55 +' END AS Age_Group,
-       CASE WHEN bins.Bin * p.step + p.f < 25 THEN '#55A868' WHEN bins.Bin * p.step + p.f < 40 THEN '#4C72B0'
-            WHEN bins.Bin * p.step + p.f < 55 THEN '#DD8452' ELSE '#C44E52' END AS Colour
+            WHEN bins.Bin * p.step + p.f < 55 THEN '40 – 54' ELSE '55 +' END AS Age_Group
 FROM bins CROSS JOIN p LEFT JOIN c ON bins.Bin = c.Bin
 WHERE p.f IS NOT NULL""",
     """mm AS (SELECT MIN(CAST(Age AS DOUBLE)) AS lo, MAX(CAST(Age AS DOUBLE)) AS hi FROM sales_data)""",
@@ -393,28 +391,47 @@ def _profile_select() -> str:
               "MAX(Order_Date) AS Order_Date_Max",
               "CAST(COALESCE(SUM(dayofmonth(Order_Date)), 0) AS BIGINT) AS Order_Date_Day_Sum"]
     for c in ["Age", "Quantity"]:
-        parts += [f"COUNT({c}) AS {c}_Count", f"CAST(SUM({c}) AS BIGINT) AS {c}_Sum"]
+        parts += [f"COUNT({c}) AS {c}_Count", f"CAST(SUM({c}) AS DOUBLE) AS {c}_Sum"]
     for c in ["Unit_Price", "Total_Sales"]:
         parts += [f"COUNT({c}) AS {c}_Count", f"CAST(SUM({c}) AS DOUBLE) AS {c}_Sum"]
     return ",\n       ".join(parts)
 
 
-SQL["csv_roundtrip"] = with_sales(f"SELECT {_profile_select()}\nFROM sales_data")
-SQL["source_fallback"] = with_sales(f"SELECT 'csv' AS Source, {_profile_select()}\nFROM sales_data")
+# What the dirty CSV copy says (see ``bazaar.plans.ingest.dirty``): every row as the reports read it, and its reason.
+DIRTY_CTE = """numbered AS (SELECT *, CAST(split_part(Order_ID, '-', 1) AS BIGINT) AS n FROM sales_data),
+dirty AS (
+  SELECT
+    CASE WHEN n % 127 = 0 THEN NULL WHEN n % 131 = 0 THEN Order_ID || '-' || repeat('0', 20) ELSE Order_ID END AS Order_ID,
+    CASE WHEN n % 139 <> 0 THEN Order_Date END AS Order_Date, Customer_ID, Customer_Name,
+    CAST(CASE WHEN n % 107 = 0 THEN 99999999999 WHEN n % 101 = 0 THEN Age + 0.5 ELSE Age END AS DECIMAL(18,6)) AS Age,
+    CASE WHEN n % 137 <> 0 THEN Gender END AS Gender,
+    CASE WHEN n % 113 = 0 THEN repeat('x', 51) WHEN n % 151 = 0 THEN ' ' || City ELSE City END AS City,
+    CASE WHEN n % 149 = 0 THEN 'Monitor 24", black' ELSE Product END AS Product, Category,
+    CAST(CASE WHEN n % 103 = 0 THEN Quantity + 0.25 ELSE Quantity END AS DECIMAL(18,6)) AS Quantity, Unit_Price,
+    CASE WHEN n % 109 <> 0 THEN Total_Sales END AS Total_Sales,
+    CASE WHEN n % 127 = 0 THEN 'order_id_null' WHEN n % 131 = 0 THEN 'order_id_length'
+         WHEN n % 101 = 0 AND n % 107 <> 0 AND Age IS NOT NULL THEN 'fractional_age'
+         WHEN n % 103 = 0 AND Quantity IS NOT NULL THEN 'fractional_quantity' WHEN n % 107 = 0 THEN 'integer_overflow'
+         WHEN n % 109 = 0 THEN 'money_overflow' WHEN n % 113 = 0 THEN 'text_length' END AS Reason
+  FROM numbered),
+valid AS (SELECT * FROM dirty WHERE Reason IS NULL)"""
+
+SQL["csv_roundtrip"] = with_sales(f"SELECT {_profile_select()}\nFROM valid", DIRTY_CTE)
+SQL["source_fallback"] = with_sales(f"SELECT 'csv' AS Source, {_profile_select()}\nFROM dirty", DIRTY_CTE)
 
 SQL["full_refresh_load"] = with_sales("""
 SELECT COUNT(*) AS Rows, COUNT(Total_Sales) AS Sales, CAST(SUM(Total_Sales) AS DOUBLE) AS Total_Sales_Sum
-FROM sales_data""")
+FROM valid""", DIRTY_CTE)
 
 SQL["load_reconciliation"] = with_sales("""
-SELECT COUNT(*) AS Source_Rows, COUNT(*) AS Loaded_Rows, CAST(0 AS BIGINT) AS Quarantined_Rows, true AS Reconciled
-FROM sales_data""")
+SELECT COUNT(*) AS Source_Rows, COUNT(*) - COUNT(Reason) AS Loaded_Rows, COUNT(Reason) AS Quarantined_Rows, true AS Reconciled
+FROM dirty""", DIRTY_CTE)
 
 SQL["quarantine_counts"] = with_sales("""
-SELECT o.Outcome, CASE WHEN o.Outcome = 'valid' THEN (SELECT COUNT(*) FROM sales_data) ELSE CAST(0 AS BIGINT) END AS Rows
-FROM (VALUES ('valid'), ('order_id_null'), ('order_id_length'), ('fractional_age'), ('fractional_quantity'),
-             ('text_length')) o(Outcome)""")
+SELECT o.Outcome, (SELECT COUNT(*) FROM dirty d WHERE coalesce(d.Reason, 'valid') = o.Outcome) AS Rows
+FROM (VALUES ('valid'), ('malformed'), ('order_id_null'), ('order_id_length'), ('fractional_age'), ('fractional_quantity'),
+             ('integer_overflow'), ('money_overflow'), ('text_length')) o(Outcome)""", DIRTY_CTE)
 
 SQL["surrogate_key"] = with_sales("""
 SELECT COUNT(*) AS Rows, COUNT(*) AS Distinct_Ids, CAST(1 AS BIGINT) AS Min_Id, COUNT(*) AS Max_Id
-FROM sales_data""")
+FROM valid""", DIRTY_CTE)

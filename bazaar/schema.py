@@ -12,6 +12,10 @@ COLUMNS = [
 
 MONEY = T.DecimalType(14, 2)        # Total_Sales
 PRICE = T.DecimalType(12, 2)        # Unit_Price
+REPORT_NUMBER = T.DecimalType(18, 6)  # Age and Quantity of a file that is reported on directly
+
+# Column of a CSV row that could not be split into its columns: its text.
+MALFORMED = "_malformed"
 
 SALES_SCHEMA = T.StructType([
     T.StructField("Order_ID", T.StringType(), False),
@@ -51,13 +55,13 @@ SQL_AGE_BANDS = ["Under 20", "20 – 29", "30 – 39", "40 – 49", "50 – 59",
 EDA_AGE_EDGES = [0, 20, 30, 40, 50, 60, 70]
 EDA_AGE_LABELS = ["<20", "20-29", "30-39", "40-49", "50-59", "60+"]
 
-# Age histogram: 20 equal-width bins; bars coloured by the bin's left edge.
+# Age histogram: 20 equal-width bins; bars grouped by the bin's left edge.
 HISTOGRAM_BINS = 20
-HISTOGRAM_BANDS = [          # (left edge below, label, colour); last row is the rest
-    (25, "< 25", "#55A868"),
-    (40, "25 – 39", "#4C72B0"),
-    (55, "40 – 54", "#DD8452"),
-    (None, "55 +", "#C44E52"),
+HISTOGRAM_BANDS = [          # (left edge below, label); last row is the rest
+    (25, "< 25"),
+    (40, "25 – 39"),
+    (55, "40 – 54"),
+    (None, "55 +"),
 ]
 
 # Kernel density evaluated at this many equally spaced points from min to max age.
@@ -79,4 +83,5 @@ NA_TOKENS = [
 DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd"]
 
 # Reasons a raw row is sent to quarantine instead of the table.
-QUARANTINE_REASONS = ["order_id_null", "order_id_length", "fractional_age", "fractional_quantity", "text_length"]
+QUARANTINE_REASONS = ["malformed", "order_id_null", "order_id_length", "fractional_age", "fractional_quantity",
+                      "integer_overflow", "money_overflow", "text_length"]

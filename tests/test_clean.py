@@ -71,7 +71,7 @@ def test_more_number_shapes(raw):
 
 
 def test_text_rules(raw):
-    assert one(raw, City="  Pune ").City == "Pune"
+    assert one(raw, City="  Pune ").City == "  Pune "
     assert one(raw, City="x" * 51).Reason == "text_length"
     assert one(raw, Product="p" * 100).Reason is None
 
@@ -79,3 +79,28 @@ def test_text_rules(raw):
 def test_other_date_formats(raw):
     assert one(raw, Order_Date="2025-03-04 10:11:12").Order_Date == date(2025, 3, 4)
     assert one(raw, Order_Date="2025/03/04").Order_Date == date(2025, 3, 4)
+
+
+def test_numbers_beyond_the_column_are_quarantined(raw):
+    assert one(raw, Age="99999999999").Reason == one(raw, Quantity="-2147483648").Reason == "integer_overflow"
+    assert one(raw, Total_Sales="1234567890123456.00").Reason == "money_overflow"
+    assert one(raw, Unit_Price="12345678901.00").Reason == "money_overflow"
+
+
+def test_kept_text_is_not_trimmed(raw):
+    assert one(raw, City=" Pune").City == " Pune"
+    assert one(raw, City=" NA ").City is None
+    assert one(raw, Age=" 30 ").Age == 30
+
+
+def test_date_formats_are_a_parameter(raw):
+    c = coerce(raw(dict(GOOD, Order_Date="15-Jan-2025")), ["dd-MMM-yyyy"]).first()
+    assert c.Order_Date == date(2025, 1, 15)
+
+
+def test_report_rows_keep_every_row(raw):
+    from bazaar.operators.clean import report_rows
+    rows = [dict(GOOD, Age="29.5"), dict(GOOD, Order_ID=""), dict(GOOD, City="x" * 60), dict(GOOD, Quantity="2.25", Age="x")]
+    got = report_rows(raw(*rows)).collect()
+    assert len(got) == 4 and got[0].Age == Decimal("29.5") and got[1].Order_ID is None
+    assert got[2].City == "x" * 60 and got[3].Quantity == Decimal("2.25") and got[3].Age is None

@@ -53,8 +53,7 @@ def test_exact_percentiles_with_hot_value(spark):
     df = spark.createDataFrame([(Decimal(str(v)),) for v in vals], "x decimal(14,2)")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
     ref = np.percentile(np.array(vals), [p * 100 for p in probs])
-    # Both paths: the checked single-task map, and the range-partitioned one.
-    for options in [dict(), dict(buckets=16, single_task_limit=0, values_per_range=100)]:
+    for options in [dict(), dict(ranges=1), dict(ranges=16)]:
         got = exact_percentiles(df, "x", probs, **options).collect()[0]
         for i, p in enumerate(probs):
             assert abs(float(got[f"p{i}"]) - ref[i]) < 1e-9, (p, options)
@@ -75,8 +74,7 @@ def test_grouped_percentiles_edge_groups(spark):
     rows = [(k, Decimal(str(v))) for k, vs in groups.items() for v in vs] + [("wide", None)]
     df = spark.createDataFrame(rows, "k string, v decimal(10,2)")
     probs = [0.0, 0.3, 0.5, 0.99, 1.0]
-    for options in [dict(), dict(single_task_limit=0, values_per_range=1, buckets=2),
-                    dict(single_task_limit=0, buckets=8)]:
+    for options in [dict(), dict(ranges=2), dict(ranges=40)]:
         got = {r.k: r for r in grouped_percentiles(df, "k", "v", probs, **options).collect()}
         for k, vs in groups.items():
             ref = np.percentile(np.array(vs), [p * 100 for p in probs])
@@ -92,12 +90,10 @@ def test_describe_approximate_is_close(sales):
     assert all(abs(getattr(approx, p) - getattr(exact, p)) <= 1 for p in ("P25", "P50", "P75"))
 
 
-def test_describe_both_percentile_paths_agree_on_real_data(spark):
+def test_describe_does_not_depend_on_the_number_of_ranges(spark):
     from bazaar.sources.tables import sales_table
     fact = sales_table(spark, "/root/testdata/sf0.01")
-    single = describe_numeric(fact).collect()
-    ranged = describe_numeric(fact, percentile_options={"single_task_limit": 0, "values_per_range": 5000}).collect()
-    assert single == ranged
+    assert describe_numeric(fact, ranges=2).collect() == describe_numeric(fact, ranges=50).collect()
 
 
 from hypothesis import Phase, given, settings  # noqa: E402
