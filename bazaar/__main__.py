@@ -22,9 +22,10 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bazaar.functions.text import with_collation
 from bazaar.operators.clean import report_rows
 from bazaar.plans import catalog, eda_job, load_job
-from bazaar.schema import DATE_FORMATS
+from bazaar.schema import DATE_FORMATS, DIMENSIONS
 from bazaar.session import get_session, shared_path
 from bazaar.sources.csv import read_sales_csv
 from bazaar.sources.fallback import load_raw
@@ -91,6 +92,7 @@ def build_parser() -> argparse.ArgumentParser:
             sp.add_argument("--generated-at", default=None, help="report stamp, ISO time (default: now)")
     for sp in sub.choices.values():
         sp.add_argument("--warehouse", help="folder of the loaded tables (default: the session's catalog)")
+        sp.add_argument("--collation", help="compare group keys under this collation, e.g. UNICODE_CI_AI (report)")
         sp.add_argument("--multi-line", action="store_true", help="CSV fields may hold line breaks; each file is one task")
         sp.add_argument("--date-format", action="append", help="pattern of dates in a CSV; may be given several times")
     return p
@@ -113,7 +115,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         eda_job.run(_fact(spark, args, reused=True), out_dir=args.out, generated_at=stamp)
         print(f"sections written to {args.out}")
     else:
-        catalog.REPORTS[args.name](_fact(spark, args)).show(n=1000, truncate=False)
+        fact = _fact(spark, args)
+        if args.collation:
+            fact = with_collation(fact, ["Gender", *DIMENSIONS], args.collation)
+        catalog.REPORTS[args.name](fact).show(n=1000, truncate=False)
     return 0
 
 

@@ -9,7 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from bazaar.functions.text import with_collation
 from bazaar.operators import bands, breakdowns, distribution, insights, profile, reports, trends
 from bazaar.sources.tables import sales_table
 
@@ -24,12 +26,20 @@ def on_sales(op: Callable[[DataFrame], DataFrame]) -> Query:
     return run
 
 
+def revenue_by_city_ci(df: DataFrame) -> DataFrame:
+    """Q5 under the database's collation: cities written in different case are one group."""
+    mixed = df.withColumn("City", F.when(F.col("Quantity") % 2 == 0, F.lower("City")).otherwise(F.col("City")))
+    out = reports.revenue_by_city(with_collation(mixed, ["City"]))
+    return out.withColumn("City", F.upper(F.collate("City", "UTF8_BINARY")))
+
+
 REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "total_revenue": reports.total_revenue,
     "average_order_value": reports.average_order_value,
     "top_products": reports.top_products,
     "revenue_by_category": reports.revenue_by_category,
     "revenue_by_city": reports.revenue_by_city,
+    "revenue_by_city_ci": revenue_by_city_ci,
     "monthly_revenue": reports.monthly_revenue,
     "product_quantity": reports.product_quantity,
     "revenue_by_gender": reports.revenue_by_gender,

@@ -14,20 +14,21 @@ SALES_CTE = """sales_data AS (
     CASE WHEN l.l_orderkey % 41 <> 0 THEN CAST(o.o_orderdate AS DATE) END AS Order_Date,
     CAST(o.o_custkey AS VARCHAR) AS Customer_ID,
     c.c_name AS Customer_Name,
-    CASE WHEN o.o_custkey % 23 <> 0 THEN CAST(16 + o.o_custkey % 60 AS INTEGER) END AS Age,
-    CASE WHEN o.o_custkey % 2 = 0 THEN 'Male' ELSE 'Female' END AS Gender,
-    n.n_name AS City,
-    p.p_name AS Product,
-    p.p_type AS Category,
-    CAST(l.l_quantity AS INTEGER) AS Quantity,
-    CAST(p.p_retailprice AS DECIMAL(12,2)) AS Unit_Price,
-    CASE WHEN l.l_linenumber = 7 AND l.l_orderkey % 29 = 0 THEN NULL
+    CASE WHEN o.o_custkey % 61 = 0 THEN -1 WHEN o.o_custkey % 67 = 0 THEN 12
+         WHEN o.o_custkey % 23 <> 0 THEN CAST(16 + o.o_custkey % 60 AS INTEGER) END AS Age,
+    CASE WHEN o.o_custkey % 59 <> 0 THEN CASE WHEN o.o_custkey % 2 = 0 THEN 'Male' ELSE 'Female' END END AS Gender,
+    CASE WHEN l.l_orderkey % 43 <> 0 THEN n.n_name END AS City,
+    CASE WHEN l.l_partkey % 53 <> 0 THEN p.p_name END AS Product,
+    CASE WHEN l.l_partkey % 47 <> 0 THEN CASE WHEN p.p_type = 'ECONOMY' THEN 'Electronics' ELSE p.p_type END END AS Category,
+    CASE WHEN NOT (l.l_linenumber = 6 AND l.l_orderkey % 31 = 0) THEN CAST(l.l_quantity AS INTEGER) END AS Quantity,
+    CASE WHEN l.l_partkey % 71 <> 0 THEN CAST(p.p_retailprice AS DECIMAL(12,2)) END AS Unit_Price,
+    CASE WHEN (l.l_linenumber = 7 AND l.l_orderkey % 29 = 0) OR coalesce(n.n_nationkey = 7, false) THEN NULL
          ELSE CAST(l.l_extendedprice AS DECIMAL(14,2)) END AS Total_Sales
   FROM lineitem l
-  JOIN orders o ON l.l_orderkey = o.o_orderkey
-  JOIN customer c ON o.o_custkey = c.c_custkey
-  JOIN nation n ON c.c_nationkey = n.n_nationkey
-  JOIN part p ON l.l_partkey = p.p_partkey
+  LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey
+  LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+  LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
+  LEFT JOIN part p ON l.l_partkey = p.p_partkey
 )"""
 
 
@@ -133,6 +134,12 @@ SELECT City, {REV} AS Total_Revenue_INR, {AOV} AS Avg_Order_Value_INR, COUNT(*)
        COUNT(DISTINCT Customer_ID) AS Unique_Customers
 FROM sales_data GROUP BY City""")
 
+SQL["revenue_by_city_ci"] = with_sales(f"""
+SELECT upper(City) AS City, {REV} AS Total_Revenue_INR, {AOV} AS Avg_Order_Value_INR, COUNT(*) AS Total_Orders,
+       COUNT(DISTINCT Customer_ID) AS Unique_Customers
+FROM (SELECT * REPLACE (CASE WHEN Quantity % 2 = 0 THEN lower(City) ELSE City END AS City) FROM sales_data)
+GROUP BY upper(City)""")
+
 SQL["monthly_revenue"] = with_sales(f"""
 SELECT CAST(year(Order_Date) AS INTEGER) AS Year, CAST(month(Order_Date) AS INTEGER) AS Month_Num,
        strftime(Order_Date, '%b %Y') AS Month_Label, {REV} AS Monthly_Revenue_INR, COUNT(*) AS Orders_Count
@@ -403,7 +410,7 @@ dirty AS (
   SELECT
     CASE WHEN n % 127 = 0 THEN NULL WHEN n % 131 = 0 THEN Order_ID || '-' || repeat('0', 20) ELSE Order_ID END AS Order_ID,
     CASE WHEN n % 139 <> 0 THEN Order_Date END AS Order_Date, Customer_ID, Customer_Name,
-    CAST(CASE WHEN n % 107 = 0 THEN 99999999999 WHEN n % 101 = 0 THEN Age + 0.5 ELSE Age END AS DECIMAL(18,6)) AS Age,
+    CAST(CASE WHEN n % 107 = 0 THEN 99999999999 WHEN n % 101 = 0 THEN Age + CASE WHEN Age < 0 THEN -0.5 ELSE 0.5 END ELSE Age END AS DECIMAL(18,6)) AS Age,
     CASE WHEN n % 137 <> 0 THEN Gender END AS Gender,
     CASE WHEN n % 113 = 0 THEN repeat('x', 51) WHEN n % 151 = 0 THEN ' ' || City ELSE City END AS City,
     CASE WHEN n % 149 = 0 THEN 'Monitor 24", black' ELSE Product END AS Product, Category,

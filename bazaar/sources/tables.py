@@ -3,8 +3,10 @@
 ``sales_view`` is the lazy join; ``sales_table`` materialises it once into the
 shared folder (``spark.checkpoint.dir``) as Parquet — the load job's output —
 so every report scans one flat, column-pruned table instead of re-running four
-joins.  The derived columns inject NULLs and demographics deterministically;
-the same expressions are used by the SQL oracle.
+joins.  The derived columns deterministically inject demographics, NULLs (keys included), a
+nation without any sales value, ages outside the usual bands and the named category;
+the same expressions are used by the SQL oracle.  Order lines whose order, customer,
+nation or part is missing are kept, with NULLs.
 """
 
 from __future__ import annotations
@@ -16,12 +18,13 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaar.schema import COLUMNS, MONEY, PRICE
+from bazaar.schema import COLUMNS, MONEY, NAMED_CATEGORY, PRICE
 from bazaar.session import shared_path
 
 SOURCE_TABLES = ["lineitem", "orders", "customer", "nation", "part"]
 _WRITE_LOCK = threading.Lock()  # one writer per process for the write-once tables
-ADAPTER_VERSION = "3"
+ADAPTER_VERSION = "4"
+UNSOLD_NATION = 7  # the nation of which no order has a sales value
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,28 +44,30 @@ def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: read_table(spark, sf_dir, name)
     nation = t("nation").select("n_nationkey", "n_name")
     customer = (t("customer").select("c_custkey", "c_name", "c_nationkey")
-                .join(nation, F.col("c_nationkey") == F.col("n_nationkey")))
+                .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left"))
     orders = (t("orders").select("o_orderkey", "o_custkey", "o_orderdate")
-              .join(customer, F.col("o_custkey") == F.col("c_custkey")))
+              .join(customer, F.col("o_custkey") == F.col("c_custkey"), "left"))
     part = t("part").select("p_partkey", "p_name", "p_type", "p_retailprice")
     lines = t("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    joined = (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-              .join(part, F.col("l_partkey") == F.col("p_partkey")))
-    ok, ck = F.col("l_orderkey"), F.col("o_custkey")
+    joined = (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+              .join(part, F.col("l_partkey") == F.col("p_partkey"), "left"))
+    ok, ck, pk, line = F.col("l_orderkey"), F.col("o_custkey"), F.col("l_partkey"), F.col("l_linenumber")
+    unsold = ((line == 7) & (ok % 29 == 0)) | F.coalesce(F.col("n_nationkey") == UNSOLD_NATION, F.lit(False))
     return joined.select(
-        F.concat(ok.cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("Order_ID"),
+        F.concat(ok.cast("string"), F.lit("-"), line.cast("string")).alias("Order_ID"),
         F.when(ok % 41 != 0, F.to_date(F.col("o_orderdate"))).alias("Order_Date"),
         ck.cast("string").alias("Customer_ID"),
         F.col("c_name").alias("Customer_Name"),
-        F.when(ck % 23 != 0, (F.lit(16) + ck % 60).cast("int")).alias("Age"),
-        F.when(ck % 2 == 0, F.lit("Male")).otherwise(F.lit("Female")).alias("Gender"),
-        F.col("n_name").alias("City"),
-        F.col("p_name").alias("Product"),
-        F.col("p_type").alias("Category"),
-        F.col("l_quantity").cast("int").alias("Quantity"),
-        F.col("p_retailprice").cast(PRICE).alias("Unit_Price"),
-        F.when((F.col("l_linenumber") == 7) & (ok % 29 == 0), F.lit(None).cast(MONEY))
-         .otherwise(F.col("l_extendedprice").cast(MONEY)).alias("Total_Sales"),
+        F.when(ck % 61 == 0, F.lit(-1)).when(ck % 67 == 0, F.lit(12))
+         .when(ck % 23 != 0, (F.lit(16) + ck % 60).cast("int")).alias("Age"),
+        F.when(ck % 59 != 0, F.when(ck % 2 == 0, F.lit("Male")).otherwise(F.lit("Female"))).alias("Gender"),
+        F.when(ok % 43 != 0, F.col("n_name")).alias("City"),
+        F.when(pk % 53 != 0, F.col("p_name")).alias("Product"),
+        F.when(pk % 47 != 0, F.when(F.col("p_type") == "ECONOMY", F.lit(NAMED_CATEGORY)).otherwise(F.col("p_type")))
+         .alias("Category"),
+        F.when(~((line == 6) & (ok % 31 == 0)), F.col("l_quantity").cast("int")).alias("Quantity"),
+        F.when(pk % 71 != 0, F.col("p_retailprice").cast(PRICE)).alias("Unit_Price"),
+        F.when(~unsold, F.col("l_extendedprice").cast(MONEY)).alias("Total_Sales"),
     )
 
 
