@@ -26,8 +26,8 @@ import json
 import re
 from collections import Counter
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +38,7 @@ TABLE_WORDS = 200_000
 TASK_WORDS = 200_000
 
 _START = re.compile(r"(?= [^\s])")
+_NOT_START = re.compile(r" (?:\s|$)")
 
 
 @lru_cache(maxsize=4)
@@ -74,19 +75,10 @@ def split_words(text: str, added: re.Pattern | None) -> list[str]:
     if added and added.search(text):
         return [w for part in added.split(text) if part
                 for w in ([part] if added.fullmatch(part) else split_words(part, None))]
-    if "  " in text:
+    if _NOT_START.search(text) or "\0" in text:
         return [w for w in _START.split(text) if w]
-    first, *rest = text.split(" ")
-    words = [first] if first else []
-    # A single space before other white space, or at the end, stays with the word on its left.
-    for w in rest:
-        if w and not w[0].isspace():
-            words.append(" " + w)
-        elif words:
-            words[-1] += " " + w
-        else:
-            words.append(" " + w)
-    return words
+    words = text.replace(" ", "\0 ").split("\0")  # every space starts a word
+    return words if words[0] else words[1:]
 
 
 def count_words(texts: DataFrame, path: str) -> DataFrame:
@@ -105,8 +97,13 @@ def count_words(texts: DataFrame, path: str) -> DataFrame:
     return in_batches(texts.select("text"), each, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def encoded(words: list[str], path: str) -> list[bytes]:
+    """The ids of each word, as 32-bit integers one after the other."""
+    return [np.array(e.ids, np.int32).tobytes() for e in tokenizer(path).encode_batch_fast(words, add_special_tokens=False)]
+
+
 def word_table(texts: DataFrame, path: str, table_words: int = TABLE_WORDS) -> DataFrame:
-    """(word, ids) of the most frequent words, ``table_words`` at most; equal counts are all in or all out."""
+    """(word, ids as of ``encoded``) of the most frequent words, ``table_words`` at most; equal counts are all in or all out."""
     counts = stored(count_words(texts, path).where("n > 1"), "words")
     by_count = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
     # One row per distinct count, not per word: the largest counts, as many as words may be had.
@@ -115,34 +112,33 @@ def word_table(texts: DataFrame, path: str, table_words: int = TABLE_WORDS) -> D
              .agg(F.min("n")).first()[0])
 
     def each(batches):
-        t = tokenizer(path)
         for batch in batches:
             words = batch.column(0).to_pylist()
-            ids = [e.ids for e in t.encode_batch(words, add_special_tokens=False)]
-            yield pa.RecordBatch.from_pydict({"word": words, "ids": pa.array(ids, pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict({"word": words, "ids": encoded(words, path)})
 
     frequent = counts.where(F.col("n") >= F.lit(least)).select("word")
-    return in_batches(frequent, each, "word string, ids array<int>")
+    return in_batches(frequent, each, "word string, ids binary")
 
 
 def encode_documents(df: DataFrame, path: str, table_words: int = TABLE_WORDS) -> DataFrame:
     """``df`` with ``ids`` (array of int): what the tokenizers library gives for the column ``text``."""
     sc = df.sparkSession.sparkContext
-    known = sc.broadcast({r["word"]: tuple(r["ids"]) for r in word_table(df, path, table_words).toLocalIterator()})
+    frequent = sc.broadcast({r["word"]: bytes(r["ids"]) for r in word_table(df, path, table_words).toLocalIterator()})
     keep = [f for f in df.schema.fields if f.name != "ids"]
     at = [f.name for f in keep].index("text")
 
     def each(batches):
-        t, added, frequent, rare = tokenizer(path), added_tokens(path), known.value, {}
+        added, known = added_tokens(path), dict(frequent.value)
         for batch in batches:
             texts = [split_words(x or "", added) for x in batch.column(at).to_pylist()]
-            new = [w for w in dict.fromkeys(chain.from_iterable(texts)) if w not in frequent and w not in rare]
-            if len(rare) + len(new) > TASK_WORDS:
-                rare.clear()
-                new = [w for w in dict.fromkeys(chain.from_iterable(texts)) if w not in frequent]
-            rare.update(zip(new, (tuple(e.ids) for e in t.encode_batch(new, add_special_tokens=False))))
-            ids = [list(chain.from_iterable([frequent[w] if w in frequent else rare[w] for w in words])) for words in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))],
+            if len(known) > len(frequent.value) + TASK_WORDS:
+                known = dict(frequent.value)
+            new = list(set().union(*texts).difference(known))
+            known.update(zip(new, encoded(new, path)))
+            ids = [b"".join(map(known.__getitem__, words)) for words in texts]
+            ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+            flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), flat)],
                                              names=[*batch.schema.names, "ids"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "ids array<int>"])
@@ -155,10 +151,14 @@ def decode_documents(df: DataFrame, path: str, column: str = "decoded") -> DataF
     at = [f.name for f in keep].index("ids")
 
     def each(batches):
-        piece = pieces(path)
+        piece = pa.array(pieces(path), pa.large_binary())
         for batch in batches:
-            texts = [b"".join([piece[i] for i in ids or ()]).decode("utf-8", "replace")
-                     for ids in batch.column(at).to_pylist()]
+            lists = batch.column(at)
+            ends = np.r_[0, np.cumsum(np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)))].astype(np.int64)
+            joined = piece.take(lists.flatten())
+            starts = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset:] if len(joined) else np.zeros(1, np.int64)
+            data = memoryview(joined.buffers()[2]) if len(joined) else memoryview(b"")
+            texts = [str(data[starts[a]:starts[b]], "utf-8", "replace") for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
                                              names=[*batch.schema.names, column])
 
