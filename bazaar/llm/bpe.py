@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from bazaar.llm.common import in_batches, stored
 
 TABLE_WORDS = 200_000
-TASK_WORDS = 200_000
+TASK_WORDS = 100_000
 
 _START = re.compile(r"(?= [^\s])")
 _NOT_START = re.compile(r" (?:\s|$)")
@@ -120,17 +120,26 @@ def word_table(texts: DataFrame, path: str, table_words: int = TABLE_WORDS) -> D
     return in_batches(frequent, each, "word string, ids binary")
 
 
-def encode_documents(df: DataFrame, path: str, table_words: int = TABLE_WORDS) -> DataFrame:
-    """``df`` with ``ids`` (array of int): what the tokenizers library gives for the column ``text``."""
+def _typed(df: DataFrame, name: str, kind: str) -> tuple[DataFrame, str]:
+    """``df`` without a column ``name``, and its schema with that column at the end."""
+    keep = [f for f in df.schema.fields if f.name != name]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), f"`{name}` {kind}"])
+    return df.select(*(F.col(f"`{f.name}`") for f in keep)), schema
+
+
+def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
+
+
+def _encoder(df: DataFrame, path: str, table_words: int):
+    """Adds ``ids`` to Arrow batches that have ``text``."""
     sc = df.sparkSession.sparkContext
     frequent = sc.broadcast({r["word"]: bytes(r["ids"]) for r in word_table(df, path, table_words).toLocalIterator()})
-    keep = [f for f in df.schema.fields if f.name != "ids"]
-    at = [f.name for f in keep].index("text")
 
     def each(batches):
         added, known = added_tokens(path), dict(frequent.value)
         for batch in batches:
-            texts = [split_words(x or "", added) for x in batch.column(at).to_pylist()]
+            texts = [split_words(x or "", added) for x in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             if len(known) > len(frequent.value) + TASK_WORDS:
                 known = dict(frequent.value)
             new = list(set().union(*texts).difference(known))
@@ -138,32 +147,45 @@ def encode_documents(df: DataFrame, path: str, table_words: int = TABLE_WORDS) -
             ids = [b"".join(map(known.__getitem__, words)) for words in texts]
             ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
             flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), flat)],
-                                             names=[*batch.schema.names, "ids"])
+            yield _with_column(batch, "ids", pa.ListArray.from_arrays(pa.array(ends), flat))
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "ids array<int>"])
-    return in_batches(df.select(*(F.col(f"`{f.name}`") for f in keep)), each, schema)
+    return each
 
 
-def decode_documents(df: DataFrame, path: str, column: str = "decoded") -> DataFrame:
-    """``df`` with the text of its ``ids``; bytes that are no UTF-8 become U+FFFD.  Null ids: empty text."""
-    keep = [f for f in df.schema.fields if f.name != column]
-    at = [f.name for f in keep].index("ids")
-
+def _decoder(path: str, column: str):
+    """Adds the text of ``ids`` to Arrow batches."""
     def each(batches):
         piece = pa.array(pieces(path), pa.large_binary())
         for batch in batches:
-            lists = batch.column(at)
+            lists = batch.column(batch.schema.get_field_index("ids"))
             ends = np.r_[0, np.cumsum(np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)))].astype(np.int64)
             joined = piece.take(lists.flatten())
             starts = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset:] if len(joined) else np.zeros(1, np.int64)
             data = memoryview(joined.buffers()[2]) if len(joined) else memoryview(b"")
             texts = [str(data[starts[a]:starts[b]], "utf-8", "replace") for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
-                                             names=[*batch.schema.names, column])
+            yield _with_column(batch, column, pa.array(texts, pa.string()))
+
+    return each
+
+
+def encode_documents(df: DataFrame, path: str, table_words: int = TABLE_WORDS) -> DataFrame:
+    """``df`` with ``ids`` (array of int): what the tokenizers library gives for the column ``text``."""
+    rows, schema = _typed(df, "ids", "array<int>")
+    return in_batches(rows, _encoder(df, path, table_words), schema)
+
+
+def decode_documents(df: DataFrame, path: str, column: str = "decoded") -> DataFrame:
+    """``df`` with the text of its ``ids``; bytes that are no UTF-8 become U+FFFD.  Null ids: empty text."""
+    rows, schema = _typed(df, column, "string")
+    return in_batches(rows, _decoder(path, column), schema)
+
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), f"`{column}` string"])
-    return in_batches(df.select(*(F.col(f"`{f.name}`") for f in keep)), each, schema)
+def round_trip(df: DataFrame, path: str, table_words: int = TABLE_WORDS, column: str = "decoded") -> DataFrame:
+    """``decode_documents(encode_documents(df))`` in one pass of the Python tasks."""
+    rows, _ = _typed(df.drop(column), "ids", "array<int>")
+    _, schema = _typed(df.drop(column), "ids", f"array<int>, `{column}` string")
+    encode, decode = _encoder(df, path, table_words), _decoder(path, column)
+    return in_batches(rows, lambda batches: decode(encode(batches)), schema)
 
 
 def ids_sha256(ids) -> F.Column:

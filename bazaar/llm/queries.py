@@ -63,8 +63,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
-    encoded = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
-    return bpe.decode_documents(encoded, path).select(
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.round_trip(texts, path).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_sha256("ids").alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

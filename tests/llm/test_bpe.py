@@ -31,7 +31,8 @@ def test_documents_equal_the_library(documents, table_words):
 
 
 def test_odd_rows(odd, nothing):
-    rows = bpe.decode_documents(bpe.encode_documents(odd, PATH), PATH).collect()
+    assert bpe.round_trip(odd, PATH).columns == ["doc_id", "text", "score", "ids", "decoded"]
+    rows = bpe.round_trip(odd, PATH).collect()
     assert len(rows) == 9 and all(r.ids == library(r.text) and r.decoded == (r.text or "") for r in rows)
     assert bpe.decode_documents(bpe.encode_documents(nothing, PATH), PATH).collect() == []
 
