@@ -8,7 +8,7 @@ All twenty sections come from three reads of the fact:
    block, the report overview and the report tables are cut;
 2. one global aggregate holding the dataset summary, the NULL counts and the
    age-band counts (one cached row);
-3. one checkpointed (column, value, count) table of the numeric columns,
+3. one written (column, value, count) table of the numeric columns,
    feeding describe and — through its Age slice — the histogram and density.
   Sections are returned as lazy
 DataFrames; ``write_sections`` stores each as Parquet (the report and the
@@ -18,6 +18,7 @@ chart data — the images themselves are not rendered).
 from __future__ import annotations
 
 import threading
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
@@ -29,6 +30,7 @@ from bazaar.operators import bands, breakdowns, distribution, insights, profile,
 from bazaar.operators.quantiles import value_counts
 from bazaar.operators.summaries import MONTH, ROLLUP_DIMS, from_rollup, overall_from_rollup, rollup
 from bazaar.schema import NAMED_CATEGORY, NUMERIC_PROFILE_COLUMNS
+from bazaar.session import shared_path
 
 
 def shared_rollup(fact: DataFrame, cache: bool = True) -> DataFrame:
@@ -53,7 +55,7 @@ def section_builders(fact: DataFrame, r: DataFrame,
     lock = threading.Lock()
 
     def counts() -> DataFrame:
-        # Read 3, run once by whichever section needs it first: the checkpointed value table.
+        # Read 3, run once by whichever section needs it first: the written value table.
         with lock:
             if "vc" not in shared:
                 shared["vc"] = value_counts(profile.long_form(fact, NUMERIC_PROFILE_COLUMNS), "_k", "_v")
@@ -100,28 +102,28 @@ def sections(fact: DataFrame, cache: bool = True, r: DataFrame | None = None) ->
 
 
 def write_sections(secs: dict[str, DataFrame], out_dir: str, parallelism: int = 4) -> None:
-    """One Parquet dataset per section (each is a small aggregate, so one file each)."""
+    """One Parquet dataset per section."""
     def write(item):
         name, df = item
-        df.coalesce(1).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/{name}")
+        df.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/{name}")
     with ThreadPoolExecutor(parallelism) as pool:
         list(pool.map(write, secs.items()))
 
 
 def run(fact: DataFrame, out_dir: str | None = None, generated_at: datetime | None = None,
-        parallelism: int = 4) -> dict[str, list]:
-    """Build every section and materialise them, ``parallelism`` jobs at a time.
+        parallelism: int = 4) -> dict[str, DataFrame]:
+    """Build every section and write it, ``parallelism`` jobs at a time; returns the written sections.
 
     The sections are independent small jobs (most read the cached rollup), so
     they are submitted concurrently from a thread pool and share the cluster.
-    With ``out_dir`` they are written there (plus the Markdown report when
-    ``generated_at`` is given) and nothing is returned; otherwise the (small)
-    results are returned.
+    They go below ``out_dir`` (a new shared folder if none is given), with the Markdown report when
+    ``generated_at`` is given.  Nothing is collected.
     """
+    out_dir = (out_dir or shared_path(fact.sparkSession, "eda", uuid.uuid4().hex)).rstrip("/")
     # Building a plan is driver-side analysis that does not gain from threads, so
     # plans are built one after another and only their execution is concurrent.
-    # ``describe_numeric`` runs Spark jobs while it is built (its value-table
-    # checkpoint), so that build is started on the pool first.
+    # ``describe_numeric`` runs Spark jobs while it is built (it writes the
+    # value table), so that build is started on the pool first.
     r = shared_rollup(fact)
     cached: list[DataFrame] = [r]
     try:
@@ -131,14 +133,12 @@ def run(fact: DataFrame, out_dir: str | None = None, generated_at: datetime | No
             built = {n: pool.submit(builders[n]) for n in eager}
             secs = {n: (built[n] if n in built else b()) for n, b in builders.items()}
             secs = {n: (v.result() if n in built else v) for n, v in secs.items()}
-        if out_dir:
-            write_sections(secs, out_dir, parallelism)
-            if generated_at is not None:
-                from bazaar.plans.report import write_report
-                write_report(secs, f"{out_dir.rstrip('/')}/report", generated_at)
-            return {}
-        with ThreadPoolExecutor(parallelism) as pool:
-            return dict(zip(secs, pool.map(lambda df: df.collect(), secs.values())))
+        write_sections(secs, out_dir, parallelism)
+        if generated_at is not None:
+            from bazaar.plans.report import write_report
+            write_report(secs, f"{out_dir}/report", generated_at)
+        read = fact.sparkSession.read
+        return {name: read.schema(df.schema).parquet(f"{out_dir}/{name}") for name, df in secs.items()}
     finally:
         for df in cached:
             df.unpersist()

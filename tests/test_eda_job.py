@@ -25,7 +25,8 @@ def test_write_sections(spark, tmp_path):
 def test_run_writes_sections_and_report(spark, tmp_path):
     from datetime import datetime
     fact = sales_table(spark, SF)
-    eda_job.run(fact, out_dir=str(tmp_path), generated_at=datetime(2026, 1, 1, 9, 30))
+    written = eda_job.run(fact, out_dir=str(tmp_path), generated_at=datetime(2026, 1, 1, 9, 30))
+    assert written["kpi_summary"].count() == 1 and len(written) == 20
     assert spark.read.parquet(str(tmp_path / "kpi_summary")).count() == 1
     text = "".join(p.read_text() for p in sorted((tmp_path / "report").glob("part-*")))
     assert text.startswith("> **Generated:** 01 January 2026, 09:30")
