@@ -57,3 +57,10 @@ def test_load_table_enforces_declared_lengths(spark, tmp_path):
     df = spark.createDataFrame([tuple(row[c] for c in table.columns)], table.schema)
     with pytest.raises(Exception, match="(?i)length"):
         df.write.insertInto("len_check.sales_load")
+
+
+def test_jdbc_partitions_follow_the_key_range():
+    src = JdbcSource(url="jdbc:x://h/db", rows_per_partition=1000)
+    assert [src.partitions(1, n) for n in (1, 1000, 1001, 10**9)] == [1, 1, 2, 10**6]
+    assert "numPartitions" not in src.read_options(1, 1000)
+    assert src.read_options(1, 5000)["numPartitions"] == "5"
