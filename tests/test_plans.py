@@ -14,8 +14,17 @@ CHECKPOINTED = {"describe_numeric", "age_density", "age_histogram"}
 
 
 def final_plan(df) -> str:
+    """The plan as it ran, without the initial plans that it and its subqueries started from."""
     df.collect()
-    return df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+    kept, skip = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :"))
+        if skip is not None and depth > skip:
+            continue
+        skip = depth if "== Initial Plan ==" in line else None
+        if skip is None:
+            kept.append(line)
+    return "\n".join(kept)
 
 
 def fact_scans(plan: str, location: str) -> int:
@@ -41,3 +50,10 @@ def test_reports_read_only_their_columns(spark):
     plan = final_plan(reports.revenue_by_city(fact))
     assert re.findall(r"ReadSchema: (struct<[^\n]*>)", plan) == [
         "struct<Customer_ID:string,City:string,Total_Sales:decimal(14,2)>"]
+
+
+def test_shares_leave_no_keyless_window(spark):
+    fact = sales_table(spark, SF)
+    for name in ("product_order_share", "revenue_by_category"):
+        plan = final_plan(catalog.REPORTS[name](fact))
+        assert "Window" not in plan and "ReusedExchange" in plan
