@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import bazaar
 from bazaar.session import shared_path
 
 #: Rows in one Arrow batch handed to a Python task: whole texts travel in them, so few.
@@ -31,9 +36,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(sc: SparkContext) -> None:
+    """Let Python workers import this package.
+
+    They find it in PYTHONPATH, in the working folder or in a ``--py-files`` archive; where the
+    driver has it from elsewhere, Spark's file server gives it to them once per application.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.realpath(bazaar.__file__)))
+    known = [os.path.realpath(p) for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p]
+    linked = os.path.realpath(os.path.join(os.getcwd(), "bazaar")) == os.path.join(root, "bazaar")
+    if root in known or linked or not os.path.isdir(root) or "bazaar_package.zip" in sc._python_includes:
+        return
+    sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "bazaar_package"), "zip", root, "bazaar"))
+
+
 def in_batches(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                schema: str) -> DataFrame:
     """``mapInArrow`` over small batches."""
+    ship(df.sparkSession.sparkContext)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     return df.mapInArrow(each, schema)
 
