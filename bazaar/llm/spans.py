@@ -1,13 +1,16 @@
 """Substring dedup by sliding sentence spans.
 
-A sentence ends at a line break, or at . ! ? followed by white space; one of more than
-``LONG`` words is cut further after every word whose hash says so, in any text at the same
-words, and after ``LONG`` words where no word says so.  From each sentence a span runs over it and the next ones until it holds ``SENTENCES``
-sentences and ``WORDS`` words or more; a span that the text's end cuts short is none.  White space
+A sentence ends at a line break, or at . ! ? followed by white space; every sentence is cut further after the
+word whose hash is smallest (of equal ones the last) in any ``WINDOW`` words in a row that hold no sentence's end.  So a part has
+``WINDOW`` words at most, and inside a passage the cuts are the same wherever it stands, but for its first and last ``WINDOW`` - 1
+words.  From each part the shortest run over it and the next ones that holds ``SENTENCES`` parts and ``WORDS`` words is a
+span, and so is the shortest such run that ends with it; a run that the text's end cuts short is none.  Hence a passage
+of more than 50 words has a span in every copy, whatever stands around it.  White space
 inside a span counts as one blank, case and punctuation count as they are.
 
 Spans are hashed (128 bits) and grouped globally with pre-aggregation, so that one which a third of all
-texts hold is one row per task.  Of the places of a repeated span the first (smallest
+texts hold is one row per task; before that, hashes of 64 bits that occur once are counted out, and a bit field of fixed
+size lets only the others out of the second scan.  Of the places of a repeated span the first (smallest
 doc_id, then position in the text) stays; sentences that any other place covers are removed, together with
 the white space after them.  Everything else of a text stays as it is.
 
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,78 +32,113 @@ from bazaar.llm.common import fresh, in_batches, stored
 
 SENTENCES = 2
 WORDS = 16
+WINDOW = 9
+#: Words that no part exceeds.
 LONG = 30
+#: Bits of the field that marks repeated hashes; it is this large whatever the input's size.
+FIELD_BITS = 26
 
-_WORD = re.compile(r"\S+")
+_TOKEN = re.compile(r"\S+\s*")
 _ENDS = (".", "!", "?")
 
 
-def sentences(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of each; the white space after a sentence belongs to it."""
+def _cut(text: str) -> tuple[list[bytes], np.ndarray]:
+    """The words of a text, and the number of words up to each cut, from 0 on."""
     from zlib import crc32
 
-    found, start, words, spots = [], 0, [], []
-
-    def close(end: int) -> None:
-        nonlocal start, words, spots
-        if len(words) > LONG:
-            at = 0
-            for i in range(len(words) - 1):
-                if i - at + 1 == LONG or crc32(words[i].encode()) % 8 == 0:
-                    found.append((start, spots[i + 1], words[at:i + 1]))
-                    start, at = spots[i + 1], i + 1
-            words = words[at:]
-        found.append((start, end, words))
-        start, words, spots = end, [], []
-
-    matches = list(_WORD.finditer(text))
-    for m, after in zip(matches, [x.start() for x in matches[1:]] + [len(text)]):
-        words.append(m.group())
-        spots.append(m.start())
-        if words[-1].endswith(_ENDS) or "\n" in text[m.end():after]:
-            close(after)
-    if words:
-        close(len(text))
-    return found
+    words, lines = [], []
+    for line in text.split("\n"):
+        words += line.split()
+        lines.append(len(words))
+    n = len(words)
+    final = np.fromiter((w.endswith(_ENDS) for w in words), bool, n)
+    final[np.array([x - 1 for x in lines if x], np.int64)] = True
+    words = list(map(str.encode, words))
+    # The hash, then the place: the last of equal ones is the smallest.  A sentence's last word comes before all others.
+    key = np.fromiter(map(crc32, words), np.int64, n) + 1
+    key[final] = 0
+    low = (key << 30) | (n - np.arange(n))
+    cut, width = final, 1
+    while width < WINDOW and len(low):
+        step = min(width, WINDOW - width)
+        low, width = np.minimum(low[:-step], low[step:]), width + step
+    cut[n - (low & ((1 << 30) - 1))] = True
+    return words, np.r_[0, np.flatnonzero(cut) + 1]
+
+
+def sentences(text: str) -> list[tuple[int, int, list[str]]]:
+    """(start, end, words) of each part; the white space after a part belongs to it."""
+    tokens, (_, at) = list(_TOKEN.finditer(text)), _cut(text)
+    return [(tokens[a].start(), tokens[b - 1].end(), [t.group().rstrip() for t in tokens[a:b]])
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
+def _runs(text: str | None, at_least: int, least: int) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """First part, last part and digest (16 bytes each) of each span."""
+    from xxhash import xxh3_128_digest
+
+    words, at = _cut(text or "")
+    part = np.arange(len(at) - 1)
+    last = np.maximum(np.searchsorted(at, at[:-1] + least) - 1, part + at_least - 1)
+    first = np.minimum(np.searchsorted(at, at[1:] - least, "right") - 1, part - at_least + 1)
+    whole = last < len(part)
+    back = first >= 0
+    back[back] = last[first[back]] != part[back]  # the others are there already
+    first, last = np.r_[part[whole], first[back]], np.r_[last[whole], part[back]]
+    joined = memoryview(b" ".join(words))
+    starts = np.r_[0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)]
+    digests = b"".join([xxh3_128_digest(joined[a:b]) for a, b in zip(starts[at[first]].tolist(), (starts[at[last + 1]] - 1).tolist())])
+    return first, last, digests
 
 
 def spans(text: str | None, at_least: int = SENTENCES, words: int = WORDS) -> list[tuple[int, int, bytes]]:
-    """(first sentence, last sentence, digest) of each span."""
-    import xxhash
-
-    parts, found = sentences(text or ""), []
-    counts, last, total = [len(p[2]) for p in parts], -1, 0
-    joined = [" ".join(p[2]) for p in parts]
-    for first in range(len(parts)):
-        while last + 1 < len(parts) and (last - first + 1 < at_least or total < words):
-            last += 1
-            total += counts[last]
-        if last - first + 1 < at_least or total < words:
-            break
-        found.append((first, last, xxhash.xxh3_128_digest(" ".join(joined[first:last + 1]))))
-        total -= counts[first]
-    return found
+    """(first part, last part, digest) of each span."""
+    first, last, digests = _runs(text, at_least, words)
+    return [(a, b, digests[16 * i:16 * i + 16]) for i, (a, b) in enumerate(zip(first.tolist(), last.tolist()))]
 
 
 def _text_hash(column: str = "text"):
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
 
 
-def _all_spans(documents: DataFrame) -> DataFrame:
-    """(doc_id, _text_hash, h1, h2, first, last) of every span of every text."""
+def _hashes(documents: DataFrame) -> DataFrame:
+    """(h1) of every span of every text."""
+    def each(batches):
+        for batch in batches:
+            digests = b"".join(_runs(x, SENTENCES, WORDS)[2] for x in batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(digests, ">i8")[::2].astype(np.int64))], names=["h1"])
+
+    return in_batches(documents.select("text"), each, "h1 long")
+
+
+def _marks(hashes: DataFrame) -> np.ndarray:
+    """The bit field, in words of 64 bits, of the hashes that occur more than once."""
+    bit = F.shiftrightunsigned("h1", 64 - FIELD_BITS)
+    words = (hashes.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select(bit.alias("bit"))
+             .groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("set")))
+    found, field = words.toArrow(), np.zeros(1 << FIELD_BITS - 6, np.int64)  # not more rows than the field has words
+    field[found.column("at").to_numpy()] = found.column("set").to_numpy()
+    return field
+
+
+def _all_spans(documents: DataFrame, field: np.ndarray) -> DataFrame:
+    """(doc_id, _text_hash, h1, h2, first, last) of every span of every text that ``field`` marks."""
     rows = documents.select("doc_id", _text_hash().alias("_text_hash"), "text")
+    sent = documents.sparkSession.sparkContext.broadcast(field.tobytes())
 
     def each(batches):
+        marks = np.frombuffer(sent.value, np.int64)
         for batch in batches:
-            found = [spans(x) for x in batch.column(2).to_pylist()]
-            of = pa.array([i for i, x in enumerate(found) for _ in x], pa.int32())
-            flat = [s for x in found for s in x]
+            found = [_runs(x, SENTENCES, WORDS) for x in batch.column(2).to_pylist()]
+            of = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+            h = np.frombuffer(b"".join(x[2] for x in found), ">i8").astype(np.int64).reshape(-1, 2)
+            bit = (h[:, 0].view(np.uint64) >> np.uint64(64 - FIELD_BITS)).astype(np.int64) if len(h) else np.empty(0, np.int64)
+            marked = np.flatnonzero(marks[bit >> 6] >> (bit & 63) & 1)
+            first, last = (np.concatenate([x[i] for x in found])[marked].astype(np.int32) if found else np.empty(0, np.int32) for i in (0, 1))
+            of = pa.array(of[marked])
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(of), batch.column(1).take(of),
-                pa.array([int.from_bytes(s[2][:8], "big", signed=True) for s in flat], pa.int64()),
-                pa.array([int.from_bytes(s[2][8:], "big", signed=True) for s in flat], pa.int64()),
-                pa.array([s[0] for s in flat], pa.int32()), pa.array([s[1] for s in flat], pa.int32())],
-                names=["doc_id", "_text_hash", "h1", "h2", "first", "last"])
+                batch.column(0).take(of), batch.column(1).take(of), pa.array(h[marked, 0]), pa.array(h[marked, 1]),
+                pa.array(first), pa.array(last)], names=["doc_id", "_text_hash", "h1", "h2", "first", "last"])
 
     kind = dict(documents.dtypes)["doc_id"]
     return in_batches(rows, each, f"doc_id {kind}, _text_hash long, h1 long, h2 long, first int, last int")
@@ -107,9 +146,9 @@ def _all_spans(documents: DataFrame) -> DataFrame:
 
 def repeated_spans(documents: DataFrame) -> DataFrame:
     """The places to remove: (doc_id, _text_hash, first, last, first_doc_id), sentences from first to last."""
-    every = _all_spans(documents)
+    every = stored(_all_spans(documents, _marks(_hashes(documents))), "marked-spans")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"),
-                     F.col("first").alias("first"), F.col("_text_hash").alias("_text_hash"))
+                     F.col("first").alias("first"), F.col("last").alias("last"), F.col("_text_hash").alias("_text_hash"))
     repeated = stored(every.groupBy("h1", "h2").agg(F.min(place).alias("kept"), F.count("*").alias("n"))
                       .where("n > 1").drop("n"), "repeated-spans")
     again = every.join(repeated, ["h1", "h2"]).where(place != F.col("kept"))

@@ -59,3 +59,27 @@ def test_odd_rows(odd, nothing):
     rows = spans.without_repeats(odd).collect()
     assert len(rows) == 9 and {r.text for r in rows if r.doc_id in (1, 2, 3, 4)} == {"a b c", None, "", "  \n "}
     assert spans.without_repeats(nothing).collect() == []
+
+
+def test_a_passage_in_the_middle_of_sentences_is_found_whatever_stands_around_it(spark):
+    import random
+
+    draw = random.Random(3)
+    rows = []
+    for i in range(0, 40, 2):
+        passage = " ".join(f"p{draw.randrange(400)}" + "." * (n % 25 == 24) for n in range(51))
+        for doc_id in (i, i + 1):
+            before, after = (" ".join(f"{x}{doc_id}x{n}" for n in range(draw.randrange(1, 30))) for x in "ab")
+            rows.append((doc_id, f"{before} {passage} {after}."))
+    got = {r.doc_id: r.text for r in spans.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got.keys() == set(range(1, 40, 2))
+    for doc_id, text in got.items():
+        left = [w for w in text.split() if w.startswith("p")]
+        assert len(left) <= 4 * spans.WINDOW
+        assert len(text.split()) - len(left) == len([w for w in dict(rows)[doc_id].split() if not w.startswith("p")])
+
+
+def test_a_short_last_sentence_goes_with_its_passage(spark):
+    passage = "One two three four five six seven eight nine ten. Cats and dogs sat on the old brown mat together. So it was."
+    df = spark.createDataFrame([(1, f"{passage} The first goes on here with words of its own."), (2, f"{passage} Other end.")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in spans.repeats(df).collect()} == {2: "Other end."}
