@@ -4,12 +4,13 @@
    ``<num>``, a unit of measure after a number ``<unit>`` and a capitalised word inside a sentence ``<name>``
    (words in capitals throughout are not names).
    Re-parameterised questions have one template.
-2. *Window join*: every run of ``WINDOW`` template words that holds ``LITERALS`` words other than
+2. *Window join*: every run of ``WINDOW`` template words, and of ``SHORT``, that holds ``LITERALS`` words other than
    placeholders is hashed and joined, by hash, with the windows of all benchmark items (an item that is
    shorter is one window of its own length).  Before the join a bit field of fixed size, in which the
    benchmark's windows are marked, lets only promising windows out of the scan of the documents.
-3. *Alignment*: the windows that a document shares with an item at one shift are counted: together they must
-   cover ``COVERAGE`` of the item's words.
+3. *Alignment*: the windows that a document shares with an item at one shift, or at shifts that differ by ``SLACK`` at
+   most (words put in or left out), are counted: together they must cover ``COVERAGE`` of the item's words, or hold
+   ``RUN`` words in a row, the same in both, at one shift.
 4. *Slot consistency*: over the covered words each value of a slot in the item must stand for one value in
    the document throughout; an alignment that breaks this at more than ``BROKEN`` of its slots is none.
 
@@ -30,9 +31,12 @@ from pyspark.sql import functions as F
 from bazaar.llm.common import bounded, fresh, in_batches, stored
 
 WINDOW = 8
+SHORT = 6
 LITERALS = 4
 LEAST = 4
 COVERAGE = 0.5
+SLACK = 8
+RUN = 13
 BROKEN = 0.1
 #: Bits of the field that marks the benchmark's windows; it is this large whatever the benchmark's size.
 FIELD_BITS = 22
@@ -134,17 +138,18 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                 words, plain = template(text)
                 if len(words) < LEAST:
                     continue
-                size = min(WINDOW, len(words))
-                starts, h = window_hashes(*hashed(words), size)
-                for pos, one in zip(starts.tolist(), h.view(np.int64).tolist()):
-                    rows["item"].append(item)
-                    rows["item_id"].append(item_id)
-                    rows["n_words"].append(len(words))
-                    rows["size"].append(size)
-                    rows["pos"].append(pos)
-                    rows["h"].append(one)
-                    rows["slots"].append([i for i in range(pos, pos + size) if words[i] in _PLACEHOLDERS])
-                    rows["plain"].append([plain[i] for i in range(pos, pos + size) if words[i] in _PLACEHOLDERS])
+                own = hashed(words)
+                for size in sorted({min(WINDOW, len(words)), min(SHORT, len(words))}):
+                    starts, h = window_hashes(*own, size)
+                    for pos, one in zip(starts.tolist(), h.view(np.int64).tolist()):
+                        rows["item"].append(item)
+                        rows["item_id"].append(item_id)
+                        rows["n_words"].append(len(words))
+                        rows["size"].append(size)
+                        rows["pos"].append(pos)
+                        rows["h"].append(one)
+                        rows["slots"].append([i for i in range(pos, pos + size) if words[i] in _PLACEHOLDERS])
+                        rows["plain"].append([plain[i] for i in range(pos, pos + size) if words[i] in _PLACEHOLDERS])
             yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([
                 ("item", pa.int64()), ("item_id", batch.column(1).type), ("n_words", pa.int32()), ("size", pa.int32()),
                 ("pos", pa.int32()), ("h", pa.int64()), ("slots", pa.list_(pa.int32())), ("plain", pa.list_(pa.string()))]))
@@ -203,15 +208,32 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     known = F.broadcast(windows) if bounded(windows, BROADCAST_ROWS) else windows
     hits = stored(found.join(known, (F.col("d_h") == F.col("h")) & (F.col("d_size") == F.col("size")))
                   .withColumn("shift", F.col("d_pos") - F.col("pos")), "window-hits")
-    own = ["doc_id", "row", "item", "item_id", "n_words", "shift"]
-
-    # Words covered: a window adds what the one before it did not reach.
-    at = hits.groupBy(*own).agg(F.sort_array(F.collect_set("pos")).alias("at"), F.first("size").alias("size"))
+    # Each shift by itself, and shifts in two rows of cells, of which one holds any shifts that differ by SLACK at most.
+    cell = lambda name, value: F.struct(F.lit(name).alias("kind"), value.cast("int").alias("at"))
+    hits = hits.withColumn("region", F.explode(F.array(
+        cell("shift", F.col("shift")), cell("even", F.floor(F.col("shift") / (2 * SLACK + 2))),
+        cell("odd", F.floor((F.col("shift") + SLACK + 1) / (2 * SLACK + 2))))))
+    own = ["doc_id", "row", "item", "item_id", "n_words", "region"]
+
+    # Words covered: a window adds what the ones before it did not reach.
+    window = F.struct("pos", "size")
+    at = hits.groupBy(*own).agg(
+        F.sort_array(F.collect_set(window)).alias("at"), F.min("shift").alias("shift"),
+        F.sort_array(F.collect_set(F.when((F.col("region.kind") == "shift") & (F.col("plain") == F.col("d_plain")), window))).alias("exact"))
     covered = F.aggregate(
         "at", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
-        lambda a, p: F.struct((a["n"] + p + F.col("size") - F.greatest(p, a["end"])).alias("n"), (p + F.col("size")).alias("end")),
+        lambda a, p: F.struct((a["n"] + F.greatest(p["pos"] + p["size"] - F.greatest(p["pos"], a["end"]), F.lit(0))).alias("n"),
+                              F.greatest(a["end"], p["pos"] + p["size"]).alias("end")),
+        lambda a: a["n"])
+    run = F.aggregate(
+        "exact", F.struct(F.lit(0).alias("from"), F.lit(0).alias("end"), F.lit(0).alias("n")),
+        lambda a, p: F.struct(
+            F.when(p["pos"] <= a["end"], a["from"]).otherwise(p["pos"]).alias("from"),
+            F.greatest(a["end"], p["pos"] + p["size"]).alias("end"),
+            F.greatest(a["n"], F.greatest(a["end"], p["pos"] + p["size"]) - F.when(p["pos"] <= a["end"], a["from"]).otherwise(p["pos"])).alias("n")),
         lambda a: a["n"])
-    enough = at.withColumn("coverage", covered / F.col("n_words")).where(F.col("coverage") >= COVERAGE).drop("at", "size")
+    enough = at.withColumn("coverage", covered / F.col("n_words")).withColumn("run", run) \
+        .where((F.col("coverage") >= COVERAGE) | (F.col("run") >= RUN)).drop("at", "exact")
 
     # Slots: each value of the item must stand for one value of the document.
     pair = F.explode(F.arrays_zip("slots", "plain", "d_plain")).alias("s")
@@ -220,11 +242,11 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     kept = values.groupBy(*own, "value", "given").agg(F.count("*").alias("n")) \
         .groupBy(*own, "value").agg(F.sum("n").alias("n"), F.max("n").alias("same")) \
         .groupBy(*own).agg(F.sum("n").alias("n_slots"), F.sum("same").alias("n_same"))
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "row", "item", "shift")]
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "row", "item", "region")]
     checked = enough.alias("a").join(kept.alias("b"), same, "left") \
         .select("a.*", F.coalesce("b.n_slots", F.lit(0)).alias("n_slots"), F.coalesce("b.n_same", F.lit(0)).alias("n_same")) \
-        .where(F.col("n_slots") - F.col("n_same") <= BROKEN * F.col("n_slots"))
-    best = F.struct(F.col("coverage"), (-F.col("shift")).alias("back"), F.col("n_slots"), F.col("n_words"))
+        .where((F.col("n_slots") - F.col("n_same") <= BROKEN * F.col("n_slots")) | (F.col("run") >= RUN))
+    best = F.struct(F.col("coverage"), (F.col("region.kind") == "shift").alias("alone"), (-F.col("shift")).alias("back"), F.col("n_slots"), F.col("n_words"))
     return checked.groupBy("doc_id", "row", "item_id").agg(F.max(best).alias("m")).select(
         "doc_id", "row", "item_id", "m.coverage", F.col("m.n_slots").cast("long").alias("n_slots"),
         (-F.col("m.back")).alias("first_word"), "m.n_words")

@@ -45,3 +45,18 @@ def test_empty_tables(spark, nothing, odd):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert D.leaks(nothing, items).collect() == [] and D.leaks(odd, items.limit(0)).collect() == []
     assert D.clean(odd, items.limit(0)).count() == 9
+
+
+def test_parts_of_items_and_inserted_words(spark):
+    words = [f"{a}{b}" for a in ("ba", "ce", "di", "fo", "gu", "ha") for b in ("lo", "mi", "nu", "pa", "re", "so", "ta", "vi", "wo")]
+    long, short, two = " ".join(words), " ".join(f"s{w}" for w in words[:14]), [f"t{w}" for w in words[:30]]
+    items = spark.createDataFrame([(1, long), (2, short), (3, " ".join(two))], "item_id long, text string")
+    split = short.split()
+    documents = [
+        (1, "x y " + " ".join(words[20:33]) + " z"),  # a quarter of the item
+        (2, "x y " + " ".join([*split[:7], "inserted", *split[7:]]) + " z"),
+        (3, " ".join(["x", *two[4:10], "in", *two[10:16], "in", "out", *two[16:22], "z"])),  # 18 of 30 words at three shifts
+        (4, "x y " + " ".join(words[20:32]) + " z"),  # 12 words only
+        (5, " ".join(["x", *two[0:7], *(f"far{i}" for i in range(40)), *two[14:22]]))]  # 15 words, far apart
+    got = {(r.doc_id, r.item_id) for r in D.leaks(spark.createDataFrame(documents, "doc_id long, text string"), items).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3)}
