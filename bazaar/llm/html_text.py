@@ -11,7 +11,8 @@
    content side are the text, in page order.
 
 Blocks under an element that is boilerplate by its meaning (menus, footers, forms, ...) are bound to that side
-by an edge that no cut can afford.
+by an edge that no cut can afford.  A class or id that sounds like boilerplate is a cost among others, which weighs less the
+more words a block has and ends at an article or main element inside; no-, has-, with- or sticky- before such a name tell of a page's layout.
 
 Null and empty pages have an empty text.  Broken mark-up (missing ends, cut-off tags and references) is read as browsers do.
 Repeated rows are treated alike.  A page of any length is read whole; the number of edges is linear in that of blocks.
@@ -49,6 +50,7 @@ _NAMES = re.compile(
     r"cookie\w*|consent|gdpr|notice|notices|notification\w*|popup|modal|overlay|alert|newsletter|subscri\w*|signup|login|"
     r"share|sharing|social|comments?|commentlist|disqus|respond|replies|reply|discussion|pagination|pager|skip|copyright|legal|disclaimer|tags|"
     r"search\w*)(?=$|[-_\s\d])", re.I)
+_LAYOUT = re.compile(r"(?:^|(?<=\s))(?:[\w-]*[-_])?(?:no|has|with|without|sticky)[-_]\S+", re.I)
 _CONTENT_NAMES = re.compile(r"(?:^|[-_\s])(?:article|content|post|entry|story|main|body|text)(?=$|[-_\s\d])", re.I)
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -56,43 +58,51 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 BOUND = 1e6
+#: Cost of a name that sounds like boilerplate, and the number of words at which it weighs half.
+SUSPECT = 16.0
+SUSPECT_WORDS = 60
 
 
 class Block:
-    """A run of text: its text, the part of it in links, the numbers of the elements around it."""
+    """A run of text: its text, the part of it in links, the numbers of the elements around it; ``suspect`` is the share of it
+    in elements that are named as boilerplate."""
 
-    __slots__ = ("text", "linked", "path", "tags", "banned", "named")
+    __slots__ = ("text", "linked", "path", "tags", "banned", "named", "suspect")
 
-    def __init__(self, text, linked, path, tags, banned, named):
+    def __init__(self, text, linked, path, tags, banned, named, suspect):
         self.text, self.linked, self.path, self.tags, self.banned, self.named = text, linked, path, tags, banned, named
+        self.suspect = suspect
 
 
 def blocks(html: str) -> list[Block]:
     found: list[Block] = []
-    stack: list[tuple[str, int, bool, bool]] = []  # name, number, banned, named as content
+    stack: list[tuple[str, int, bool, bool, bool]] = []  # name, number, banned, named as content, named as boilerplate
     pieces: list[str] = []
-    linked, number, at, context = 0, 0, 0, None
+    linked, odd, number, at, context = 0, 0, 0, 0, None
 
     def flush():
-        nonlocal pieces, linked, context
+        nonlocal pieces, linked, odd, context
         text = " ".join("".join(pieces).split())
         if text and context is not None:
-            found.append(Block(text, linked, *context))
-        pieces, linked, context = [], 0, None
+            *around, suspect = context
+            found.append(Block(text, linked, *around, 1.0 if suspect else min(odd / len(text), 1.0)))
+        pieces, linked, odd, context = [], 0, 0, None
 
     def add(raw: str):
-        nonlocal linked, context
-        if not raw or any(s[0] in _UNSHOWN for s in stack):
+        nonlocal linked, odd, context
+        if not raw or any(s[0] in _UNSHOWN or s[2] and s[0] in _INLINE for s in stack):
             return
         text = unescape(raw) if "&" in raw else raw
         pieces.append(text)
         if text.strip():
             if any(s[0] == "a" for s in stack):
                 linked += len(text.strip())
+            if any(s[4] and s[0] in _INLINE for s in stack):
+                odd += len(text.strip())
             if context is None:
                 outer = [s for s in stack if s[0] not in _INLINE]
                 context = (tuple(s[1] for s in outer), tuple(s[0] for s in outer),
-                           any(s[2] for s in stack), any(s[3] for s in stack))
+                           any(s[2] for s in outer), any(s[3] for s in outer), _suspect(outer))
 
     while at < len(html):
         m = _TAG.search(html, at)
@@ -127,6 +137,16 @@ def blocks(html: str) -> list[Block]:
     return found
 
 
+def _suspect(stack) -> bool:
+    """Whether an element is named as boilerplate, inside the innermost article or main if there is one."""
+    for s in reversed(stack):
+        if s[4]:
+            return True
+        if s[0] in ("article", "main"):
+            return False
+    return False
+
+
 def _last(stack, names, scope) -> int | None:
     for i in range(len(stack) - 1, -1, -1):
         if stack[i][0] in names:
@@ -151,8 +171,8 @@ def _close_p(stack) -> None:
         stack[i:] = inline  # formatting goes on in the next block
 
 
-def _meaning(name: str, attributes: str, stack) -> tuple[bool, bool]:
-    """(boilerplate by meaning, named as content)."""
+def _meaning(name: str, attributes: str, stack) -> tuple[bool, bool, bool]:
+    """(boilerplate by meaning, named as content, named as boilerplate)."""
     banned = name in _NEVER or name == "header" and not any(s[0] in ("article", "main") for s in stack)
     if "=" in attributes or "hidden" in attributes:
         given = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
@@ -161,10 +181,10 @@ def _meaning(name: str, attributes: str, stack) -> tuple[bool, bool]:
         banned |= (given.get("role", "").lower() in _ROLES or bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attributes))
                    or "display:none" in style or given.get("aria-hidden", "").lower() == "true")
         content = bool(_CONTENT_NAMES.search(names))
-        if name not in ("html", "body", "article", "main") and not content:
-            banned |= bool(_NAMES.search(names))
-        return banned, content
-    return banned, False
+        suspect = (name not in ("html", "body", "article", "main") and not content
+                   and bool(_NAMES.search(_LAYOUT.sub(" ", names))))
+        return banned, content, suspect
+    return banned, False, False
 
 
 def costs(block: Block) -> tuple[float, float]:
@@ -176,6 +196,7 @@ def costs(block: Block) -> tuple[float, float]:
     for tag in ("article", "main"):
         score += 3.0 * (tag in block.tags)
     score += 2.0 * block.named
+    score -= SUSPECT / (1 + len(words) / SUSPECT_WORDS) * block.suspect
     score += 1.0 * (block.tags[-1:] in (("p",), ("h1",), ("h2",), ("h3",), ("blockquote",), ("pre",)))
     score -= 0.8 * (block.tags[-1:] in (("li",), ("td",), ("th",)) and len(words) < 4)
     if re.match(r"(?:©|\(c\)|copyright\b|all rights reserved)", block.text, re.I):

@@ -44,3 +44,24 @@ def test_table(spark):
     rows = H.extracted(pages).collect()
     assert sorted(r.n_chars for r in rows) == [0, 56, 56] and all(r.n_chars == len(r.text) for r in rows)
     assert H.extracted(pages.limit(0)).collect() == []
+
+
+LONG = "The river rose slowly in the night, and the people moved their boats to the higher ground. " * 8
+
+
+@pytest.mark.parametrize("name", ["container no-sidebar", "wrapper has-sidebar", "page with-sidebar", "site sticky-header", "layout has-footer"])
+def test_names_of_a_layout_ban_nothing(name):
+    assert H.main_text(f'<div class="{name}"><p>{LONG}</p></div>') == LONG.strip()
+    assert H.main_text(f'<div class="{name}"><main><article><p>Short one.</p></article></main></div>') == "Short one."
+
+
+def test_names_weigh_less_than_much_text_and_end_at_an_article():
+    assert H.main_text(f'<div class="widget"><p>{LONG}</p></div>') == LONG.strip()
+    assert H.main_text(f'<div class="widget"><article><p>{LONG}</p></article></div>') == LONG.strip()
+    assert H.main_text('<div class="widget"><p>Subscribe to our letter now.</p></div>') == ""
+    assert H.main_text(f"<p><a class='related-link'>See also</a> {LONG}</p>") == f"See also {LONG.strip()}"
+
+
+def test_inline_elements_speak_for_their_own_text_only():
+    assert H.main_text(f"<p><span hidden>Not shown.</span> {LONG}</p>") == LONG.strip()
+    assert H.main_text("<div><span class='ad'>Buy it here today, now.</span></div>") == ""
