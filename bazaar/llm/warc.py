@@ -102,13 +102,15 @@ def field(name: str) -> Column:
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """(header, payload) of each archived record; the payload of a revisit is that of the record it refers to.
 
-    A stored payload whose digest differs from its key stops the job.
+    A stored payload whose SHA-256 differs from its key, or whose SHA-1 from a header that names it, stops the job.
     """
     payloads = spark.read.schema("sha256 string, payload binary").parquet(f"{path}/payloads")
     sound = F.assert_true(F.sha2("payload", 256) == F.col("sha256"), "a stored payload does not have its digest")
     payloads = payloads.where(F.coalesce(sound.cast("boolean"), F.lit(True)))
     records = spark.read.schema("sha256 string, header string").parquet(f"{path}/records")
-    return records.join(payloads, "sha256").select("header", "payload")
+    named = F.assert_true(F.concat(F.lit("sha1:"), base32_sha1(F.col("payload"))) == field("WARC-Payload-Digest"),
+                          "a payload does not have its digest in the header")
+    return records.join(payloads, "sha256").where(F.coalesce(named.cast("boolean"), F.lit(True))).select("header", "payload")
 
 
 def record_bytes() -> Column:
@@ -150,7 +152,7 @@ def archived_pages(pages: DataFrame) -> DataFrame:
     number = lambda name: F.when(field(name) != "", field(name).cast("long"))
     return back.select(
         number("X-Page-Id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
-        base32_sha1(F.col("payload")).alias("payload_digest"), field("WARC-Type").alias("record_type"),
+        F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("payload_digest"), field("WARC-Type").alias("record_type"),
         number("X-Refers-To-Page-Id").alias("refers_to"),
         field("WARC-Record-ID").alias("record_id"), field("WARC-Target-URI").alias("url"))
 

@@ -49,3 +49,13 @@ def test_a_changed_payload_is_noticed(spark):
 
 def test_empty_table(spark):
     assert warc.archived_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_a_wrong_digest_in_a_header_is_noticed(spark):
+    import pytest
+
+    path = warc.write_archive(spark.createDataFrame(PAGES[:1], "page_id long, url string, html string"))
+    wrong = [(r.sha256, r.header.replace("sha1:", "sha1:A")) for r in spark.read.parquet(f"{path}/records").collect()]
+    spark.createDataFrame(wrong, "sha256 string, header string").write.mode("append").parquet(f"{path}/records")
+    with pytest.raises(Exception, match="digest in the header"):
+        warc.read_archive(spark, path).collect()
