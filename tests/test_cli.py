@@ -2,7 +2,7 @@
 
 from bazaar.__main__ import main
 from bazaar.sources.csv import write_sales_csv
-from conftest import row
+from rows import row
 
 
 def test_load_eda_report(spark, sales, tmp_path, capsys):

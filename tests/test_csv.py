@@ -4,7 +4,7 @@ import pytest
 
 from bazaar.operators.clean import coerce, quarantined_rows, valid_rows
 from bazaar.sources.csv import read_sales_csv, write_sales_csv
-from conftest import row
+from rows import row
 
 HEADER = "id,Category,City,Order_ID,Order_Date,Customer_ID,Customer_Name,Age,Gender,Product,Quantity,Unit_Price,Total_Sales\n"
 

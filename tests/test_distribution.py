@@ -9,7 +9,7 @@ import numpy as np
 from bazaar.operators.distribution import density, histogram
 from bazaar.operators.profile import describe_numeric
 from bazaar.operators.quantiles import exact_percentiles
-from conftest import row
+from rows import row
 
 
 def test_histogram_edges(sales):

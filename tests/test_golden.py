@@ -3,7 +3,7 @@
 from decimal import Decimal
 
 from bazaar.operators import breakdowns, insights, reports
-from conftest import row
+from rows import row
 
 GOLDEN = [("Laptop", "Electronics", 25443009), ("Mobile", "Electronics", 25335573),
           ("Book", "Education", 25031689), ("Rice", "Grocery", 22231711),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bazaar.operators import bands, breakdowns, distribution, reports
 from bazaar.schema import SALES_SCHEMA
-from conftest import row
+from rows import row
 
 rows = st.lists(st.builds(
     lambda city, cat, cents, age, day: row(City=city, Category=cat, Product=cat + "-p",

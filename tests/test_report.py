@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bazaar.functions import fmt
 from bazaar.plans import eda_job, report
-from conftest import row
+from rows import row
 
 GOLDEN = [("Laptop", "Electronics", 25443009), ("Mobile", "Electronics", 25335573),
           ("Book", "Education", 25031689), ("Rice", "Grocery", 22231711),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bazaar.functions.text import with_collation
 from bazaar.operators import bands, breakdowns, insights, reports, trends
-from conftest import row
+from rows import row
 
 
 def as_dict(df, key):

@@ -6,7 +6,7 @@ from bazaar.operators.clean import coerce, valid_rows
 from bazaar.sources.csv import read_sales_csv, write_sales_csv
 from bazaar.sources.fallback import NoSourceError, load_raw
 from bazaar.sources.jdbc import JdbcSource
-from conftest import row
+from rows import row
 
 DOWN = JdbcSource(url="jdbc:unreachable://localhost/db", properties={"user": "u"})
 
