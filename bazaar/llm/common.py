@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,3 +75,17 @@ def crc_of_id(doc_id: Column) -> Column:
 def bounded(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows
+
+
+def bit_field(hashes: DataFrame, max_bits: int) -> np.ndarray:
+    """A bit field, in words of 64 bits, that marks the column ``hash`` (long) by its highest bits.
+
+    It has some 16 bits for each hash, and 2 ** ``max_bits`` at most; no more rows than it has words reach the driver.
+    """
+    bits = min(max_bits, max(16, (16 * hashes.count()).bit_length()))
+    bit = F.shiftrightunsigned("hash", 64 - bits)
+    words = (hashes.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("set")).toArrow())
+    field = np.zeros(1 << bits - 6, np.int64)
+    field[words.column("at").to_numpy()] = words.column("set").to_numpy()
+    return field

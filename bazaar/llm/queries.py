@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaar.llm import bpe, decontaminate, html_text, licences, quality, simhash, spans, toxicity, warc, winnow
+from bazaar.llm import bpe, decontaminate, exact, html_text, licences, quality, simhash, spans, toxicity, warc, winnow
 from bazaar.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -69,6 +69,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.exact_groups(table(spark, sf_dir, "documents"), every_digest=True)
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,8 +83,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in (
         op1_html_text, op2_licences, op3_toxicity, op4_decontamination, op5_winnow, op6_spans, op7_quality, op8_simhash, op9_warc,
-        op10_bpe, pipeline)}
+        op10_bpe, op11_exact_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": warc.ORACLE_SQL}
+    return {"op9_warc": warc.ORACLE_SQL, "op11_exact_dedup": exact.ORACLE_SQL}
