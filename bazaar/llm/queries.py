@@ -7,16 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaar.llm import bpe, decontaminate, exact, html_text, licences, quality, simhash, spans, toxicity, warc, winnow
+from bazaar.llm import align, bpe, decontaminate, exact, html_text, licences, quality, simhash, spans, toxicity, trie, warc, winnow
 from bazaar.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +75,14 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.link_counts(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(PIECES))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.branched(table(spark, sf_dir, "conversations"))).nodes.drop("node")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,8 +92,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in (
         op1_html_text, op2_licences, op3_toxicity, op4_decontamination, op5_winnow, op6_spans, op7_quality, op8_simhash, op9_warc,
-        op10_bpe, op11_exact_dedup, pipeline)}
+        op10_bpe, op11_exact_dedup,
+        op12_alignment, op13_prefix_trie, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": warc.ORACLE_SQL, "op11_exact_dedup": exact.ORACLE_SQL}
+    return {"op9_warc": warc.ORACLE_SQL, "op11_exact_dedup": exact.ORACLE_SQL, "op13_prefix_trie": trie.ORACLE_SQL}
