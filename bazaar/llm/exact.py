@@ -95,11 +95,15 @@ def exact_groups(documents: DataFrame, every_digest: bool = False) -> DataFrame:
     rows = _hashed(documents, field.tobytes(), every_digest)
     order = F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
     groups = rows.where("digest is not null").groupBy("digest").agg(F.min(order).alias("keep"), F.count("*").alias("group_size"))
-    alike = rows.where("digest is not null").join(groups, "digest").select(
-        "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "own", "text_sha256")
+    # Written, so that both sides of the join are dealt out for it and a hot digest can be split.
+    groups = stored(groups.where("group_size > 1"), "exact-groups")
+    hashed = rows.where("digest is not null").join(groups, "digest", "left")
+    group_size = F.coalesce("group_size", F.lit(1).cast("long"))
+    keep_id = F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id"))
+    kept = F.coalesce(F.col("row") == F.col("keep.row"), F.lit(True))
     alone = rows.where("digest is null").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "own", "text_sha256")
-    return alike.unionByName(alone)
+    return hashed.select("doc_id", keep_id.alias("keep_id"), group_size.alias("group_size"), kept.alias("kept"), "own", "text_sha256").unionByName(alone)
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
