@@ -37,6 +37,7 @@ from bazaar.llm.common import in_batches, stored
 PIECE = 1 << 16
 TABLE_PAIRS = 1_000_000
 TASK_CHARS = 2_000_000
+JOINED_WORDS = 2000
 #: Characters whose tokens are worked on at a time (or one text), and links that are laid out at a time.
 BATCH_CHARS = 1_000_000
 BATCH_LINKS = 1 << 21
@@ -78,35 +79,66 @@ def split_words(text: str) -> list[str]:
     return text.replace(" ", "\0 ").split("\0")[1:]
 
 
+def _regular(word: str) -> bool:
+    """Whether such words, written one after the other, are the words of that text."""
+    return bool(word[1:2].strip()) and word[-1] != " "
+
+
 class Words:
-    """Ids of words by both tokenizers, as 32-bit integers one after the other; None where they do not give the word's bytes."""
+    """Ids of words by both tokenizers, as 32-bit integers one after the other."""
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = _tokenizer(path_a), _pieces_model(path_b)
         self.bytes_a, self.bytes_b = bpe_pieces(path_a), piece_bytes(path_b)
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.pieces = tuple(pa.array(x, pa.large_binary()) for x in (self.bytes_a, self.bytes_b))
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self.bad: set[str] = set()  # words that do not get their own bytes
         self.chars = 0
 
+    def _ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """By A and by B, of texts that start with a blank."""
+        return ([e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)],
+                self.b.encode([t[1:] for t in texts], num_threads=1))
+
+    def _learn_one_by_one(self, words: list[str]) -> None:
+        for w, a, b in zip(words, *self._ids(words)):
+            whole = w.encode()
+            same = whole == b"".join(map(self.bytes_a.__getitem__, a)) == b"".join(map(self.bytes_b.__getitem__, b))
+            for known, ids in zip(self.known, (a, b)):
+                known[w] = np.array(ids, np.int32).tobytes()
+            if not same:
+                self.bad.add(w)
+
+    def _learn(self, words: list[str]) -> None:
+        """Regular words are encoded as one text, whose ids are cut at the words' ends."""
+        joined = "".join(words)
+        whole, sizes = joined.encode(), np.fromiter((len(w.encode()) for w in words), np.int64, len(words))
+        ends, cuts = np.cumsum(sizes), []
+        for ids, piece in zip(self._ids([joined]), self.pieces):
+            ids = np.array(ids[0], np.int32)
+            spelt = piece.take(pa.array(ids))
+            up_to = np.frombuffer(spelt.buffers()[1], np.int64)[1:]
+            cut = np.searchsorted(up_to, ends)
+            if spelt.buffers()[2].slice(0, up_to[-1]).to_pybytes() != whole or (up_to[np.minimum(cut, len(ids) - 1)] != ends).any():
+                return self._learn_one_by_one(words)
+            cuts.append((ids.tobytes(), (4 * (cut + 1)).tolist()))
+        for known, (ids, cut) in zip(self.known, cuts):
+            known.update(zip(words, [ids[x:y] for x, y in zip([0, *cut], cut)]))
+
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes] | None]:
         """The ids of each text by A and by B; None if it has no tokens."""
         words = [split_words(" " + t) if t else [] for t in texts]
         if self.chars > TASK_CHARS:
-            self.known, self.chars = {}, 0
-        known = self.known
-        new = list(set().union(*words).difference(known))
-        if new:
-            self.chars += sum(map(len, new))
-            by_a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
-            by_b = self.b.encode([w[1:] for w in new], num_threads=1)
-            for w, a, b in zip(new, by_a, by_b):
-                whole = w.encode()
-                same = whole == b"".join(map(self.bytes_a.__getitem__, a)) == b"".join(map(self.bytes_b.__getitem__, b))
-                known[w] = (np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes()) if same else None
-        out: list[tuple[bytes, bytes] | None] = []
-        for of_text in words:
-            ids = list(map(known.__getitem__, of_text))
-            out.append((b"".join([x[0] for x in ids]), b"".join([x[1] for x in ids])) if ids and None not in ids else None)
-        return out
+            self.known, self.bad, self.chars = ({}, {}), set(), 0
+        new = list(set().union(*words).difference(self.known[0]))
+        self.chars += sum(map(len, new))
+        regular = [w for w in new if _regular(w)]
+        for i in range(0, len(regular), JOINED_WORDS):
+            self._learn(regular[i:i + JOINED_WORDS])
+        if len(regular) < len(new):
+            self._learn_one_by_one([w for w in new if not _regular(w)])
+        of_a, of_b = (known.__getitem__ for known in self.known)
+        return [(b"".join(map(of_a, t)), b"".join(map(of_b, t))) if t and self.bad.isdisjoint(t) else None for t in words]
 
 
 def diagonals(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
