@@ -102,7 +102,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     args = build_parser().parse_args(argv)
     spark = spark or get_session(args.master)
     if args.command == "load":
-        raw, used = load_raw(spark, _jdbc(args), args.csv, args.multi_line)
+        raw, used = load_raw(spark, _jdbc(args), args.csv, args.multi_line, places=True)
         print(f"source: {used}")
         load_job.run(spark, raw, args.db, args.warehouse, args.date_format or DATE_FORMATS).show(truncate=False)
         if args.to_jdbc_url:

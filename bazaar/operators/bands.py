@@ -31,6 +31,12 @@ def band_aggs() -> list[Column]:
     return [F.count_if(band == i).alias(f"_b{i}") for i in range(len(EDA_AGE_LABELS))]
 
 
+def bands_of_counts(counts: DataFrame) -> DataFrame:
+    """The row behind ``present_band_counts`` from a ``(v, c)`` table of ages."""
+    band = eda_age_band(F.col("v"))
+    return counts.agg(*[F.coalesce(F.sum(F.when(band == i, F.col("c"))), F.lit(0)).alias(f"_b{i}") for i in range(len(EDA_AGE_LABELS))])
+
+
 def present_band_counts(row: DataFrame) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(i).alias("Band_Index"), F.lit(label).alias("Age_Band"),
                               F.col(f"_b{i}").alias("Orders")) for i, label in enumerate(EDA_AGE_LABELS)])

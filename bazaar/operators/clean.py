@@ -73,11 +73,38 @@ def date_of(text: Column, formats: list[str] = DATE_FORMATS) -> Column:
     return F.to_date(F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats]))
 
 
-def coerce(raw: DataFrame, date_formats: list[str] = DATE_FORMATS) -> DataFrame:
+def format_counts(raw: DataFrame, formats: list[str], column: str = "Order_Date") -> DataFrame:
+    """Rows ``Position, Format, Parsed``: how many values of the column each format reads, from one aggregate."""
+    t = F.trim(na_to_null(F.col(column)))
+    row = raw.agg(*[F.count(F.try_to_timestamp(t, F.lit(f))).alias(f"_n{i}") for i, f in enumerate(formats)])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(i).alias("Position"), F.lit(f).alias("Format"), F.col(f"_n{i}").alias("Parsed"))
+                                         for i, f in enumerate(formats)])))
+
+
+def best_format(raw: DataFrame, formats: list[str], column: str = "Order_Date") -> Column:
+    """The format that reads most values (ties: the earlier of the list), as a scalar subquery; row order has no say in it."""
+    best = F.min(F.struct((-F.col("Parsed")).alias("less"), "Position", "Format"))
+    return format_counts(raw, formats, column).select(best.getField("Format")).scalar()
+
+
+def with_one_date_format(raw: DataFrame, formats: list[str], column: str = "Order_Date") -> DataFrame:
+    """``raw`` whose dates of the format that reads most of them are written as yyyy-MM-dd; all other dates are NULL.
+
+    For files whose dates several formats can read (03/04/2025): a file has one format, not one per row.
+    """
+    t = F.trim(na_to_null(F.col(column)))
+    chosen = raw.withColumn("_format", best_format(raw, formats, column))
+    read = F.lit(None).cast("date")
+    for f in formats:
+        read = F.when(F.col("_format") == f, F.to_date(F.try_to_timestamp(t, F.lit(f)))).otherwise(read)
+    return chosen.withColumn(column, read.cast("string")).drop("_format")
+
+
+def coerce(raw: DataFrame, date_formats: list[str] = DATE_FORMATS, keep: list[str] = ()) -> DataFrame:
     """Typed sales columns + ``Reason`` (NULL for a valid row) + the raw text as ``raw_<col>``.
 
     ``raw`` has the twelve business columns as strings; of other columns only the CSV
-    reader's ``MALFORMED`` is looked at.
+    reader's ``MALFORMED`` is looked at, and those of ``keep`` are passed on.
     """
     r = {c: F.col(c) for c in COLUMNS}
     text = {c: na_to_null(r[c]) for c in MAX_LENGTH}
@@ -105,7 +132,7 @@ def coerce(raw: DataFrame, date_formats: list[str] = DATE_FORMATS) -> DataFrame:
         "Category": text["Category"], "Quantity": qty,
         "Unit_Price": money(r["Unit_Price"], PRICE), "Total_Sales": money(r["Total_Sales"], MONEY),
     }
-    return raw.select(*[typed[c].alias(c) for c in COLUMNS], reason.alias("Reason"),
+    return raw.select(*keep, *[typed[c].alias(c) for c in COLUMNS], reason.alias("Reason"),
                       *[r[c].alias(f"raw_{c}") for c in COLUMNS])
 
 

@@ -1,61 +1,74 @@
 """Data profiling of the EDA half.
 
-* ``dataset_summary`` — shape, date range and the distinct values of the three
-  dimensions, in one global aggregate (no Expand: ``collect_set`` per column,
-  deduplicated inside each task before the single merge; the lists are as long
-  as the number of distinct keys they report).
+* ``dataset_summary`` — shape, date range and the number of distinct values of the three
+  dimensions, from one grouping-sets aggregate (one row per key after it, so no task holds a
+  dimension's values); ``dimension_values`` — the values themselves as rows, in order.
 * ``missing_values`` — NULL count and percent per column in one pass, unpacked
   into one row per column; columns without NULLs are left out.
 * ``describe_numeric`` — count, mean, sample std, min, exact quartiles, max for
-  the numeric columns; quartiles come from ``quantiles.exact_percentiles``.
+  the numeric columns; quartiles come from ``quantiles.percentiles_of_counts``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bazaar.functions.money import round_ratio
-from bazaar.operators.quantiles import percentiles_of_counts, value_counts
+from bazaar.operators.quantiles import counted, percentiles_of_counts, ranged
+from bazaar.operators.summaries import grouping_code
 from bazaar.schema import DIMENSIONS, NUMERIC_PROFILE_COLUMNS
+from bazaar.session import shared_path
+
+COUNT_NAMES = {"City": "Cities", "Category": "Categories", "Product": "Products"}
+
 
-LIST_NAMES = {"City": ("Cities", "City_List"), "Category": ("Categories", "Category_List"),
-              "Product": ("Products", "Product_List")}
+def present_summary(groups: DataFrame, dims: list[str], columns: list[str], of: list[str] = DIMENSIONS) -> DataFrame:
+    """The summary from a grouping-sets table of ``dims`` with ``_rows _dmin _dmax _gid`` (one row per key and set)."""
+    whole = F.col("_gid") == grouping_code(dims, None)
+    row = groups.agg(
+        F.coalesce(F.max(F.when(whole, F.col("_rows"))), F.lit(0).cast("bigint")).alias("Rows"),
+        F.max(F.when(whole, F.col("_dmin"))).alias("Date_Min"), F.max(F.when(whole, F.col("_dmax"))).alias("Date_Max"),
+        *[F.count_if((F.col("_gid") == grouping_code(dims, d)) & F.col(d).isNotNull()).alias(COUNT_NAMES.get(d, f"{d}_Count")) for d in of])
+    return row.select("Rows", F.lit(len(columns)).alias("Columns"), F.lit(", ".join(columns)).alias("Column_List"),
+                      "Date_Min", "Date_Max", *[F.col(COUNT_NAMES.get(d, f"{d}_Count")) for d in of])
 
 
-def summary_aggs(dims: list[str] = DIMENSIONS, with_lists: bool = True) -> list[Column]:
-    """Aggregates behind ``dataset_summary`` (fusable with other global aggregates)."""
-    aggs = [F.count(F.lit(1)).alias("Rows"), F.min("Order_Date").alias("Date_Min"),
-            F.max("Order_Date").alias("Date_Max")]
-    if with_lists:
-        aggs += [F.array_sort(F.collect_set(d)).alias(f"_{d}") for d in dims]
-    else:
-        aggs += [F.count_distinct(d).alias(f"_{d}") for d in dims]
-    return aggs
+def dataset_summary(df: DataFrame, dims: list[str] = DIMENSIONS) -> DataFrame:
+    """Rows, columns, column names, date range, and the number of each dimension's values (``dimension_values`` lists them)."""
+    groups = df.select(*dims, "Order_Date").groupingSets([[d] for d in dims] + [[]], *dims).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("Order_Date").alias("_dmin"), F.max("Order_Date").alias("_dmax"),
+        F.grouping_id().alias("_gid"))
+    return present_summary(groups, dims, df.columns, dims)
 
 
-def present_summary(row: DataFrame, columns: list[str], dims: list[str] = DIMENSIONS,
-                    with_lists: bool = True) -> DataFrame:
-    cols = ["Rows", F.lit(len(columns)).alias("Columns"),
-            F.lit(", ".join(columns)).alias("Column_List"), "Date_Min", "Date_Max"]
-    for d in dims:
-        count_name, list_name = LIST_NAMES.get(d, (f"{d}_Count", f"{d}_List"))
-        if with_lists:
-            cols += [F.size(f"_{d}").alias(count_name), F.array_join(f"_{d}", ", ").alias(list_name)]
-        else:
-            cols += [F.col(f"_{d}").cast("int").alias(count_name)]
-    return row.select(*cols)
+def dimension_values(df: DataFrame, dims: list[str] = DIMENSIONS) -> DataFrame:
+    """The distinct values of each dimension in order, as rows ``Dimension, Position`` (from 1) ``, Value``."""
+    cells = F.array(*[F.struct(F.lit(d).alias("Dimension"), F.col(d).cast("string").alias("Value")) for d in dims])
+    return present_values(df.select(F.inline(cells)).where(F.col("Value").isNotNull()).distinct())
 
 
-def dataset_summary(df: DataFrame, dims: list[str] = DIMENSIONS, with_lists: bool = True) -> DataFrame:
-    """Rows, columns, column names, date range, and count + sorted list of each dimension's values.
+def present_values(values: DataFrame) -> DataFrame:
+    """Distinct ``(Dimension, Value)`` rows, numbered.
 
-    ``with_lists=False`` reports only the exact distinct counts (Spark's
-    distinct aggregate, spread over the cluster) — for dimensions with so many
-    values that one list in one row is not useful.
+    They are sorted by ranges and written with the number of the range; a value's position is its place inside its
+    range, which one window partition sorts, plus the rows of the ranges before it (one row per range and dimension).
     """
-    return present_summary(df.agg(*summary_aggs(dims, with_lists)), df.columns, dims, with_lists)
+    spark = values.sparkSession
+    path = shared_path(spark, "dimension_values", uuid.uuid4().hex)
+    placed = (values.select("Dimension", "Value").repartitionByRange("Dimension", "Value")
+              .withColumn("_b", F.spark_partition_id()))
+    placed.write.parquet(path)
+    rows = spark.read.schema(placed.schema).parquet(path)
+    before = Window.partitionBy("Dimension").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (rows.groupBy("Dimension", "_b").agg(F.count(F.lit(1)).alias("_n"))
+                  .select("Dimension", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
+    place = F.row_number().over(Window.partitionBy("Dimension", "_b").orderBy("Value"))
+    return (rows.withColumn("_place", place).join(F.broadcast(starts), ["Dimension", "_b"])
+                .select("Dimension", (F.col("_start") + F.col("_place")).alias("Position"), "Value"))
 
 
 def missing_aggs(columns: list[str]) -> list[Column]:
@@ -79,7 +92,7 @@ def missing_values(df: DataFrame) -> DataFrame:
     return present_missing(df.agg(F.count(F.lit(1)).alias("Rows"), *missing_aggs(df.columns)), df.columns)
 
 
-def _long_type(df: DataFrame, columns: list[str]) -> str:
+def long_type(df: DataFrame, columns: list[str]) -> str:
     """One type that holds the profiled columns exactly: two places unless a DECIMAL has more."""
     scales = [t.scale for t in (df.schema[c].dataType for c in columns) if isinstance(t, T.DecimalType)]
     return "decimal(28,6)" if max(scales, default=0) > 2 else "decimal(24,2)"
@@ -89,20 +102,18 @@ def describe_numeric(df: DataFrame, columns: list[str] = NUMERIC_PROFILE_COLUMNS
                      accuracy: int = 10_000, ranges: int | None = None) -> DataFrame:
     """Count, mean, sample std, min, quartiles and max, one row per numeric column.
 
-    The fact is read once: the ``(column, value)`` long form is reduced to a
-    checkpointed (value, count) table per column, from which both the moments
-    (count, exact sum, min, max, and the sample std by a stable second pass
-    around the exact mean) and the exact quartiles are computed.  The
-    per-column tables (one row per profiled column) are joined on the column
-    index to the list of columns, so an all-NULL column still gets its row.
+    The fact is read once: the ``(column, value)`` long form is reduced to a (value, count) table in
+    ranges.  Counts, exact sums, minima and maxima are observed while that table is written; one read of it
+    gives the spread around the exact means and the counts per range, and the quartiles read only the
+    ranges that hold them.  An all-NULL column still gets its row.
     ``exact=False`` takes the quartiles from a ``percentile_approx`` sketch per
-    column instead (rank error about ``1/accuracy``; one pass, no checkpoint).
-    ``ranges`` goes to ``quantiles.value_counts``.
+    column instead (rank error about ``1/accuracy``; one pass, no written table).
+    ``ranges`` goes to ``quantiles.ranged``.
     """
     long = long_form(df, columns)
     if exact:
         _check_exact_types(df, columns)
-        return describe_from_counts(value_counts(long, "_k", "_v", ranges), columns)
+        return describe_counted(counted(long, "_k", "_v"), columns, ranges)
     aggs = []
     for i, c in enumerate(columns):
         x = F.col(c)
@@ -116,7 +127,10 @@ def describe_numeric(df: DataFrame, columns: list[str] = NUMERIC_PROFILE_COLUMNS
     sketch = F.percentile_approx("_v", [0.25, 0.5, 0.75], accuracy)
     quart = long.groupBy("_k").agg(sketch.alias("_q")).select(
         "_k", *[F.col("_q")[i].alias(f"p{i}") for i in range(3)])
-    return _present_describe(df.sparkSession, columns, moments, quart)
+    # The list of columns (a literal, one row per profiled column) keeps a row for an all-NULL column.
+    names = df.sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_k"), F.lit(c).alias("Column")) for i, c in enumerate(columns)])))
+    return _present_describe(names.join(F.broadcast(moments), "_k", "left").join(F.broadcast(quart), "_k", "left"))
 
 
 def _check_exact_types(df: DataFrame, columns: list[str]) -> None:
@@ -132,34 +146,43 @@ def _check_exact_types(df: DataFrame, columns: list[str]) -> None:
 
 def long_form(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(_k, _v)``: one row per (column index, value) of the profiled columns."""
-    kind = _long_type(df, columns)
+    kind = long_type(df, columns)
     return df.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("_k"), F.col(c).cast(kind).alias("_v")) for i, c in enumerate(columns)])))
 
 
-def describe_from_counts(vc: DataFrame, columns: list[str]) -> DataFrame:
-    """The exact describe table from a ``value_counts`` table of ``long_form`` (reads no fact rows)."""
-    first = vc.groupBy("_k").agg(F.sum("c").alias("_n"), F.sum(F.col("c") * F.col("v")).alias("_s"),
-                                 F.min("v").cast("double").alias("_lo"), F.max("v").cast("double").alias("_hi"))
-    # Sample variance, stable: Σ c·(v − mean)² around the exact mean (groups: one row per column).
-    mean = (F.col("_s") / F.col("_n")).cast("double")
-    spread = (vc.join(F.broadcast(first.select("_k", mean.alias("_mean"))), "_k")
-                .groupBy("_k").agg(F.sum(F.col("c") * F.pow(F.col("_vd") - F.col("_mean"), 2)).alias("_ss")))
-    moments = (first.join(spread, "_k")
-                    .withColumn("_sd", F.when(F.col("_n") > 1, F.sqrt(F.col("_ss") / (F.col("_n") - 1)))))
-    quart = percentiles_of_counts(vc, "_k", [0.25, 0.5, 0.75])
-    return _present_describe(vc.sparkSession, columns, moments, quart)
-
-
-def _present_describe(spark, columns: list[str], moments: DataFrame, quart: DataFrame) -> DataFrame:
-    # The list of columns (a literal, one row per profiled column) keeps a row for an all-NULL column.
-    names = spark.range(1).select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("_k"), F.lit(c).alias("Column")) for i, c in enumerate(columns)])))
+def describe_counted(counts: DataFrame, columns: list[str], ranges: int | None = None) -> DataFrame:
+    """The exact describe table from ``quantiles.counted`` values of ``long_form`` (reads no fact rows)."""
+    totals = Observation()
+    kind = counts.schema["v"].dataType
+    metrics = []
+    for i in range(len(columns)):
+        mine = F.col("_k") == i
+        metrics += [F.coalesce(F.sum(F.when(mine, F.col("c"))), F.lit(0)).alias(f"n{i}"),
+                    F.sum(F.when(mine, F.col("c") * F.col("v"))).alias(f"s{i}"),
+                    F.min(F.when(mine, F.col("_vd"))).alias(f"lo{i}"), F.max(F.when(mine, F.col("_vd"))).alias(f"hi{i}")]
+    vc = ranged(counts, "_k", ranges, (totals, metrics))
+    got = totals.get
+    total = T.DecimalType(38, kind.scale)
+    cells, mean = [], F.lit(None).cast("double")
+    for i, c in enumerate(columns):
+        n, s = got[f"n{i}"], F.lit(got[f"s{i}"]).cast(total)
+        cells.append(F.struct(F.lit(i).alias("_k"), F.lit(c).alias("Column"), F.lit(n).cast("bigint").alias("_n"), s.alias("_s"),
+                              F.lit(got[f"lo{i}"]).cast("double").alias("_lo"), F.lit(got[f"hi{i}"]).cast("double").alias("_hi")))
+        mean = F.when(F.col("_k") == i, (s / F.nullif(F.lit(n), F.lit(0))).cast("double")).otherwise(mean)
+    # Sample variance, stable: Σ c·(v − mean)² around the exact mean.
+    spread = {"_ss": F.col("c") * F.pow(F.col("_vd") - mean, 2)}
+    quart = percentiles_of_counts(vc, "_k", [0.25, 0.5, 0.75], spread)
+    names = vc.sparkSession.range(1).select(F.inline(F.array(*cells)))  # a row per profiled column
+    return _present_describe(names.join(F.broadcast(quart), "_k", "left").withColumn(
+        "_sd", F.when(F.col("_n") > 1, F.sqrt(F.col("_ss") / (F.col("_n") - 1)))))
+
+
+def _present_describe(rows: DataFrame) -> DataFrame:
     as_double = lambda e: F.round(F.col(e).cast("double"), 6)
-    return (names.join(F.broadcast(moments), "_k", "left").join(F.broadcast(quart), "_k", "left")
-                   .select("Column", F.coalesce(F.col("_n"), F.lit(0)).cast("bigint").alias("Count"),
-                           round_ratio(F.col("_s"), F.col("_n"), scale=6, half_even=True).alias("Mean"),
-                           F.round(F.col("_sd"), 6).alias("Std"), F.col("_lo").alias("Min"),
-                           as_double("p0").alias("P25"), as_double("p1").alias("P50"), as_double("p2").alias("P75"),
-                           F.col("_hi").alias("Max"))
-                   .orderBy("_k"))
+    return (rows.select("Column", F.coalesce(F.col("_n"), F.lit(0)).cast("bigint").alias("Count"),
+                        round_ratio(F.col("_s"), F.col("_n"), scale=6, half_even=True).alias("Mean"),
+                        F.round(F.col("_sd"), 6).alias("Std"), F.col("_lo").alias("Min"),
+                        as_double("p0").alias("P25"), as_double("p1").alias("P50"), as_double("p2").alias("P75"),
+                        F.col("_hi").alias("Max"))
+                .orderBy("_k"))

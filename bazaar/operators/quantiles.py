@@ -6,11 +6,11 @@ for each group ``k`` (e.g. one group per profiled column):
 
 1. ``value_counts``: the values reduced to ``(k, v, c)`` distinct values and counts (a hot
    value becomes one row, however many rows carry it), range-partitioned on ``(k, v)`` and
-   written as Parquet with the number ``_b`` of the range;
-2. per-range counts (one row per range and group) and their running sums locate the
-   range and offset of each wanted rank;
-3. only the ranges holding wanted ranks are sorted, one window partition per range, to
-   read the exact values.
+   written as Parquet with a folder ``_b`` per range;
+2. one read of that table gives the counts per range (one row per range and group), whose running
+   sums locate the range and offset of each wanted rank;
+3. only the ranges holding wanted ranks are read again (dynamic partition pruning on ``_b``) and
+   sorted, one window partition per range, to pick the exact values.
 
 The table lies in the cluster's shared folder, so the input is scanned once and a lost
 executor rereads the table, not the fact.  The path is the same at every size.  Rank
@@ -22,7 +22,7 @@ from __future__ import annotations
 import uuid
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from bazaar.session import shared_path
@@ -39,30 +39,52 @@ def grouped_percentiles(df: DataFrame, key: str, value: str, probs: list[float],
     return percentiles_of_counts(value_counts(df, key, value, ranges), key, probs)
 
 
+def counted(df: DataFrame, key: str, value: str) -> DataFrame:
+    """``(key, v, c)``: distinct non-NULL values per group with their counts."""
+    return (df.where(F.col(value).isNotNull())
+              .groupBy(key, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")))
+
+
+def written_counts(df: DataFrame, key: str, value: str) -> DataFrame:
+    """``counted`` written below the shared folder: the only read of the input, whatever is worked out from it."""
+    counts = counted(df, key, value)
+    path = shared_path(df.sparkSession, "counts", uuid.uuid4().hex)
+    counts.write.parquet(path)
+    return df.sparkSession.read.schema(counts.schema).parquet(path)
+
+
 def value_counts(df: DataFrame, key: str, value: str, ranges: int | None = None) -> DataFrame:
-    """``(key, v, c, _vd, _b)``: distinct non-NULL values per group with their counts, in ranges ``_b`` of ``(key, v)``.
+    """``ranged(counted(df))``: the only pass over the input; every later step reads this table."""
+    return ranged(counted(df, key, value), key, ranges)
+
+
+def ranged(counts: DataFrame, key: str, ranges: int | None = None, observed: tuple[Observation, list[Column]] | None = None) -> DataFrame:
+    """``(key, v, c, _vd, _b)``: a ``counted`` table written in ranges ``_b`` of ``(key, v)``.
 
-    The only pass over the input; every later step reads this table instead of rescanning the fact.
+    ``observed`` metrics over (key, v, c, _vd) are taken while the table is written, so that totals need no read.
     """
-    spark = df.sparkSession
+    spark = counts.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = (df.where(F.col(value).isNotNull())
-                .groupBy(key, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")))
     placed = (counts.repartitionByRange(ranges, key, "v")
               .withColumn("_vd", F.col("v").cast("double")).withColumn("_b", F.spark_partition_id()))
+    if observed:
+        placed = placed.observe(observed[0], *observed[1])
     path = shared_path(spark, "value_counts", uuid.uuid4().hex)
-    placed.write.parquet(path)
+    placed.write.partitionBy("_b").parquet(path)
     return spark.read.schema(placed.schema).parquet(path)
 
 
-def percentiles_of_counts(vc: DataFrame, key: str, probs: list[float]) -> DataFrame:
-    """``grouped_percentiles`` on a ``value_counts`` table."""
+def percentiles_of_counts(vc: DataFrame, key: str, probs: list[float], totals: dict[str, Column] | None = None) -> DataFrame:
+    """``grouped_percentiles`` on a ``ranged`` table, with more sums over all rows of a group (``totals``) from the same read."""
+    totals = totals or {}
     # Per-range counts and the rank at which each range starts.
-    upto = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranges = (vc.groupBy(key, "_b").agg(F.sum("c").alias("_bc"))
+    group = Window.partitionBy(key)
+    upto = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = (vc.groupBy(key, "_b").agg(F.sum("c").alias("_bc"), *(F.sum(e).alias(t) for t, e in totals.items()))
                 .withColumn("_end", F.sum("_bc").over(upto))
                 .withColumn("_start", F.col("_end") - F.col("_bc"))
-                .withColumn("_n", F.sum("_bc").over(Window.partitionBy(key))))
+                .withColumn("_n", F.sum("_bc").over(group))
+                .withColumns({t: F.sum(t).over(group) for t in totals}))
 
     # Wanted ranks per probability: floor and ceil of (n-1)·p, exact.
     def h(p):
@@ -71,25 +93,25 @@ def percentiles_of_counts(vc: DataFrame, key: str, probs: list[float]) -> DataFr
     wanted = []
     for p in probs:
         wanted += [F.floor(h(p)).cast(WIDE), F.ceil(h(p)).cast(WIDE)]
-    # The ranges holding a wanted rank, with their start rank and the group size.
+    # The ranges holding a wanted rank, with their start rank and the group size: two per probability and group at most.
     holds = F.lit(False)
     for r in wanted:
         holds = holds | ((F.col("_start") <= r) & (r < F.col("_end")))
-    meta = ranges.where(holds).select(key, "_b", "_start", "_n")
+    meta = ranges.where(holds).select(key, "_b", "_start", "_n", *totals)
     in_range = Window.partitionBy(key, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (vc.join(meta, [key, "_b"])
+    ranked = (vc.select(key, "_b", "v", "c").join(F.broadcast(meta), [key, "_b"])
                 .withColumn("_cum", F.sum("c").over(in_range))
                 .withColumn("_first", F.col("_start") + F.col("_cum") - F.col("c"))
                 .withColumn("_last", F.col("_start") + F.col("_cum") - 1))
     picks = ranked.groupBy(key).agg(
-        F.first("_n").alias("_n"),
+        F.first("_n").alias("_n"), *(F.first(t).alias(t) for t in totals),
         *[F.max(F.when((F.col("_first") <= r) & (r <= F.col("_last")), F.col("v"))).alias(f"_r{i}")
           for i, r in enumerate(wanted)])
     out = []
     for i, p in enumerate(probs):
         a, b = F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}")
         out.append((a + (b - a) * (h(p) - F.floor(h(p)))).cast("double").alias(f"p{i}"))
-    return picks.select(key, *out)
+    return picks.select(key, *totals, *out)
 
 
 def exact_percentiles(df: DataFrame, col: str, probs: list[float], ranges: int | None = None) -> DataFrame:

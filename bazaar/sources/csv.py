@@ -15,6 +15,7 @@ split, so each is then one task.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bazaar.schema import COLUMNS, MALFORMED
@@ -40,12 +41,18 @@ def text_schema(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType(), True) for c in [*names, MALFORMED]])
 
 
-def read_sales_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Raw rows: the twelve business columns as strings, and ``MALFORMED``."""
+#: Where a row stands in its source: file, first byte of the split that it was read with, number in the scan.
+SOURCE_PLACE = ["src_file", "src_block", "src_row"]
+
+
+def read_sales_csv(spark: SparkSession, path: str, multi_line: bool = False, places: bool = False) -> DataFrame:
+    """Raw rows: the twelve business columns as strings, ``MALFORMED``, and with ``places`` also ``SOURCE_PLACE``."""
     names = header_of(spark, path, multi_line)
-    return (spark.read.schema(text_schema(names)).options(**read_options(multi_line))
-            .option("enforceSchema", False).option("columnNameOfCorruptRecord", MALFORMED)
-            .csv(path).select(*COLUMNS, MALFORMED))
+    rows = (spark.read.schema(text_schema(names)).options(**read_options(multi_line))
+            .option("enforceSchema", False).option("columnNameOfCorruptRecord", MALFORMED).csv(path))
+    place = [F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_block_start").alias("src_block"),
+             F.monotonically_increasing_id().alias("src_row")]
+    return rows.select(*COLUMNS, MALFORMED, *(place if places else []))
 
 
 def write_sales_csv(df: DataFrame, path: str) -> None:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bazaar.sources.csv import read_sales_csv
 from bazaar.sources.jdbc import JdbcSource, read_sales_jdbc
+from bazaar.sources.versions import Files
 
 log = logging.getLogger(__name__)
 
@@ -39,7 +40,7 @@ def unreachable(exc: BaseException) -> bool:
 
 
 def load_raw(spark: SparkSession, jdbc: JdbcSource | None, csv_path: str | None,
-             multi_line: bool = False) -> tuple[DataFrame, str]:
+             multi_line: bool = False, places: bool = False) -> tuple[DataFrame, str]:
     """``(raw rows, "jdbc" | "csv")``."""
     if jdbc is not None:
         try:
@@ -48,12 +49,6 @@ def load_raw(spark: SparkSession, jdbc: JdbcSource | None, csv_path: str | None,
             if not unreachable(exc):
                 raise
             log.warning("database source unavailable, falling back to CSV: %s", str(exc).split("\n", 1)[0])
-    if csv_path is not None and _exists(spark, csv_path):
-        return read_sales_csv(spark, csv_path, multi_line), "csv"
+    if csv_path is not None and Files(spark, csv_path).exists(csv_path):
+        return read_sales_csv(spark, csv_path, multi_line, places), "csv"
     raise NoSourceError(f"no usable source: database unavailable and CSV {csv_path!r} not found")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

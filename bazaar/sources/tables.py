@@ -12,17 +12,15 @@ nation or part is missing are kept, with NULLs.
 from __future__ import annotations
 
 import hashlib
-import os
-import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaar.schema import COLUMNS, MONEY, NAMED_CATEGORY, PRICE
 from bazaar.session import shared_path
+from bazaar.sources.versions import Files, written_once
 
 SOURCE_TABLES = ["lineitem", "orders", "customer", "nation", "part"]
-_WRITE_LOCK = threading.Lock()  # one writer per process for the write-once tables
 ADAPTER_VERSION = "4"
 UNSOLD_NATION = 7  # the nation of which no order has a sales value
 
@@ -71,64 +69,24 @@ def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fingerprint(sf_dir: str, spark: SparkSession | None = None) -> str:
-    """Identity of the input tables: path, total size, file count and modification time of each.
-
-    Read through Hadoop's FileSystem when a session is given (any file system:
-    local, HDFS, object stores); ``os.stat`` otherwise.
-    """
+def fingerprint(sf_dir: str, spark: SparkSession) -> str:
+    """Identity of the input tables: path, total size, file count and modification time of each."""
+    root = sf_dir.rstrip("/")
+    files = Files(spark, root)
     h = hashlib.sha1(ADAPTER_VERSION.encode())
-    h.update(sf_dir.rstrip("/").encode())
+    h.update(root.encode())
     for name in SOURCE_TABLES:
-        path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-        h.update(f"{name}:{_stat(spark, path)}".encode())
+        h.update(f"{name}:{files.state(f'{root}/{name}.parquet')}".encode())
     return h.hexdigest()[:16]
 
 
-def _stat(spark: SparkSession | None, path: str) -> str:
-    if spark is not None:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-            summary = fs.getContentSummary(p)
-            return f"{summary.getLength()}:{summary.getFileCount()}:{fs.getFileStatus(p).getModificationTime()}"
-        except Exception:  # no JVM gateway: fall through to the local check
-            pass
-    try:
-        st = os.stat(path)
-        return f"{st.st_size}:{int(st.st_mtime)}"
-    except OSError:
-        return "missing"
-
-
 def sales_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact table, written once per input into the shared folder and read back.
 
     The write is an ordinary Spark job (task retries and the output committer
-    make it survive executor loss); a folder without ``_SUCCESS`` is rewritten.
+    make it survive executor loss) into a folder of this driver's, published when it is whole.
     Reading it back cuts the join lineage for every later report.
     """
-    path = shared_path(spark, "sales_data", fingerprint(sf_dir, spark))
-    write_once(spark, path, lambda: sales_view(spark, sf_dir).write.mode("overwrite").parquet(path))
+    path = written_once(spark, shared_path(spark, "sales_data", fingerprint(sf_dir, spark)),
+                        lambda folder: sales_view(spark, sf_dir).write.parquet(folder))
     return spark.read.parquet(path).select(*COLUMNS)
-
-
-def write_once(spark: SparkSession, path: str, write) -> None:
-    """Run ``write`` unless a committed write is already at ``path`` (threads in this process take turns)."""
-    if committed(spark, path):
-        return
-    with _WRITE_LOCK:
-        if not committed(spark, path):
-            write()
-
-
-def committed(spark: SparkSession, path: str) -> bool:
-    """Whether a finished Spark write (its ``_SUCCESS`` marker) exists at ``path``, on any file system."""
-    marker = path.rstrip("/") + "/_SUCCESS"
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(marker)
-        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-    except Exception:  # no JVM gateway (e.g. a remote session): local paths only
-        return os.path.exists(marker.removeprefix("file:"))

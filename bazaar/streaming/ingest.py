@@ -29,7 +29,7 @@ def start(spark: SparkSession, source_dir: str, table_dir: str, checkpoint: str
            .option("enforceSchema", False).option("columnNameOfCorruptRecord", MALFORMED)
            .option("maxFilesPerTrigger", max_files_per_trigger)
            .csv(source_dir))
-    writer = (staged(raw, with_id=False).writeStream.format("parquet")
+    writer = (staged(raw, places=False).writeStream.format("parquet")
               .option("path", table_dir).option("checkpointLocation", checkpoint)
               .partitionBy("Status").outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

@@ -61,7 +61,7 @@ def run_steps(spark, sf_dir: str, cpus: int) -> tuple[dict[str, float], int, boo
     db = f"bench_{run}"
 
     def ingest():
-        raw = read_sales_csv(spark, csv_path)
+        raw = read_sales_csv(spark, csv_path, places=True)
         return load_job.run(spark, raw, db).collect()
 
     recon = timed("csv_ingest_load", ingest)[0]

@@ -104,3 +104,17 @@ def test_report_rows_keep_every_row(raw):
     got = report_rows(raw(*rows)).collect()
     assert len(got) == 4 and got[0].Age == Decimal("29.5") and got[1].Order_ID is None
     assert got[2].City == "x" * 60 and got[3].Quantity == Decimal("2.25") and got[3].Age is None
+
+
+def test_date_format_does_not_depend_on_row_order(raw):
+    from bazaar.operators.clean import best_format, format_counts, report_rows, with_one_date_format
+    formats = ["yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy"]
+    texts = ["03/04/2025", "05/06/2025", "25/12/2024", "31/02/2025", "soon", None]
+    for order in (texts, texts[::-1], [texts[2], *texts[:2], *texts[3:]]):
+        df = raw(*[dict(Order_ID=str(i), Order_Date=t) for i, t in enumerate(order)])
+        assert [r.Parsed for r in format_counts(df, formats).orderBy("Position").collect()] == [0, 2, 3]
+        assert df.select(best_format(df, formats)).first()[0] == "dd/MM/yyyy"
+        got = {order[int(r.Order_ID)]: r.Order_Date and str(r.Order_Date) for r in report_rows(with_one_date_format(df, formats)).collect()}
+        assert got == {"03/04/2025": "2025-04-03", "05/06/2025": "2025-06-05", "25/12/2024": "2024-12-25", "31/02/2025": None, "soon": None, None: None}
+    tied = raw(dict(Order_ID="1", Order_Date="03/04/2025"))
+    assert tied.select(best_format(tied, formats)).first()[0] == "MM/dd/yyyy"

@@ -10,8 +10,8 @@ def test_load_eda_report(spark, sales, tmp_path, capsys):
     write_sales_csv(sales(row(Order_ID="A"), row(Order_ID="B", City="Gaya")), csv)
     assert main(["load", "--csv", csv, "--db", "cli_test"], spark) == 0
     assert "true" in capsys.readouterr().out
-    ids = spark.table("cli_test.sales_load").select("id").collect()
-    assert len({r.id for r in ids}) == len(ids) == 2
+    ids = spark.table("cli_test.sales_rows").select("id").collect()
+    assert sorted(r.id for r in ids) == [1, 2]
     assert main(["report", "revenue_by_city", "--db", "cli_test"], spark) == 0
     assert "Gaya" in capsys.readouterr().out
     assert main(["report", "revenue_by_city", "--csv", csv], spark) == 0

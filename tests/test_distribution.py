@@ -138,3 +138,22 @@ def test_describe_keeps_all_null_column(sales):
     assert [r.Column for r in rows] == ["Age", "Quantity", "Unit_Price", "Total_Sales"]
     assert by["Age"].Count == 0 and by["Age"].Mean is None and by["Age"].P50 is None
     assert by["Quantity"].Count == 2 and by["Quantity"].Std == 0.0
+
+
+def test_binned_density_is_within_its_bound(spark):
+    from bazaar.operators.distribution import binned_density
+    rnd = random.Random(5)
+    # Two narrow heaps far apart, so that most points are out of reach of all values.
+    vals = [round(rnd.gauss(100, 2), 2) for _ in range(900)] + [round(rnd.gauss(5000, 1), 2) for _ in range(700)] + [100.0] * 400
+    df = spark.createDataFrame([(Decimal(str(v)),) for v in vals] + [(None,)], "x decimal(14,2)")
+    a = np.array(vals)
+    h = a.std(ddof=1) * len(a) ** -0.2
+    xs = np.linspace(a.min(), a.max(), 300)
+    ref = np.exp(-0.5 * ((xs[:, None] - a[None, :]) / h) ** 2).sum(1) / (len(a) * h * math.sqrt(2 * math.pi))
+    for cells in (200, 5000, 32768):
+        d = binned_density(df, "x", cells=cells).orderBy("Point").collect()
+        worst = max(abs(r.Density - y) for r, y in zip(d, ref))
+        assert [r.Point for r in d] == list(range(300)) and np.allclose([r.X for r in d], xs)
+        assert worst <= d[0].Error_Bound + 1e-15, cells
+    assert worst < 1e-9
+    assert binned_density(df.limit(0), "x").count() == 0 and binned_density(df.where("x = 100"), "x").count() == 0

@@ -88,13 +88,22 @@ def test_named_category_absent_is_zero(sales):
     assert r.Revenue == 0.0 and r.Share_Pct == 0.0
 
 
-def test_dataset_summary_counts_only(sales):
-    from bazaar.operators.profile import dataset_summary
-    df = sales(row(City="Pune"), row(City="Gaya"), row(City=None))
-    full = dataset_summary(df).first()
-    counts = dataset_summary(df, with_lists=False).first()
-    assert (full.Cities, full.City_List) == (2, "Gaya, Pune")
-    assert counts.Cities == 2 and "City_List" not in counts.asDict()
+def test_dataset_summary_counts_and_values_as_rows(sales):
+    from bazaar.operators.profile import dataset_summary, dimension_values
+    df = sales(row(City="Pune"), row(City="Gaya"), row(City=None), row(City="Pune", Category=None))
+    summary = dataset_summary(df).first()
+    assert (summary.Rows, summary.Cities, summary.Categories, summary.Products) == (4, 2, 1, 1)
+    values = dimension_values(df).collect()
+    assert sorted(map(tuple, values)) == [("Category", 1, "Electronics"), ("City", 1, "Gaya"), ("City", 2, "Pune"), ("Product", 1, "Laptop")]
+    empty = dataset_summary(sales()).first()
+    assert (empty.Rows, empty.Cities, empty.Date_Min) == (0, 0, None) and dimension_values(sales()).collect() == []
+
+
+def test_dimension_values_number_through_ranges(sales):
+    from bazaar.operators.profile import dimension_values
+    cities = [f"C{i * 7919 % 1000:04d}" for i in range(1000)]
+    got = dimension_values(sales(*[row(City=c) for c in cities]), ["City"]).collect()
+    assert sorted((r.Position, r.Value) for r in got) == list(enumerate(sorted(cities), 1))
 
 
 def test_named_share_without_revenue(sales):

@@ -50,13 +50,13 @@ def test_csv_reader_keeps_text(spark, tmp_path):
 def test_load_table_enforces_declared_lengths(spark, tmp_path):
     from bazaar.plans import load_job
     load_job.ensure_database(spark, "len_check", str(tmp_path / "db"))
-    load_job.ensure_tables(spark, "len_check", str(tmp_path / "db"))
-    table = spark.table("len_check.sales_load")
+    name = load_job.version_table(spark, "len_check", "a")
+    table = spark.table(name)
     row = {c: None for c in table.columns}
-    row.update(id=1, Order_ID="A", City="x" * 51, Status="valid")
+    row.update(Order_ID="A", City="x" * 51, Status="valid")
     df = spark.createDataFrame([tuple(row[c] for c in table.columns)], table.schema)
     with pytest.raises(Exception, match="(?i)length"):
-        df.write.insertInto("len_check.sales_load")
+        df.write.insertInto(name)
 
 
 def test_jdbc_partitions_follow_the_key_range():
