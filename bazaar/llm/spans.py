@@ -37,6 +37,8 @@ WINDOW = 9
 LONG = 30
 #: Bits of the field that marks repeated hashes; it is this large whatever the input's size.
 FIELD_BITS = 26
+#: Bits of the field that marks rows with something to remove, at most.
+TOUCHED_BITS = 26
 
 _TOKEN = re.compile(r"\S+\s*")
 _ENDS = (".", "!", "?")
@@ -155,6 +157,21 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     return again.select("doc_id", "_text_hash", "first", "last", F.col("kept.doc_id").alias("first_doc_id"))
 
 
+def _told_apart(rows: DataFrame, own: str, places: DataFrame) -> tuple[DataFrame, F.Column]:
+    """``rows`` with what it takes to tell, without moving a text, which of them no place is in (a few of these count as hit).
+
+    A bit field over doc_id and text hash of the places, 2 ** ``TOUCHED_BITS`` bits at most, is joined as words of 64 bits; that
+    many bits are 2 ** 20 rows of two numbers, which is the proven bound of the broadcast.
+    """
+    bits = min(TOUCHED_BITS, max(12, (16 * places.count()).bit_length()))
+    bit, at, field = (fresh(rows, c) for c in ("_bit", "_at", "_field"))
+    key = lambda text_hash: F.shiftrightunsigned(F.xxhash64("doc_id", text_hash), 64 - bits)
+    words = (places.select(key("_text_hash").alias(bit)).groupBy(F.shiftright(bit, 6).alias(at))
+             .agg(F.bit_or(F.expr(f"shiftleft(1L, cast({bit} & 63 as int))")).alias(field)))
+    rows = rows.withColumn(bit, key(own)).withColumn(at, F.shiftright(bit, 6)).join(F.broadcast(words), at, "left")
+    return rows, F.coalesce(F.expr(f"shiftright({field}, cast({bit} & 63 as int)) & 1") == 1, F.lit(False))
+
+
 RESULTS = ("removed", "removed_chars", "first_doc_ids")
 
 
@@ -165,10 +182,12 @@ def without_repeats(documents: DataFrame, results: tuple[str, str, str] = RESULT
     some_id, of, own, ranges, firsts = (fresh(documents, c) for c in ("_id", "_of", "_text_hash", "_ranges", "_firsts"))
     places = stored(repeated_spans(documents).groupBy("doc_id", "_text_hash").agg(
         F.collect_set(F.struct("first", "last")).alias("ranges"), F.collect_set("first_doc_id").alias("firsts")), "removals")
+    rows = documents.withColumn(own, _text_hash())
+    rows, hit = _told_apart(rows, own, places)
     places = places.select(F.col("doc_id").alias(some_id), F.col("_text_hash").alias(of), F.col("ranges").alias(ranges),
                            F.col("firsts").alias(firsts))
-    rows = documents.withColumn(own, _text_hash())
-    rows = rows.join(places, F.col("doc_id").eqNullSafe(F.col(some_id)) & (F.col(own) == F.col(of)), "left")
+    untouched = rows.where(~hit).select(*(F.col(f"`{c}`") for c in documents.columns))
+    rows = rows.where(hit).join(places, F.col("doc_id").eqNullSafe(F.col(some_id)) & (F.col(own) == F.col(of)), "left")
     keep = documents.schema.fields
     at = [f.name for f in keep].index("text")
     kind = dict(documents.dtypes)["doc_id"]
@@ -205,7 +224,8 @@ def without_repeats(documents: DataFrame, results: tuple[str, str, str] = RESULT
                        F.coalesce(firsts, F.array().cast(f"array<{kind}>")).alias(firsts))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), f"`{results[0]}` array<string>",
                         f"`{results[1]}` long", f"`{results[2]}` array<{kind}>"])
-    return in_batches(rows, each, schema)
+    none = (F.array().cast("array<string>"), F.lit(0).cast("long"), F.array().cast(f"array<{kind}>"))
+    return in_batches(rows, each, schema).unionByName(untouched.select("*", *(x.alias(c) for x, c in zip(none, results))))
 
 
 def repeats(documents: DataFrame) -> DataFrame:
