@@ -41,11 +41,12 @@ FIELD_BITS = 26
 TOUCHED_BITS = 26
 
 _TOKEN = re.compile(r"\S+\s*")
-_ENDS = (".", "!", "?")
+_ENDS = np.isin(np.arange(256), list(b".!?"))
 
 
-def _cut(text: str) -> tuple[list[bytes], np.ndarray]:
-    """The words of a text, and the number of words up to each cut, from 0 on."""
+def _cut(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words of a text joined by blanks, where each of them starts (and one more would), and the number of words up to each
+    cut, from 0 on."""
     from zlib import crc32
 
     words, lines = [], []
@@ -53,9 +54,10 @@ def _cut(text: str) -> tuple[list[bytes], np.ndarray]:
         words += line.split()
         lines.append(len(words))
     n = len(words)
-    final = np.fromiter((w.endswith(_ENDS) for w in words), bool, n)
-    final[np.array([x - 1 for x in lines if x], np.int64)] = True
     words = list(map(str.encode, words))
+    joined, starts = b" ".join(words), np.r_[0, np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)]
+    final = _ENDS[np.frombuffer(joined, np.uint8)[starts[1:] - 2]]
+    final[np.array([x - 1 for x in lines if x], np.int64)] = True
     # The hash, then the place: the last of equal ones is the smallest.  A sentence's last word comes before all others.
     key = np.fromiter(map(crc32, words), np.int64, n) + 1
     key[final] = 0
@@ -65,12 +67,12 @@ def _cut(text: str) -> tuple[list[bytes], np.ndarray]:
         step = min(width, WINDOW - width)
         low, width = np.minimum(low[:-step], low[step:]), width + step
     cut[n - (low & ((1 << 30) - 1))] = True
-    return words, np.r_[0, np.flatnonzero(cut) + 1]
+    return joined, starts, np.r_[0, np.flatnonzero(cut) + 1]
 
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of each part; the white space after a part belongs to it."""
-    tokens, (_, at) = list(_TOKEN.finditer(text)), _cut(text)
+    tokens, (_, _, at) = list(_TOKEN.finditer(text)), _cut(text)
     return [(tokens[a].start(), tokens[b - 1].end(), [t.group().rstrip() for t in tokens[a:b]])
             for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
@@ -79,7 +81,7 @@ def _runs(text: str | None, at_least: int, least: int) -> tuple[np.ndarray, np.n
     """First part, last part and digest (16 bytes each) of each span."""
     from xxhash import xxh3_128_digest
 
-    words, at = _cut(text or "")
+    joined, starts, at = _cut(text or "")
     part = np.arange(len(at) - 1)
     last = np.maximum(np.searchsorted(at, at[:-1] + least) - 1, part + at_least - 1)
     first = np.minimum(np.searchsorted(at, at[1:] - least, "right") - 1, part - at_least + 1)
@@ -87,8 +89,7 @@ def _runs(text: str | None, at_least: int, least: int) -> tuple[np.ndarray, np.n
     back = first >= 0
     back[back] = last[first[back]] != part[back]  # the others are there already
     first, last = np.r_[part[whole], first[back]], np.r_[last[whole], part[back]]
-    joined = memoryview(b" ".join(words))
-    starts = np.r_[0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)]
+    joined = memoryview(joined)
     digests = b"".join([xxh3_128_digest(joined[a:b]) for a, b in zip(starts[at[first]].tolist(), (starts[at[last + 1]] - 1).tolist())])
     return first, last, digests
 
