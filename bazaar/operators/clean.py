@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.schema import COLUMNS, DATE_FORMATS, MALFORMED, MAX_LENGTH, MONEY, NA_TOKENS, PRICE, REPORT_NUMBER
+from bazaar.schema import COLUMNS, DATE_FORMATS, MALFORMED, MAX_LENGTH, MONEY, NA_TOKENS, PRICE, REPORT_MONEY, REPORT_NUMBER
 
 NUMBER_PATTERN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 INT_LIMIT = 2 ** 31
@@ -139,10 +139,10 @@ def coerce(raw: DataFrame, date_formats: list[str] = DATE_FORMATS, keep: list[st
 def report_rows(raw: DataFrame, date_formats: list[str] = DATE_FORMATS) -> DataFrame:
     """Every row of ``raw`` with typed columns, as the reports on a file read it: nothing is rejected.
 
-    Age and Quantity keep a fraction (six places); text is only turned to NULL where it is
-    a missing-value token, numbers and dates where they are none.
+    Age and Quantity keep a fraction (six places) and amounts may be larger than the load table's (16 digits before the point); text is
+    only turned to NULL where it is a missing-value token, numbers and dates where they are none.
     """
-    kind = {"Age": REPORT_NUMBER, "Quantity": REPORT_NUMBER, "Unit_Price": PRICE, "Total_Sales": MONEY}
+    kind = {"Age": REPORT_NUMBER, "Quantity": REPORT_NUMBER, "Unit_Price": REPORT_MONEY, "Total_Sales": REPORT_MONEY}
     typed = {c: money(F.col(c), kind[c]) if c in kind else na_to_null(F.col(c)) for c in COLUMNS}
     typed["Order_Date"] = date_of(F.col("Order_Date"), date_formats)
     return raw.select(*[typed[c].alias(c) for c in COLUMNS])

@@ -41,7 +41,7 @@ def dirty(fact: DataFrame) -> DataFrame:
     rules = {
         "Age": [(107, F.lit("99999999999")), (101, F.concat(text["Age"], F.lit(".5")))],
         "Quantity": [(103, F.concat(text["Quantity"], F.lit(".25")))],
-        "Total_Sales": [(109, F.lit("1234567890123456.00"))],
+        "Total_Sales": [(109, F.lit("1000000000000.00"))],
         "City": [(113, F.lit("x" * 51)), (151, F.concat(F.lit(" "), text["City"]))],
         "Order_ID": [(127, F.lit("")), (131, F.concat(text["Order_ID"], F.lit("-" + "0" * 20)))],
         "Gender": [(137, F.lit("N/A"))],
@@ -69,8 +69,8 @@ def ordered_csv(spark: SparkSession, sf_dir: str) -> str:
     return written_once(spark, shared_path(spark, "sales_csv_ordered", fingerprint(sf_dir, spark)), write)
 
 
-def column_profile(df: DataFrame) -> DataFrame:
-    """One row of order-independent checksums covering every column."""
+def column_profile(df: DataFrame, cents: bool = False) -> DataFrame:
+    """One row of order-independent checksums covering every column; sums of amounts in ``cents`` stay exact beyond 2 ** 53."""
     aggs: list[Column] = [F.count(F.lit(1)).alias("Rows")]
     for c in TEXT:
         aggs += [F.count(c).alias(f"{c}_Count"), F.coalesce(F.sum(F.length(c)), F.lit(0)).alias(f"{c}_Chars")]
@@ -80,7 +80,8 @@ def column_profile(df: DataFrame) -> DataFrame:
     for c in ["Age", "Quantity"]:
         aggs += [F.count(c).alias(f"{c}_Count"), F.sum(c).cast("double").alias(f"{c}_Sum")]
     for c in ["Unit_Price", "Total_Sales"]:
-        aggs += [F.count(c).alias(f"{c}_Count"), F.sum(c).cast("double").alias(f"{c}_Sum")]
+        total = (F.sum(c) * 100).cast("bigint").alias(f"{c}_Cents") if cents else F.sum(c).cast("double").alias(f"{c}_Sum")
+        aggs += [F.count(c).alias(f"{c}_Count"), total]
     return df.agg(*aggs)
 
 
@@ -93,7 +94,7 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Database first (unreachable here), then the CSV; profile of what the reports read: every row."""
     raw, used = load_raw(spark, UNREACHABLE, sales_csv(spark, sf_dir))
-    return column_profile(report_rows(raw)).select(F.lit(used).alias("Source"), "*")
+    return column_profile(report_rows(raw), cents=True).select(F.lit(used).alias("Source"), "*")
 
 
 def _loaded(spark: SparkSession, sf_dir: str, query: str, csv=sales_csv, runs: int = 1) -> tuple[str, DataFrame]:

@@ -388,7 +388,7 @@ FROM t""", "t AS (SELECT COALESCE(SUM(CASE WHEN Category = 'Electronics' THEN To
 _TEXT = ["Order_ID", "Customer_ID", "Customer_Name", "Gender", "City", "Product", "Category"]
 
 
-def _profile_select() -> str:
+def _profile_select(cents: bool = False) -> str:
     parts = ["COUNT(*) AS Rows"]
     for c in _TEXT:
         parts += [f"COUNT({c}) AS {c}_Count", f"CAST(COALESCE(SUM(length({c})), 0) AS BIGINT) AS {c}_Chars"]
@@ -398,7 +398,7 @@ def _profile_select() -> str:
     for c in ["Age", "Quantity"]:
         parts += [f"COUNT({c}) AS {c}_Count", f"CAST(SUM({c}) AS DOUBLE) AS {c}_Sum"]
     for c in ["Unit_Price", "Total_Sales"]:
-        parts += [f"COUNT({c}) AS {c}_Count", f"CAST(SUM({c}) AS DOUBLE) AS {c}_Sum"]
+        parts += [f"COUNT({c}) AS {c}_Count", f"CAST(SUM({c}) * 100 AS BIGINT) AS {c}_Cents" if cents else f"CAST(SUM({c}) AS DOUBLE) AS {c}_Sum"]
     return ",\n       ".join(parts)
 
 
@@ -408,12 +408,12 @@ dirty AS (
   SELECT
     CASE WHEN n % 127 = 0 THEN NULL WHEN n % 131 = 0 THEN Order_ID || '-' || repeat('0', 20) ELSE Order_ID END AS Order_ID,
     CASE WHEN n % 139 <> 0 THEN Order_Date END AS Order_Date, Customer_ID, Customer_Name,
-    CAST(CASE WHEN n % 107 = 0 THEN 99999999999 WHEN n % 101 = 0 THEN Age + CASE WHEN Age < 0 THEN -0.5 ELSE 0.5 END ELSE Age END AS DECIMAL(18,6)) AS Age,
+    CAST(CASE WHEN n % 107 = 0 THEN 99999999999 WHEN n % 101 = 0 THEN Age + CASE WHEN Age < 0 THEN -0.5 ELSE 0.5 END ELSE Age END AS DECIMAL(24,6)) AS Age,
     CASE WHEN n % 137 <> 0 THEN Gender END AS Gender,
     CASE WHEN n % 113 = 0 THEN repeat('x', 51) WHEN n % 151 = 0 THEN ' ' || City ELSE City END AS City,
     CASE WHEN n % 149 = 0 THEN 'Monitor 24", black' ELSE Product END AS Product, Category,
-    CAST(CASE WHEN n % 103 = 0 THEN Quantity + 0.25 ELSE Quantity END AS DECIMAL(18,6)) AS Quantity, Unit_Price,
-    CASE WHEN n % 109 <> 0 THEN Total_Sales END AS Total_Sales,
+    CAST(CASE WHEN n % 103 = 0 THEN Quantity + 0.25 ELSE Quantity END AS DECIMAL(24,6)) AS Quantity, Unit_Price,
+    CASE WHEN n % 109 = 0 THEN CAST(1000000000000 AS DECIMAL(18,2)) ELSE CAST(Total_Sales AS DECIMAL(18,2)) END AS Total_Sales,
     CASE WHEN n % 127 = 0 THEN 'order_id_null' WHEN n % 131 = 0 THEN 'order_id_length'
          WHEN n % 101 = 0 AND n % 107 <> 0 AND Age IS NOT NULL THEN 'fractional_age'
          WHEN n % 103 = 0 AND Quantity IS NOT NULL THEN 'fractional_quantity' WHEN n % 107 = 0 THEN 'integer_overflow'
@@ -422,7 +422,7 @@ dirty AS (
 valid AS (SELECT * FROM dirty WHERE Reason IS NULL)"""
 
 SQL["csv_roundtrip"] = with_sales(f"SELECT {_profile_select()}\nFROM valid", DIRTY_CTE)
-SQL["source_fallback"] = with_sales(f"SELECT 'csv' AS Source, {_profile_select()}\nFROM dirty", DIRTY_CTE)
+SQL["source_fallback"] = with_sales(f"SELECT 'csv' AS Source, {_profile_select(cents=True)}\nFROM dirty", DIRTY_CTE)
 
 SQL["full_refresh_load"] = with_sales("""
 SELECT COUNT(*) AS Rows, COUNT(Total_Sales) AS Sales, CAST(SUM(Total_Sales) AS DOUBLE) AS Total_Sales_Sum

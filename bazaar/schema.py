@@ -12,7 +12,9 @@ COLUMNS = [
 
 MONEY = T.DecimalType(14, 2)        # Total_Sales
 PRICE = T.DecimalType(12, 2)        # Unit_Price
-REPORT_NUMBER = T.DecimalType(18, 6)  # Age and Quantity of a file that is reported on directly
+# Of a file that is reported on directly, whose numbers no table's declaration bounds.
+REPORT_NUMBER = T.DecimalType(24, 6)  # Age and Quantity
+REPORT_MONEY = T.DecimalType(18, 2)   # Unit_Price and Total_Sales
 
 # Column of a CSV row that could not be split into its columns: its text.
 MALFORMED = "_malformed"

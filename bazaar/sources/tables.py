@@ -21,7 +21,7 @@ from bazaar.session import shared_path
 from bazaar.sources.versions import Files, written_once
 
 SOURCE_TABLES = ["lineitem", "orders", "customer", "nation", "part"]
-ADAPTER_VERSION = "4"
+ADAPTER_VERSION = "5"
 UNSOLD_NATION = 7  # the nation of which no order has a sales value
 
 

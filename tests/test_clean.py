@@ -118,3 +118,15 @@ def test_date_format_does_not_depend_on_row_order(raw):
         assert got == {"03/04/2025": "2025-04-03", "05/06/2025": "2025-06-05", "25/12/2024": "2024-12-25", "31/02/2025": None, "soon": None, None: None}
     tied = raw(dict(Order_ID="1", Order_Date="03/04/2025"))
     assert tied.select(best_format(tied, formats)).first()[0] == "MM/dd/yyyy"
+
+
+def test_report_rows_keep_large_numbers(raw):
+    from bazaar.operators.clean import report_rows
+    from bazaar.operators.profile import describe_numeric
+    from bazaar.operators.reports import total_revenue
+    df = report_rows(raw(dict(Order_ID="A", Total_Sales="1234567890123456.00", Unit_Price="12345678901.50", Age="999999999999999", Quantity="1"),
+                         dict(Order_ID="B", Total_Sales="0.50", Unit_Price="1.00", Age="20", Quantity="123456789012.5")))
+    row = df.orderBy("Order_ID").first()
+    assert (str(row.Total_Sales), str(row.Unit_Price), int(row.Age)) == ("1234567890123456.00", "12345678901.50", 999999999999999)
+    assert total_revenue(df).first().Total_Revenue_INR == 1234567890123456.5
+    assert {r.Column: r.Max for r in describe_numeric(df).collect()}["Total_Sales"] == 1234567890123456.0

@@ -58,7 +58,7 @@ def test_reports_read_only_their_columns(spark):
 
 def test_shares_leave_no_keyless_window(spark):
     fact = sales_table(spark, SF)
-    for name in ("product_order_share", "revenue_by_category"):
+    for name in ("product_order_share", "revenue_by_category", "insights_category_breakdown"):
         plan = final_plan(catalog.REPORTS[name](fact))
         assert "Window" not in plan and "ReusedExchange" in plan
 
