@@ -11,8 +11,11 @@
    content side are the text, in page order.
 
 Blocks under an element that is boilerplate by its meaning (menus, footers, forms, ...) are bound to that side
-by an edge that no cut can afford.  A class or id that sounds like boilerplate is a cost among others, which weighs less the
-more words a block has and ends at an article or main element inside; no-, has-, with- or sticky- before such a name tell of a page's layout.
+by an edge that no cut can afford.  Classes and ids are read part by part (``comment-body``: comment, body), and the last part that is no
+general word (body, content, list, ...) decides.  A name of comments, sidebars, notices or adverts is a cost above all that a block can
+have for it, whatever its length; of other names that sound like boilerplate the cost weighs less the more words a block has.  Such
+contexts end at an article or main element inside, but for comments, which are often articles themselves.  no-, has-, with- or sticky-
+before a name tell of a page's layout.
 
 Null and empty pages have an empty text.  Broken mark-up (missing ends, cut-off tags and references) is read as browsers do.
 Repeated rows are treated alike.  A page of any length is read whole; the number of edges is linear in that of blocks.
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections import deque
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -44,14 +48,20 @@ _SCOPE = frozenset("table ul ol dl article section div aside nav footer header f
 #: Elements and roles that are boilerplate by their meaning, and names that say so.
 _NEVER = frozenset("nav footer aside form button menu dialog".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar form".split())
-_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ad|ads|adv|advert\w*|adsense|adbox|adslot|banner|sponsor\w*|promo\w*|outbrain|taboola|"
-    r"nav\w*|menu\w*|breadcrumbs?|footer|foot|header|masthead|topbar|sidebar|side|aside|widget\w*|related|recommend\w*|"
-    r"cookie\w*|consent|gdpr|notice|notices|notification\w*|popup|modal|overlay|alert|newsletter|subscri\w*|signup|login|"
-    r"share|sharing|social|comments?|commentlist|disqus|respond|replies|reply|discussion|pagination|pager|skip|copyright|legal|disclaimer|tags|"
-    r"search\w*)(?=$|[-_\s\d])", re.I)
-_LAYOUT = re.compile(r"(?:^|(?<=\s))(?:[\w-]*[-_])?(?:no|has|with|without|sticky)[-_]\S+", re.I)
-_CONTENT_NAMES = re.compile(r"(?:^|[-_\s])(?:article|content|post|entry|story|main|body|text)(?=$|[-_\s\d])", re.I)
+#: Parts of classes and ids.  Names that begin with one of the stems count as well.
+_GENERAL = frozenset("content body text inner outer wrap wrapper container list item items box block area section panel holder row col "
+                     "column main left right top bottom primary secondary title count form meta link links bar card group page".split())
+_OF_CONTENT = frozenset("article post entry story".split())
+_OF_COMMENTS = frozenset("comment comments commentlist commenter commenters reply replies respond disqus discussion".split())
+_LASTING = frozenset("sidebar sidebars cookie cookies cookiebar consent gdpr notice notices newsletter signup login ad ads adv adsense adbox "
+                     "adslot banner outbrain taboola popup modal overlay breadcrumb breadcrumbs pagination pager copyright disclaimer".split())
+_LASTING_STEMS = ("advert", "sponsor", "promo", "subscri", "notification")
+_PASSING = frozenset("footer foot header masthead topbar side aside related alert share sharing social skip legal tags".split())
+_PASSING_STEMS = ("nav", "menu", "widget", "recommend", "search")
+_LAYOUT = re.compile(r"(?:^|[-_])(?:no|has|with|without|sticky)[-_]|(?:content|main)[-_]sidebar", re.I)
+_PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+#: What a name says of its element's text.
+PASSING, LASTING, COMMENTS = 1, 2, 3
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                   r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -61,35 +71,37 @@ BOUND = 1e6
 #: Cost of a name that sounds like boilerplate, and the number of words at which it weighs half.
 SUSPECT = 16.0
 SUSPECT_WORDS = 60
+#: Cost of a lasting name; all else can make a block worth 15 at most.
+LASTING_COST = 24.0
 
 
 class Block:
     """A run of text: its text, the part of it in links, the numbers of the elements around it; ``suspect`` is the share of it
-    in elements that are named as boilerplate."""
+    in elements that are named as boilerplate, ``lasting`` whether by a lasting name."""
 
-    __slots__ = ("text", "linked", "path", "tags", "banned", "named", "suspect")
+    __slots__ = ("text", "linked", "path", "tags", "banned", "named", "suspect", "lasting")
 
-    def __init__(self, text, linked, path, tags, banned, named, suspect):
+    def __init__(self, text, linked, path, tags, banned, named, suspect, lasting):
         self.text, self.linked, self.path, self.tags, self.banned, self.named = text, linked, path, tags, banned, named
-        self.suspect = suspect
+        self.suspect, self.lasting = suspect, lasting
 
 
 def blocks(html: str) -> list[Block]:
     found: list[Block] = []
-    stack: list[tuple[str, int, bool, bool, bool]] = []  # name, number, banned, named as content, named as boilerplate
+    stack: list[tuple[str, int, bool, bool, int]] = []  # name, number, banned, named as content, kind of name
     pieces: list[str] = []
-    linked, odd, number, at, context = 0, 0, 0, 0, None
+    linked, odd, worst, number, at, context = 0, 0, 0, 0, 0, None
 
     def flush():
-        nonlocal pieces, linked, odd, context
+        nonlocal pieces, linked, odd, worst, context
         text = " ".join("".join(pieces).split())
         if text and context is not None:
-            *around, suspect = context
-            found.append(Block(text, linked, *around, 1.0 if suspect else min(odd / len(text), 1.0)))
-        pieces, linked, odd, context = [], 0, 0, None
+            *around, kind = context
+            found.append(Block(text, linked, *around, 1.0 if kind else min(odd / len(text), 1.0), (kind or worst) >= LASTING))
+        pieces, linked, odd, worst, context = [], 0, 0, 0, None
 
     def add(raw: str):
-        nonlocal linked, odd, context
+        nonlocal linked, odd, worst, context
         if not raw or any(s[0] in _UNSHOWN or s[2] and s[0] in _INLINE for s in stack):
             return
         text = unescape(raw) if "&" in raw else raw
@@ -97,8 +109,8 @@ def blocks(html: str) -> list[Block]:
         if text.strip():
             if any(s[0] == "a" for s in stack):
                 linked += len(text.strip())
-            if any(s[4] and s[0] in _INLINE for s in stack):
-                odd += len(text.strip())
+            if kind := max((s[4] for s in stack if s[0] in _INLINE), default=0):
+                odd, worst = odd + len(text.strip()), max(worst, kind)
             if context is None:
                 outer = [s for s in stack if s[0] not in _INLINE]
                 context = (tuple(s[1] for s in outer), tuple(s[0] for s in outer),
@@ -137,14 +149,40 @@ def blocks(html: str) -> list[Block]:
     return found
 
 
-def _suspect(stack) -> bool:
-    """Whether an element is named as boilerplate, inside the innermost article or main if there is one."""
+def _suspect(stack) -> int:
+    """The kind of the innermost name of boilerplate; outside the innermost article or main only comments count."""
+    least = PASSING
     for s in reversed(stack):
-        if s[4]:
-            return True
+        if s[4] >= least:
+            return s[4]
         if s[0] in ("article", "main"):
-            return False
-    return False
+            least = COMMENTS
+    return 0
+
+
+@lru_cache(maxsize=4096)
+def _named(names: str) -> tuple[bool, int]:
+    """Whether classes and ids name content, and the kind of boilerplate they name (0: none)."""
+    content, kind = False, 0
+    for name in names.split():
+        if _LAYOUT.search(name):
+            continue
+        parts = [x.lower() for x in _PARTS.findall(name)]
+        telling = [x for x in parts if x not in _GENERAL]
+        if not telling:
+            content |= not {"content", "main", "body", "text"}.isdisjoint(parts)
+        elif telling[-1] in _OF_CONTENT:
+            content = True
+        elif telling[-1] in _OF_COMMENTS:
+            kind = COMMENTS
+        elif telling[-1] in _LASTING or telling[-1].startswith(_LASTING_STEMS):
+            kind = max(kind, LASTING)
+        elif telling[-1] in _PASSING or telling[-1].startswith(_PASSING_STEMS):
+            if _OF_CONTENT.isdisjoint(telling):  # an entry's header is part of it
+                kind = max(kind, PASSING)
+            else:
+                content = True
+    return content and kind < LASTING, 0 if content and kind == PASSING else kind
 
 
 def _last(stack, names, scope) -> int | None:
@@ -171,20 +209,22 @@ def _close_p(stack) -> None:
         stack[i:] = inline  # formatting goes on in the next block
 
 
-def _meaning(name: str, attributes: str, stack) -> tuple[bool, bool, bool]:
-    """(boilerplate by meaning, named as content, named as boilerplate)."""
+def _meaning(name: str, attributes: str, stack) -> tuple[bool, bool, int]:
+    """(boilerplate by meaning, named as content, kind of boilerplate that its names tell of)."""
     banned = name in _NEVER or name == "header" and not any(s[0] in ("article", "main") for s in stack)
     if "=" in attributes or "hidden" in attributes:
         given = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
-        names = f"{given.get('class', '')} {given.get('id', '')}"
         style = given.get("style", "").replace(" ", "").lower()
-        banned |= (given.get("role", "").lower() in _ROLES or bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attributes))
+        role = given.get("role", "").lower()
+        banned |= (role in _ROLES or bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attributes))
                    or "display:none" in style or given.get("aria-hidden", "").lower() == "true")
-        content = bool(_CONTENT_NAMES.search(names))
-        suspect = (name not in ("html", "body", "article", "main") and not content
-                   and bool(_NAMES.search(_LAYOUT.sub(" ", names))))
-        return banned, content, suspect
-    return banned, False, False
+        content, kind = _named(f"{given.get('class', '')} {given.get('id', '')}")
+        if role == "comment" or given.get("itemprop", "").lower() == "comment" or given.get("itemtype", "").lower().endswith(("/comment", "/usercomments")):
+            kind = COMMENTS
+        if name in ("html", "body", "main") or name == "article" and kind != COMMENTS:
+            kind = 0
+        return banned, content, kind
+    return banned, False, 0
 
 
 def costs(block: Block) -> tuple[float, float]:
@@ -196,7 +236,7 @@ def costs(block: Block) -> tuple[float, float]:
     for tag in ("article", "main"):
         score += 3.0 * (tag in block.tags)
     score += 2.0 * block.named
-    score -= SUSPECT / (1 + len(words) / SUSPECT_WORDS) * block.suspect
+    score -= (LASTING_COST if block.lasting else SUSPECT / (1 + len(words) / SUSPECT_WORDS)) * block.suspect
     score += 1.0 * (block.tags[-1:] in (("p",), ("h1",), ("h2",), ("h3",), ("blockquote",), ("pre",)))
     score -= 0.8 * (block.tags[-1:] in (("li",), ("td",), ("th",)) and len(words) < 4)
     if re.match(r"(?:©|\(c\)|copyright\b|all rights reserved)", block.text, re.I):

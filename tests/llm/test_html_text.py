@@ -65,3 +65,45 @@ def test_names_weigh_less_than_much_text_and_end_at_an_article():
 def test_inline_elements_speak_for_their_own_text_only():
     assert H.main_text(f"<p><span hidden>Not shown.</span> {LONG}</p>") == LONG.strip()
     assert H.main_text("<div><span class='ad'>Buy it here today, now.</span></div>") == ""
+
+
+SAID = "I have lived by that river all my life, and we never moved any boat, nor did my father before. "
+
+
+@pytest.mark.parametrize("words", [20, 40, 60, 100, 200])
+@pytest.mark.parametrize("around", [
+    '<section class="comments"><p>{}</p></section>',
+    '<div id="comments"><ol class="comment-list"><li><article class="comment-body"><div class="comment-content"><p>{}</p></div></article></li></ol></div>',
+    '<div id="comments"><article><p>{}</p></article></div>',
+    '<div class="replyList"><div class="replyBody"><p>{}</p></div></div>',
+    '<div itemprop="comment"><p>{}</p></div>',
+    '<div class="sidebar-content"><p>{}</p></div>',
+    '<div class="sidebar"><p>{}</p></div>',
+    '<div class="cookie-notice-text"><p>{}</p></div>',
+    '<div class="cookieNotice"><p>{}</p></div>',
+    '<div class="newsletter-signup__text"><p>{}</p></div>',
+    '<form class="contact"><p>{}</p></form>',
+])
+def test_comments_sidebars_and_notices_of_any_length(words, around):
+    said = " ".join((SAID * 12).split()[:words])
+    other = around.format(said)
+    body = f"<h1>The river</h1><p>{LONG}</p><p>{LONG}</p>"
+    want = f"The river {LONG.strip()} {LONG.strip()}"
+    assert H.main_text(f"<main><article>{body}</article>{other}</main>") == want
+    assert H.main_text(f"<article class='post'><div class='entry-content'>{body}</div>{other}</article>") == want
+    assert H.main_text(f"<div class='post-content'>{body}</div>{other}") == want
+    assert H.main_text(f"{other}<div id='content'>{body}</div>") == want
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "comments-open", "post-body", "storyContent", "has-comments"])
+def test_names_that_only_hold_such_a_word(name):
+    assert H.main_text(f'<div class="{name}"><p>{LONG}</p></div>') == LONG.strip()
+
+
+def test_header_of_an_entry_is_part_of_it():
+    assert H.main_text(f'<article><header class="entry-header"><h1 class="entry-title">The river</h1></header><p>{LONG}</p></article>') == f"The river {LONG.strip()}"
+
+
+def test_very_long_page():
+    page = "<main><article>" + f"<p>{LONG}</p>" * 3000 + "</article></main><div class=sidebar>" + f"<p>{SAID}</p>" * 3000 + "</div>"
+    assert H.main_text(page) == " ".join([LONG.strip()] * 3000)
