@@ -1,12 +1,14 @@
 """Benchmark decontamination by template canonicalisation.
 
-1. *Template*: a text's words, lower-cased and without the punctuation around them, where a number becomes
+1. *Template*: a text's words, lower-cased and without the punctuation around them, where a number, in digits or as a word, becomes
    ``<num>``, a unit of measure after a number ``<unit>`` and a capitalised word inside a sentence ``<name>``
-   (words in capitals throughout are not names).
-   Re-parameterised questions have one template.
-2. *Window join*: every run of ``WINDOW`` template words, and of ``SHORT``, that holds ``LITERALS`` words other than
-   placeholders is hashed and joined, by hash, with the windows of all benchmark items (an item that is
-   shorter is one window of its own length).  Before the join a bit field of fixed size, in which the
+   (words in capitals throughout are not names).  Up to ``NAME_RUN`` capitalised words in a row are one name; more are a title, whose
+   words stay.  The first word of a sentence is a name if it stands capitalised inside another sentence of the text, and nowhere in small
+   letters.  Re-parameterised questions have one template.
+2. *Window join*: every run of ``WINDOW`` template words, and of ``SHORT``, is hashed and joined, by hash, with the windows of all
+   benchmark items (an item that is shorter is one window of its own length); a run with fewer than ``LITERALS`` words other than
+   placeholders is hashed by its plain words instead.  As a document may tell more of its sentences' first words than an item does, an
+   item has windows with these typed by its own text, none of them and all of them.  Before the join a bit field of fixed size, in which the
    benchmark's windows are marked, lets only promising windows out of the scan of the documents.
 3. *Alignment*: the windows that a document shares with an item at one shift, or at shifts that differ by ``SLACK`` at
    most (words put in or left out), are counted: together they must cover ``COVERAGE`` of the item's words, or hold
@@ -14,7 +16,7 @@
 4. *Slot consistency*: over the covered words each value of a slot in the item must stand for one value in
    the document throughout; an alignment that breaks this at more than ``BROKEN`` of its slots is none.
 
-Null and empty texts, items without ``LEAST`` words and items with too few literal words never match.
+Null and empty texts and items without ``LEAST`` words never match.
 Repeated rows are found each; several alignments with one item count once, the best one.  Items that
 repeat an item_id are items of their own, of which the best match is told.
 """
@@ -34,6 +36,7 @@ WINDOW = 8
 SHORT = 6
 LITERALS = 4
 LEAST = 4
+NAME_RUN = 3
 COVERAGE = 0.5
 SLACK = 8
 RUN = 13
@@ -59,33 +62,72 @@ watt watts kw kwh volt volts amp amps joule joules newton newtons hz khz mhz ghz
 """.split())
 
 
-def template(text: str | None) -> tuple[list[str], list[str]]:
-    """(template words, plain words) of a text, in step."""
-    return _template((text or "").split())
+#: Numbers as words (one is left out: it is a pronoun as well), in English, German, French and Spanish.
+NUMBER_WORDS = frozenset("""
+two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty
+forty fifty sixty seventy eighty ninety hundred thousand million billion
+zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig vierzig fünfzig hundert tausend
+deux trois quatre cinq six sept huit neuf dix onze douze vingt trente quarante cinquante cent mille
+dos tres cuatro cinco seis siete ocho nueve diez once doce veinte treinta cuarenta cincuenta cien mil
+""".split())
+
 
+def template(text: str | None, starts: str = "text") -> tuple[list[str], list[str]]:
+    """(template words, plain words) of a text, in step.  ``starts``: which capitalised first words of sentences are names: those
+    that the ``text`` tells of, ``none`` or ``all``."""
+    return _template((text or "").split(), starts)
 
-def _template(raw: list[str]) -> tuple[list[str], list[str]]:
+
+def _template(raw: list[str], which: str = "text") -> tuple[list[str], list[str]]:
     words, plain, starts, after_number = [], [], True, False
+    capitals: list[tuple[int, bool, bool]] = []  # place, at a sentence's start, nothing after it but white space
     for token in raw:
         core = token.strip(_EDGE)
-        low = core.lower()
-        number = bool(core) and core[0] in "0123456789€£¥" and bool(_NUMBER.fullmatch(core))
         if not core:
-            word = None
-        elif number:
-            word = "<num>"
+            starts = starts or token.endswith(_ENDS)
+            continue
+        low = core.lower()
+        first = core[0]
+        number = first in "0123456789€£¥" and bool(_NUMBER.fullmatch(core)) or low in NUMBER_WORDS
+        if number:
+            words.append("<num>")
         elif after_number and low in UNITS:
-            word = "<unit>"
-        elif not starts and core[0].isupper() and not core[1:].isupper():
-            word = "<name>"
+            words.append("<unit>")
+        else:
+            words.append(low)
+            if first != low[0] and not core[1:].isupper():
+                capitals.append((len(plain), starts, token[-1] == core[-1]))
+        plain.append(low)
+        after_number = number
+        starts = token.endswith(_ENDS)
+    return _with_names(words, plain, capitals, which) if capitals else (words, plain)
+
+
+def _with_names(words, plain, capitals, which: str) -> tuple[list[str], list[str]]:
+    if which == "text":
+        inside = {plain[i] for i, start, _ in capitals if not start}
+        told = {i for i, start, _ in capitals if start and plain[i] in inside}
+        if told:
+            at = {i for i, _, _ in capitals}
+            small = inside.intersection(w for k, w in enumerate(words) if k not in at)
+            told = {i for i in told if plain[i] not in small}
+    else:
+        told = {i for i, start, _ in capitals if start and which == "all"}
+    runs: list[list[int]] = []
+    open_ = False
+    for i, start, ends_open in capitals:
+        if start and i not in told:
+            open_ = False
+        elif open_ and runs[-1][1] == i and not start:
+            runs[-1][1], open_ = i + 1, ends_open
         else:
-            word = low
-        if word is not None:
-            words.append(word)
-            plain.append(low)
-            after_number = number
-            starts = False
-        starts = starts or token.endswith(_ENDS)
+            runs.append([i, i + 1])
+            open_ = ends_open
+    for a, b in reversed(runs):
+        if b - a == 1:
+            words[a] = "<name>"
+        elif b - a <= NAME_RUN:
+            words[a:b], plain[a:b] = ["<name>"], [" ".join(plain[a:b])]
     return words, plain
 
 
@@ -93,19 +135,23 @@ _PLACEHOLDERS = ("<num>", "<unit>", "<name>")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def window_hashes(hashes: np.ndarray, literal: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of the windows of ``size`` words with enough literal words."""
+def _windows(hashes: np.ndarray, size: int) -> np.ndarray:
     n = len(hashes) - size + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
         total = np.full(n, np.uint64(size))
         for i in range(size):
             total = (total ^ hashes[i:i + n]) * _FACTOR
             total ^= total >> np.uint64(29)
-    sums = np.r_[0, np.cumsum(literal)]
-    starts = np.flatnonzero(sums[size:] - sums[:-size] >= min(LITERALS, size))
-    return starts, total[starts]
+    return total
+
+
+def window_hashes(hashes: np.ndarray, literal: np.ndarray, plain: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each window of ``size`` words: of its template words, or of its plain words where too few are literal."""
+    if len(hashes) < size:
+        return np.empty(0, np.uint64)
+    total, sums = _windows(hashes, size), np.r_[0, np.cumsum(literal)]
+    few = sums[size:] - sums[:-size] < min(LITERALS, size)
+    return np.where(few, ~_windows(plain, size), total) if few.any() else total
 
 
 class Hashed:
@@ -115,17 +161,23 @@ class Hashed:
         self.known: dict[str, int] = {}
         self.bound = bound
 
-    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _of(self, words: list[str]) -> np.ndarray:
         import xxhash
 
-        if len(self.known) > self.bound:
-            self.known.clear()
         known = self.known
         for w in set(words).difference(known):
             known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        slots = np.array([xxhash.xxh64_intdigest(w) for w in _PLACEHOLDERS], np.uint64)
-        return h, ~np.isin(h, slots)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+    def __call__(self, words: list[str], plain: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of template words, whether they are literal, and hashes of plain words."""
+        if len(self.known) > self.bound:
+            self.known.clear()
+        h = self._of(words)
+        literal = ~np.isin(h, self._of(list(_PLACEHOLDERS)))
+        same, given = h.copy(), np.flatnonzero(~literal).tolist()
+        same[given] = self._of([plain[i] for i in given])
+        return h, literal, same
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
@@ -135,21 +187,26 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
         for batch in batches:
             rows = {k: [] for k in ("item", "item_id", "n_words", "size", "pos", "h", "slots", "plain")}
             for item, item_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                words, plain = template(text)
-                if len(words) < LEAST:
+                long = len(template(text)[0])
+                if long < LEAST:
                     continue
-                own = hashed(words)
-                for size in sorted({min(WINDOW, len(words)), min(SHORT, len(words))}):
-                    starts, h = window_hashes(*own, size)
-                    for pos, one in zip(starts.tolist(), h.view(np.int64).tolist()):
-                        rows["item"].append(item)
-                        rows["item_id"].append(item_id)
-                        rows["n_words"].append(len(words))
-                        rows["size"].append(size)
-                        rows["pos"].append(pos)
-                        rows["h"].append(one)
-                        rows["slots"].append([i for i in range(pos, pos + size) if words[i] in _PLACEHOLDERS])
-                        rows["plain"].append([plain[i] for i in range(pos, pos + size) if words[i] in _PLACEHOLDERS])
+                seen = set()
+                for starts in ("text", "none", "all"):
+                    words, plain = template(text, starts)
+                    own = hashed(words, plain)
+                    for size in sorted({min(WINDOW, len(words)), min(SHORT, len(words))}):
+                        for pos, one in enumerate(window_hashes(*own, size).view(np.int64).tolist()):
+                            if (size, pos, one) in seen:
+                                continue
+                            seen.add((size, pos, one))
+                            rows["item"].append(item)
+                            rows["item_id"].append(item_id)
+                            rows["n_words"].append(long)
+                            rows["size"].append(size)
+                            rows["pos"].append(pos)
+                            rows["h"].append(one)
+                            rows["slots"].append([i for i in range(pos, pos + size) if words[i] in _PLACEHOLDERS])
+                            rows["plain"].append([plain[i] for i in range(pos, pos + size) if words[i] in _PLACEHOLDERS])
             yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([
                 ("item", pa.int64()), ("item_id", batch.column(1).type), ("n_words", pa.int32()), ("size", pa.int32()),
                 ("pos", pa.int32()), ("h", pa.int64()), ("slots", pa.list_(pa.int32())), ("plain", pa.list_(pa.string()))]))
@@ -172,11 +229,11 @@ def document_windows(documents: DataFrame, sizes: list[int], marked: bytes) -> D
                 words, plain = template(text)
                 if len(words) < min(sizes):
                     continue
-                own = hashed(words)
+                own = hashed(words, plain)
                 for size in sizes:
-                    starts, h = window_hashes(*own, size)
-                    hit = field[(h >> np.uint64(64 - FIELD_BITS)).astype(np.int64)]
-                    for p, one in zip(starts[hit].tolist(), h[hit].view(np.int64).tolist()):
+                    h = window_hashes(*own, size)
+                    hit = np.flatnonzero(field[(h >> np.uint64(64 - FIELD_BITS)).astype(np.int64)])
+                    for p, one in zip(hit.tolist(), h[hit].view(np.int64).tolist()):
                         of.append(i)
                         size_.append(size)
                         pos.append(p)
@@ -232,7 +289,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
             F.greatest(a["end"], p["pos"] + p["size"]).alias("end"),
             F.greatest(a["n"], F.greatest(a["end"], p["pos"] + p["size"]) - F.when(p["pos"] <= a["end"], a["from"]).otherwise(p["pos"])).alias("n")),
         lambda a: a["n"])
-    enough = at.withColumn("coverage", covered / F.col("n_words")).withColumn("run", run) \
+    enough = at.withColumn("coverage", F.least(covered / F.col("n_words"), F.lit(1.0))).withColumn("run", run) \
         .where((F.col("coverage") >= COVERAGE) | (F.col("run") >= RUN)).drop("at", "exact")
 
     # Slots: each value of the item must stand for one value of the document.

@@ -1,6 +1,8 @@
 import re
 from collections import defaultdict
 
+import pytest
+
 from bazaar.llm import decontaminate as D
 
 ITEM = "At noon Alice bought 12 apples and 7 pears at the old market for 30 dollars. How much did Alice pay for every piece?"
@@ -9,8 +11,43 @@ ITEMS = [(1, ITEM), (2, "too short"), (3, None), (4, "the quick brown fox jumps"
 
 def test_templates():
     words, plain = D.template("On Monday Bob ran 5.5 km in 1,000 steps; NASA saw it. Then he ate.")
-    assert words == ["on", "<name>", "<name>", "ran", "<num>", "<unit>", "in", "<num>", "steps", "nasa", "saw", "it", "then", "he", "ate"]
-    assert plain[1:3] == ["monday", "bob"]
+    assert words == ["on", "<name>", "ran", "<num>", "<unit>", "in", "<num>", "steps", "nasa", "saw", "it", "then", "he", "ate"]
+    assert plain[1] == "monday bob"
+
+
+@pytest.mark.parametrize("text,words", [
+    ("Maria has 12 figs. Maria eats 3. What does Maria have?", "<name> has <num> figs <name> eats <num> what does <name> have"),
+    ("The cat saw The Hague. The end of the day.", "the cat saw <name> the end of the day"),  # the stands in small letters too
+    ("He met Mary Ann Smith, Bob and Al.", "he met <name> <name> and <name>"),
+    ("What Is The Capital Of France And Spain", "what is the capital of france and spain"),
+    ("She has twelve or 12.5 kg.", "she has <num> or <num> <unit>"), ("", ""), ("... !", ""), ("Ärger", "ärger")])
+def test_names_numbers_and_titles(text, words):
+    assert D.template(text)[0] == words.split()
+
+
+def test_first_words_of_sentences():
+    text = "Maria has figs. Ann Lee buys pears."
+    assert D.template(text, "all")[0] == "<name> has figs <name> buys pears".split()
+    assert D.template(text, "none")[0] == "maria has figs ann <name> buys pears".split()
+
+
+def test_other_names_and_number_words(spark):
+    items = spark.createDataFrame([
+        (1, "Maria has 12 apples. Maria buys 7 pears. Maria eats 3 plums. What does Maria have left?"),
+        (2, "What Is The Capital Of France And Spain"),
+        (3, "Mary Ann has five baskets of figs and gives two baskets to Tom before noon. How many baskets does Mary Ann keep?"),
+        (4, "Der Hund von Herrn Meier jagt die Katze von Frau Schulz durch Garten, Hof und Keller in Bonn."),
+        (5, "Paris lies on a river. How long is it from the sea?")], "item_id long, text string")
+    documents = [
+        (1, "So: Robert has 45 apples. Robert buys 3 pears. Robert eats 9 plums. What does Robert have left?"),
+        (2, "I ask: What Is The Capital Of France And Spain, if any?"),
+        (3, "Bob has twelve baskets of figs and gives nine baskets to Jim before noon. How many baskets does Bob keep?"),
+        (4, "Ja. Der Hund von Herrn Meier jagt die Katze von Frau Schulz durch Garten, Hof und Keller in Bonn. Nein."),
+        (5, "We saw Paris and Rome. Paris lies on a river. How long is it from the sea? Rome does too."),
+        (6, "Robert has 45 boats. Susan sells 3 hats. Tom eats 9 plums. What does Ann want?"),
+        (7, "Der Wolf von Doktor Krause sucht den Hasen von Oma Vogt unter Tisch, Bank und Bett in Köln.")]
+    got = {(r.doc_id, r.item_id) for r in D.leaks(spark.createDataFrame(documents, "doc_id long, text string"), items).collect()}
+    assert got == {(i, i) for i in range(1, 6)}
 
 
 def test_reparameterised_questions_are_caught(spark):
