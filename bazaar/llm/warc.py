@@ -9,7 +9,8 @@ record and that digest.  Joined by digest they give back each record byte for by
   that record.  Smaller payloads are all in responses.
 * Which record is first is decided on digests alone, grouped with pre-aggregation, so a
   payload that a third of all pages share moves as one row per task.  Payload bytes are
-  shuffled once, when records are put together again.
+  shuffled once, when records are put together again; records of a payload that more than ``PART_RECORDS`` of them
+  share are dealt into parts, each of which gets a copy of the payload then.
 * Reading back computes both digests of each stored payload again and fails if one differs.
 
 A null html is an empty payload, a null url an empty target; rows without page_id are archived
@@ -34,6 +35,8 @@ LEAST_BYTES = 0
 DATE = "1970-01-01T00:00:00Z"
 #: A list of revisits of so many rows at most (five short columns) is broadcast; a longer one is joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Records of one payload that are put together in one place, on average, at most.
+PART_RECORDS = 1000
 _END = "\r\n"
 _RECORD_END = _END * 2
 
@@ -80,23 +83,26 @@ def write_archive(pages: DataFrame, path: str | None = None, least_bytes: int =
     rows = (pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
             .select("*", F.sha2("payload", 256).alias("sha256"), F.octet_length("payload").cast("long").alias("bytes")))
     repeated = stored(rows.groupBy("sha256").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-                      .where("n > 1").select("sha256", "first", F.lit(True).alias("shared")), "shared-payloads")
+                      .where("n > 1").select("sha256", "first", F.lit(True).alias("shared"),
+                                              F.ceil(F.col("n") / PART_RECORDS).cast("int").alias("n_parts")), "shared-payloads")
     repeated = F.broadcast(repeated) if bounded(repeated, BROADCAST_ROWS) else repeated
     rows = rows.join(repeated, "sha256", "left")
     is_first = F.col("shared").isNull() | F.col("page_id").eqNullSafe(F.col("first"))
     response = is_first | (F.col("bytes") < least_bytes)
     typed = (rows.withColumn("record_type", F.when(response, "response").otherwise("revisit"))
              .withColumn("refers_to", F.when(~response, F.col("first"))).withColumn("sha1", base32_sha1(F.col("payload"))))
-    typed.select("sha256", _headers().alias("header")).write.parquet(f"{path}/records")
-    alone = rows.where("shared is null").select("sha256", "payload")
-    once = rows.where(F.col("shared") & is_first).select("sha256", "payload").dropDuplicates(["sha256"])
+    parts = F.coalesce("n_parts", F.lit(1)).alias("parts")
+    part = F.pmod(F.xxhash64("page_id", "url"), parts).cast("int").alias("part")
+    typed.select("sha256", part, _headers().alias("header")).write.parquet(f"{path}/records")
+    alone = rows.where("shared is null").select("sha256", parts, "payload")
+    once = rows.where(F.col("shared") & is_first).select("sha256", parts, "payload").dropDuplicates(["sha256"])
     alone.unionByName(once).write.parquet(f"{path}/payloads")
     return path
 
 
 def field(name: str) -> Column:
-    """The value of a header field, or an empty string."""
-    return F.regexp_extract("header", rf"(?m)^{name}: ([^\r\n]*)", 1)
+    """The value of a header field, or an empty string.  Lines end with CRLF and nothing else: a url may hold other line separators."""
+    return F.regexp_extract("header", rf"(?:^|\r\n){name}: ([^\r\n]*)", 1)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -104,13 +110,14 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
     A stored payload whose SHA-256 differs from its key, or whose SHA-1 from a header that names it, stops the job.
     """
-    payloads = spark.read.schema("sha256 string, payload binary").parquet(f"{path}/payloads")
+    payloads = spark.read.schema("sha256 string, parts int, payload binary").parquet(f"{path}/payloads")
     sound = F.assert_true(F.sha2("payload", 256) == F.col("sha256"), "a stored payload does not have its digest")
     payloads = payloads.where(F.coalesce(sound.cast("boolean"), F.lit(True)))
-    records = spark.read.schema("sha256 string, header string").parquet(f"{path}/records")
+    payloads = payloads.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    records = spark.read.schema("sha256 string, part int, header string").parquet(f"{path}/records")
     named = F.assert_true(F.concat(F.lit("sha1:"), base32_sha1(F.col("payload"))) == field("WARC-Payload-Digest"),
                           "a payload does not have its digest in the header")
-    return records.join(payloads, "sha256").where(F.coalesce(named.cast("boolean"), F.lit(True))).select("header", "payload")
+    return records.join(payloads, ["sha256", "part"]).where(F.coalesce(named.cast("boolean"), F.lit(True))).select("header", "payload")
 
 
 def record_bytes() -> Column:
@@ -134,7 +141,7 @@ def read_warc(spark: SparkSession, out: str) -> DataFrame:
                 headers, payloads, at = [], [], 0
                 while at < len(content):
                     end = content.index(b"\r\n\r\n", at) + 4
-                    size = int(re.search(rb"(?m)^Content-Length: (\d+)", content[at:end])[1])
+                    size = int(re.search(rb"\r\nContent-Length: (\d+)", content[at:end])[1])
                     headers.append(content[at:end].decode())
                     payloads.append(content[end:end + size])
                     at = end + size + 4

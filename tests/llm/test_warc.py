@@ -41,8 +41,8 @@ def test_a_changed_payload_is_noticed(spark):
     import pytest
 
     path = warc.write_archive(spark.createDataFrame(PAGES[:1], "page_id long, url string, html string"))
-    spark.createDataFrame([("0" * 64, bytearray(b"z"))], "sha256 string, payload binary").write.mode("append").parquet(f"{path}/payloads")
-    spark.createDataFrame([("0" * 64, "WARC/1.1\r\n")], "sha256 string, header string").write.mode("append").parquet(f"{path}/records")
+    spark.createDataFrame([("0" * 64, 1, bytearray(b"z"))], "sha256 string, parts int, payload binary").write.mode("append").parquet(f"{path}/payloads")
+    spark.createDataFrame([("0" * 64, 0, "WARC/1.1\r\n")], "sha256 string, part int, header string").write.mode("append").parquet(f"{path}/records")
     with pytest.raises(Exception, match="does not have its digest"):
         warc.read_archive(spark, path).collect()
 
@@ -55,7 +55,24 @@ def test_a_wrong_digest_in_a_header_is_noticed(spark):
     import pytest
 
     path = warc.write_archive(spark.createDataFrame(PAGES[:1], "page_id long, url string, html string"))
-    wrong = [(r.sha256, r.header.replace("sha1:", "sha1:A")) for r in spark.read.parquet(f"{path}/records").collect()]
-    spark.createDataFrame(wrong, "sha256 string, header string").write.mode("append").parquet(f"{path}/records")
+    wrong = [(r.sha256, r.part, r.header.replace("sha1:", "sha1:A")) for r in spark.read.parquet(f"{path}/records").collect()]
+    spark.createDataFrame(wrong, "sha256 string, part int, header string").write.mode("append").parquet(f"{path}/records")
     with pytest.raises(Exception, match="digest in the header"):
         warc.read_archive(spark, path).collect()
+
+
+def test_urls_with_other_line_separators(spark):
+    for sep in ("\x85", "\u2028", "\u2029", "\x0b", "\x0c"):
+        url = f"http://x/{sep}WARC-Type: revisit{sep}WARC-Payload-Digest: sha1:none"
+        (row,) = warc.archived_pages(spark.createDataFrame([(1, url, "x")], "page_id long, url string, html string")).collect()
+        assert (row.url, row.record_type, row.page_id) == (url, "response", 1)
+
+
+def test_a_payload_of_many_records_is_dealt_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(warc, "PART_RECORDS", 10)
+    pages = spark.createDataFrame([(i, f"u{i}", "same") for i in range(95)] + [(100, "v", "other")], "page_id long, url string, html string")
+    path = warc.write_archive(pages)
+    assert sorted(r.parts for r in spark.read.parquet(f"{path}/payloads").collect()) == [1, 10]
+    assert spark.read.parquet(f"{path}/records").select("sha256", "part").distinct().count() > 5
+    back = warc.read_archive(spark, path).collect()
+    assert len(back) == 96 and sorted(bytes(r.payload) for r in back) == [b"other"] + [b"same"] * 95
