@@ -24,6 +24,8 @@ repeat an item_id are items of their own, of which the best match is told.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -145,13 +147,14 @@ def _windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return total
 
 
-def window_hashes(hashes: np.ndarray, literal: np.ndarray, plain: np.ndarray, size: int) -> np.ndarray:
-    """The hash of each window of ``size`` words: of its template words, or of its plain words where too few are literal."""
+def window_hashes(hashes: np.ndarray, literal: np.ndarray, plain: Callable[[], np.ndarray], size: int) -> np.ndarray:
+    """The hash of each window of ``size`` words: of its template words, or of its plain words (asked for only then) where too few
+    are literal."""
     if len(hashes) < size:
         return np.empty(0, np.uint64)
     total, sums = _windows(hashes, size), np.r_[0, np.cumsum(literal)]
     few = sums[size:] - sums[:-size] < min(LITERALS, size)
-    return np.where(few, ~_windows(plain, size), total) if few.any() else total
+    return np.where(few, ~_windows(plain(), size), total) if few.any() else total
 
 
 class Hashed:
@@ -160,6 +163,7 @@ class Hashed:
     def __init__(self, bound: int = 300_000):
         self.known: dict[str, int] = {}
         self.bound = bound
+        self.slots = self._of(list(_PLACEHOLDERS)).tolist()
 
     def _of(self, words: list[str]) -> np.ndarray:
         import xxhash
@@ -169,15 +173,22 @@ class Hashed:
             known[w] = xxhash.xxh64_intdigest(w)
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
-    def __call__(self, words: list[str], plain: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of template words, whether they are literal, and hashes of plain words."""
+    def __call__(self, words: list[str], plain: list[str]) -> tuple[np.ndarray, np.ndarray, Callable[[], np.ndarray]]:
+        """Hashes of template words, whether they are literal, and what gives the hashes of plain words."""
         if len(self.known) > self.bound:
             self.known.clear()
         h = self._of(words)
-        literal = ~np.isin(h, self._of(list(_PLACEHOLDERS)))
-        same, given = h.copy(), np.flatnonzero(~literal).tolist()
-        same[given] = self._of([plain[i] for i in given])
-        return h, literal, same
+        literal = np.ones(len(h), bool)
+        for slot in self.slots:
+            literal &= h != slot
+
+        @lru_cache(maxsize=1)
+        def of_plain():
+            same, given = h.copy(), np.flatnonzero(~literal)
+            same[given] = self._of([plain[i] for i in given.tolist()])
+            return same
+
+        return h, literal, of_plain
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
