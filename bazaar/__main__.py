@@ -82,6 +82,7 @@ def build_parser() -> argparse.ArgumentParser:
         sp = sub.add_parser(name)
         if name == "report":
             sp.add_argument("name", choices=sorted(catalog.REPORTS))
+            sp.add_argument("--collation", help="compare group keys under this collation, e.g. UNICODE_CI_AI, as the database does")
         src = sp.add_mutually_exclusive_group(required=True)
         src.add_argument("--db")
         src.add_argument("--csv")
@@ -92,7 +93,6 @@ def build_parser() -> argparse.ArgumentParser:
             sp.add_argument("--generated-at", default=None, help="report stamp, ISO time (default: now)")
     for sp in sub.choices.values():
         sp.add_argument("--warehouse", help="folder of the loaded tables (default: the session's catalog)")
-        sp.add_argument("--collation", help="compare group keys under this collation, e.g. UNICODE_CI_AI (report)")
         sp.add_argument("--multi-line", action="store_true", help="CSV fields may hold line breaks; each file is one task")
         sp.add_argument("--date-format", action="append", help="pattern of dates in a CSV; may be given several times")
     return p

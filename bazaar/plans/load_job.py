@@ -150,11 +150,20 @@ def full_refresh(spark: SparkSession, raw: DataFrame, db: str, date_formats: lis
         row["Reconciled"] = row["Source_Rows"] == loaded + rejected
         return row["Reconciled"]
 
-    version = versions.write(lambda v: _fill(spark, db, v, rows), whole)
-    if version is not None:
-        _show(spark, db, version)
-        for old in versions.drop_old(KEEP):
-            spark.sql(f"DROP TABLE IF EXISTS `{db}`.`sales_load_{old}`")
+    before, tried = set(versions.published()), []
+
+    def fill(version: str) -> None:
+        tried.append(version)
+        _fill(spark, db, version, rows)
+
+    try:
+        version = versions.write(fill, whole)
+        if version is not None:
+            _show(spark, db, version)
+            versions.drop_old(KEEP)
+    finally:  # no catalog table outlives its folder
+        for gone in {*before, *tried}.difference(versions.published()):
+            spark.sql(f"DROP TABLE IF EXISTS `{db}`.`sales_load_{gone}`")
     return spark.range(1).select(*[F.lit(v).cast("boolean" if k == "Reconciled" else "bigint").alias(k) for k, v in row.items()])
 
 

@@ -72,6 +72,8 @@ def test_a_write_that_fails_half_way_leaves_the_old_rows(spark, tmp_path):
     assert sorted(r.Order_ID for r in load_job.sales_data(spark, "half_db").collect()) == ["A", "B"]
     versions = load_job._versions(spark, "half_db")
     assert versions.files.names(f"{versions.root}/versions") == sorted(versions.published())
+    tables = {t.name for t in spark.catalog.listTables("half_db") if t.name.startswith("sales_load_")}
+    assert tables == {f"sales_load_{v}" for v in versions.published()}
 
 
 def test_readers_keep_their_version_and_old_ones_go(spark, tmp_path):
