@@ -1,8 +1,8 @@
 """Data profiling of the EDA half.
 
-* ``dataset_summary`` — shape, date range and the number of distinct values of the three
-  dimensions, from one grouping-sets aggregate (one row per key after it, so no task holds a
-  dimension's values); ``dimension_values`` — the values themselves as rows, in order.
+* ``dataset_summary`` — shape, date range, the number of distinct values of the three
+  dimensions and their sorted lists, from one grouping-sets aggregate (the lists are joined
+  from its one row per key); ``dimension_values`` — the values as rows, in order.
 * ``missing_values`` — NULL count and percent per column in one pass, unpacked
   into one row per column; columns without NULLs are left out.
 * ``describe_numeric`` — count, mean, sample std, min, exact quartiles, max for
@@ -19,26 +19,31 @@ from pyspark.sql import types as T
 
 from bazaar.functions.money import round_ratio
 from bazaar.operators.quantiles import counted, percentiles_of_counts, ranged
-from bazaar.operators.summaries import grouping_code
+from bazaar.operators.summaries import grouping_code, key_list
 from bazaar.schema import DIMENSIONS, NUMERIC_PROFILE_COLUMNS
 from bazaar.session import shared_path
 
 COUNT_NAMES = {"City": "Cities", "Category": "Categories", "Product": "Products"}
 
 
+def _names(dim: str) -> list[str]:
+    return [COUNT_NAMES.get(dim, f"{dim}_Count"), f"{dim}_List"]
+
+
 def present_summary(groups: DataFrame, dims: list[str], columns: list[str], of: list[str] = DIMENSIONS) -> DataFrame:
     """The summary from a grouping-sets table of ``dims`` with ``_rows _dmin _dmax _gid`` (one row per key and set)."""
     whole = F.col("_gid") == grouping_code(dims, None)
     row = groups.agg(
         F.coalesce(F.max(F.when(whole, F.col("_rows"))), F.lit(0).cast("bigint")).alias("Rows"),
         F.max(F.when(whole, F.col("_dmin"))).alias("Date_Min"), F.max(F.when(whole, F.col("_dmax"))).alias("Date_Max"),
-        *[F.count_if((F.col("_gid") == grouping_code(dims, d)) & F.col(d).isNotNull()).alias(COUNT_NAMES.get(d, f"{d}_Count")) for d in of])
+        *[c.alias(n) for d in of for n, c in zip(_names(d), [
+            F.count_if((F.col("_gid") == grouping_code(dims, d)) & F.col(d).isNotNull()), key_list(dims, d)])])
     return row.select("Rows", F.lit(len(columns)).alias("Columns"), F.lit(", ".join(columns)).alias("Column_List"),
-                      "Date_Min", "Date_Max", *[F.col(COUNT_NAMES.get(d, f"{d}_Count")) for d in of])
+                      "Date_Min", "Date_Max", *[n for d in of for n in _names(d)])
 
 
 def dataset_summary(df: DataFrame, dims: list[str] = DIMENSIONS) -> DataFrame:
-    """Rows, columns, column names, date range, and the number of each dimension's values (``dimension_values`` lists them)."""
+    """Rows, columns, column names, date range, and the number and sorted list of each dimension's values."""
     groups = df.select(*dims, "Order_Date").groupingSets([[d] for d in dims] + [[]], *dims).agg(
         F.count(F.lit(1)).alias("_rows"), F.min("Order_Date").alias("_dmin"), F.max("Order_Date").alias("_dmax"),
         F.grouping_id().alias("_gid"))

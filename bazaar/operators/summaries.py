@@ -96,6 +96,12 @@ def grouping_code(dims: list[str], dim: str | None) -> int:
     return full if dim is None else full - (1 << (len(dims) - 1 - dims.index(dim)))
 
 
+def key_list(dims: list[str], dim: str) -> Column:
+    """The non-NULL keys of one set of a rollup by ``dims`` (one row per key), in order and joined by ", "; NULL if there are none."""
+    return F.expr(f"listagg(CASE WHEN `_gid` = {grouping_code(dims, dim)} THEN CAST(`{dim}` AS STRING) END, ', ') "
+                  f"WITHIN GROUP (ORDER BY CAST(`{dim}` AS STRING))")
+
+
 def from_rollup(r: DataFrame, dim: str, dims: list[str] = ROLLUP_DIMS) -> DataFrame:
     """The summary of ``dim`` (NULL keys dropped, as the EDA reports do)."""
     return (r.where((F.col("_gid") == grouping_code(dims, dim)) & F.col(dim).isNotNull())

@@ -99,6 +99,15 @@ def test_dataset_summary_counts_and_values_as_rows(sales):
     assert (empty.Rows, empty.Cities, empty.Date_Min) == (0, 0, None) and dimension_values(sales()).collect() == []
 
 
+def test_dataset_summary_lists_every_value_in_order(sales):
+    from bazaar.operators.profile import dataset_summary
+    df = sales(row(City="Pune"), row(City="Gaya", Product="b, c"), row(City=None), row(City="Pune", Category=None, Product="Z"))
+    r = dataset_summary(df).first()
+    assert (r.City_List, r.Category_List, r.Product_List) == ("Gaya, Pune", "Electronics", "Laptop, Z, b, c")
+    empty = dataset_summary(sales()).first()
+    assert (empty.City_List, empty.Category_List, empty.Product_List) == (None, None, None)
+
+
 def test_dimension_values_number_through_ranges(sales):
     from bazaar.operators.profile import dimension_values
     cities = [f"C{i * 7919 % 1000:04d}" for i in range(1000)]
