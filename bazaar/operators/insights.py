@@ -2,8 +2,8 @@
 
 Each is one scan of the fact: a GROUPING SETS rollup gives every summary the
 row needs at once, and a single global aggregate over that small rollup picks
-the totals, the arg-max keys (largest revenue, ties to the smaller key) and the
-numbers of keys.  No joins, no driver round trips, no list of keys in one row.
+the totals, the arg-max keys (largest revenue, ties to the smaller key), the
+numbers of keys and their sorted lists.  No joins, no driver round trips.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from bazaar.functions import fmt
 from bazaar.functions.money import money_total, round_ratio
-from bazaar.operators.summaries import MONTH, grouping_code, rollup
+from bazaar.operators.summaries import MONTH, grouping_code, key_list, rollup
 from bazaar.operators.trends import month_label
 from bazaar.schema import NAMED_CATEGORY
 
@@ -39,9 +39,12 @@ class _Picks:
                                                          F.col("_rev").alias("rev"))))
 
     def keys(self, dim: str) -> Column:
-        """The number of keys; ``profile.dimension_values`` lists them."""
+        """The number of keys; ``profile.dimension_values`` has them as rows."""
         return F.count_if(self.in_set(dim))
 
+    def listed(self, dim: str) -> Column:
+        return key_list(self.dims, dim)
+
 
 KPI_DIMS = ["City", "Product"]
 OVERVIEW_DIMS = ["Category", "City", "Product", MONTH]
@@ -77,12 +80,13 @@ def present_overview(r: DataFrame, dims: list[str]) -> DataFrame:
         F.coalesce(p.overall("_rows"), F.lit(0).cast("bigint")).alias("Total_Records"),
         p.overall("_dmin").alias("Date_Min"), p.overall("_dmax").alias("Date_Max"),
         p.keys("City").alias("Cities"), p.keys("Category").alias("Categories"), p.keys("Product").alias("Products"),
+        p.listed("City").alias("City_List"), p.listed("Category").alias("Category_List"), p.listed("Product").alias("Product_List"),
         F.coalesce(p.overall("_rev"), F.lit(0).cast("decimal(24,2)")).alias("_rev"),
         p.top("Category").alias("_tcat"), p.top("City").alias("_tcity"), p.top("Product").alias("_tprod"),
         p.top(MONTH).alias("_tmonth"))
     return row.select(
         "Total_Records", "Date_Min", "Date_Max",
-        "Cities", "Categories", "Products",
+        "Cities", "City_List", "Categories", "Category_List", "Products", "Product_List",
         F.col("_rev").cast("double").alias("Total_Revenue"),
         round_ratio(F.col("_rev"), F.col("Total_Records"), half_even=True).alias("Avg_Order_Value"),
         F.col("_tcat.key").alias("Top_Category"),

@@ -108,6 +108,12 @@ def test_dataset_summary_lists_every_value_in_order(sales):
     assert (empty.City_List, empty.Category_List, empty.Product_List) == (None, None, None)
 
 
+def test_overview_lists_every_value_in_order(sales):
+    df = sales(row(City="Pune"), row(City="Gaya"), row(City=None, Category="A"), row(City="Pune", Category=None, Product="Z"))
+    r = insights.insights_overview(df).first()
+    assert (r.City_List, r.Category_List, r.Product_List) == ("Gaya, Pune", "A, Electronics", "Laptop, Z")
+
+
 def test_dimension_values_number_through_ranges(sales):
     from bazaar.operators.profile import dimension_values
     cities = [f"C{i * 7919 % 1000:04d}" for i in range(1000)]
