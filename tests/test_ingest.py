@@ -2,7 +2,7 @@
 
 from decimal import Decimal
 
-from bazaar.operators.clean import report_rows
+from bazaar.operators.clean import coerce, report_rows, valid_rows
 from bazaar.plans import ingest
 
 
@@ -16,3 +16,12 @@ def test_totals_in_cents_beyond_bigint_are_exact(raw):
     assert dict(small.dtypes)["Total_Sales_Cents"] == "bigint" and small.first().Total_Sales_Cents == 999999999999999999
     none = ingest.in_bigint(ingest.column_profile(report_rows(raw({"Order_ID": "2"})), cents=True))
     assert dict(none.dtypes)["Total_Sales_Cents"] == "bigint" and none.first().Total_Sales_Cents is None
+
+
+def patterns(df) -> int:
+    """How often the plan tests a text for being a number."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("RLIKE")
+
+
+def test_valid_rows_parse_each_field_once(raw):
+    assert patterns(valid_rows(coerce(raw({"Order_ID": "1", "Age": "30"})))) <= 8
