@@ -1,9 +1,12 @@
 """Ingest queries: large totals, one parse per field, a load that does not sort its rows."""
 
+import uuid
 from decimal import Decimal
 
+from pyspark.sql.readwriter import DataFrameWriter
+
 from bazaar.operators.clean import coerce, report_rows, valid_rows
-from bazaar.plans import ingest
+from bazaar.plans import ingest, load_job
 
 
 def test_totals_in_cents_beyond_bigint_are_exact(raw):
@@ -25,3 +28,26 @@ def patterns(df) -> int:
 
 def test_valid_rows_parse_each_field_once(raw):
     assert patterns(valid_rows(coerce(raw({"Order_ID": "1", "Age": "30"})))) <= 8
+
+
+def test_staged_rows_parse_each_field_once(raw):
+    assert patterns(load_job.staged(raw({"Order_ID": "1", "Age": "30"}))) <= 8
+
+
+def test_load_writes_its_rows_unsorted(spark, raw, tmp_path, monkeypatch):
+    db, plans, writers, insert = f"unsorted_{uuid.uuid4().hex[:8]}", [], [], DataFrameWriter.insertInto
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+
+    def explained(self, table, overwrite=None):
+        self._df.createOrReplaceTempView("rows_to_load")
+        plans.append(spark.sql(f"EXPLAIN EXTENDED INSERT OVERWRITE {table} SELECT * FROM rows_to_load").first()[0])
+        writers.append(int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")))
+        insert(self, table, overwrite)
+
+    monkeypatch.setattr(DataFrameWriter, "insertInto", explained)
+    rows = raw({"Order_ID": "1"}, {"Order_ID": ""}, {"Order_ID": "2"}, {"Order_ID": "3", "Age": "1.5"})
+    got = load_job.run(spark, rows, db, warehouse=str(tmp_path)).first()
+    assert (got.Loaded_Rows, got.Quarantined_Rows, got.Reconciled) == (2, 2, True)
+    assert plans and not any("Sort [" in p for p in plans)
+    assert min(writers) > 2  # at its limit, a task sorts the rest of its rows
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
