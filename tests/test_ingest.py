@@ -1,5 +1,6 @@
 """Ingest queries: large totals, one parse per field, a load that does not sort its rows."""
 
+import os
 import uuid
 from decimal import Decimal
 
@@ -51,3 +52,10 @@ def test_load_writes_its_rows_unsorted(spark, raw, tmp_path, monkeypatch):
     assert plans and not any("Sort [" in p for p in plans)
     assert min(writers) > 2  # at its limit, a task sorts the rest of its rows
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+
+
+def test_csv_copy_is_compressed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "shared_path", lambda spark, *parts: "/".join([str(tmp_path), *parts]))
+    names = os.listdir(ingest.sales_csv(spark, "/root/testdata/sf0.001"))
+    data = [n for n in names if n.startswith("part-")]
+    assert data and all(n.endswith(".csv.gz") for n in data)
