@@ -84,8 +84,10 @@ def section_builders(columns: list[str], r: DataFrame, keys: list[str]) -> dict[
     }
 
 
-def sections(fact: DataFrame) -> dict[str, DataFrame]:
-    return {name: build() for name, build in section_builders(fact.columns, *shared_rollup(fact)).items()}
+def sections(fact: DataFrame, cache: bool = True) -> dict[str, DataFrame]:
+    """Every section; with ``cache=False`` the rollup is not written, and each section that is run reads the fact for itself."""
+    r, keys = shared_rollup(fact) if cache else full_rollup(fact)
+    return {name: build() for name, build in section_builders(fact.columns, r, keys).items()}
 
 
 def write_sections(secs: dict[str, DataFrame], out_dir: str, parallelism: int = 4) -> None:
