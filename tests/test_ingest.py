@@ -114,7 +114,7 @@ def test_ordered_copy_of_a_small_an_equal_and_an_empty_table(spark, tmp_path, mo
 
 
 def test_no_range_has_more_files_than_their_names_can_number(spark, tmp_path, monkeypatch):
-    """Of 1,000 files and more, c1000 is read before c101."""
+    """Of more than 1,000 files, c1000 is read before c101."""
     monkeypatch.setattr(ingest, "FILE_ROWS", 1)
     got = ordered_copy(spark, [row()] * 1010 + [row(Order_ID="O0"), row(Order_ID="O2")], tmp_path, monkeypatch)
     assert max(len(r.src_file.split("-c")[-1].split(".")[0]) for r in got) == 3 and (got[0].Order_ID, got[-1].Order_ID) == ("O0", "O2")
